@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from loamdex.llm import language, quality, toxicity
-from loamdex.session import table
+import uuid
+
+import public_tokenizers
+
+from loamdex.llm import chat, dac, decontaminate, language, mixing, quality, simhash, toxicity
+from loamdex.session import shared_dir, table
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +38,61 @@ def op4(spark, folder):
 def op10(spark, folder):
     """Quality of every document."""
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op2_chat")
+def op2(spark, folder):
+    """Every conversation, and one more whose turns are control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return chat.digests(chat.conversations(rows.unionByName(extra)))
+
+
+ORACLES["op2_chat"] = """
+with rows as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked as (
+  select *, lag(role) over (partition by conv_id order by turn) is distinct from role as opens from rows
+), escaped as (
+  select *, length(replace(text, '␛', '␛0')) as size from marked
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  (case when conv_id = -7 then 2 * (8 + 8 + 7) + length('user') + length('assistant') + 2 * length('xx ok xx') + 2 * 2
+   else sum(size + case when opens then 8 + length(role) + 8 + 7 else 7 end) end)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+
+@_query("op3_mixing")
+def op3(spark, folder):
+    """The place of every document in the mix."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "mix_slot", "mix_start", F.length("text").cast("long").alias("chars"))
+
+
+@_query("op5_tokens")
+def op5(spark, folder):
+    """Token ids of every document, written and read back."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    dac.write(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return dac.documents(spark, path)
+
+
+@_query("op6_simhash")
+def op6(spark, folder):
+    """Fingerprint and component of every document."""
+    found = simhash.groups(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op9_decontamination")
+def op9(spark, folder):
+    """Benchmark windows in every document."""
+    found = decontaminate.inspect(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
