@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,16 @@ def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SET
         "score",
         (F.col("score") >= KEEP_AT).cast("int").alias("predicted"),
     )
+
+
+def keep(docs: DataFrame, model: linear.Model, settings: linear.Settings = SETTINGS) -> DataFrame:
+    """``docs`` with all their columns and without the texts that the model rejects, in one pass over the text."""
+    make = features(settings.bits)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # no more weights than buckets of the bounded sample
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in T.steps(batches):
+            doc, bucket = make(texts)
+            yield part.filter(pa.array(shared.value.scores(doc, bucket, len(texts)) >= KEEP_AT))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from loamdex.llm import chat, dac, decontaminate, language, mixing, quality, simhash, toxicity
+from loamdex.llm import chat, dac, decontaminate, language, mixing, neighbours, quality, simhash, suffixes, toxicity
 from loamdex.session import shared_dir, table
 from pyspark.sql import functions as F
 
@@ -96,3 +96,17 @@ def op9(spark, folder):
     """Benchmark windows in every document."""
     found = decontaminate.inspect(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@_query("op7_neighbours")
+def op7(spark, folder):
+    """The nearest rows of every twentieth vector."""
+    rows = table(spark, folder, "embeddings")
+    return neighbours.search(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@_query("op8_suffixes")
+def op8(spark, folder):
+    """What is left of every document without strings that repeat anywhere."""
+    found = suffixes.dedup(table(spark, folder, "documents"), first_stays=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
