@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the order in which the mixed table is laid out, written to files and read back from them."""
     path = f"{shared_dir(spark)}/corpus-tokens-{uuid.uuid4().hex}"
-    laid_out = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    laid_out = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     dac.write(laid_out, TOKENIZER, path, order=("file", "row"))
     return dac.documents(spark, path)
 
