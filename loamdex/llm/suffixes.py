@@ -26,8 +26,9 @@ from loamdex.session import cut
 LENGTH = 200
 #: Bytes of the strings whose least hash in a window of LENGTH bytes names the window's group.
 ANCHOR = 64
-#: Different stretches of one anchor that one task puts in order; of larger groups single windows are dealt out.
-GROUP = 256
+#: Different stretches of one anchor, about 1 MB of text, that one task puts in order; of larger groups single
+#: windows are dealt out.
+GROUP = 4096
 #: Bytes of stretches that a task puts in order at a time.
 ORDER_BYTES = 1 << 21
 
@@ -206,7 +207,9 @@ def _dealt_windows(pieces: DataFrame, first_stays: bool) -> DataFrame:
     """The same for large groups: windows are counted by content, summed before they are shuffled."""
     rows = pieces.filter("bytes is null").withColumn("position", F.struct("doc_id", "crc", (F.col("start") + F.col("at")).alias("place")))
     known = rows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min("position").alias("first"))
-    joined = rows.join(known.filter("total > 1"), ["anchor", "window"])
+    # a stretch that occurs twice is known to repeat, so only single ones need their windows marked
+    asked = rows if first_stays else rows.filter("n = 1")
+    joined = asked.join(known.filter("total > 1"), ["anchor", "window"])
     if first_stays:
         joined = joined.filter("position != first")
     return joined.groupBy("anchor", "content").agg(F.transform(F.collect_set("at"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))

@@ -42,7 +42,7 @@ def test_least_places(values, width):
     assert S.least_places(h, width).tolist() == want
 
 
-@pytest.mark.parametrize("group", [256, 1])
+@pytest.mark.parametrize("group", [4096, 1])
 @pytest.mark.parametrize("first_stays", [False, True])
 def test_matches_brute_force(spark, data, monkeypatch, group, first_stays):
     monkeypatch.setattr(S, "GROUP", group)
