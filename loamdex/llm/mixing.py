@@ -100,22 +100,22 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
         share = {n: named.get(n, s / scale) for n, s in share.items()}
     slots = slots_of(share, period)
     length = max(sum(slots.values()), 1)
-    plan = spark.createDataFrame([(n, b, s, slots[n]) for n, b, s in schedule(slots)], "mix_source string, mix_block long, slot long, of long")
+    plan = spark.createDataFrame([(n, b, s, slots[n]) for n, b, s in schedule(slots)], "mix_source string, mix_block long, mix_place long, mix_of long")
 
     rows = docs.withColumns({"mix_source": _source(F.col("source")), "mix_size": _size(), "mix_hash": F.xxhash64("doc_id")})
     # the bucket keeps the order of the hash, so each source's stream is dealt out over many tasks
     rows = rows.withColumn("mix_bucket", F.floor((F.col("mix_hash") / F.lit(2.0**64) + 0.5) * spread))
     inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("own"))
+    counted = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_own"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.select("mix_source", "mix_bucket", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
-    placed = rows.withColumn("upto", F.sum("mix_size").over(inside)).join(counted, ["mix_source", "mix_bucket"])
-    placed = placed.withColumn("mix_start", F.col("before") + F.col("upto") - F.col("mix_size"))
-    units = plan.groupBy("mix_source").agg(F.first("of").alias("of"))
+    counted = counted.select("mix_source", "mix_bucket", F.coalesce(F.sum("mix_own").over(before), F.lit(0)).alias("mix_before"))
+    placed = rows.withColumn("mix_upto", F.sum("mix_size").over(inside)).join(counted, ["mix_source", "mix_bucket"])
+    placed = placed.withColumn("mix_start", F.col("mix_before") + F.col("mix_upto") - F.col("mix_size"))
+    units = plan.groupBy("mix_source").agg(F.first("mix_of").alias("mix_of"))
     number = F.floor(F.col("mix_start") / block)
-    placed = placed.join(F.broadcast(units), "mix_source").withColumns({"turn": F.floor(number / F.col("of")), "mix_block": number % F.col("of") + 1})
-    done = placed.join(F.broadcast(plan.drop("of")), ["mix_source", "mix_block"])  # a row a slot of one period
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("turn") * length + F.col("slot")).alias("mix_slot"), "mix_start")
+    placed = placed.join(F.broadcast(units), "mix_source").withColumns({"mix_turn": F.floor(number / F.col("mix_of")), "mix_block": number % F.col("mix_of") + 1})
+    done = placed.join(F.broadcast(plan.drop("mix_of")), ["mix_source", "mix_block"])  # a row a slot of one period
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("mix_turn") * length + F.col("mix_place")).alias("mix_slot"), "mix_start")
 
 
 def in_order(docs: DataFrame, **how) -> DataFrame:

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = 64
+LINES = 96
 #: Share of the lines on which a vector must collide, and share of a shard's distinct vectors that may then be verified.
-COLLIDE, VERIFY = 0.75, 0.22
+COLLIDE, VERIFY = 0.75, 0.3
 #: Half a window's first width in units of a shard's median length, and its growth from step to step.
 WIDTH, GROW = 0.35, 1.2
 SHARD, QUERIES = 4096, 4096
@@ -125,8 +125,8 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     blocks = max(1, -(-asked // QUERIES), min(-(-CELLS // shards), -(-asked // 16)))
     size = F.size("embedding").alias("size")
     shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    held = rows.select("vec_id", "embedding", size, shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
-    wanted = queries.select("vec_id", "embedding", size, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), block.alias("block"))
+    held = rows.select("vec_id", "embedding", size, shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    wanted = queries.select("vec_id", "embedding", size, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), block.alias("block"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         names, ids, scores = [], [], []
