@@ -118,6 +118,12 @@ def html_text(html: Column) -> Column:
     return tidy(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare))
 
 
+def html_outline(html: Column) -> Column:
+    """``html_text`` with headings marked as in mark-down, so that a page's outline can be read from it."""
+    marked = reduce(lambda t, n: F.regexp_replace(t, f"(?is)<h{n}\\b[^>]*>(.*?)</h{n}\\s*>", "\n" + "#" * n + " $1\n"), range(1, 7), html)
+    return html_text(marked)
+
+
 def html_title(html: Column) -> Column:
     return tidy(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
 

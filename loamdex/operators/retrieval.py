@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that the hashing embedder takes for others.
 SYNONYMS = {"automobile": "car", "vehicle": "car", "physician": "doctor", "clinician": "doctor", "k8s": "kubernetes"}
@@ -67,7 +68,7 @@ def hash_vector(token: str) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unit vectors of token lists: sums of vectors made from each token's hash. Without tokens, all zeros."""
     known: dict[str, np.ndarray] = {}

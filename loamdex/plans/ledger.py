@@ -1 +1,100 @@
-"""Queries."""
+"""Queries over the interaction ledger, as streams and in batch, and over files and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loamdex.operators import chunking, retrieval
+from loamdex.plans.registry import query
+from loamdex.session import table
+from loamdex.streaming import ledger
+
+
+@query("stream_once", "select event_id, user_id, event_type, round(value, 6) as value from events qualify row_number() over (partition by event_id order by ts) = 1")
+def stream_once(spark, folder):
+    """Every event once, from a stream."""
+    return ledger.drain(ledger.once(ledger.read(spark, folder)).select("event_id", "user_id", "event_type", F.round("value", 6).alias("value")))
+
+
+@query(
+    "stream_tumbling",
+    "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as value from events group by 1, 2",
+)
+def stream_tumbling(spark, folder):
+    windows = ledger.drain(ledger.tumbling(ledger.read(spark, folder)), "complete")
+    return windows.select(F.date_format("begin", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+@query(
+    "stream_sliding",
+    """select strftime(b, '%Y-%m-%d %H:%M') as begin, count(*) as n from (select unnest([to_timestamp(floor(epoch(ts) / 21600) * 21600 - i * 21600)::timestamp for i in range(0, 4)]) as b from events) group by 1""",
+)
+def stream_sliding(spark, folder):
+    windows = ledger.drain(ledger.sliding(ledger.read(spark, folder)), "complete")
+    return windows.select(F.date_format("begin", "yyyy-MM-dd HH:mm").alias("begin"), "n")
+
+
+@query(
+    "stream_sessions",
+    """with e as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 30 minute then 1 else 0 end as b from events window w as (partition by user_id order by ts, event_id)),
+    s as (select *, sum(b) over (partition by user_id order by ts, event_id) as session from e)
+    select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as begin, count(*) as n from s group by user_id, session""",
+)
+def stream_sessions(spark, folder):
+    """Each user's sessions by event time; a pause of half an hour ends one."""
+    windows = ledger.drain(ledger.sessions(ledger.read(spark, folder)), "complete")
+    return windows.select("user_id", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"), "n")
+
+
+@query(
+    "ledger_gaps",
+    """select event_type, json_extract_string(props, '$.k')::bigint as k, count(*) as n, count(distinct user_id) as users from events group by 1, 2 having count(*) >= 3 and count(distinct user_id) >= 2""",
+)
+def ledger_gaps(spark, folder):
+    return ledger.gaps(table(spark, folder, "events"))
+
+
+@query(
+    "ledger_histogram",
+    "select event_type, " + ", ".join(f"count(*) filter (value <= {b}) as le_{b}" for b in (5, 10, 50, 100, 500)) + ", count(*) as le_inf from events group by 1",
+)
+def ledger_histogram(spark, folder):
+    """A cumulative histogram with fixed bounds."""
+    bounds = [F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (5, 10, 50, 100, 500)]
+    return table(spark, folder, "events").groupBy("event_type").agg(*bounds, F.count(F.lit(1)).alias("le_inf"))
+
+
+@query("document_chunks")
+def document_chunks(spark, folder):
+    """Chunks of every document; tests hold them against a plain loop."""
+    rows = chunking.chunks(table(spark, folder, "documents"))
+    return rows.select("doc_id", "chunk_index", "start_line", "end_line", F.length("text").alias("chars"), "text_hash", "token_estimate")
+
+
+@query("page_headings")
+def page_headings(spark, folder):
+    """Headings of every page with their paths."""
+    from loamdex.functions import text as T
+
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), T.html_outline(F.col("html")).alias("text"))
+    return chunking.heading_paths(chunking.headings(pages)).select("doc_id", "line", "level", "kind", "parent_line", "path")
+
+
+@query("document_vectors")
+def document_vectors(spark, folder):
+    """Hashed vectors of every document's distinct tokens: length and first component; tests check the vectors."""
+    from loamdex.functions import text as T
+
+    tokens = F.array_distinct(T.index_tokens(F.col("text")))
+    rows = table(spark, folder, "documents").select("doc_id", tokens.alias("tokens"))
+    made = rows.select("doc_id", F.size("tokens").alias("tokens"), retrieval.hash_embedding("tokens").alias("v"))
+    return made.select("doc_id", "tokens", F.size("v").alias("dims"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+
+
+@query("source_signatures")
+def source_signatures(spark, folder):
+    """How alike the sources' vocabularies are, by minima of hashes."""
+    from loamdex.functions import text as T
+
+    terms = table(spark, folder, "documents").select("source", F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term")).distinct()
+    return retrieval.estimated_jaccard(retrieval.minhash(terms, "source", 64), "source")
