@@ -23,7 +23,7 @@ PARTS, PART = 4, 2
 #: Lengths of the n-grams in bytes, the longest first.
 GRAMS = (5, 4, 3, 2, 1)
 #: Entries of the model: words and, of each length, n-grams that are most frequent over all languages.
-#: They bound what is broadcast; what lies beyond them is scored by the next shorter n-grams.
+#: They bound what is collected and broadcast; what lies beyond them is scored by the next shorter n-grams.
 WORDS, GRAM_ROWS = 100_000, 40_000
 UNKNOWN = "und"
 
@@ -91,6 +91,23 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return made.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, rows: int) -> DataFrame:
+    """The rows with the greatest n, all down to some count, as many as fit into ``rows``.
+
+    Counts are put into buckets of three leading digits, so that the cut is found from a few thousand sums
+    instead of every task's best rows.
+    """
+    scale = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10("n")) - 2, F.lit(0)))
+    bucket = (F.floor(F.col("n") / scale) * scale).cast("long")
+    upto, least = 0, None
+    for r in sorted(counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        upto += r.k
+        if upto > rows:
+            break
+        least = r.b
+    return counts.filter(F.lit(False)) if least is None else counts.filter(bucket >= least)
+
+
 def _table(rows: list, langs: list[str], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and smoothed log frequencies from (hash, {lang: n}) rows."""
     hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
@@ -107,7 +124,8 @@ def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAM_ROWS) -> Model:
     langs = sorted(totals)
     size = np.array([max(totals[x], 1) for x in langs], float)
     by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
-    top_words = counted.groupBy("word").agg(by_lang, F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
+    by_word = cut(counted.groupBy("word").agg(by_lang, F.sum("n").alias("n")), "language-vocabulary")
+    top_words = _most_frequent(by_word, words).orderBy("word").collect()  # no more than ``words`` rows
     hashes, logs = [], []
     spans = T.Spans([r.word.encode() for r in top_words], T.WORDS)
     known = spans.hashes().view(np.int64)
@@ -116,7 +134,7 @@ def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAM_ROWS) -> Model:
     logs.append(table)
     counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(by_lang, F.sum("n").alias("n")), "language-grams")
     for n in GRAMS:
-        rows = counts.filter(F.col("size") == n).orderBy(F.desc("n"), "gram").limit(grams).collect()
+        rows = _most_frequent(counts.filter(F.col("size") == n), grams).collect()
         h, table = _table([(r.gram, r.by_lang) for r in rows], langs, size)
         hashes.append(h)
         logs.append(table)

@@ -18,7 +18,7 @@ Features = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of a fit. ``sample`` bounds the labelled rows that it reads: those with the smallest hashes of doc_id."""
+    """Parameters of a fit. ``sample`` bounds the labelled rows that it reads: chosen by hashes of doc_id."""
 
     bits: int = 22
     sample: int = 8192
@@ -105,7 +105,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     """(text, y) of at most ``rows`` labelled rows that aren't held out, by hash of doc_id; null ids or labels are no labels."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), parts, part))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)  # a bounded number of rows
+    n = known.count()
+    if n > rows:  # a share by hash that holds somewhat more than ``rows``, so that no task ranks more than that
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_200_000 * rows / n) + 100)
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
