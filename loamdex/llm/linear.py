@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
     """
     if not examples:
         return Model(of.bits, 0.0, np.zeros(0, np.int64), np.zeros(0))
-    names = np.unique(np.concatenate([*examples, *(x for p in pairs for x in p)]).astype(np.int64))
-    rows = [np.searchsorted(names, x) for x in examples]
+    names = np.unique(np.concatenate([x.astype(np.int32, copy=False) for x in (*examples, *(x for p in pairs for x in p))]))
+    rows = [np.searchsorted(names, x).astype(np.int32) for x in examples]
     swaps = [tuple(np.searchsorted(names, x) for x in p) for p in pairs]
     z, n, w = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     l1 = np.full(len(names) + 1, of.l1)
@@ -78,7 +80,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
         w[at] = np.where(short, 0.0, -(z[at] - np.sign(z[at]) * l1[at]) / ((of.beta + after) / of.alpha + of.l2))
 
     order, k = np.random.default_rng(7), 0
-    rows = [np.append(x, len(names)) for x in rows]
+    rows = [np.append(x, np.int32(len(names))) for x in rows]
     for _ in range(of.epochs):
         for i in order.permutation(len(rows)):
             few = order.choice(rows[i], order.integers(of.part + 1)) if of.part else rows[i]
@@ -93,7 +95,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
                     step(more, 2 * of.pair_weight * change)
                     step(less, -2 * of.pair_weight * change)
     keep = np.flatnonzero(w[:-1])
-    return Model(of.bits, float(w[-1]), names[keep], w[keep])
+    return Model(of.bits, float(w[-1]), names[keep].astype(np.int64), w[keep])
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -113,19 +115,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
 
 def examples_of(sample: DataFrame, features: Features) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and label of each sampled row, made in tasks, in a fixed order."""
+    """Buckets and label of each sampled row, made in tasks, in a fixed order; the buckets share one Arrow buffer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
             doc, bucket = features(texts)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
             packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"])
+            tie = pa.array([zlib.crc32(x) for x in packed], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), tie, pa.array(packed, pa.binary())], ["doc_id", "y", "tie", "x"])
 
     kind = dict(sample.dtypes)["doc_id"]
-    rows = sample.mapInArrow(run, f"doc_id {kind}, y int, x binary").collect()
-    rows.sort(key=lambda r: (str(r.doc_id), r.y, bytes(r.x)))
-    return [np.frombuffer(bytes(r.x), "<i4").astype(np.int64) for r in rows], np.array([r.y for r in rows], np.int64)
+    rows = sample.mapInArrow(run, f"doc_id {kind}, y int, tie long, x binary").toArrow()  # no more than the bounded sample
+    order = pc.sort_indices(rows.select(["doc_id", "y", "tie"]), [(c, "ascending") for c in ("doc_id", "y", "tie")]).to_numpy()
+    x = [np.frombuffer(v.as_buffer(), "<i4") if v.is_valid else np.zeros(0, "<i4") for chunk in rows.column("x").chunks for v in chunk]
+    return [x[i] for i in order], rows.column("y").to_numpy()[order].astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, features: Features, keep: str) -> DataFrame:

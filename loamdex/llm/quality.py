@@ -16,7 +16,7 @@ from loamdex.llm import text as T
 PARTS, PART = 4, 2
 #: A document is kept from this score on.
 KEEP_AT = 0.7
-SETTINGS = linear.Settings(sample=16_384)
+SETTINGS = linear.Settings(sample=8192)
 
 
 def features(bits: int):

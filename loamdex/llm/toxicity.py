@@ -19,7 +19,7 @@ from loamdex.llm import text as T
 #: Of three parts by crc32 of doc_id, the part that is held out.
 PARTS, PART = 3, 1
 TOXIC_AT = 0.7
-SETTINGS = linear.Settings(sample=20_000, l1=1.0, pair_weight=5.0, part=0, ones=3.0)
+SETTINGS = linear.Settings(sample=12_000, l1=1.0, pair_weight=5.0, part=0, ones=3.0)
 
 #: Names of groups by kind; a swap puts the next name of the same kind in place of one.
 IDENTITY = (
