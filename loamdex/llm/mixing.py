@@ -81,7 +81,8 @@ def _size() -> Column:
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, spread: int = SPREAD, flatten: float = FLATTEN) -> DataFrame:
     """Every row of ``docs`` with mix_slot and mix_start, in whose order the sources have their target weights.
 
-    A source's stream holds its documents by hash of doc_id, then doc_id and text. mix_start is a document's
+    A source's stream holds its documents by hash of doc_id, then doc_id and the text's hash, so that texts
+    needn't be shuffled where they aren't asked for. mix_start is a document's
     first character in that stream, block = mix_start div ``block``, and mix_slot the slot of that block, so a
     long document takes the slot of its first block. ``weights`` are by source (None for null sources);
     sources that it doesn't name and, without it, all sources get their size to the power ``flatten``. Where a
@@ -102,10 +103,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     length = max(sum(slots.values()), 1)
     plan = spark.createDataFrame([(n, b, s, slots[n]) for n, b, s in schedule(slots)], "mix_source string, mix_block long, mix_place long, mix_of long")
 
-    rows = docs.withColumns({"mix_source": _source(F.col("source")), "mix_size": _size(), "mix_hash": F.xxhash64("doc_id")})
+    rows = docs.withColumns({"mix_source": _source(F.col("source")), "mix_size": _size(), "mix_hash": F.xxhash64("doc_id"), "mix_tie": F.xxhash64("text")})
     # the bucket keeps the order of the hash, so each source's stream is dealt out over many tasks
     rows = rows.withColumn("mix_bucket", F.floor((F.col("mix_hash") / F.lit(2.0**64) + 0.5) * spread))
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "doc_id", "mix_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_own"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.select("mix_source", "mix_bucket", F.coalesce(F.sum("mix_own").over(before), F.lit(0)).alias("mix_before"))

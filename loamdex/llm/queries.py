@@ -73,7 +73,7 @@ from escaped group by conv_id
 def op3(spark, folder):
     """The place of every document in the mix."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "mix_slot", "mix_start", F.length("text").cast("long").alias("chars"))
+    return mixing.mix(docs).select("doc_id", "source", "mix_slot", "mix_start")
 
 
 @_query("op5_tokens")
