@@ -157,7 +157,7 @@ def search_criteria(spark, folder):
 @query(
     "structural_prior",
     r"""with p as (select page_id, regexp_replace(url, '^[a-z]+://[^/]+/', '') as path from pages)
-    select page_id, path, round(greatest(0.25, 1 + 0.05 * (length(path) - length(replace(path, '/', ''))) + case when regexp_matches(path, '(^|/)tests/|(^|/)test.|_test\.|.test\.') then 0.6 else 0 end
+    select page_id, path, round(greatest(0.25, 1::double + 0.05 * (length(path) - length(replace(path, '/', ''))) + case when regexp_matches(path, '(^|/)tests/|(^|/)test.|_test\.|.test\.') then 0.6 else 0 end
       + case when regexp_matches(path, '(^|/)(samples|examples)/') then 0.3 else 0 end), 6) as prior from p""",
 )
 def structural_prior(spark, folder):
