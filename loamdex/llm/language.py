@@ -108,12 +108,11 @@ def _most_frequent(counts: DataFrame, rows: int) -> DataFrame:
     return counts.filter(F.lit(False)) if least is None else counts.filter(bucket >= least)
 
 
-def _table(rows: list, langs: list[str], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and smoothed log frequencies from (hash, {lang: n}) rows."""
-    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    counts = np.array([[r[1].get(x, 0) for x in langs] for r in rows], float).reshape(len(rows), len(langs))
+def _table(hashes: np.ndarray, rows: pa.Table, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and smoothed log frequencies of rows that hold counts in the languages' order."""
+    counts = rows.column("by_lang").combine_chunks().flatten().to_numpy().astype(float).reshape(len(hashes), len(totals))
     order = np.argsort(hashes)
-    return hashes[order], np.log((counts[order] + 0.1) / (totals + 0.1 * max(len(rows), 1)))
+    return hashes[order], np.log((counts[order] + 0.1) / (totals + 0.1 * max(len(hashes), 1)))
 
 
 def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAM_ROWS) -> Model:
@@ -122,22 +121,19 @@ def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAM_ROWS) -> Model:
     counted = cut(_word_counts(learn), "language-words")
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
+    if not langs:
+        return Model([], [], [], np.zeros(0))
     size = np.array([max(totals[x], 1) for x in langs], float)
-    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
+    by_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]).alias("by_lang")
     by_word = cut(counted.groupBy("word").agg(by_lang, F.sum("n").alias("n")), "language-vocabulary")
-    top_words = _most_frequent(by_word, words).orderBy("word").collect()  # no more than ``words`` rows
-    hashes, logs = [], []
-    spans = T.Spans([r.word.encode() for r in top_words], T.WORDS)
-    known = spans.hashes().view(np.int64)
-    h, table = _table([(h, r.by_lang) for h, r in zip(known, top_words)], langs, size)
-    hashes.append(h)
-    logs.append(table)
+    top = _most_frequent(by_word, words).orderBy("word").toArrow()  # no more than ``words`` rows
+    known = T.Spans([w.encode() for w in top.column("word").to_pylist()], T.WORDS).hashes() if len(top) else np.zeros(0, np.uint64)
+    made = [_table(known, top, size)]
     counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(by_lang, F.sum("n").alias("n")), "language-grams")
     for n in GRAMS:
-        rows = _most_frequent(counts.filter(F.col("size") == n), grams).collect()
-        h, table = _table([(r.gram, r.by_lang) for r in rows], langs, size)
-        hashes.append(h)
-        logs.append(table)
+        top = _most_frequent(counts.filter(F.col("size") == n), grams).toArrow()
+        made.append(_table(top.column("gram").to_numpy().view(np.uint64), top, size))
+    hashes, logs = [h for h, _ in made], [x for _, x in made]
     return Model(langs, hashes, logs, np.log(size / max(size.sum(), 1)))
 
 
