@@ -64,9 +64,18 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
     """
     if not examples:
         return Model(of.bits, 0.0, np.zeros(0, np.int64), np.zeros(0))
-    names = np.unique(np.concatenate([x.astype(np.int32, copy=False) for x in (*examples, *(x for p in pairs for x in p))]))
-    rows = [np.searchsorted(names, x).astype(np.int32) for x in examples]
-    swaps = [tuple(np.searchsorted(names, x) for x in p) for p in pairs]
+    # Buckets are numbered by a map of all 2**bits, so that besides the examples one flat array of 32-bit numbers is all that is made.
+    seen = np.zeros(1 << of.bits, bool)
+    for x in (*examples, *(x for p in pairs for x in p)):
+        seen[x] = True
+    names = np.flatnonzero(seen).astype(np.int32)
+    number = np.cumsum(seen, dtype=np.int32) - np.int32(1)
+    ends = np.cumsum([len(x) + 1 for x in examples])
+    flat = np.full(ends[-1], len(names), np.int32)  # each row ends with the bias
+    rows = [flat[end - len(x) - 1 : end] for x, end in zip(examples, ends)]
+    for row, x in zip(rows, examples):
+        row[:-1] = number[x]
+    swaps = [tuple(number[x] for x in p) for p in pairs]
     z, n, w = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     l1 = np.full(len(names) + 1, of.l1)
     l1[-1] = of.bias_l1  # the last weight is the bias
@@ -80,7 +89,6 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
         w[at] = np.where(short, 0.0, -(z[at] - np.sign(z[at]) * l1[at]) / ((of.beta + after) / of.alpha + of.l2))
 
     order, k = np.random.default_rng(7), 0
-    rows = [np.append(x, np.int32(len(names))) for x in rows]
     for _ in range(of.epochs):
         for i in order.permutation(len(rows)):
             few = order.choice(rows[i], order.integers(of.part + 1)) if of.part else rows[i]

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -73,6 +74,18 @@ def test_swaps_keep_neutral_mentions_apart_from_toxicity():
     assert gap(fair) < gap(plain) / 2
 
 
+def test_fit_learns_from_the_stated_rows_within_little_memory():
+    assert quality.SETTINGS.sample >= 16_384 and toxicity.SETTINGS.sample >= 20_000
+    rng = np.random.default_rng(3)
+    examples = [np.unique(rng.integers(0, 1 << 18, 8000)).astype(np.int32) for _ in range(600)]
+    held = sum(x.nbytes for x in examples)
+    tracemalloc.start()
+    linear.fit(examples, rng.integers(0, 2, 600), [], linear.Settings(bits=18, epochs=0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < held + (1 << 18) * 4 * 13  # one copy of the examples, and weights by bucket
+
+
 def test_classifier_edge_rows(spark, make_docs):
     docs = make_docs((1, None), (2, ""), (2, ""), (None, "x"), (3, "y " * 50_000)).withColumn("score", F.lit("clash")).withColumn("y", F.lit(1))
     labels = spark.createDataFrame([(1, None, 1), (None, 1, 0), (3, 1, None), (99, 0, 1)], LABELS)
