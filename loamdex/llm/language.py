@@ -1,13 +1,14 @@
 """Language ID by word-first backoff.
 
 A word that the training texts hold is scored by its log frequency in each language; any other word falls back to
-its character n-grams, the longest known ones first. Counts are made over all documents that aren't held out.
+its character n-grams, the longest known ones first. Counts are made over all documents that aren't held out, and
+every count serves: the most frequent words are broadcast, and the others meet the full tables by shuffled joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,28 @@ from loamdex.session import cut
 PARTS, PART = 4, 2
 #: Lengths of the n-grams in bytes, the longest first.
 GRAMS = (5, 4, 3, 2, 1)
-#: Entries of the model: words and, of each length, n-grams that are most frequent over all languages.
-#: They bound what is collected and broadcast; what lies beyond them is scored by the next shorter n-grams.
-WORDS, GRAM_ROWS = 100_000, 40_000
+#: Words that are broadcast, the most frequent ones; this bounds memory and changes no result.
+WORDS = 100_000
+#: N-grams up to this length are broadcast whole: bytes bound their number.
+SHORT = 2
+#: Scores of words outside the broadcast table are summed as whole multiples of this, so that no order of summing shows.
+UNIT = 2.0**-30
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Per level (words first, then each n-gram length): sorted hashes and log probabilities by language."""
+    """Per level (words first, then each n-gram length): sorted hashes and log probabilities by language.
+
+    ``words`` (word, logs) and ``grams`` (size, gram, logs) are all of what was learnt; without them the levels are.
+    """
 
     langs: list[str]
     hashes: list[np.ndarray]
     logs: list[np.ndarray]
     floor: np.ndarray
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
 def _letters(texts: list[bytes]) -> list[bytes]:
@@ -108,15 +117,15 @@ def _most_frequent(counts: DataFrame, rows: int) -> DataFrame:
     return counts.filter(F.lit(False)) if least is None else counts.filter(bucket >= least)
 
 
-def _table(hashes: np.ndarray, rows: pa.Table, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and smoothed log frequencies of rows that hold counts in the languages' order."""
-    counts = rows.column("by_lang").combine_chunks().flatten().to_numpy().astype(float).reshape(len(hashes), len(totals))
+def _table(hashes: np.ndarray, rows: pa.Table, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and the log frequencies of their rows."""
+    logs = rows.column("logs").combine_chunks().flatten().to_numpy().reshape(len(hashes), langs)
     order = np.argsort(hashes)
-    return hashes[order], np.log((counts[order] + 0.1) / (totals + 0.1 * max(len(hashes), 1)))
+    return hashes[order], logs[order]
 
 
-def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAM_ROWS) -> Model:
-    """Count words and n-grams of all documents with a language that aren't held out, and keep the most frequent."""
+def fit(docs: DataFrame, words: int = WORDS) -> Model:
+    """Count words and n-grams of all documents with a language that aren't held out; ``words`` are broadcast."""
     learn = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~linear.held_out(F.col("doc_id"), PARTS, PART))
     counted = cut(_word_counts(learn), "language-words")
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -125,16 +134,24 @@ def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAM_ROWS) -> Model:
         return Model([], [], [], np.zeros(0))
     size = np.array([max(totals[x], 1) for x in langs], float)
     by_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]).alias("by_lang")
+
+    def logs(rows):  # smoothed log frequencies, where ``rows`` is how many words or n-grams of the length there are
+        return F.array(*[F.log((F.col("by_lang")[k] + 0.1) / (F.lit(float(n)) + 0.1 * rows)) for k, n in enumerate(size)]).alias("logs")
+
     by_word = cut(counted.groupBy("word").agg(by_lang, F.sum("n").alias("n")), "language-vocabulary")
-    top = _most_frequent(by_word, words).orderBy("word").toArrow()  # no more than ``words`` rows
+    full = by_word.select("word", "n", logs(F.lit(max(by_word.count(), 1))))
+    top = _most_frequent(full, words).orderBy("word").toArrow()  # no more than ``words`` rows
     known = T.Spans([w.encode() for w in top.column("word").to_pylist()], T.WORDS).hashes() if len(top) else np.zeros(0, np.uint64)
-    made = [_table(known, top, size)]
-    counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(by_lang, F.sum("n").alias("n")), "language-grams")
+    made = [_table(known, top, len(langs))]
+    counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(by_lang), "language-grams")
+    kinds = {r["size"]: r["count"] for r in counts.groupBy("size").count().collect()}
+    rows = F.element_at(F.create_map(*[F.lit(x) for n in GRAMS for x in (n, max(kinds.get(n, 0), 1))]), F.col("size"))
+    grams = counts.select("size", "gram", logs(rows))
     for n in GRAMS:
-        top = _most_frequent(counts.filter(F.col("size") == n), grams).toArrow()
-        made.append(_table(top.column("gram").to_numpy().view(np.uint64), top, size))
-    hashes, logs = [h for h, _ in made], [x for _, x in made]
-    return Model(langs, hashes, logs, np.log(size / max(size.sum(), 1)))
+        top = grams.filter(F.col("size") == n if n <= SHORT else F.lit(False)).toArrow()  # no more than 256 ** SHORT rows
+        made.append(_table(top.column("gram").to_numpy().view(np.uint64), top, len(langs)))
+    hashes, tables = [h for h, _ in made], [x for _, x in made]
+    return Model(langs, hashes, tables, np.log(size / max(size.sum(), 1)), full.select("word", "logs"), grams.filter(F.col("size") > SHORT))
 
 
 def _look(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +182,8 @@ def word_scores(model: Model, spans: T.Spans, s: np.ndarray, e: np.ndarray, name
     return out
 
 
-def predict(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language of each text (-1: no letters or nothing learnt) and its probability."""
-    if not model.langs:
-        return np.full(len(texts), -1), np.zeros(len(texts))
+def _words(texts: list[bytes]) -> tuple[T.Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words: spans, hashes, starts and ends of the distinct ones, whether those hold a letter, and each span's index."""
     spans = T.Spans(_letters(texts), T.WORDS)
     # what str.isalpha calls no letter anywhere in a word (a dash or sign beyond ASCII) makes no word of a language
     names, first, at = np.unique(spans.hashes(), return_index=True, return_inverse=True)
@@ -179,10 +194,15 @@ def predict(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     raw = spans.buf.tobytes()
     for i in np.flatnonzero(~plain):
         plain[i] = any(c.isalpha() for c in raw[s[i] : e[i]].decode("utf-8", "replace"))
-    by_word = word_scores(model, spans, s, e, names) * plain[:, None]
-    at = at.reshape(-1)
-    total = np.stack([np.bincount(spans.doc, by_word[at, k], minlength=len(texts)) for k in range(len(model.langs))], axis=1)
-    any_word = np.bincount(spans.doc, plain[at], minlength=len(texts)) > 0
+    return spans, names, s, e, plain, at.reshape(-1)
+
+
+def _sums(spans: T.Spans, by_word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each text's sums of its words' scores by language."""
+    return np.stack([np.bincount(spans.doc, by_word[at, k], minlength=spans.texts) for k in range(by_word.shape[1])], axis=1).astype(float)
+
+
+def _best(total: np.ndarray, any_word: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     total = total + model.floor
     best = np.argmax(total, axis=1)
     share = np.exp(total - total.max(axis=1, keepdims=True))
@@ -190,6 +210,70 @@ def predict(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.where(any_word, best, -1), np.where(any_word, p, 0.0)
 
 
+def predict(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the best language of each text (-1: no letters or nothing learnt) and its probability, by the model's levels alone."""
+    if not model.langs:
+        return np.full(len(texts), -1), np.zeros(len(texts))
+    spans, names, s, e, plain, at = _words(texts)
+    by_word = word_scores(model, spans, s, e, names) * plain[:, None]
+    return _best(_sums(spans, by_word, at), np.bincount(spans.doc, plain[at], minlength=len(texts)) > 0, model)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def _first_sums(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, total, any_word, rest) of each row: sums over the broadcast words, and the other words with their counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part, texts in T.steps(batches):
+            spans, names, s, e, plain, at = _words(texts)
+            place, hit = _look(model.hashes[0], names)
+            by_word = np.zeros((len(names), len(model.langs)))
+            by_word[hit] = model.logs[0][place[hit]]
+            other = (plain & ~hit)[at]
+            doc, word, n = T.distinct(spans.doc[other], at[other])
+            raw = spans.buf.tobytes()
+            used, index = np.unique(word, return_inverse=True)
+            words = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[used], e[used])], pa.string()).take(pa.array(index.reshape(-1)))
+            ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+            rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"]))
+            any_word = np.bincount(spans.doc, plain[at], minlength=len(texts)) > 0
+            total = _sums(spans, by_word * plain[:, None], at)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(total), pa.array(any_word), rest], ["doc_id", "total", "any_word", "rest"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, total array<double>, any_word boolean, rest array<struct<word: string, n: bigint>>")
+
+
+def _by_grams(words: DataFrame, model: Model, shared) -> DataFrame:
+    """(word, logs) of words that weren't learnt: means over their longest n-grams that were, through a join with all of them."""
+
+    def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in T.steps(batches, "word", 1 << 18):
+            spans, names, s, e, _, at = _words(texts)
+            yield pa.RecordBatch.from_arrays([part.column("word"), _lists(word_scores(shared.value, spans, s, e, names)[at])], ["word", "short"])
+
+    def long(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in T.steps(batches, "word", 1 << 18):
+            spans = T.Spans(texts, T.WORDS)
+            sums = T.prefix_sums(spans.buf)
+            for size in (n for n in GRAMS if n > SHORT):
+                of, place = T.grams_of(spans.buf, spans.start, spans.end, size)
+                h = T.span_hashes(spans.buf, place, place + size, sums, salt=size).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("word").take(pa.array(spans.doc[of])), pa.array(np.full(len(of), size, np.int32)), pa.array(h)], ["word", "size", "gram"]
+                )
+
+    means = F.array(*[F.sum(F.round(F.col("logs")[k] / UNIT).cast("long")) * UNIT / F.count(F.lit(1)) for k in range(len(model.langs))])
+    found = words.mapInArrow(long, "word string, size int, gram long").join(model.grams, ["size", "gram"]).groupBy("word", "size").agg(means.alias("logs"))
+    found = found.groupBy("word").agg(F.max_by("logs", "size").alias("logs"))
+    backup = words.mapInArrow(short, "word string, short array<double>")
+    return backup.join(found, "word", "left").select("word", F.coalesce("logs", "short").alias("logs"))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs``, whatever other columns it has.
 
@@ -197,14 +281,34 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Repeated rows and repeated or null ids give one row each. Equal scores go to the first language by name.
     """
     model = fit(docs) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + 5 * GRAM_ROWS rows
+    kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, words=None, grams=None))  # at most WORDS rows and the short n-grams
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*shared.value.langs, UNKNOWN], object)
+    def by_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
-            best, p = predict(texts, shared.value)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
+            yield named(part, *predict(texts, shared.value))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    def by_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            total = part.column("total").flatten().to_numpy().reshape(part.num_rows, -1)
+            if part.num_rows:
+                yield named(part, *_best(total, part.column("any_word").to_numpy(zero_copy_only=False), shared.value))
+
+    def named(part: pa.RecordBatch, best: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        names = np.array([*shared.value.langs, UNKNOWN], object)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
+
+    schema = f"doc_id {kind}, lang_pred string, score double"
+    if model.words is None:
+        made = docs.select("doc_id", "text").mapInArrow(by_text, schema)
+    else:
+        first = cut(_first_sums(docs, shared).withColumn("row", F.monotonically_increasing_id()), "language-sums")
+        rest = first.select("row", F.inline("rest"))
+        words = cut(rest.select("word").distinct().join(model.words, "word", "left"), "language-others")
+        logs = words.filter("logs is not null").unionByName(_by_grams(words.filter("logs is null").select("word"), model, shared))
+        more = F.array(*[F.sum(F.round(F.col("n") * F.col("logs")[k] / UNIT).cast("long")) * UNIT for k in range(len(model.langs))])
+        found = rest.join(logs, "word").groupBy("row").agg(more.alias("more"))
+        total = F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b))
+        summed = first.select("doc_id", "total", "any_word", "row").join(found, "row", "left").select("doc_id", total.alias("total"), "any_word")
+        made = summed.mapInArrow(by_sums, schema)
     return made.select("doc_id", linear.held_out(F.col("doc_id"), PARTS, PART).alias("held_out"), "lang_pred", "score")

@@ -109,6 +109,45 @@ def test_language(spark, data, make_docs):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_scores_by_all_that_was_learnt(spark, make_docs):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    own = {lang: [word() for _ in range(k)] for lang, k in (("aa", 300), ("bb", 40))}
+    rows = [(i, " ".join([*rng.choice(own["aa" if i % 20 else "bb"], 12), *[word() for _ in range(3)]]), "aa" if i % 20 else "bb") for i in range(400)]
+    rows += [(1000, "zz 12 qqqqqq", None), (1001, "dear", None)]
+    rows += [(2000 + k, w, None) for k, w in enumerate([*own["aa"][:20], *own["bb"][:20]])]  # one word leaves no certainty to hide behind
+    seen, counts = [r for r in rows if r[2] and not held(r[0], 4, 2)], [{} for _ in range(6)]  # words, then n-grams by length
+    for _, text, lang in seen:
+        for w in text.split():
+            for size, grams in [(0, [w]), *[(n, [w[i : i + n] for i in range(len(w) - n + 1)]) for n in range(1, 6)]]:
+                for g in grams:
+                    counts[size].setdefault(g, {"aa": 0, "bb": 0})[lang] += 1
+    total = {lang: sum(c[lang] for c in counts[0].values()) for lang in own}
+
+    def log(size, g, lang):
+        return np.log((counts[size][g][lang] + 0.1) / (total[lang] + 0.1 * len(counts[size])))
+
+    def wanted(text):
+        score = {lang: np.log(total[lang] / sum(total.values())) for lang in own}
+        for w in (w for w in text.split() if not w.isdigit()):
+            for size in (0, 5, 4, 3, 2, 1):
+                known = [g for g in ([w] if not size else [w[i : i + size] for i in range(len(w) - size + 1)]) if g in counts[size]]
+                if known:
+                    for lang in own:
+                        score[lang] += np.mean([log(size, g, lang) for g in known])
+                    break
+        best = max(sorted(score), key=score.get)
+        return best, 1 / sum(np.exp(x - score[best]) for x in score.values())
+
+    docs = make_docs(*rows)
+    for most in (100_000, 5):  # what is broadcast doesn't show
+        found = {r.doc_id: r for r in language.identify(docs, language.fit(docs, most)).collect()}
+        assert len(found) == len(rows)
+        for i, text, _ in rows:
+            lang, p = wanted(text)
+            assert found[i].lang_pred == lang and abs(found[i].score - p) < 1e-6
+
+
 def test_language_backs_off_to_shorter_grams():
     grams = [(np.zeros(0, np.uint64), np.zeros((0, 2)))] * 5
     h = lambda s: language.T.span_hashes(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]), salt=len(s))
