@@ -16,6 +16,8 @@ from loamdex.llm import text as T
 
 #: (texts) -> (index of the text, bucket), distinct pairs in order of the text
 Features = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: (texts) -> (index of the text, a copy of it in which one group's name is swapped)
+Swapped = Callable[[list[bytes]], Iterator[tuple[int, bytes]]]
 
 
 @dataclass(frozen=True)
@@ -56,31 +58,46 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], of: Settings) -> Model:
+@dataclass(frozen=True)
+class Examples:
+    """Sampled rows: buckets and label of each, and for each of its swapped copies (row, buckets it loses, buckets it gains)."""
+
+    rows: list[np.ndarray]
+    labels: np.ndarray
+    swaps: list[tuple[int, np.ndarray, np.ndarray]]
+
+
+def _logistic(x: float) -> float:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
+
+
+def fit(examples: Examples, of: Settings) -> Model:
     """FTRL-proximal over the examples in a fixed shuffled order.
 
-    ``pairs`` holds buckets that a swap adds and takes away; after each example one of them costs
-    ``pair_weight`` times the squared change of the score that the swap makes.
+    After an example's own step each of its swapped copies costs ``pair_weight`` times the squared difference
+    of the two scores; an example without swapped copies costs nothing more.
     """
-    if not examples:
+    if not examples.rows:
         return Model(of.bits, 0.0, np.zeros(0, np.int64), np.zeros(0))
     # Buckets are numbered by a map of all 2**bits, so that besides the examples one flat array of 32-bit numbers is all that is made.
     seen = np.zeros(1 << of.bits, bool)
-    for x in (*examples, *(x for p in pairs for x in p)):
+    for x in (*examples.rows, *(gained for _, _, gained in examples.swaps)):
         seen[x] = True
     names = np.flatnonzero(seen).astype(np.int32)
     number = np.cumsum(seen, dtype=np.int32) - np.int32(1)
-    ends = np.cumsum([len(x) + 1 for x in examples])
+    ends = np.cumsum([len(x) + 1 for x in examples.rows])
     flat = np.full(ends[-1], len(names), np.int32)  # each row ends with the bias
-    rows = [flat[end - len(x) - 1 : end] for x, end in zip(examples, ends)]
-    for row, x in zip(rows, examples):
+    rows = [flat[end - len(x) - 1 : end] for x, end in zip(examples.rows, ends)]
+    for row, x in zip(rows, examples.rows):
         row[:-1] = number[x]
-    swaps = [tuple(number[x] for x in p) for p in pairs]
+    swaps: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for i, lost, gained in examples.swaps:
+        swaps.setdefault(i, []).append((number[lost], number[gained]))
     z, n, w = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     l1 = np.full(len(names) + 1, of.l1)
     l1[-1] = of.bias_l1  # the last weight is the bias
 
-    def step(at: np.ndarray, g: float) -> None:
+    def step(at: np.ndarray, g: float | np.ndarray) -> None:
         root = np.sqrt(n[at])
         n[at] += g * g
         after = np.sqrt(n[at])
@@ -88,20 +105,25 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
         short = np.abs(z[at]) <= l1[at]
         w[at] = np.where(short, 0.0, -(z[at] - np.sign(z[at]) * l1[at]) / ((of.beta + after) / of.alpha + of.l2))
 
-    order, k = np.random.default_rng(7), 0
+    def even_out(row: np.ndarray, lost: np.ndarray, gained: np.ndarray) -> None:
+        logit = w[row].sum()
+        p, q = _logistic(logit), _logistic(logit - w[lost].sum() + w[gained].sum())
+        if p == q:
+            return
+        own, other = p * (1 - p), q * (1 - q)  # slopes of the two scores
+        g = np.full(len(row), own - other)
+        g[np.isin(row, lost)] = own
+        step(np.concatenate([row, gained]), 2 * of.pair_weight * (p - q) * np.concatenate([g, np.full(len(gained), -other)]))
+
+    order = np.random.default_rng(7)
     for _ in range(of.epochs):
         for i in order.permutation(len(rows)):
             few = order.choice(rows[i], order.integers(of.part + 1)) if of.part else rows[i]
             for at in (rows[i], np.union1d(few, rows[i][-1:])) if of.part else (rows[i],):
-                p = 1.0 / (1.0 + np.exp(-np.clip(w[at].sum(), -500, 500)))
-                step(at, (p - 1.0) * of.ones if labels[i] else p)
-            if swaps:
-                more, less = swaps[k % len(swaps)]
-                k += 1
-                change = w[more].sum() - w[less].sum()
-                if change:
-                    step(more, 2 * of.pair_weight * change)
-                    step(less, -2 * of.pair_weight * change)
+                p = _logistic(w[at].sum())
+                step(at, (p - 1.0) * of.ones if examples.labels[i] else p)
+            for lost, gained in swaps.get(i, ()) if of.pair_weight else ():
+                even_out(rows[i], lost, gained)
     keep = np.flatnonzero(w[:-1])
     return Model(of.bits, float(w[-1]), names[keep].astype(np.int64), w[keep])
 
@@ -122,26 +144,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
-def examples_of(sample: DataFrame, features: Features) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and label of each sampled row, made in tasks, in a fixed order; the buckets share one Arrow buffer."""
+def examples_of(sample: DataFrame, features: Features, swapped: Swapped | None = None) -> Examples:
+    """Buckets, label and swapped copies of each sampled row, made in tasks, in a fixed order; the buckets share one Arrow buffer.
+
+    A doc_id with several texts or labels gives one example, the first by the buckets' checksum, then label, so
+    that repeated rows don't outgrow the sample's bound.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
             doc, bucket = features(texts)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            rows = [bucket[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            packed = [x.astype("<i4").tobytes() for x in rows]
+            lost: list[list[bytes]] = [[] for _ in texts]
+            gained: list[list[bytes]] = [[] for _ in texts]
+            for i, copy in swapped(texts) if swapped else ():
+                other = features([copy])[1]
+                lost[i].append(np.setdiff1d(rows[i], other).astype("<i4").tobytes())
+                gained[i].append(np.setdiff1d(other, rows[i]).astype("<i4").tobytes())
             tie = pa.array([zlib.crc32(x) for x in packed], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), tie, pa.array(packed, pa.binary())], ["doc_id", "y", "tie", "x"])
+            columns = [part.column("doc_id"), part.column("y"), tie, pa.array(packed, pa.binary()), pa.array(lost, pa.list_(pa.binary())), pa.array(gained, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "tie", "x", "lost", "gained"])
 
     kind = dict(sample.dtypes)["doc_id"]
-    rows = sample.mapInArrow(run, f"doc_id {kind}, y int, tie long, x binary").toArrow()  # no more than the bounded sample
-    order = pc.sort_indices(rows.select(["doc_id", "y", "tie"]), [(c, "ascending") for c in ("doc_id", "y", "tie")]).to_numpy()
-    x = [np.frombuffer(v.as_buffer(), "<i4") if v.is_valid else np.zeros(0, "<i4") for chunk in rows.column("x").chunks for v in chunk]
-    return [x[i] for i in order], rows.column("y").to_numpy()[order].astype(np.int64)
+    made = sample.mapInArrow(run, f"doc_id {kind}, y int, tie long, x binary, lost array<binary>, gained array<binary>")
+    made = made.groupBy("doc_id").agg(F.min_by(F.struct("y", "tie", "x", "lost", "gained"), F.struct("tie", "y")).alias("r")).select("doc_id", "r.*")
+    rows = made.toArrow()  # no more than the bounded sample
+    order = pc.sort_indices(rows.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()
+    unpacked = lambda v: np.frombuffer(v.as_buffer(), "<i4") if v.is_valid else np.zeros(0, "<i4")
+    x = [unpacked(v) for chunk in rows.column("x").chunks for v in chunk]
+    place = np.argsort(order)
+    swaps = []
+    pairs = zip((v for c in rows.column("lost").chunks for v in c), (v for c in rows.column("gained").chunks for v in c))
+    for i, (lost, gained) in enumerate(pairs):
+        swaps += [(int(place[i]), unpacked(a), unpacked(b)) for a, b in zip(lost.values, gained.values)]
+    return Examples([x[i] for i in order], rows.column("y").to_numpy()[order].astype(np.int64), sorted(swaps, key=lambda s: s[0]))
 
 
 def score(docs: DataFrame, model: Model, features: Features, keep: str) -> DataFrame:
-    """(``keep``, score) of each document's whole text."""
+    """(``keep``, score) of each row's whole text, whatever other columns it has; a null text is an empty one, which has the bias alone.
+
+    Rows that repeat or have a null ``keep`` give one row each, and an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # no more weights than buckets of the bounded sample
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,8 +41,7 @@ def features(bits: int):
 def fit(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS) -> linear.Model:
     """Learn ``labels.quality`` from at most ``settings.sample`` rows that aren't held out."""
     sample = linear.labelled_sample(docs, labels, "quality", PARTS, PART, settings.sample)
-    x, y = linear.examples_of(sample, features(settings.bits))
-    return linear.fit(x, y, [], settings)
+    return linear.fit(linear.examples_of(sample, features(settings.bits)), settings)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS) -> DataFrame:
@@ -62,7 +61,11 @@ def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SET
 
 
 def keep(docs: DataFrame, model: linear.Model, settings: linear.Settings = SETTINGS) -> DataFrame:
-    """``docs`` with all their columns and without the texts that the model rejects, in one pass over the text."""
+    """``docs`` with all their columns and without the texts that the model rejects, in one pass over the text.
+
+    A null or empty text has the model's prior for its score. Repeated rows are kept or go together, whatever
+    their ids and other columns are, and an empty table stays empty.
+    """
     make = features(settings.bits)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # no more weights than buckets of the bounded sample
 

@@ -1,15 +1,15 @@
 """Toxicity classifier with counterfactual regularisation.
 
 Labelled sentences that name a group are copied with the name swapped for another of its kind, and training
-penalises any change of score that the swap makes, so that neutral mentions of a group don't raise the score.
+penalises the squared difference between the scores of a sentence and of its copies, so that neutral mentions of
+a group don't raise the score. A sentence that names no group has no copies, and nothing of it is penalised.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,9 @@ PARTS, PART = 3, 1
 TOXIC_AT = 0.7
 SETTINGS = linear.Settings(sample=20_000, l1=1.0, pair_weight=5.0, part=0, ones=3.0)
 
+Groups = tuple[tuple[str, ...], ...]
 #: Names of groups by kind; a swap puts the next name of the same kind in place of one.
-IDENTITY = (
+IDENTITY: Groups = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
@@ -33,8 +34,6 @@ IDENTITY = (
     ("femmes", "hommes"), ("femme", "homme"), ("chrétiens", "musulmans", "juifs"), ("étrangers", "réfugiés", "français"),
     ("mujeres", "hombres"), ("mujer", "hombre"), ("cristianos", "musulmanes", "judíos"), ("extranjeros", "refugiados", "españoles"),
 )
-SWAPS = tuple((a, kind[(i + 1) % len(kind)]) for kind in IDENTITY for i, a in enumerate(kind))
-
 
 def features(bits: int):
     """Distinct buckets of words and marks, and of their beginnings and inner strings of four bytes."""
@@ -65,51 +64,53 @@ def features(bits: int):
     return of
 
 
-def swaps_in(sample: DataFrame) -> list[int]:
-    """Indexes of the swaps for which a sampled sentence names the group, one for each row that does, in order."""
-    names = [a for a, _ in SWAPS]
+def swaps(groups: Groups = IDENTITY) -> dict[bytes, bytes]:
+    """By group name the name that takes its place: the next one of its kind."""
+    return {a.lower().encode(): kind[(i + 1) % len(kind)].lower().encode() for kind in groups for i, a in enumerate(kind) if len(kind) > 1}
+
+
+def swapped(groups: Groups = IDENTITY) -> linear.Swapped:
+    """Copies of texts, one for each name that a text holds as a word, with every mention of that name swapped."""
+    other = swaps(groups)
+    names = sorted(other)
+
+    def of(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        if not names:
+            return
+        low = T.lowered(texts)
+        spans = T.Spans(low, T.WORDS)
+        wanted = T.Spans(names, T.WORDS).hashes()
+        maybe = np.flatnonzero(np.isin(spans.hashes(), wanted))
+        base = np.cumsum([0, *(len(x) + 1 for x in low)])
+        found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for i in maybe.tolist():
+            d = int(spans.doc[i])
+            a, b = int(spans.start[i] - base[d]), int(spans.end[i] - base[d])
+            if low[d][a:b] in other:
+                found.setdefault((d, low[d][a:b]), []).append((a, b))
+        for (d, name), places in sorted(found.items()):
+            edges = [0, *(x for p in places for x in p), len(low[d])]
+            yield d, other[name].join(low[d][a:b] for a, b in zip(edges[::2], edges[1::2]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in T.steps(batches):
-            spans = T.Spans(T.lowered(texts), T.WORDS)
-            word, wanted = spans.hashes(), _word_hashes(names)
-            place = np.argsort(wanted)
-            at = np.minimum(np.searchsorted(wanted[place], word), len(wanted) - 1)
-            hit = wanted[place][at] == word
-            _, swap, _ = T.distinct(spans.doc[hit], place[at][hit])
-            yield pa.RecordBatch.from_arrays([pa.array(swap, pa.int64())], ["swap"])
+    return of
 
-    counted = sample.mapInArrow(run, "swap long").groupBy("swap").count().orderBy("swap").collect()  # a row a swap
-    return [r.swap for r in counted for _ in range(r["count"])]
 
+def fit(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS, groups: Groups = IDENTITY) -> linear.Model:
+    """Learn ``labels.toxic`` from at most ``settings.sample`` rows that aren't held out, and from their swapped copies.
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    spans = T.Spans([w.encode() for w in words], T.WORDS)
-    return spans.hashes()
+    ``groups`` are names by kind, each a single word; a corpus with names of its own passes them.
+    """
+    sample = linear.labelled_sample(docs, labels, "toxic", PARTS, PART, settings.sample)
+    return linear.fit(linear.examples_of(sample, features(settings.bits), swapped(groups)), settings)
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS) -> linear.Model:
-    """Learn ``labels.toxic`` from at most ``settings.sample`` rows that aren't held out, with their swapped sentences."""
-    sample = linear.labelled_sample(docs, labels, "toxic", PARTS, PART, settings.sample)
-    make = features(settings.bits)
-    x, y = linear.examples_of(sample, make)
-    found = swaps_in(sample)
-    # A neutral mention changes under a swap by what its name contributes, so each kind's names are compared
-    # once even where no sampled sentence holds them.
-    pairs = []
-    for i in [*range(len(SWAPS)), *found]:
-        doc, bucket = make([w.encode() for w in SWAPS[i]])
-        pairs.append((bucket[doc == 1], bucket[doc == 0]))
-    return linear.fit(x, y, pairs, settings)
-
-
-def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS, groups: Groups = IDENTITY) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``, whatever other columns it has.
 
     A null text counts as empty; an empty text gets the model's prior. Repeated rows and repeated or
     null ids give one row each (a null id counts as held out). Without usable labels every score is 0.5.
     """
-    model = fit(docs, labels, settings)
+    model = fit(docs, labels, settings, groups)
     scored = linear.score(docs.select("doc_id", "text"), model, features(settings.bits), "doc_id")
     return scored.select(
         "doc_id",

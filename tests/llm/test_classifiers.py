@@ -1,5 +1,6 @@
 import tracemalloc
 import zlib
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,41 +50,118 @@ def test_held_out_labels_are_never_learnt(spark, make_docs):
         assert sorted(module.classify(docs, labels).collect()) == sorted(module.classify(docs, flipped).collect())
 
 
-def test_swaps_keep_neutral_mentions_apart_from_toxicity():
-    make = toxicity.features(18)
-    rng = np.random.default_rng(2)
+def examples(module_features, texts, y, swapped=None):
+    """Examples in the order of the texts, without Spark."""
+    rows = [module_features([t])[1] for t in texts]
+    swaps = []
+    for i, copy in swapped(texts) if swapped else ():
+        other = module_features([copy])[1]
+        swaps.append((i, np.setdiff1d(rows[i], other), np.setdiff1d(other, rows[i])))
+    return linear.Examples(rows, np.array(y), swaps)
+
+
+def plain_ftrl(data, of):
+    """The updates by the book, one weight at a time, over dictionaries."""
+    z, n, w = {}, {}, {}
+    logit = lambda x: sum(w.get(b, 0.0) for b in x)
+    p_of = lambda x: 1 / (1 + np.exp(-logit(x)))
+
+    def update(gradient):
+        for b, g in gradient.items():
+            sigma = (np.sqrt(n.get(b, 0.0) + g * g) - np.sqrt(n.get(b, 0.0))) / of.alpha
+            z[b] = z.get(b, 0.0) + g - sigma * w.get(b, 0.0)
+            n[b] = n.get(b, 0.0) + g * g
+            l1 = of.bias_l1 if b == "bias" else of.l1
+            w[b] = 0.0 if abs(z[b]) <= l1 else -(z[b] - np.sign(z[b]) * l1) / ((of.beta + np.sqrt(n[b])) / of.alpha + of.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(of.epochs):
+        for i in order.permutation(len(data.rows)):
+            own = [*data.rows[i].tolist(), "bias"]
+            p = p_of(own)
+            update({b: (p - 1) * of.ones if data.labels[i] else p for b in own})
+            for j, lost, gained in data.swaps:
+                if j != i:
+                    continue
+                copy = [b for b in own if b not in lost.tolist()] + gained.tolist()
+                p, q = p_of(own), p_of(copy)
+                # the derivative of (p - q) ** 2 by every weight
+                update({b: 2 * of.pair_weight * (p - q) * (p * (1 - p) * (b in own) - q * (1 - q) * (b in copy)) for b in {*own, *copy}})
+    return w
+
+
+def named_texts(rng, n=60):
+    """One group's name goes with the label here, and so does a word; the other group is named without it."""
     texts, y = [], []
-    for i in range(300):
-        toxic = i % 3 == 0
+    for i in range(n):
         words = [f"w{k}" for k in rng.integers(0, 30, 8)]
-        if toxic:
-            words[2] = "muslims"  # the name goes with the label in this sample
-            words[5] = "vermin" if i % 2 else words[5]
+        if i % 3 == 0:
+            words[2], words[5] = "muslims", "vermin" if i % 2 else words[5]
+        elif i % 3 == 1:
+            words[3] = "jews"
         texts.append(" ".join(words).encode())
-        y.append(int(toxic))
-    doc, bucket = make(texts)
-    x = [bucket[doc == i] for i in range(len(texts))]
-    pairs = []
-    for swap in toxicity.SWAPS:
-        d, b = make([w.encode() for w in swap])
-        pairs.append((b[d == 1], b[d == 0]))
+        y.append(int(i % 3 == 0))
+    return texts, y
+
+
+def test_fit_takes_the_updates_of_plain_ftrl():
+    texts, y = named_texts(np.random.default_rng(4))
+    for module, swapped in ((toxicity, toxicity.swapped()), (quality, None)):
+        make = module.features(18)
+        data = examples(make, texts, y, swapped)
+        assert bool(data.swaps) == (module is toxicity)
+        of = linear.Settings(bits=18, l1=0.2, part=0, pair_weight=5.0, ones=2.0, epochs=2)
+        model, want = linear.fit(data, of), plain_ftrl(data, of)
+        got = dict(zip(model.buckets.tolist(), model.weights.tolist())) | {"bias": model.bias}
+        assert got.keys() >= {b for b, x in want.items() if x} - {"bias"} and all(abs(got[b] - want[b]) < 1e-9 for b in got)
+        # scores are sparse dot products
+        doc, bucket = make([*texts, b""])
+        found = model.scores(doc, bucket, len(texts) + 1)
+        for i, t in enumerate([*texts, b""]):
+            logit = want["bias"] + sum(want.get(int(b), 0.0) for b in make([t])[1])
+            assert abs(found[i] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_swapped_copies_are_of_the_sentence():
+    got = list(toxicity.swapped((("jews", "hindus"), ("girl", "boy"), ("lone",)))(["Jews, jews-and a girl; jewsx lone".encode(), b"", b"nothing"]))
+    assert got == [(0, b"jews, jews-and a boy; jewsx lone"), (0, b"hindus, hindus-and a girl; jewsx lone")]
+
+
+def test_swaps_keep_neutral_mentions_apart_from_toxicity():
+    make = toxicity.features(18)
+    texts, y = named_texts(np.random.default_rng(2), 300)
+    data = examples(make, texts, y, toxicity.swapped())
     score = lambda m, t: m.scores(*make([t]), 1)[0]
-    of = linear.Settings(bits=18, l1=0.2, part=0, pair_weight=5.0)
-    plain, fair = linear.fit(x, np.array(y), [], of), linear.fit(x, np.array(y), pairs * 3, of)
+    of = linear.Settings(bits=18, l1=0.2, part=0)
+    plain, fair = (linear.fit(data, replace(of, pair_weight=k)) for k in (0.0, 5.0))
     gap = lambda m: abs(score(m, b"w1 w2 muslims") - score(m, b"w1 w2 jews"))
     assert gap(fair) < gap(plain) / 2
+    assert score(fair, b"w1 w2 muslims") < score(plain, b"w1 w2 muslims") - 0.1
+
+
+def test_a_corpus_without_names_scores_alike_with_and_without_the_penalty(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    found = [sorted(toxicity.classify(docs, labels, replace(toxicity.SETTINGS, pair_weight=k)).collect()) for k in (0.0, 5.0)]
+    assert found[0] == found[1]
+
+
+def test_repeated_ids_dont_outgrow_the_sample(spark, make_docs):
+    docs = make_docs(*[(7, f"text {i}") for i in range(50)], (9, "other"), (9, "other"))
+    labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (9, 1, 1)], LABELS)
+    made = linear.examples_of(linear.labelled_sample(docs, labels, "quality", 1, 5, 10), quality.features(18))
+    assert len(made.rows) == 2
 
 
 def test_fit_learns_from_the_stated_rows_within_little_memory():
     assert quality.SETTINGS.sample >= 16_384 and toxicity.SETTINGS.sample >= 20_000
     rng = np.random.default_rng(3)
-    examples = [np.unique(rng.integers(0, 1 << 18, 8000)).astype(np.int32) for _ in range(600)]
-    held = sum(x.nbytes for x in examples)
+    rows = [np.unique(rng.integers(0, 1 << 18, 8000)).astype(np.int32) for _ in range(600)]
+    held_bytes = sum(x.nbytes for x in rows)
     tracemalloc.start()
-    linear.fit(examples, rng.integers(0, 2, 600), [], linear.Settings(bits=18, epochs=0))
+    linear.fit(linear.Examples(rows, rng.integers(0, 2, 600), []), linear.Settings(bits=18, epochs=0))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < held + (1 << 18) * 4 * 13  # one copy of the examples, and weights by bucket
+    assert peak < held_bytes + (1 << 18) * 4 * 13  # one copy of the examples, and weights by bucket
 
 
 def test_classifier_edge_rows(spark, make_docs):
