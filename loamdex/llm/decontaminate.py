@@ -11,16 +11,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamdex.llm import text as T
+from loamdex.session import cut
 
 WINDOW = 13
 #: A document is contaminated when hit words are at least one in so many.
 COVERAGE = 20
-#: Words of items in one automaton; a larger benchmark is cut into several, each broadcast on its own.
-AUTOMATON_WORDS = 400_000
+#: Words of items in one automaton, and automata that are broadcast at a time; a larger benchmark takes more passes over the texts.
+AUTOMATON_WORDS, AUTOMATA = 400_000, 4
 
 #: What is no word: ASCII but for digits and letters; A-Z are lower-cased.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -117,17 +120,25 @@ class Matcher:
         self.automaton = Automaton(coded, window)
         n = len(names)
         self.pairs = np.unique(np.array([a * n + b for _, w in coded for a, b in zip(w, w[1:])], np.int64))
-        hashes = T.Spans(names, T.WORDS).hashes() if names else np.zeros(0, np.uint64)
+        self.words = T.Spans(names, T.WORDS) if names else None
+        hashes = self.words.hashes() if names else np.zeros(0, np.uint64)
         self.place = np.argsort(hashes)
         self.hashes = hashes[self.place]
 
     def coded(self, spans: T.Spans) -> np.ndarray:
-        """Each word's number among the items' words, -1 for others."""
-        if not len(self.hashes):
-            return np.full(len(spans.doc), -1)
+        """Each word's number among the items' words, -1 for others. Hashes find a word, and its bytes decide."""
+        out = np.full(len(spans.doc), -1)
+        if not len(self.hashes) or not len(out):
+            return out
         h = spans.hashes()
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.place[at], -1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        known = self.place[at[hit]]
+        same = T.equal_spans(spans.buf, spans.start[hit], spans.end[hit], self.words.buf, self.words.start[known], self.words.end[known])
+        out[hit[same]] = known[same]
+        for i in hit[~same].tolist():  # two words of one hash
+            out[i] = self.ids.get(spans.buf[spans.start[i] : spans.end[i]].tobytes(), -1)
+        return out
 
     def hits(self, spans: T.Spans) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, word after the last, items) of item windows in the words of all texts, none across texts.
@@ -153,8 +164,8 @@ class Matcher:
                 yield a + end - size, a + end, names
 
 
-def matchers(benchmark: DataFrame, window: int) -> list[Matcher]:
-    """Automata of all items with words. The benchmark is a fixed set of test items, read once to the driver in order."""
+def matchers(benchmark: DataFrame, window: int) -> Iterator[list[Matcher]]:
+    """Automata of all items with words, so many at a time as are broadcast together; the items come to the driver one after another."""
     items, size, out = [], 0, []
     for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
         words = words_of((r.text or "").encode())
@@ -163,9 +174,59 @@ def matchers(benchmark: DataFrame, window: int) -> list[Matcher]:
         if items and size + len(words) > AUTOMATON_WORDS:
             out.append(Matcher(items, window))
             items, size = [], 0
+            if len(out) == AUTOMATA:
+                yield out
+                out = []
         items.append((r.item_id, words))
         size += len(words)
-    return [*out, Matcher(items, window)] if items else out
+    yield [*out, Matcher(items, window)] if items else out
+
+
+_HITS = "array<struct<a: int, b: int, item: string>>"
+
+
+def _hits(part: pa.RecordBatch, spans: T.Spans, own: list[Matcher], held: str | None) -> tuple[list[int], list[int], list[set[str]]]:
+    """(first words, words after the last, items by text) of all windows found, those of earlier passes included."""
+    start, end, items = [], [], [set() for _ in range(spans.texts)]
+    if held:
+        first = np.searchsorted(spans.doc, np.arange(spans.texts))
+        for d, listed in enumerate(part.column(held).to_pylist()):
+            for x in listed or ():
+                start.append(int(first[d]) + x["a"]), end.append(int(first[d]) + x["b"])
+                items[d].add(x["item"])
+    for m in own:
+        for a, b, names in m.hits(spans):
+            start.append(a), end.append(b)
+            items[spans.doc[a]] |= names
+    return start, end, items
+
+
+def _earlier_passes(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Broadcast, str | None]:
+    """``docs``, the automata of the last pass, and the column that holds the hits of the passes before it, if there are any."""
+    held, name = None, next(n for n in (f"hits{'_' * i}" for i in range(len(docs.columns) + 1)) if n.lower() not in {c.lower() for c in docs.columns})
+    groups = matchers(benchmark, window)
+    shared = docs.sparkSession.sparkContext.broadcast(next(groups))
+    for more in groups:
+        before, schema = held, f"{name} {_HITS}"
+
+        def run(batches: Iterable[pa.RecordBatch], own=shared, before=before) -> Iterator[pa.RecordBatch]:
+            for part, texts in T.steps(batches):
+                spans = T.Spans([x.translate(_FOLD) for x in texts], T.WORDS)
+                first = np.searchsorted(spans.doc, np.arange(spans.texts))
+                rows = [list(x or ()) for x in part.column(before).to_pylist()] if before else [[] for _ in texts]
+                for m in own.value:
+                    for a, b, names in m.hits(spans):
+                        d = spans.doc[a]
+                        rows[d] += [{"a": int(a - first[d]), "b": int(b - first[d]), "item": x} for x in sorted(names)]
+                column = pa.array(rows, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("item", pa.string())])))
+                kept = [c for c in part.schema.names if c != before]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), column], [*kept, name])
+
+        fields = [f for f in docs.schema.fields if f.name != before]
+        docs = cut(docs.mapInArrow(run, StructType([*fields, *StructType.fromDDL(schema).fields])), "decontamination-pass")
+        shared.unpersist()
+        shared, held = docs.sparkSession.sparkContext.broadcast(more), name
+    return docs, shared, held
 
 
 def _covered(start: list[int], end: list[int], words: int) -> np.ndarray:
@@ -185,25 +246,22 @@ def inspect(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     repeated items count once. A text is contaminated with any hit word where hit words are at least one in
     ``coverage``.
     """
-    broadcast = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers(benchmark, window)]
+    kind = dict(docs.dtypes)["doc_id"]
+    docs, shared, held = _earlier_passes(docs.select("doc_id", "text"), benchmark, window)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
             spans = T.Spans([x.translate(_FOLD) for x in texts], T.WORDS)
             total = np.bincount(spans.doc, minlength=len(texts))
-            start, end, items = [], [], [set() for _ in texts]
-            for m in broadcast:
-                for a, b, names in m.value.hits(spans):
-                    start.append(a), end.append(b)
-                    items[spans.doc[a]] |= names
+            start, end, items = _hits(part, spans, shared.value, held)
             hit = _covered(start, end, len(spans.doc))
             n_hit = np.bincount(spans.doc[hit], minlength=len(texts))
             base = np.cumsum([0, *(len(x) + 1 for x in texts[:-1]), 0])[: len(texts)]
             runs: list[list[dict]] = [[] for _ in texts]
             at = np.flatnonzero(hit)
             if len(at):
-                cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(spans.doc[at]) > 0)) + 1
-                for g in np.split(at, cut):
+                edges = np.flatnonzero((np.diff(at) > 1) | (np.diff(spans.doc[at]) > 0)) + 1
+                for g in np.split(at, edges):
                     d = spans.doc[g[0]]
                     runs[d].append({"start": int(spans.start[g[0]] - base[d]), "end": int(spans.end[g[-1]] - base[d])})
             names = [sorted(x) for x in items]
@@ -221,32 +279,33 @@ def inspect(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: long, end: long>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, cut_spans: bool = False) -> DataFrame:
     """``docs`` without contaminated texts, with all their columns and in the same pass over the text.
 
-    With ``cut_spans`` the hit spans of the other texts are taken out too; without, they stay as they are.
+    With ``cut_spans`` the hit spans of the other texts are taken out too; without, they stay as they are. Null
+    and empty texts stay, repeated rows stay or go together, and an empty table or benchmark changes nothing.
     """
-    broadcast = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers(benchmark, window)]
-    names = docs.columns
+    names, wanted = docs.columns, docs.schema
+    docs, shared, held = _earlier_passes(docs, benchmark, window)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
             spans = T.Spans([x.translate(_FOLD) for x in texts], T.WORDS)
             total = np.bincount(spans.doc, minlength=len(texts))
-            found = [(a, b) for m in broadcast for a, b, _ in m.value.hits(spans)]
-            hit = _covered([a for a, _ in found], [b for _, b in found], len(spans.doc))
+            start, end, _ = _hits(part, spans, shared.value, held)
+            hit = _covered(start, end, len(spans.doc))
+            part = part.select(names)
             n_hit = np.bincount(spans.doc[hit], minlength=len(texts))
             keep = (n_hit == 0) | (coverage * n_hit < total)
             if cut_spans and (keep & (n_hit > 0)).any():
                 part = _cut(part, texts, spans, hit, names)
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, wanted)
 
 
 def _cut(part: pa.RecordBatch, texts: list[bytes], spans: T.Spans, hit: np.ndarray, names: list[str]) -> pa.RecordBatch:

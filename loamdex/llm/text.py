@@ -101,12 +101,29 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of ``buf[start:end]``, equal for equal bytes wherever they lie."""
+    """64-bit hashes of ``buf[start:end]``, equal for equal bytes wherever they lie.
+
+    They tell spans apart by chance alone, and some made-up strings of 1,024 bytes and more not at all, so where
+    equality decides a result bytes are compared too.
+    """
     sums = prefix_sums(buf) if sums is None else sums
     inverse = _power(len(buf) + 1, pow(_BASE, -1, 2**64), "down")
     return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) + np.uint64(salt))
 
 
+def equal_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each ``buf[start:end]`` holds the same bytes as its ``other[other_start:other_end]``."""
+    out = end - start == other_end - other_start
+    at = np.flatnonzero(out & (end > start))
+    if len(at):
+        n = end[at] - start[at]
+        first = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(first, n)
+        same = buf[np.repeat(start[at], n) + inside] == other[np.repeat(other_start[at], n) + inside]
+        out[at] = np.logical_and.reduceat(same, first)
+    return out
+
+
 def grams_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all n-byte strings inside the given spans: (index of the span, place in buf)."""
     counts = np.maximum(end - start - n + 1, 0)

@@ -47,6 +47,42 @@ def test_short_overlapping_and_shared_items(spark, make_docs):
     assert table(D.inspect(make_docs(*rows), bench)) == brute(rows, items)
 
 
+def test_bytes_decide_where_hashes_collide(spark, make_docs):
+    ab = "a"
+    while len(ab) < 2048:
+        ab += ab.translate(str.maketrans("ab", "ba"))
+    ba = ab.translate(str.maketrans("ab", "ba"))
+    spans = D.T.Spans([ab.encode(), ba.encode()], D.T.WORDS)
+    assert len(set(spans.hashes().tolist())) == 1  # the hash can't tell them apart
+    rows = [(1, f"x {ab} y"), (2, f"x {ba} y"), (3, f"{ba} {ab}")]
+    for items in ([("1", ab)], [("1", ab), ("2", ba)], [("1", f"{ba} {ab}")]):
+        assert table(D.inspect(make_docs(*rows), spark.createDataFrame(items, "item_id string, text string"))) == brute(rows, items)
+
+
+def test_a_large_benchmark_takes_several_passes(spark, data, monkeypatch):
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    want, kept = table(D.inspect(docs, items)), sorted(r.doc_id for r in D.clean(docs, items).collect())
+    cut = {r.doc_id: r.text for r in D.clean(docs, items, cut_spans=True).collect()}
+    words = sum(len(fold(r.text)) for r in items.collect())
+    monkeypatch.setattr(D, "AUTOMATON_WORDS", words // 5)
+    monkeypatch.setattr(D, "AUTOMATA", 2)
+    assert len(list(D.matchers(items, 13))) > 1
+    assert table(D.inspect(docs, items)) == want
+    docs = docs.withColumn("hits", F.lit("clash"))
+    assert D.clean(docs, items).columns == docs.columns and sorted(r.doc_id for r in D.clean(docs, items).collect()) == kept
+    assert {r.doc_id: r.text for r in D.clean(docs, items, cut_spans=True).collect()} == cut
+
+
+def test_long_and_repeated_rows(spark, make_docs):
+    item = " ".join(f"w{i}" for i in range(13))
+    long = "filler " * 200_000 + item
+    docs = make_docs((1, long), (2, f"{item} {item}"), (2, f"{item} {item}"), (None, item), (None, item), (3, "")).withColumn("n_hit", F.lit("clash"))
+    bench = spark.createDataFrame([("i", item), ("i", item), ("j", None)], "item_id string, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in D.inspect(docs, bench).collect())
+    assert got == [(0, 13, 13, True), (0, 13, 13, True), (1, 200_013, 13, False), (2, 26, 26, True), (2, 26, 26, True), (3, 0, 0, False)]
+    assert sorted(r.doc_id for r in D.clean(docs, bench).collect()) == [1, 3]
+
+
 def test_clean_drops_only_contaminated_texts(spark, make_docs):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(13)))], "item_id long, text string")
     item = " ".join(f"w{i}" for i in range(13))
