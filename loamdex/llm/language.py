@@ -8,40 +8,42 @@ every count serves: the most frequent words are broadcast, and the others meet t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm import linear
 from loamdex.llm import text as T
+from loamdex.llm.joins import spread_join
 from loamdex.session import cut
 
 #: Of four parts by crc32 of doc_id, the part that is held out.
 PARTS, PART = 4, 2
-#: Lengths of the n-grams in bytes, the longest first.
+#: Lengths of the n-grams in characters, the longest first; an unseen word asks for a group of lengths at a time.
 GRAMS = (5, 4, 3, 2, 1)
+ASKED = ((5, 4), (3, 2, 1))
 #: Words that are broadcast, the most frequent ones; this bounds memory and changes no result.
-WORDS = 100_000
-#: N-grams up to this length are broadcast whole: bytes bound their number.
-SHORT = 2
-#: Scores of words outside the broadcast table are summed as whole multiples of this, so that no order of summing shows.
+WORDS = 300_000
+#: Log frequencies are summed as whole multiples of this, so that no order of summing shows.
 UNIT = 2.0**-30
+#: What is added to each count.
+SMOOTH = 0.1
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Per level (words first, then each n-gram length): sorted hashes and log probabilities by language.
+    """All words (word, logs) and n-grams (size, gram, logs) that were learnt, with log probabilities by language.
 
-    ``words`` (word, logs) and ``grams`` (size, gram, logs) are all of what was learnt; without them the levels are.
+    ``hashes`` and ``logs`` hold the most frequent of the words, ``floor`` the languages' own log frequencies.
     """
 
     langs: list[str]
-    hashes: list[np.ndarray]
-    logs: list[np.ndarray]
+    hashes: np.ndarray
+    logs: np.ndarray
     floor: np.ndarray
     words: DataFrame | None = None
     grams: DataFrame | None = None
@@ -52,6 +54,11 @@ def _letters(texts: list[bytes]) -> list[bytes]:
     return [x.translate(None, b"0123456789") for x in T.lowered(texts)]
 
 
+def _strings(spans: T.Spans, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    raw = spans.buf.tobytes()
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e)], pa.string())
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n), summed within each step of a task before it is shuffled."""
 
@@ -62,39 +69,36 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             lang = langs.indices.to_numpy(zero_copy_only=False)[spans.doc]
             word = spans.hashes()
             names, first = np.unique(word, return_index=True)
-            at = np.searchsorted(names, word)
-            k, i, n = T.distinct(lang, at)
-            s, e = spans.start[first], spans.end[first]
-            raw = spans.buf.tobytes()
-            words = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e)], pa.string())
+            k, i, n = T.distinct(lang, np.searchsorted(names, word))
+            words = _strings(spans, spans.start[first], spans.end[first])
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(k)), words.take(pa.array(i)), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _grams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, hash) of all n-grams of ``size`` characters inside the texts' words."""
+    spans = T.Spans(texts, T.WORDS)
+    of, start, end = T.letter_grams_of(T.letters(spans.buf), spans.start, spans.end, size)
+    return spans.doc[of], T.span_hashes(spans.buf, start, end, salt=size).view(np.int64)
+
+
 def _gram_counts(words: DataFrame) -> DataFrame:
     """(size, gram, lang, n): n-grams of each distinct word, weighted by the word's count; a gram is its hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches, "word", 1 << 18):
-            spans = T.Spans(texts, T.WORDS)
             langs = part.column("lang").dictionary_encode()
-            code = langs.indices.to_numpy(zero_copy_only=False)
-            weight = part.column("n").to_numpy()
-            sums = T.prefix_sums(spans.buf)
+            code, weight = langs.indices.to_numpy(zero_copy_only=False), part.column("n").to_numpy()
             for size in GRAMS:
-                of, place = T.grams_of(spans.buf, spans.start, spans.end, size)
-                h = T.span_hashes(spans.buf, place, place + size, sums, salt=size).view(np.int64)
-                doc = spans.doc[of]
+                doc, h = _grams(texts, size)
                 order = np.lexsort((h, code[doc]))
                 k, g, w = code[doc][order], h[order], weight[doc][order]
                 if not len(k):
                     continue
                 at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), size, np.int32)), pa.array(g[at]), langs.dictionary.take(pa.array(k[at])), pa.array(np.add.reduceat(w, at))],
-                    ["size", "gram", "lang", "n"],
-                )
+                columns = [pa.array(np.full(len(at), size, np.int32)), pa.array(g[at]), langs.dictionary.take(pa.array(k[at])), pa.array(np.add.reduceat(w, at))]
+                yield pa.RecordBatch.from_arrays(columns, ["size", "gram", "lang", "n"])
 
     made = words.select("lang", "word", "n").mapInArrow(run, "size int, gram long, lang string, n long")
     return made.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
@@ -117,11 +121,13 @@ def _most_frequent(counts: DataFrame, rows: int) -> DataFrame:
     return counts.filter(F.lit(False)) if least is None else counts.filter(bucket >= least)
 
 
-def _table(hashes: np.ndarray, rows: pa.Table, langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and the log frequencies of their rows."""
-    logs = rows.column("logs").combine_chunks().flatten().to_numpy().reshape(len(hashes), langs)
-    order = np.argsort(hashes)
-    return hashes[order], logs[order]
+def _counts(langs: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs])
+
+
+def _logs(totals: list[int], rows: int) -> Column:
+    """Smoothed log frequencies by language of ``by_lang``; ``rows`` is how many words or n-grams of one length there are."""
+    return F.array(*[F.log((F.col("by_lang")[k] + SMOOTH) / (n + SMOOTH * rows)) for k, n in enumerate(totals)])
 
 
 def fit(docs: DataFrame, words: int = WORDS) -> Model:
@@ -131,55 +137,22 @@ def fit(docs: DataFrame, words: int = WORDS) -> Model:
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Model([], [], [], np.zeros(0))
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
     size = np.array([max(totals[x], 1) for x in langs], float)
-    by_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]).alias("by_lang")
-
-    def logs(rows):  # smoothed log frequencies, where ``rows`` is how many words or n-grams of the length there are
-        return F.array(*[F.log((F.col("by_lang")[k] + 0.1) / (F.lit(float(n)) + 0.1 * rows)) for k, n in enumerate(size)]).alias("logs")
-
-    by_word = cut(counted.groupBy("word").agg(by_lang, F.sum("n").alias("n")), "language-vocabulary")
-    full = by_word.select("word", "n", logs(F.lit(max(by_word.count(), 1))))
+    by_word = cut(counted.groupBy("word").agg(_counts(langs).alias("by_lang"), F.sum("n").alias("n")), "language-vocabulary")
+    full = by_word.select("word", "n", _logs([totals[x] for x in langs], by_word.count()).alias("logs"))
     top = _most_frequent(full, words).orderBy("word").toArrow()  # no more than ``words`` rows
-    known = T.Spans([w.encode() for w in top.column("word").to_pylist()], T.WORDS).hashes() if len(top) else np.zeros(0, np.uint64)
-    made = [_table(known, top, len(langs))]
-    counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(by_lang), "language-grams")
-    kinds = {r["size"]: r["count"] for r in counts.groupBy("size").count().collect()}
-    rows = F.element_at(F.create_map(*[F.lit(x) for n in GRAMS for x in (n, max(kinds.get(n, 0), 1))]), F.col("size"))
-    grams = counts.select("size", "gram", logs(rows))
-    for n in GRAMS:
-        top = grams.filter(F.col("size") == n if n <= SHORT else F.lit(False)).toArrow()  # no more than 256 ** SHORT rows
-        made.append(_table(top.column("gram").to_numpy().view(np.uint64), top, len(langs)))
-    hashes, tables = [h for h, _ in made], [x for _, x in made]
-    return Model(langs, hashes, tables, np.log(size / max(size.sum(), 1)), full.select("word", "logs"), grams.filter(F.col("size") > SHORT))
-
-
-def _look(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return at, table[at] == h
-
-
-def word_scores(model: Model, spans: T.Spans, s: np.ndarray, e: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Log score of each distinct word by language."""
-    out = np.zeros((len(names), len(model.langs)))
-    at, hit = _look(model.hashes[0], names)
-    out[hit] = model.logs[0][at[hit]]
-    rest = np.flatnonzero(~hit)
-    sums = T.prefix_sums(spans.buf)
-    for size, h, logs in zip(GRAMS, model.hashes[1:], model.logs[1:]):
-        if not len(rest):
-            break
-        of, place = T.grams_of(spans.buf, s[rest], e[rest], size)
-        at, hit = _look(h, T.span_hashes(spans.buf, place, place + size, sums, salt=size))
-        n = np.bincount(of[hit], minlength=len(rest))
-        if hit.any():
-            for k in range(len(model.langs)):
-                total = np.bincount(of[hit], logs[at[hit], k], minlength=len(rest))
-                out[rest, k] += np.where(n > 0, total / np.maximum(n, 1), 0.0)
-        rest = rest[n == 0]
-    return out
+    hashes = T.Spans([w.encode() for w in top.column("word").to_pylist()], T.WORDS).hashes() if len(top) else np.zeros(0, np.uint64)
+    logs = top.column("logs").combine_chunks().flatten().to_numpy().reshape(len(hashes), len(langs))
+    order = np.argsort(hashes)
+    counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(_counts(langs).alias("by_lang")), "language-grams")
+    sums = [F.sum(F.col("by_lang")[k]).alias(f"n{k}") for k in range(len(langs))]
+    levels = {r["size"]: r for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("rows"), *sums).collect()}
+    by_level = F.lit(None)
+    for n, r in levels.items():
+        by_level = F.when(F.col("size") == n, _logs([r[f"n{k}"] for k in range(len(langs))], r["rows"])).otherwise(by_level)
+    grams = counts.select("size", "gram", by_level.cast("array<double>").alias("logs"))
+    return Model(langs, hashes[order], logs[order], np.log(size / size.sum()), full.select("word", "logs"), grams)
 
 
 def _words(texts: list[bytes]) -> tuple[T.Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,118 +170,94 @@ def _words(texts: list[bytes]) -> tuple[T.Spans, np.ndarray, np.ndarray, np.ndar
     return spans, names, s, e, plain, at.reshape(-1)
 
 
-def _sums(spans: T.Spans, by_word: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each text's sums of its words' scores by language."""
-    return np.stack([np.bincount(spans.doc, by_word[at, k], minlength=spans.texts) for k in range(by_word.shape[1])], axis=1).astype(float)
-
-
-def _best(total: np.ndarray, any_word: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    total = total + model.floor
-    best = np.argmax(total, axis=1)
-    share = np.exp(total - total.max(axis=1, keepdims=True))
-    p = 1.0 / share.sum(axis=1)
-    return np.where(any_word, best, -1), np.where(any_word, p, 0.0)
-
-
-def predict(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language of each text (-1: no letters or nothing learnt) and its probability, by the model's levels alone."""
-    if not model.langs:
-        return np.full(len(texts), -1), np.zeros(len(texts))
-    spans, names, s, e, plain, at = _words(texts)
-    by_word = word_scores(model, spans, s, e, names) * plain[:, None]
-    return _best(_sums(spans, by_word, at), np.bincount(spans.doc, plain[at], minlength=len(texts)) > 0, model)
-
-
-def _lists(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
-
-
 def _first_sums(docs: DataFrame, shared) -> DataFrame:
     """(doc_id, total, any_word, rest) of each row: sums over the broadcast words, and the other words with their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        langs = range(len(model.langs))
         for part, texts in T.steps(batches):
             spans, names, s, e, plain, at = _words(texts)
-            place, hit = _look(model.hashes[0], names)
-            by_word = np.zeros((len(names), len(model.langs)))
-            by_word[hit] = model.logs[0][place[hit]]
+            place = np.minimum(np.searchsorted(model.hashes, names), max(len(model.hashes) - 1, 0))
+            hit = model.hashes[place] == names if len(model.hashes) else np.zeros(len(names), bool)
+            by_word = np.zeros((len(names), len(langs)))
+            by_word[hit & plain] = model.logs[place[hit & plain]]
+            total = np.stack([np.bincount(spans.doc, by_word[at, k], minlength=len(texts)) for k in langs], axis=1).astype(float)
             other = (plain & ~hit)[at]
             doc, word, n = T.distinct(spans.doc[other], at[other])
-            raw = spans.buf.tobytes()
             used, index = np.unique(word, return_inverse=True)
-            words = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[used], e[used])], pa.string()).take(pa.array(index.reshape(-1)))
+            words = _strings(spans, s[used], e[used]).take(pa.array(index.reshape(-1)))
             ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
-            rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"]))
+            rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, pa.array(n, pa.int32())], ["word", "n"]))
             any_word = np.bincount(spans.doc, plain[at], minlength=len(texts)) > 0
-            total = _sums(spans, by_word * plain[:, None], at)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(total), pa.array(any_word), rest], ["doc_id", "total", "any_word", "rest"])
+            totals = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(langs), pa.int32()), pa.array(total.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), totals, pa.array(any_word), rest], ["doc_id", "total", "any_word", "rest"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, total array<double>, any_word boolean, rest array<struct<word: string, n: bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, total array<double>, any_word boolean, rest array<struct<word: string, n: int>>")
 
 
-def _by_grams(words: DataFrame, model: Model, shared) -> DataFrame:
-    """(word, logs) of words that weren't learnt: means over their longest n-grams that were, through a join with all of them."""
+def _whole(value: Column) -> Column:
+    return F.round(value / UNIT).cast("long")
 
-    def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in T.steps(batches, "word", 1 << 18):
-            spans, names, s, e, _, at = _words(texts)
-            yield pa.RecordBatch.from_arrays([part.column("word"), _lists(word_scores(shared.value, spans, s, e, names)[at])], ["word", "short"])
 
-    def long(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_grams(words: DataFrame, model: Model, sizes: tuple[int, ...]) -> DataFrame:
+    """(id, logs) of words (id, word): means over their longest n-grams of these lengths that were learnt."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches, "word", 1 << 18):
-            spans = T.Spans(texts, T.WORDS)
-            sums = T.prefix_sums(spans.buf)
-            for size in (n for n in GRAMS if n > SHORT):
-                of, place = T.grams_of(spans.buf, spans.start, spans.end, size)
-                h = T.span_hashes(spans.buf, place, place + size, sums, salt=size).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("word").take(pa.array(spans.doc[of])), pa.array(np.full(len(of), size, np.int32)), pa.array(h)], ["word", "size", "gram"]
-                )
-
-    means = F.array(*[F.sum(F.round(F.col("logs")[k] / UNIT).cast("long")) * UNIT / F.count(F.lit(1)) for k in range(len(model.langs))])
-    found = words.mapInArrow(long, "word string, size int, gram long").join(model.grams, ["size", "gram"]).groupBy("word", "size").agg(means.alias("logs"))
-    found = found.groupBy("word").agg(F.max_by("logs", "size").alias("logs"))
-    backup = words.mapInArrow(short, "word string, short array<double>")
-    return backup.join(found, "word", "left").select("word", F.coalesce("logs", "short").alias("logs"))
+            for size in sizes:
+                doc, gram, n = T.distinct(*_grams(texts, size))
+                columns = [part.column("id").take(pa.array(doc)), pa.array(np.full(len(doc), size, np.int32)), pa.array(gram), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "gram", "n"])
+
+    means = F.array(*[F.sum(F.col("n") * _whole(F.col("logs")[k])) * UNIT / F.sum("n") for k in range(len(model.langs))])
+    known = words.mapInArrow(run, "id long, size int, gram long, n int").join(model.grams, ["size", "gram"])
+    return known.groupBy("id", "size").agg(means.alias("logs")).groupBy("id").agg(F.max_by("logs", "size").alias("logs"))
+
+
+def _scores(words: DataFrame, model: Model) -> DataFrame:
+    """(id, logs) of distinct words (word): by the word itself, else by its n-grams; id is the word's hash."""
+    found = cut(words.join(model.words, "word", "left").select(F.xxhash64("word").alias("id"), F.when(F.col("logs").isNull(), F.col("word")).alias("word"), "logs"), "language-others")
+    scored, unseen = [found.filter("logs is not null").select("id", "logs")], found.filter("logs is null").select("id", "word")
+    for sizes in ASKED:
+        more = cut(_by_grams(unseen, model, sizes), "language-backoff")
+        scored.append(more)
+        unseen = unseen.join(more.select("id"), "id", "left_anti")
+    return scored[0].unionByName(scored[1]).unionByName(scored[2])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs``, whatever other columns it has.
 
     A null text, or one without any letter, is ``und`` with score 0, as is every text where nothing was learnt.
+    A word none of whose n-grams was learnt tells nothing, and a text of such words gets the languages' own shares.
     Repeated rows and repeated or null ids give one row each. Equal scores go to the first language by name.
     """
     model = fit(docs) if model is None else model
+    held = linear.held_out(F.col("doc_id"), PARTS, PART).alias("held_out")
+    if not model.langs:
+        return docs.select("doc_id", held, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, words=None, grams=None))  # at most WORDS rows and the short n-grams
-
-    def by_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in T.steps(batches):
-            yield named(part, *predict(texts, shared.value))
+    small = Model(model.langs, model.hashes, model.logs, model.floor)
+    shared = docs.sparkSession.sparkContext.broadcast(small)  # at most WORDS rows
 
-    def by_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        names = np.array([*own.langs, UNKNOWN], object)
         for part in batches:
-            total = part.column("total").flatten().to_numpy().reshape(part.num_rows, -1)
             if part.num_rows:
-                yield named(part, *_best(total, part.column("any_word").to_numpy(zero_copy_only=False), shared.value))
-
-    def named(part: pa.RecordBatch, best: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-        names = np.array([*shared.value.langs, UNKNOWN], object)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
-
-    schema = f"doc_id {kind}, lang_pred string, score double"
-    if model.words is None:
-        made = docs.select("doc_id", "text").mapInArrow(by_text, schema)
-    else:
-        first = cut(_first_sums(docs, shared).withColumn("row", F.monotonically_increasing_id()), "language-sums")
-        rest = first.select("row", F.inline("rest"))
-        words = cut(rest.select("word").distinct().join(model.words, "word", "left"), "language-others")
-        logs = words.filter("logs is not null").unionByName(_by_grams(words.filter("logs is null").select("word"), model, shared))
-        more = F.array(*[F.sum(F.round(F.col("n") * F.col("logs")[k] / UNIT).cast("long")) * UNIT for k in range(len(model.langs))])
-        found = rest.join(logs, "word").groupBy("row").agg(more.alias("more"))
-        total = F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b))
-        summed = first.select("doc_id", "total", "any_word", "row").join(found, "row", "left").select("doc_id", total.alias("total"), "any_word")
-        made = summed.mapInArrow(by_sums, schema)
-    return made.select("doc_id", linear.held_out(F.col("doc_id"), PARTS, PART).alias("held_out"), "lang_pred", "score")
+                total = part.column("total").flatten().to_numpy().reshape(part.num_rows, -1) + own.floor
+                any_word = part.column("any_word").to_numpy(zero_copy_only=False)
+                first = np.where(any_word, np.argmax(total, axis=1), -1)
+                p = np.where(any_word, 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[first], pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
+
+    first = cut(_first_sums(docs, shared).withColumn("row", F.monotonically_increasing_id()), "language-sums")
+    rest = first.select("row", F.inline("rest"))
+    scores = _scores(rest.select("word").distinct(), model)
+    more = F.array(*[F.sum(F.col("n") * _whole(F.col("logs")[k])) * UNIT for k in range(len(model.langs))])
+    found = spread_join(rest.select("row", F.xxhash64("word").alias("id"), "n"), scores, ["id"], ["row"]).groupBy("row").agg(more.alias("more"))
+    total = F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b))
+    summed = first.select("doc_id", "total", "any_word", "row").join(found, "row", "left").select("doc_id", total.alias("total"), "any_word")
+    return summed.mapInArrow(best, f"doc_id {kind}, lang_pred string, score double").select("doc_id", held, "lang_pred", "score")

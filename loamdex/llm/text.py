@@ -132,6 +132,20 @@ def grams_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tup
     return of, np.arange(len(of)) - first[of] + start[of]
 
 
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Places where UTF-8's characters begin, and the end of ``buf``."""
+    return np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+
+
+def letter_grams_of(places: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of n characters inside the given spans: (index of the span, first byte, byte after the last); ``places`` are ``letters``."""
+    begin = np.searchsorted(places, start)
+    counts = np.maximum(np.searchsorted(places, end) - begin - n + 1, 0)
+    of = np.repeat(np.arange(len(start)), counts)
+    at = np.arange(len(of)) - (np.cumsum(counts) - counts)[of] + begin[of]
+    return of, places[at], places[at + n]
+
+
 def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (doc, key) pairs with their counts, in order."""
     if not len(doc):

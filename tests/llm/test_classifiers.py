@@ -1,3 +1,4 @@
+import re
 import tracemalloc
 import zlib
 from dataclasses import replace
@@ -5,7 +6,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from loamdex.llm import language, linear, quality, toxicity
+from loamdex.llm import joins, language, linear, quality, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -187,51 +188,69 @@ def test_language(spark, data, make_docs):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def plain_backoff(rows):
+    """Predictions by the method written out: (doc_id, text, lang) to {doc_id: (lang, probability)}."""
+    counts = [{} for _ in range(6)]  # words, then n-grams by length
+    words_of = lambda text: re.findall(r"[^\W_]+", re.sub(r"[0-9]", "", (text or "").lower()))
+    grams = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)] if n else [w]
+    langs = sorted({r[2] for r in rows if r[2] and not held(r[0], 4, 2)})
+    for doc_id, text, lang in rows:
+        if lang and not held(doc_id, 4, 2):
+            for w in words_of(text):
+                for size in range(6):
+                    for g in grams(w, size):
+                        counts[size].setdefault(g, dict.fromkeys(langs, 0))[lang] += 1
+    totals = [{k: sum(c[k] for c in level.values()) for k in langs} for level in counts]
+    cache = {}
+
+    def score(w):
+        if w not in cache:
+            cache[w] = dict.fromkeys(langs, 0.0)
+            for size in (0, 5, 4, 3, 2, 1):
+                known = [g for g in grams(w, size) if g in counts[size]]
+                if known:
+                    log = lambda g, k: np.log((counts[size][g][k] + 0.1) / (totals[size][k] + 0.1 * len(counts[size])))
+                    cache[w] = {k: np.mean([log(g, k) for g in known]) for k in langs}
+                    break
+        return cache[w]
+
+    out = {}
+    for doc_id, text, _ in rows:
+        words = words_of(text)
+        total = {k: np.log(totals[0][k] / sum(totals[0].values())) + sum(score(w)[k] for w in words) for k in langs}
+        best = max(langs, key=total.get)
+        out[doc_id] = (best, 1 / sum(np.exp(x - total[best]) for x in total.values())) if words else ("und", 0.0)
+    return out
+
+
 def test_language_scores_by_all_that_was_learnt(spark, make_docs):
     rng = np.random.default_rng(11)
-    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    word = lambda: "".join(rng.choice(list("abcdefgé中"), rng.integers(2, 9)))
     own = {lang: [word() for _ in range(k)] for lang, k in (("aa", 300), ("bb", 40))}
     rows = [(i, " ".join([*rng.choice(own["aa" if i % 20 else "bb"], 12), *[word() for _ in range(3)]]), "aa" if i % 20 else "bb") for i in range(400)]
-    rows += [(1000, "zz 12 qqqqqq", None), (1001, "dear", None)]
+    rows += [(1000, "zz 12 qqqqqq", None), (1001, "dear", None), (1002, "éé中", None), (1003, "abcdé" * 50_000, None)]
     rows += [(2000 + k, w, None) for k, w in enumerate([*own["aa"][:20], *own["bb"][:20]])]  # one word leaves no certainty to hide behind
-    seen, counts = [r for r in rows if r[2] and not held(r[0], 4, 2)], [{} for _ in range(6)]  # words, then n-grams by length
-    for _, text, lang in seen:
-        for w in text.split():
-            for size, grams in [(0, [w]), *[(n, [w[i : i + n] for i in range(len(w) - n + 1)]) for n in range(1, 6)]]:
-                for g in grams:
-                    counts[size].setdefault(g, {"aa": 0, "bb": 0})[lang] += 1
-    total = {lang: sum(c[lang] for c in counts[0].values()) for lang in own}
-
-    def log(size, g, lang):
-        return np.log((counts[size][g][lang] + 0.1) / (total[lang] + 0.1 * len(counts[size])))
-
-    def wanted(text):
-        score = {lang: np.log(total[lang] / sum(total.values())) for lang in own}
-        for w in (w for w in text.split() if not w.isdigit()):
-            for size in (0, 5, 4, 3, 2, 1):
-                known = [g for g in ([w] if not size else [w[i : i + size] for i in range(len(w) - size + 1)]) if g in counts[size]]
-                if known:
-                    for lang in own:
-                        score[lang] += np.mean([log(size, g, lang) for g in known])
-                    break
-        best = max(sorted(score), key=score.get)
-        return best, 1 / sum(np.exp(x - score[best]) for x in score.values())
-
-    docs = make_docs(*rows)
+    want, docs = plain_backoff(rows), make_docs(*rows)
     for most in (100_000, 5):  # what is broadcast doesn't show
         found = {r.doc_id: r for r in language.identify(docs, language.fit(docs, most)).collect()}
         assert len(found) == len(rows)
         for i, text, _ in rows:
-            lang, p = wanted(text)
-            assert found[i].lang_pred == lang and abs(found[i].score - p) < 1e-6
-
-
-def test_language_backs_off_to_shorter_grams():
-    grams = [(np.zeros(0, np.uint64), np.zeros((0, 2)))] * 5
-    h = lambda s: language.T.span_hashes(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]), salt=len(s))
-    word = language.T.Spans([b"known"], language.T.WORDS).hashes()
-    grams[3] = (h(b"ab"), np.array([[-1.0, -9.0]]))  # two bytes
-    grams[4] = (h(b"z"), np.array([[-9.0, -1.0]]))
-    model = language.Model(["l0", "l1"], [word, *[g[0] for g in grams]], [np.array([[-9.0, -2.0]]), *[g[1] for g in grams]], np.zeros(2))
-    best, _ = language.predict([b"known", b"xabx", b"zzz", b"ab known", b"77"], model)
-    assert best.tolist() == [1, 0, 1, 0, -1]
+            assert found[i].lang_pred == want[i][0] and abs(found[i].score - want[i][1]) < 1e-6
+
+
+def test_language_matches_the_plain_backoff_on_the_table(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = plain_backoff([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    found = {r.doc_id: r for r in language.identify(docs, language.fit(docs, 200)).collect()}
+    assert {i: r.lang_pred for i, r in found.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(found[i].score - x[1]) < 1e-6 for i, x in want.items())
+
+
+def test_crowded_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LEAST", 50)
+    large = spark.range(2000).select(F.when(F.col("id") < 900, F.lit(-1)).otherwise(F.col("id") % 300).alias("k"), "id")
+    small = spark.range(-1, 200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert max(joins.crowded(large, ["k"]).values()) > 20
+    for how in ("inner", "left", "left_semi"):
+        want, got = large.join(small, ["k"], how), joins.spread_join(large, small, ["k"], ["id"], how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
