@@ -3,8 +3,8 @@
 Only factors of at least LENGTH bytes count, so suffixes are told apart by their first LENGTH bytes, a window.
 Windows meet by anchor: of a window's inner strings of ANCHOR bytes the one of least hash, which is the same
 wherever the window occurs. Neighbouring windows with one anchor make a stretch, the unit that is shuffled.
-Equal stretches are counted without looking inside. Where one anchor has different stretches, their suffixes
-are put in order; in it, the previous and next smaller positions among suffixes of equal windows give each
+Equal stretches are counted without looking inside; they are equal by two hashes of 64 bits. Where one anchor has different stretches, their suffixes
+are put in order, equal windows by their bytes; in it, the previous and next smaller positions among suffixes of equal windows give each
 suffix its longest previous factor, and the larger ones its longest next factor. A window with either is a
 repeat; keeping the first copy takes the previous factor alone.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm import text as T
+from loamdex.llm.joins import spread_join
 from loamdex.session import cut
 
 LENGTH = 200
@@ -134,6 +135,40 @@ def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return keyed.join(right, keyed["doc_id"].eqNullSafe(right["own_id"]) & (keyed["crc"] == right["own_crc"]), how).select("doc_id", "crc", "text", "list")
 
 
+def exact(window: np.ndarray, buf: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """``window`` hashes of the strings of ``length`` bytes at ``place`` in ``buf``, told apart where their bytes differ.
+
+    Neighbours by hash and place are compared. Where a pair follows a pair one byte before it, the last byte is all
+    that is left to compare; only the first pair of such a run is compared whole.
+    """
+    order = np.lexsort((place, window))
+    pair = np.flatnonzero(window[order][1:] == window[order][:-1])
+    if not len(pair):
+        return window
+    a, b = place[order][pair], place[order][pair + 1]
+    by_place = np.lexsort((b, a))
+    a, b = a[by_place], b[by_place]
+    after = np.concatenate([[False], (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1)])
+    same = buf[a + length - 1] == buf[b + length - 1]
+
+    def compare_whole(pairs: np.ndarray) -> None:
+        for at in range(0, len(pairs), 4096):
+            p, inside = pairs[at : at + 4096], np.arange(length)
+            same[p] = (buf[a[p][:, None] + inside] == buf[b[p][:, None] + inside]).all(axis=1)
+
+    compare_whole(np.flatnonzero(~after))
+    if same.all():
+        return window
+    compare_whole(np.flatnonzero(after))
+    # two strings of one hash: all windows of such hashes are numbered by their bytes instead
+    mixed = np.flatnonzero(np.isin(window, np.unique(window[np.isin(place, a[~same])])))
+    names: dict[tuple[int, bytes], int] = {}
+    out = window.copy()
+    for i in mixed.tolist():
+        out[i] = names.setdefault((int(window[i]), buf[place[i] : place[i] + length].tobytes()), len(names))
+    return out
+
+
 def factors(anchor: np.ndarray, window: np.ndarray, position: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix, whether a longest previous factor and a longest next factor reach a whole window.
 
@@ -171,7 +206,8 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
         owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         place = begin[owner] + at
-        window = T.span_hashes(np.frombuffer(b"".join(texts), np.uint8), place, place + length, salt=17)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        window = exact(T.span_hashes(buf, place, place + length, salt=17), buf, place, length)
         anchor, content = col("anchor"), col("content")
         previous, following = factors(anchor[owner], window, (col("doc_id")[owner], col("crc")[owner], col("start")[owner] + at))
         flags = previous if first_stays else previous | following
@@ -209,7 +245,7 @@ def _dealt_windows(pieces: DataFrame, first_stays: bool) -> DataFrame:
     known = rows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min("position").alias("first"))
     # a stretch that occurs twice is known to repeat, so only single ones need their windows marked
     asked = rows if first_stays else rows.filter("n = 1")
-    joined = asked.join(known.filter("total > 1"), ["anchor", "window"])
+    joined = spread_join(asked, known.filter("total > 1"), ["anchor", "window"], ["content"])
     if first_stays:
         joined = joined.filter("position != first")
     return joined.groupBy("anchor", "content").agg(F.transform(F.collect_set("at"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
@@ -221,12 +257,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = False, an
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(_find(docs, length, anchor), "stretches")
     shared = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    found = cut(found.join(shared, "anchor", "left_semi"), "shared-stretches")
+    # an anchor inside a frequent line has many stretches, so its rows are dealt out in every join on it
+    found = cut(spread_join(found, shared, ["anchor"], ["content", "doc_id", "start"], "left_semi"), "shared-stretches")
     place = F.struct("doc_id", "crc", "start")
     kinds = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("windows").alias("windows"))
     kinds = cut(kinds, "kinds-of-stretches")
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1" if first_stays else "kinds > 1 and least = 1")
-    wanted = kinds.join(mixed, "anchor").select("anchor", "content", "n", "first.*", "windows", (F.col("kinds") > GROUP).alias("large"))
+    wanted = spread_join(kinds, mixed, ["anchor"], ["content"]).select("anchor", "content", "n", "first.*", "windows", (F.col("kinds") > GROUP).alias("large"))
     pieces = cut(_pieces(docs, wanted, length), "pieces")
     inside = _ordered_groups(pieces, length, first_stays).unionByName(_dealt_windows(pieces, first_stays))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
@@ -237,7 +274,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = False, an
     else:
         known = known.filter("n > 1 or runs is not null")
         runs = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))
-    hits = found.join(known, ["anchor", "content"]).select("doc_id", "crc", "start", F.explode(runs).alias("r"))
+    hits = spread_join(found, known, ["anchor", "content"], ["doc_id", "start"]).select("doc_id", "crc", "start", F.explode(runs).alias("r"))
     span = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + (length - 1)).alias("b"))
     return hits.select("doc_id", "crc", span.alias("s")).groupBy("doc_id", "crc").agg(F.collect_list("s").alias("list"))
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loamdex.llm import joins as J
 from loamdex.llm import suffixes as S
 
 
@@ -42,6 +43,33 @@ def test_least_places(values, width):
     assert S.least_places(h, width).tolist() == want
 
 
+@given(st.text("ab", min_size=1, max_size=120), st.integers(1, 9), st.integers(1, 4))
+@settings(max_examples=100, deadline=None)
+def test_windows_of_one_hash_are_told_apart_by_bytes(text, length, kinds):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    place = np.arange(max(len(buf) - length + 1, 0))
+    names = [text[i : i + length] for i in place]
+    # a poor hash makes different strings meet; equal strings still share theirs
+    window = np.array([sum(map(ord, x)) % kinds for x in names], np.uint64)
+    got = S.exact(window, buf, place, length).tolist()
+    pairs = lambda xs: [[x == y for y in xs] for x in xs]
+    mixed = {w for w, x in zip(window.tolist(), names) for v, y in zip(window.tolist(), names) if w == v and x != y}
+    keep = [i for i, w in enumerate(window.tolist()) if w in mixed]
+    assert pairs([got[i] for i in keep]) == pairs([names[i] for i in keep])
+
+
+def test_anchors_of_many_stretches_are_dealt_out(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(J, "LEAST", 20)
+    rng = np.random.default_rng(8)
+    line = "This line is part of very many documents and holds no less than sixty-four bytes."
+    rows = [(i, "".join(rng.choice(list("abcdef "), 180)) + line + "".join(rng.choice(list("abcdef "), 180)) * (1 + i % 2)) for i in range(60)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(40)]
+    for group in (4096, 2):
+        monkeypatch.setattr(S, "GROUP", group)
+        for first_stays in (False, True):
+            assert table(S.dedup(make_docs(*rows), first_stays=first_stays)) == brute(rows, 200, first_stays)
+
+
 @pytest.mark.parametrize("group", [4096, 1])
 @pytest.mark.parametrize("first_stays", [False, True])
 def test_matches_brute_force(spark, data, monkeypatch, group, first_stays):
@@ -53,6 +81,13 @@ def test_matches_brute_force(spark, data, monkeypatch, group, first_stays):
     assert table(S.dedup(docs, first_stays=first_stays)) == want
 
 
+def test_very_long_text(spark, make_docs):
+    rng = np.random.default_rng(9)
+    part = "".join(rng.choice(list("abcdefghij "), 3000))
+    rows = [(1, "".join(rng.choice(list("abcdefghij "), 60_000)) + part), (2, part + "z" * 5000)]
+    assert table(S.dedup(make_docs(*rows), first_stays=False)) == brute(rows, 200)
+
+
 def test_short_lengths_and_odd_rows(spark, make_docs):
     rows = [(1, "abcabcabcabc"), (2, "xxabcabx"), (3, None), (4, ""), (5, "aaaaaaaaaaaaaaa"), (6, "ñandú ñandú"), (7, "q"), (8, "zabcabcz" * 3)]
     docs = make_docs(*rows).withColumn("list", F.lit(1)).withColumn("crc", F.lit(2))
