@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ BLOCK = 4096
 MOST_SOURCES = 50_000
 #: Exponent of the default weights: a source's share is its size to this power.
 FLATTEN = 0.5
-#: Buckets over which each source's stream is dealt out.
-SPREAD = 256
+#: Buckets over which each source's stream is dealt out at least, and characters of a bucket beyond that.
+SPREAD, BUCKET_CHARS = 256, 1 << 26
+#: Characters of a partition of the mixed table, and places at which its volume is tabled.
+PART_CHARS, CELLS = 1 << 27, 1024
 
 
 def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -81,17 +84,21 @@ def _size() -> Column:
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, spread: int = SPREAD, flatten: float = FLATTEN) -> DataFrame:
     """Every row of ``docs`` with mix_slot and mix_start, in whose order the sources have their target weights.
 
-    A source's stream holds its documents by hash of doc_id, then doc_id and the text's hash, so that texts
-    needn't be shuffled where they aren't asked for. mix_start is a document's
-    first character in that stream, block = mix_start div ``block``, and mix_slot the slot of that block, so a
-    long document takes the slot of its first block. ``weights`` are by source (None for null sources);
-    sources that it doesn't name and, without it, all sources get their size to the power ``flatten``. Where a
-    source runs out its slots stay empty and the others go on in their proportions; no row is dropped or
-    repeated. A null or empty text counts as one character. Rows that are equal in doc_id and text are in any
-    order. An empty table stays empty.
+    A source's stream holds its documents by a hash of doc_id and text, then doc_id, so that texts needn't be
+    shuffled where they aren't asked for. mix_start is a document's first character in that stream, block =
+    mix_start div ``block``, and mix_slot the slot of that block, so a long document takes the slot of its first
+    block. ``weights`` are by source (None for null sources); sources that it doesn't name and, without it, all
+    sources get their size to the power ``flatten``. Where a source runs out its slots stay empty and the others
+    go on in their proportions; no row is dropped or repeated. A null or empty text counts as one character, and
+    a null doc_id is a value like any other. Rows that are equal in doc_id and text are in any order. An empty
+    table stays empty. Only columns of ``docs`` that are named mix_slot or mix_start are replaced.
     """
-    spark = docs.sparkSession
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("mix_slot", "mix_start")]
     sizes = source_sizes(docs)
+    return _placed(docs, sizes, _slots(sizes, weights, period, flatten), block, spread).select(*kept, "mix_slot", "mix_start")
+
+
+def _slots(sizes: dict[str, int], weights: dict[str | None, float] | None, period: int, flatten: float) -> dict[str, int]:
     share = {n: float(s) ** flatten for n, s in sizes.items()}
     if weights is not None:
         named = {"0" if n is None else f"1{n}": float(w) for n, w in weights.items()}
@@ -99,28 +106,61 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
             raise ValueError("every source needs a weight above zero")
         scale = sum(share.values()) or 1.0
         share = {n: named.get(n, s / scale) for n, s in share.items()}
-    slots = slots_of(share, period)
-    length = max(sum(slots.values()), 1)
-    plan = spark.createDataFrame([(n, b, s, slots[n]) for n, b, s in schedule(slots)], "mix_source string, mix_block long, mix_place long, mix_of long")
-
-    rows = docs.withColumns({"mix_source": _source(F.col("source")), "mix_size": _size(), "mix_hash": F.xxhash64("doc_id"), "mix_tie": F.xxhash64("text")})
-    # the bucket keeps the order of the hash, so each source's stream is dealt out over many tasks
-    rows = rows.withColumn("mix_bucket", F.floor((F.col("mix_hash") / F.lit(2.0**64) + 0.5) * spread))
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "doc_id", "mix_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_own"))
-    before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.select("mix_source", "mix_bucket", F.coalesce(F.sum("mix_own").over(before), F.lit(0)).alias("mix_before"))
-    placed = rows.withColumn("mix_upto", F.sum("mix_size").over(inside)).join(counted, ["mix_source", "mix_bucket"])
-    placed = placed.withColumn("mix_start", F.col("mix_before") + F.col("mix_upto") - F.col("mix_size"))
-    units = plan.groupBy("mix_source").agg(F.first("mix_of").alias("mix_of"))
+    return slots_of(share, period)
+
+
+def _placed(docs: DataFrame, sizes: dict[str, int], slots: dict[str, int], block: int, spread: int) -> DataFrame:
+    """(row, mix_slot, mix_start): each row of ``docs`` is packed, so that no name clashes."""
+    spark, length = docs.sparkSession, sum(slots.values())
+    plan = spark.createDataFrame([(n, b, s) for n, b, s in schedule(slots)], "source string, number long, place long")
+    streams = spark.createDataFrame([(n, slots[n], max(spread, -(-sizes[n] // BUCKET_CHARS))) for n in slots], "source string, slots long, buckets long")
+
+    rows = docs.select(_source(F.col("source")).alias("source"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("hash"), F.struct("*").alias("row"))
+    # a bucket holds neighbours by hash, so each source's stream is dealt out over many tasks and keeps its order
+    rows = rows.join(F.broadcast(streams), "source").withColumn("bucket", F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("buckets")))  # a row a source
+    counted = rows.groupBy("source", "bucket").agg(F.sum("size").alias("own"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select("source", "bucket", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", "row.doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(counted, ["source", "bucket"])
+    placed = placed.withColumn("mix_start", F.col("before") + F.col("upto") - F.col("size"))
     number = F.floor(F.col("mix_start") / block)
-    placed = placed.join(F.broadcast(units), "mix_source").withColumns({"mix_turn": F.floor(number / F.col("mix_of")), "mix_block": number % F.col("mix_of") + 1})
-    done = placed.join(F.broadcast(plan.drop("mix_of")), ["mix_source", "mix_block"])  # a row a slot of one period
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("mix_turn") * length + F.col("mix_place")).alias("mix_slot"), "mix_start")
+    placed = placed.withColumns({"turn": F.floor(number / F.col("slots")), "number": number % F.col("slots") + 1})
+    done = placed.join(F.broadcast(plan), ["source", "number"])  # a row a slot of one period
+    return done.select("row", (F.col("turn") * length + F.col("place")).alias("mix_slot"), "mix_start")
+
 
+def _range_of(slot: Column, sizes: dict[str, int], slots: dict[str, int], block: int, parts: int) -> Column:
+    """The range of slots, of ``parts`` that hold about as many characters each, in which a slot lies.
 
-def in_order(docs: DataFrame, **how) -> DataFrame:
-    """The columns of ``docs``, its rows laid out in the mixed order: by partition, and by row within each."""
-    mixed = mix(docs, **how)
-    order = ["mix_slot", "mix_start", "doc_id"]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    A source fills its slots until its characters run out, so what lies before any slot follows from the sizes;
+    it is tabled for CELLS slots that are equally far apart, and lies on straight lines between them.
+    """
+    length = sum(slots.values())
+    own = np.array([slots[n] for n in slots], float)
+    ends = np.array([sizes[n] for n in slots], float) / block / own * length + 1  # where each source runs out
+    step = max(1, int(np.ceil((ends.max() + length) / CELLS)))
+    before = [float((np.minimum(at * step, ends) * own).sum()) for at in range(CELLS + 1)]
+    cell = F.least(F.floor(slot / step), F.lit(CELLS - 1)).cast("int")
+    table = F.array(*[F.lit(x / before[-1]) for x in before])
+    low, high = F.get(table, cell), F.get(table, cell + 1)
+    share = low + (high - low) * F.least((slot / step - cell), F.lit(1.0))
+    return F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int")
+
+
+def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, spread: int = SPREAD, flatten: float = FLATTEN, parts: int | None = None) -> DataFrame:
+    """The rows and columns of ``docs``, laid out in the mixed order: by partition, and by row within each.
+
+    Partitions are ranges of slots of about equal volume; there are ``parts``, or else as many as the session's
+    shuffles have, and more where that is over PART_CHARS characters each. Null and empty texts, repeated rows, ties, null
+    ids, clashing names and empty tables are treated as in ``mix``.
+    """
+    sizes = source_sizes(docs)
+    if not sizes:
+        return docs
+    slots = _slots(sizes, weights, period, flatten)
+    parts = parts or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // PART_CHARS))
+    placed = _placed(docs, sizes, slots, block, spread)
+    # the partition is known from the slot, so no sample of the rows is read before they are dealt
+    dealt = placed.repartitionById(parts, _range_of(F.col("mix_slot"), sizes, slots, block, parts))
+    return dealt.sortWithinPartitions("mix_slot", "mix_start", "row.doc_id").select("row.*")

@@ -41,10 +41,36 @@ def test_documents_follow_the_schedule(spark, data):
             at += max(len(r.text), 1)
 
 
+def test_layout_follows_slots_in_even_ranges(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    mixed = {r.doc_id: (r.mix_slot, r.mix_start) for r in M.mix(docs).collect()}
+    laid = M.in_order(docs, parts=8).select("*", F.spark_partition_id().alias("part")).collect()
+    assert [mixed[r.doc_id] for r in laid] == sorted(mixed.values())
+    assert [r.part for r in laid] == sorted(r.part for r in laid)
+    volume = Counter()
+    for r in laid:
+        volume[r.part] += len(r.text)
+    longest = max(len(r.text) for r in laid)
+    assert all(v < 2 * sum(volume.values()) / 8 + longest for v in volume.values())
+
+
+def test_clashing_names_null_ids_and_long_texts(spark, make_docs):
+    docs = make_docs(*[(None, f"text {i}", "en", None if i % 2 else "") for i in range(40)], (1, "x" * 300_000), (2, "same"), (2, "same"))
+    for name in ("mix_place", "mix_of", "mix_before", "mix_source", "mix_size", "mix_hash", "mix_bucket", "row", "size", "slots", "number", "place", "turn", "own", "Bucket"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for laid in (M.mix(docs).drop("mix_slot", "mix_start"), M.in_order(docs, parts=3)):
+        assert laid.columns == docs.columns
+        assert Counter(map(str, laid.collect())) == Counter(map(str, docs.collect()))
+    starts = [r.mix_start for r in M.mix(docs).filter("text like 'text %'").collect()]
+    assert len(set(starts)) >= 20  # rows without an id have places of their own
+    again = M.mix(docs.withColumn("mix_slot", F.lit("old")))
+    assert again.columns == [*docs.columns, "mix_slot", "mix_start"] and dict(again.dtypes)["mix_slot"] == "bigint"
+
+
 def test_edge_rows(spark, make_docs):
     docs = make_docs((1, None, "en", None), (2, "", "en", ""), (2, "", "en", ""), (None, "x" * 9000, "en", "b")).withColumn("of", F.lit(1)).withColumn("slot", F.lit("q"))
     mixed = M.mix(docs)
     assert mixed.columns == [*docs.columns, "mix_slot", "mix_start"] and mixed.count() == 4
     laid = M.in_order(docs)
     assert laid.columns == docs.columns and laid.count() == 4
-    assert M.mix(docs.limit(0)).count() == 0
+    assert M.mix(docs.limit(0)).count() == 0 and M.in_order(docs.limit(0)).count() == 0
