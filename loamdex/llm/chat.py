@@ -29,73 +29,76 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit(MARK + "0"), F.lit(MARK))
 
 
+#: Elements and code points that are taken at a time where sums or substrings run along a whole conversation.
+STRIDE = 256
+BLOCK = 4096
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def running(values: Column) -> Column:
+    """What comes before each element of an array of longs, summed: by strides, then inside each, so that no sum starts anew."""
+    strides = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / STRIDE).cast("int"), F.lit(0))), lambda k: F.slice(values, k * STRIDE + 1, F.lit(STRIDE))
+    )
+    sums = F.transform(strides, _sum)
+    before = F.transform(sums, lambda _, k: _sum(F.slice(sums, F.lit(1), k)))
+    return F.flatten(F.zip_with(strides, before, lambda stride, upto: F.transform(stride, lambda _, i: upto + _sum(F.slice(stride, F.lit(1), i)))))
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) of each conversation in ``rows`` (conv_id, turn, role, text, whatever else).
 
     Turns are sorted by turn, then role and text where turns repeat; a repeated row is one more turn. A null turn
-    comes first, a null role or text is empty, and rows with a null conv_id are one conversation. Adjacent
-    turns of one role share a block. ``loss_spans`` holds begin and end, in code points of ``formatted``, of
-    each text of an assistant, without any template string. An empty table gives no row. One conversation
-    is one string, and so must fit in a row.
+    comes first, a null role or text is empty, and a row with a null conv_id belongs to no other: it is a
+    conversation of one turn. Adjacent turns of one role share a block. ``loss_spans`` holds begin and end, in code
+    points of ``formatted``, of each text of an assistant, without any template string. An empty table gives no
+    row. One conversation is one string, and so must fit in a row.
     """
     blank = F.lit("")
-    turns = rows.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.coalesce(F.col("role").cast("string"), blank).alias("role"),
-            F.coalesce(F.col("text").cast("string"), blank).alias("text"),
-        ).alias("t"),
-    )
-    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turn = F.struct(
+        F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), blank).alias("role"), F.coalesce(F.col("text").cast("string"), blank).alias("text")
+    )
+    turns = rows.select("conv_id", turn.alias("t"))
+    grouped = turns.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = turns.filter("conv_id is null").select("conv_id", F.array("t").alias("turns"))
     # runs of one role: where each begins, then its slice
     starts = F.filter(
         F.sequence(F.lit(0), F.size("turns") - 1),
         lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", F.greatest(i - 1, F.lit(0)))["role"]),
     )
-    with_starts = sorted_turns.withColumn("starts", starts)
+    with_starts = grouped.unionByName(alone).withColumn("starts", starts)
     block = F.transform(
         "starts",
         lambda s, j: F.struct(
             F.get("turns", s)["role"].alias("role"),
-            F.transform(
-                F.slice("turns", s + 1, F.coalesce(F.get("starts", j + 1), F.size("turns")) - s), lambda t: escape(t["text"])
-            ).alias("texts"),
+            F.transform(F.slice("turns", s + 1, F.coalesce(F.get("starts", j + 1), F.size("turns")) - s), lambda t: escape(t["text"])).alias("texts"),
         ),
     )
-    blocks = with_starts.select("conv_id", block.alias("blocks"))
     # each block's pieces: (string, whether it is under the loss)
+    piece = lambda s, loss: F.struct(s.alias("s"), loss.alias("loss"))
+    no = F.lit(False)
     pieces = F.flatten(
         F.transform(
             "blocks",
-            lambda b: F.concat(
-                F.array(F.struct(F.concat(F.lit(OPEN), escape(b["role"]), F.lit(ROLE_END)).alias("s"), F.lit(False).alias("loss"))),
-                F.flatten(
-                    F.transform(
-                        b["texts"],
-                        lambda x, i: F.concat(
-                            F.array_repeat(F.struct(F.lit(NEXT).alias("s"), F.lit(False).alias("loss")), F.when(i > 0, 1).otherwise(0)),
-                            F.array(F.struct(x.alias("s"), (b["role"] == "assistant").alias("loss"))),
-                        ),
-                    )
-                ),
-                F.array(F.struct(F.lit(CLOSE).alias("s"), F.lit(False).alias("loss"))),
+            lambda b: F.flatten(
+                F.array(
+                    F.array(piece(F.concat(F.lit(OPEN), escape(b["role"]), F.lit(ROLE_END)), no)),
+                    F.flatten(
+                        F.transform(b["texts"], lambda x, i: F.array(piece(F.when(i > 0, F.lit(NEXT)).otherwise(blank), no), piece(x, b["role"] == "assistant")))
+                    ),
+                    F.array(piece(F.lit(CLOSE), no)),
+                )
             ),
         )
     )
-    cut = blocks.select("conv_id", pieces.alias("pieces"))
-    walk = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<begin: bigint, end: bigint>>)").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("begin"), (a["at"] + F.length(p["s"])).alias("end")))))
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return cut.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), walk.alias("loss_spans"))
+    cut = with_starts.select("conv_id", block.alias("blocks")).select("conv_id", pieces.alias("pieces"))
+    placed = cut.withColumn("at", running(F.transform("pieces", lambda p: F.length(p["s"]).cast("long"))))
+    spans = F.zip_with("pieces", "at", lambda p, at: F.struct(at.alias("begin"), (at + F.length(p["s"])).alias("end"), p["loss"].alias("loss")))
+    loss = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end")))
+    return placed.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), loss.alias("loss_spans"))
 
 
 def turns_of(formatted: Column) -> Column:
@@ -113,9 +116,22 @@ def turns_of(formatted: Column) -> Column:
     )
 
 
+def _read(blocks: Column, span: Column) -> Column:
+    """One span's text, unescaped, from the blocks of the whole string."""
+    first, last = F.floor(span["begin"] / BLOCK).cast("int"), F.floor(F.greatest(span["end"] - 1, span["begin"]) / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return unescape(F.substring(near, (span["begin"] - F.lit(BLOCK).cast("long") * first + 1).cast("int"), (span["end"] - span["begin"]).cast("int")))
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")))), "")
+    """All text under the loss, unescaped, with nothing between.
+
+    The string is cut into blocks once, and a span is read from those that it touches, not from the string's beginning.
+    """
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    # let the blocks be made once, whatever the number of spans
+    return F.get(F.transform(F.array(F.struct(blocks.alias("blocks"), spans.alias("spans"))), lambda x: F.array_join(F.transform(x["spans"], lambda s: _read(x["blocks"], s)), "")), F.lit(0))
 
 
 def _literal(s: str) -> str:

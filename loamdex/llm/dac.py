@@ -61,7 +61,8 @@ def _directory(bits: np.ndarray) -> np.ndarray:
 class Reader:
     """Random access to a segment's ids."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes | pa.Buffer):
+        payload = memoryview(payload)
         if payload[:4] != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
         count, self.every = struct.unpack_from("<II", payload, 4)
@@ -236,48 +237,57 @@ def write(docs: DataFrame, file: str, path: str, end_id: int = END_ID, order: tu
     dealt.mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with ``begin``, the number of ids before each: sums of shards first, then within each shard."""
-    rows = spark.read.schema(SEGMENTS).parquet(path)
-    slim = rows.groupBy("shard", "seq").agg(F.sum("ids").alias("own"))
-    shards = slim.groupBy("shard").agg(F.sum("own").alias("own"))
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, seq, ids, begin) of every segment, ``begin`` being the number of ids before it: sums of shards first, then within each shard."""
+    slim = spark.read.schema(SEGMENTS).parquet(path).select("shard", "seq", "ids")
+    shards = slim.groupBy("shard").agg(F.sum("ids").alias("own"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     shards = shards.select("shard", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slim.join(shards, "shard").select("shard", "seq", (F.col("before") + F.coalesce(F.sum("own").over(inside), F.lit(0))).alias("begin"))
-    return rows.join(starts, ["shard", "seq"])
+    return slim.join(shards, "shard").select("shard", "seq", "ids", (F.col("before") + F.coalesce(F.sum("ids").over(inside), F.lit(0))).alias("begin"))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the written segments."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the written segments.
+
+    Segments are decoded where they are read; only a row a document meets the segments' offsets. Repeated or null
+    ids give the rows that were written, and files without segments none.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = Reader(batch.column("payload")[row].as_py()).all().astype("<u4")
+                ids = Reader(batch.column("payload")[row].as_buffer()).all().astype("<u4")
                 n = np.array(batch.column("n_tokens")[row].as_py(), np.int64)
                 end = np.cumsum(n)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((end - n).tolist(), end.tolist())]
-                columns = [batch.column("doc_ids")[row].values, pa.array(end - n + batch.column("begin")[row].as_py()), pa.array(n), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                own = [pa.array(np.full(len(n), batch.column(c)[row].as_py(), np.int32)) for c in ("shard", "seq")]
+                yield pa.RecordBatch.from_arrays([*own, batch.column("doc_ids")[row].values, pa.array(end - n), pa.array(n), pa.array(crc, pa.int64())], ["shard", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    return read(spark, path).select("doc_ids", "n_tokens", "begin", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(SEGMENTS).parquet(path).select("shard", "seq", "doc_ids", "n_tokens", "payload")
+    decoded = rows.mapInArrow(run, "shard int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return decoded.join(starts(spark, path), ["shard", "seq"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """(place, id) for each place of the whole sequence in ``places``; places outside it give no row.
+    """(place, id) for each distinct place of the whole sequence in ``places``; null places and those outside it give no row.
 
-    A place finds its segment by a bucket of the sequence, so no segment meets places that it doesn't hold.
+    A place finds its segment by a bucket of the sequence. A segment's places are gathered, no more than it has
+    ids, so that its payload is moved once at most, and only where it is asked for.
     """
-    segments = read(spark, path).select("begin", "ids", "payload")
-    step = 1 << 20
-    segments = segments.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin") / step), F.floor((F.col("begin") + F.col("ids") - 1) / step))))
-    wanted = places.select(F.col("place").cast("long").alias("place")).withColumn("bucket", F.floor(F.col("place") / step))
-    joined = wanted.join(segments, "bucket").filter("place >= begin and place < begin + ids")
+    step = SEGMENT_IDS
+    at = lambda c: F.floor(c / step)
+    found = starts(spark, path).filter("ids > 0").withColumn("bucket", F.explode(F.sequence(at(F.col("begin")), at(F.col("begin") + F.col("ids") - 1))))
+    wanted = places.select(F.col("place").cast("long").alias("place")).distinct().withColumn("bucket", at(F.col("place")))
+    joined = wanted.join(found, "bucket").filter("place >= begin and place < begin + ids")
+    listed = joined.groupBy("shard", "seq").agg(F.collect_list(F.struct("place", (F.col("place") - F.col("begin")).alias("local"))).alias("places"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [Reader(p.as_py()).at(i) for p, i in zip(batch.column("payload"), batch.column("local").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(ids, pa.int64())], ["place", "id"])
+            for row in range(batch.num_rows):
+                reader, asked = Reader(batch.column("payload")[row].as_buffer()), batch.column("places")[row].values
+                ids = [reader.at(i) for i in asked.field("local").to_pylist()]
+                yield pa.RecordBatch.from_arrays([asked.field("place"), pa.array(ids, pa.int64())], ["place", "id"])
 
-    return joined.select("place", (F.col("place") - F.col("begin")).alias("local"), "payload").mapInArrow(run, "place long, id long")
+    rows = spark.read.schema(SEGMENTS).parquet(path).select("shard", "seq", "payload")
+    return rows.join(listed, ["shard", "seq"]).select("places", "payload").mapInArrow(run, "place long, id long")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamdex.llm import dac
@@ -42,7 +43,7 @@ def written(spark, docs):
     return path
 
 
-def test_written_documents_read_back(spark, data, monkeypatch):
+def test_written_documents_read_back(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     path = written(spark, docs)
     own, start, want, flat = Tokenizer.from_file(FILE), 0, {}, []
@@ -53,12 +54,25 @@ def test_written_documents_read_back(spark, data, monkeypatch):
         flat += ids
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in dac.documents(spark, path).collect()}
     assert got == want
-    places = [0, 1, 77, start // 2, start - 1, start, -1]
-    at = {r.place: r.id for r in dac.tokens_at(spark, path, spark.createDataFrame([(p,) for p in places], "place long")).collect()}
-    assert at == {p: flat[p] for p in places if 0 <= p < start}
+    places = [0, 1, 77, 77, start // 2, start - 1, start, -1, None]
+    found = dac.tokens_at(spark, path, spark.createDataFrame([(p,) for p in places], "place long")).collect()
+    at = {r.place: r.id for r in found}
+    assert at == {p: flat[p] for p in places if p is not None and 0 <= p < start} and len(found) == len(at)
 
 
 def test_edge_rows(spark, make_docs):
     path = written(spark, make_docs((2, None), (1, ""), (2, "a"), (2, None)))
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in dac.documents(spark, path).collect()) == [(1, 0, 1), (2, 1, 1), (2, 2, 1), (2, 3, 2)]
     assert dac.documents(spark, written(spark, make_docs((1, "a")).limit(0))).count() == 0
+
+
+def test_long_texts_fill_segments_and_names_may_clash(spark, make_docs):
+    rows = [(i, "token stream " * 40_000) for i in range(3)] + [(None, "no id")]
+    docs = make_docs(*rows)
+    for name in ("shard", "seq", "payload", "ids", "n_tokens"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    path = written(spark, docs)
+    found = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in dac.documents(spark, path).collect())
+    assert [d for _, d, _ in found] == [-1, 0, 1, 2] and [s for s, *_ in found] == np.cumsum([0, *(n for *_, n in found[:-1])]).tolist()
+    ends = [s + n - 1 for s, _, n in found]
+    assert {r.id for r in dac.tokens_at(spark, path, spark.createDataFrame([(p,) for p in ends], "place long")).collect()} == {2}
