@@ -17,7 +17,7 @@ LINES = 96
 #: Share of the lines on which a vector must collide, and share of a shard's distinct vectors that may then be verified.
 COLLIDE, VERIFY = 0.75, 0.3
 #: Half a window's first width in units of a shard's median length, and its growth from step to step.
-WIDTH, GROW = 0.35, 1.2
+WIDTH, GROW = 0.6, 1.2
 SHARD, QUERIES = 4096, 4096
 #: Cells of (shard, block of queries) for which small tables are split too.
 CELLS = 64
@@ -44,49 +44,46 @@ class Index:
         rest = np.sqrt(np.maximum(self.longest**2 - norm, 0.0))
         self.lines = np.random.default_rng(self.vectors.shape[1]).normal(size=(self.vectors.shape[1] + 1, lines))
         values = (np.column_stack([self.vectors, rest]) @ self.lines).T
-        order = np.argsort(values, axis=1)
-        self.values = np.take_along_axis(values, order, axis=1)
-        # each vector's place in each sorted array: it lies in a window where its place does
-        self.places = np.empty(order.shape, np.uint16 if len(self.vectors) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.places, order, np.arange(order.shape[1], dtype=self.places.dtype)[None], axis=1)
-
-    def windows(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each step, where the windows of all queries begin and end on every line; the last step holds everything."""
+        self.order = np.argsort(values, axis=1).astype(np.uint16 if len(self.vectors) < 1 << 16 else np.uint32)
+        self.values = np.take_along_axis(values, self.order.astype(np.int64), axis=1)
+        self.flat, self.base = self.order.reshape(-1), np.arange(lines) * len(self.vectors)
+
+    def collided(self, queries: np.ndarray, enough: float) -> list[np.ndarray]:
+        """For each query the vectors that lie in enough of its windows, at the first step at which enough of them do.
+
+        A step counts only what its windows have gained since the last one: each entry of a line is met once.
+        """
+        n, lines = self.order.shape[1], len(self.order)
+        need = int(np.ceil(COLLIDE * lines))
+        counts = np.zeros((len(queries), n), np.uint8 if lines < 256 else np.uint16)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         # a query of the shard's greatest length lies where its nearest vectors do
-        scale = self.longest / np.linalg.norm(queries, axis=1)
-        at = (queries * scale[:, None]) @ self.lines[:-1]
-        out, half = [], WIDTH * self.longest
-        while True:
-            low = np.stack([np.searchsorted(v, a - half) for v, a in zip(self.values, at.T)], axis=1)
-            high = np.stack([np.searchsorted(v, a + half, "right") for v, a in zip(self.values, at.T)], axis=1)
-            out.append((low, high))
-            if (high - low == len(self.vectors)).all():
-                return out
-            half *= GROW
+        at = (queries * (self.longest / np.linalg.norm(queries, axis=1))[:, None]) @ self.lines[:-1]
+        low = np.stack([np.searchsorted(v, a) for v, a in zip(self.values, at.T)], axis=1)
+        high, half, going = low.copy(), WIDTH * self.longest, np.arange(len(queries))
+        while len(going):
+            lower = np.stack([np.searchsorted(v, a - half) for v, a in zip(self.values, at[going].T)], axis=1)
+            upper = np.stack([np.searchsorted(v, a + half, "right") for v, a in zip(self.values, at[going].T)], axis=1)
+            begin = np.concatenate([self.base + lower, self.base + high[going]], axis=1)
+            size = np.concatenate([low[going] - lower, upper - high[going]], axis=1)
+            low[going], high[going], half, done = lower, upper, half * GROW, []
+            for k, i in enumerate(going.tolist()):
+                upto = np.cumsum(size[k])
+                entries = self.flat[np.arange(upto[-1]) + np.repeat(begin[k] - upto + size[k], size[k])]
+                counts[i] += np.bincount(entries, minlength=n).astype(counts.dtype)
+                found = np.flatnonzero(counts[i] >= need)
+                if len(found) >= enough or (upper[k] - lower[k] == n).all():
+                    out[i] = found
+                    done.append(k)
+            going = np.delete(going, done)
+        return out
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int):
         """Yield (query_id, ids, scores) of the nearest verified vectors, nearest first, ties to the smaller id."""
-        n, lines = len(self.vectors), len(self.values)
-        need, enough = int(np.ceil(COLLIDE * lines)), VERIFY * n + top + 1
-        step = 0
+        enough = VERIFY * len(self.vectors) + top + 1
         for begin in range(0, len(queries), 256):
-            steps = self.windows(queries[begin : begin + 256])
-            step = min(step, len(steps) - 1)
-
-            def collided(k: int, i: int) -> np.ndarray:
-                low, high = steps[k][0][i, :, None], steps[k][1][i, :, None]
-                kind = self.places.dtype  # unsigned: a place before the window wraps round to beyond its size
-                inside = (self.places - low.astype(kind)) < (high - low).astype(kind)
-                return np.flatnonzero(inside.sum(axis=0, dtype=np.uint8 if lines < 256 else np.uint32) >= need)
-
-            for i, (name, q) in enumerate(zip(query_ids[begin : begin + 256], queries[begin : begin + 256])):
-                # the first step with enough collisions; the search for it begins where the last query's ended
-                found = collided(step, i)
-                while step and len(found) >= enough and len(less := collided(step - 1, i)) >= enough:
-                    step, found = step - 1, less
-                while len(found) < enough and step < len(steps) - 1:
-                    step += 1
-                    found = collided(step, i)
+            part = queries[begin : begin + 256]
+            for name, q, found in zip(query_ids[begin : begin + 256], part, self.collided(part, enough)):
                 scores = (self.vectors[found] * q).sum(axis=1)
                 # no vector below the best top + 1 distinct ones can be among the nearest ids
                 if len(found) > top + 1:
