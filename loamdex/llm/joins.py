@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of keys whose rows are counted; a bucket is crowded from so many times its fair share on, and from so many rows.
-BUCKETS, CROWDED, LEAST = 4096, 8, 20_000
+BUCKETS, CROWDED, LEAST = 4096, 8, 1000
 
 
 def crowded(rows: DataFrame, keys: list[str]) -> dict[int, int]:
