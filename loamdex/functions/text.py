@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that a query's tokens lose, unless nothing would be left.
 STOP_WORDS = (
@@ -85,13 +88,13 @@ def normalize_term(value: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    """The singular of an English word by rule: -ies, then -sses, -xes, -ches, -shes, then -s but not -ss, -us or -is."""
-    keep = word.isin(*SINGULAR) | (F.length(word) <= 3)
+    """The singular of a lower-case English word by rule: -ies, then -es after a hiss, then -s but not -ss; short and listed words stay."""
+    cut = lambda n: word.substr(F.lit(1), F.length(word) - n)
     return (
-        F.when(keep, word)
-        .when(word.endswith("ies") & (F.length(word) > 4), F.concat(word.substr(F.lit(1), F.length(word) - 3), F.lit("y")))
-        .when(word.rlike("(sses|xes|ches|shes)$"), word.substr(F.lit(1), F.length(word) - 2))
-        .when(word.endswith("s") & ~word.rlike("(ss|us|is)$"), word.substr(F.lit(1), F.length(word) - 1))
+        F.when(word.isin(*SINGULAR) | (F.length(word) < 4) | word.endswith("ss"), word)
+        .when(word.endswith("ies"), F.concat(cut(3), F.lit("y")))
+        .when(word.rlike("(s|x|z|ch|sh)es$"), cut(2))
+        .when(word.endswith("s"), cut(1))
         .otherwise(word)
     )
 
@@ -134,24 +137,30 @@ def html_links(html: Column) -> Column:
 
 
 def markdown_links(text: Column) -> Column:
-    """Targets of inline links, wiki links and bare URLs, sorted, each once."""
+    """Targets of inline links, wiki links and bare URLs, trimmed, sorted, each once."""
     text = F.coalesce(text, F.lit(""))
-    inline = F.regexp_extract_all(text, F.lit("\\[[^\\]]*\\]\\(([^)\\s]+)\\)"), F.lit(1))
-    wiki = F.regexp_extract_all(text, F.lit("\\[\\[([^\\]|]+)"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(inline, wiki, extract_all(text, "https?://[^\\s)\\]>\"']+"))))
+    inline = F.regexp_extract_all(text, F.lit("\\[[^\\]]+\\]\\(([^)]+)\\)"), F.lit(1))
+    wiki = F.regexp_extract_all(text, F.lit("\\[\\[([^\\]]+)\\]\\]"), F.lit(1))
+    found = F.transform(F.concat(inline, wiki, extract_all(text, "https?://[^\\s)>\\]]+")), lambda x: F.trim(x))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
 
 
 def entities(text: Column) -> Column:
-    """Camel-case names and runs of two to four capitalised words, sorted, each once."""
-    camel = extract_all(text, "\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b")
-    titled = extract_all(text, "\\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\\b")
+    """Camel-case names and runs of two to four capitalised words, sorted, each once; word edges are Unicode's."""
+    camel = extract_all(text, "(?U)\\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\\b")
+    titled = extract_all(text, "(?U)\\b[A-Z][a-z]+(?:[ \\t]+[A-Z][a-z]+){1,3}\\b")
     return F.array_sort(F.array_distinct(F.concat(camel, titled)))
 
 
+#: Labels in brackets that cite nothing, and what version labels look like.
+NO_CITATION = ("x", "ok", "tbd", "todo", "na", "n/a", "unreleased", "yes", "no", "y", "n")
+VERSION = "^[vV]?[0-9xXyYzZ]+([._-][0-9xXyYzZ]+)*$"
+
+
 def citations(text: Column) -> Column:
-    """Bracketed references, in order, each once whatever its case, without marks and version numbers."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("\\[([A-Za-z0-9][^\\[\\]\\n]{0,60})\\](?!\\()"), F.lit(1))
-    good = F.filter(found, lambda c: ~c.rlike("^(x|X|v?\\d+(\\.\\d+)+)$"))
+    """Bracketed labels, in order, each once whatever its case, without short ones, marks and version numbers."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("\\[@?([A-Za-z0-9_.:-]+)\\]"), F.lit(1))
+    good = F.filter(found, lambda c: (F.length(c) >= 3) & ~F.lower(c).isin(*NO_CITATION) & ~c.rlike(VERSION))
     low = F.transform(good, F.lower)
     return F.filter(good, lambda c, i: F.array_position(low, F.lower(c)) == i + 1)
 
@@ -161,11 +170,17 @@ def strip_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)\\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(\r?\n|\\z)", "")
 
 
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatible characters as one (NFKC), no case, single blanks: Spark has no function for the first two."""
+    plain = lambda t: t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold()
+    return text.map(lambda t: " ".join(plain(t).split()), na_action="ignore")
+
+
 def normalized_sentence(text: Column) -> Column:
-    """What two remembered sentences share if they say the same: lower case, single blanks, no closing marks, frame or article."""
-    plain = F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), "\\s+", " ")), "[.,;:!? ]+$", "")
-    framed = F.regexp_replace(plain, "^(" + "|".join(FRAMES) + ")[ ,:;-]+", "")
-    return F.regexp_replace(framed, "^(the|an|a) ", "")
+    """What two remembered sentences share if they say the same: folded, no closing marks, no opening frame, then no article."""
+    framed = F.regexp_replace(F.regexp_replace(folded(text), "[.,;:!? ]+$", ""), "^(" + "|".join(FRAMES) + ")[ \t:,–—-]*", "")
+    return F.trim(F.regexp_replace(framed, "^(the|an|a) ", ""))
 
 
 def digest(*parts: Column) -> Column:

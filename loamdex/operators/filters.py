@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import cut, small
+
 
 def criteria(hits: DataFrame, exclude_sources=(), node_types=(), source_types=(), min_score: float | None = None) -> DataFrame:
     """Hits that fit, to be applied after ranking; order is theirs. Empty criteria let all pass."""
@@ -94,11 +96,30 @@ def memory_filter(rows: DataFrame, records: DataFrame, policy: MemoryPolicy, now
     return joined.filter(test).select(rows["*"])
 
 
+def excluded(rows: DataFrame, column: str, fragments: DataFrame) -> DataFrame:
+    """Rows whose column holds one of the fragments (fragment), whatever the case; a null holds none.
+
+    A fragment is looked for where its first word of three letters or digits begins, so rows and fragments meet on such
+    beginnings; fragments without one are tried on every row, and are broadcast if they are few.
+    """
+    low = F.lower(F.col(column))
+    head = lambda c: F.regexp_extract(F.lower(c), "[a-z0-9]{3}", 0)
+    asked = fragments.select(F.lower("fragment").alias("fragment"), head(F.col("fragment")).alias("head")).filter("fragment != ''").distinct()
+    threes = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))), lambda x: F.length(x) == 3))
+    keyed = cut(rows.withColumn("key", F.monotonically_increasing_id()), "rows-to-exclude")  # written, so that a row keeps its number
+    listed = keyed.filter(F.col(column).isNotNull()).select("key", low.alias("low"), F.explode(threes).alias("head"))
+    by_head = listed.join(asked.filter("head != ''"), "head").filter(F.contains("low", F.col("fragment"))).select("key")
+    rest = small(asked.filter("head = ''").select("fragment"), 10_000)
+    by_all = keyed.select("key", low.alias("low")).join(rest, F.contains("low", F.col("fragment"))).select("key")
+    return keyed.join(by_head.unionByName(by_all).distinct(), "key", "left_semi").drop("key")
+
+
 def sampled(trace: Column, rate: float) -> Column:
     """Whether a trace is sampled: always the same answer for one trace, and a trace sampled at a rate is sampled at higher ones."""
-    return F.pmod(F.xxhash64(trace), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
+    number = F.conv(F.substring(F.md5(trace.cast("string").cast("binary")), 1, 12), 16, 10).cast("long")
+    return F.pmod(number, F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
 
 
-def unchanged(listing: DataFrame, known: DataFrame) -> DataFrame:
+def to_read(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Items of a listing that a sync must read: (path, sha256) isn't known."""
     return listing.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti")

@@ -45,6 +45,11 @@ def fuse(candidates: DataFrame, top: int = 10, k: int | Column = RRF_K, by: tupl
     return alone.withColumn("rank", rank).filter(F.col("rank") <= top).select(*by, "rank", "key", "node", "kind", "score", "best", "arms")
 
 
+def agreement(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(by..., results, agreed): how many of the fused hits more than one arm has found."""
+    return hits.groupBy(*by).agg(F.count(F.lit(1)).alias("results"), F.count_if(F.contains("arms", F.lit("+"))).alias("agreed"))
+
+
 def survivors(candidates: DataFrame, hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(by..., arm, candidates, served): how many of each arm's candidates are among the hits."""
     served = hits.select(*by, "key").distinct().withColumn("hit", F.lit(1))

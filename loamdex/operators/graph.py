@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.functions import text as T
 from loamdex.session import cut
 
 HIERARCHY = "contains"
@@ -66,7 +67,8 @@ def diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def fold(rows: DataFrame, *columns: str) -> DataFrame:
     """One row (n, fold): the count and an order-free digest of rows that adding or taking a row changes reversibly."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("fold"))
+    number = F.conv(F.substring(T.digest(*[F.col(c) for c in columns]), 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(number).alias("fold"))
 
 
 def delta(before: DataFrame, after: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -91,7 +93,8 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, edge_types:
     most). ``budget`` bounds the nodes of each start, itself included, in the order in which they are seen.
     """
     used = edges.filter(F.col("type").isin(*edge_types)) if edge_types else edges
-    pairs = used.groupBy("src", "dst").agg(F.min(F.when(F.col("type") == HIERARCHY, 0).otherwise(1)).alias("group"))
+    # made once, as every level reads it
+    pairs = cut(used.groupBy("src", "dst").agg(F.min(F.when(F.col("type") == HIERARCHY, 0).otherwise(1)).alias("group")), "graph-pairs")
     none = F.lit(None).cast("string")
     seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), none.alias("parent"), F.lit(1).cast("long").alias("pos")).distinct()
     last = seen
@@ -128,6 +131,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 8) -> DataFr
     Half of the way is walked from each end, all pairs at once; the two walks meet in a join on the node.
     """
     both = edges.select("src", "dst", F.lit("link").alias("type")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("link").alias("type"))).distinct()
+    both = cut(both, "graph-both-ways")
     ahead = neighbours(both, pairs.select(F.col("src").alias("id")), (depth + 1) // 2).select(F.col("start").alias("src"), "id", F.col("depth").alias("a"))
     back = neighbours(both, pairs.select(F.col("dst").alias("id")), max(1, depth // 2)).select(F.col("start").alias("dst"), "id", F.col("depth").alias("b"))
     met = pairs.select("src", "dst").distinct().join(ahead, "src").join(back, ["dst", "id"])
@@ -150,21 +154,71 @@ def node_link(nodes: DataFrame, edges: DataFrame, node_limit: int | None = None,
     return kept, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def with_bag(rows: DataFrame, promoted: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the promoted columns as they are and all others as one JSON object, bag; null values are left out of it."""
+    return rows.select(*promoted, F.to_json(F.struct(*[c for c in rows.columns if c not in promoted])).alias("bag"))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+
+
+def rung(text: Column, whole: float, every: float, some: float) -> Column:
+    """How well a field fits (q, tokens): it is the query, holds it (the mean of whole and every), holds all tokens, any, or none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = F.size(F.filter("tokens", lambda t: F.contains(low, t)))
+    return F.when(low == F.col("q"), whole).when(F.contains(low, F.col("q")), (whole + every) / 2).when(held == F.size("tokens"), every).when(held > 0, some).otherwise(0.0)
+
+
+def _asked(tokens: DataFrame) -> DataFrame:
+    return tokens.select("query_id", F.lower("query").alias("q"), "tokens", F.explode("tokens").alias("word"))
+
+
+#: What the query itself, all of its tokens, and any token are worth in a node's fields, and in an edge's.
+NODE_FIELDS = {"label": (1.0, 0.9, 0.6), "name": (0.95, 0.85, 0.55), "type": (0.5, 0.5, 0.5)}
+EDGE_TYPE, EDGE_END = (0.65, 0.55, 0.45), (0.5, 0.4, 0.3)
+
+
 def node_scores(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, id, score, field): the best rung over a node's label and type; tokens are (query_id, query, tokens).
+    """(query_id, id, score, field): the best rung over a node's label, name and type, the earlier field where two are equal.
+
+    ``tokens`` are (query_id, query, tokens). Candidates share a word with the query, so the join is on words.
+    """
+    fields = {f: steps for f, steps in NODE_FIELDS.items() if f in nodes.columns}
+    words = F.array_distinct(F.concat(*[_words(F.replace(F.col(f), F.lit("_"), F.lit(" ")) if f == "type" else F.col(f)) for f in fields]))
+    listed = nodes.select("id", *fields, F.explode(words).alias("word"))
+    pairs = listed.join(_asked(tokens), "word").select("query_id", "id", *fields, "q", "tokens").distinct()
+    scored = F.array(*[F.struct(rung(F.col(f), *steps).alias("s"), F.lit(-n).alias("o"), F.lit(f).alias("f")) for n, (f, steps) in enumerate(fields.items())])
+    return pairs.withColumn("best", F.array_max(scored)).select("query_id", "id", F.round("best.s", 3).alias("score"), F.col("best.f").alias("field")).filter("score > 0")
+
+
+def edge_scores(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, src, dst, type, score): the best rung over an edge's type and the labels of its ends.
 
-    A field that is the query scores its whole, one that holds it the mean of whole and all, one with all tokens
-    less, one with any token least. Candidates share a word with the query, so the join is on words.
+    Words are listed for nodes and for types, not for edges: only edges at a node or of a type that shares a word
+    with a query are looked at.
     """
-    words = F.array_distinct(F.flatten(F.array(F.regexp_extract_all(F.lower("label"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), F.split(F.lower("type"), "_"))))
-    listed = nodes.select("id", "type", "label", F.explode(words).alias("word"))
-    asked = tokens.select("query_id", F.lower("query").alias("q"), "tokens", F.explode("tokens").alias("word"))
-    pairs = listed.join(asked, "word").select("query_id", "id", "type", "label", "q", "tokens").distinct()
-
-    def rung(text: Column, whole: float, every: float, some: float) -> Column:
-        low = F.lower(text)
-        held = F.size(F.filter("tokens", lambda t: F.contains(low, t)))
-        return F.when(low == F.col("q"), whole).when(F.contains(low, F.col("q")), (whole + every) / 2).when(held == F.size("tokens"), every).when(held > 0, some).otherwise(0.0)
-
-    fields = F.array(F.struct(rung(F.col("label"), 1.0, 0.9, 0.6).alias("s"), F.lit(1).alias("o"), F.lit("label").alias("f")), F.struct(rung(F.col("type"), 0.5, 0.5, 0.5).alias("s"), F.lit(0).alias("o"), F.lit("type").alias("f")))
-    return pairs.withColumn("best", F.array_max(fields)).select("query_id", "id", F.round("best.s", 3).alias("score"), F.col("best.f").alias("field")).filter("score > 0")
+    asked = _asked(tokens)
+    ends = nodes.select("id", "label", F.explode(F.array_distinct(_words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "q", "tokens", "id", "label").distinct()
+    fit = ends.select("query_id", "id", rung(F.col("label"), *EDGE_END).alias("s")).filter("s > 0")
+    at = lambda end: edges.join(fit.withColumnRenamed("id", end), end).select("query_id", "src", "dst", "type", "s")
+    types = edges.select("type").distinct()
+    kinds = types.select("type", F.explode(_words(F.replace("type", F.lit("_"), F.lit(" ")))).alias("word")).join(asked, "word").select("query_id", "q", "tokens", "type").distinct()
+    kinds = kinds.select("query_id", "type", rung(F.replace("type", F.lit("_"), F.lit(" ")), *EDGE_TYPE).alias("s")).filter("s > 0")
+    by_type = edges.join(kinds, "type").select("query_id", "src", "dst", "type", "s")
+    return at("src").unionByName(at("dst")).unionByName(by_type).groupBy("query_id", "src", "dst", "type").agg(F.round(F.max("s"), 3).alias("score"))
+
+
+def search(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, top: int = 10) -> DataFrame:
+    """(query_id, rank, kind, id, dst, score): the best nodes by score, then label and id; edges fill what they leave of ``top``."""
+    scored = node_scores(nodes, tokens).join(nodes.select("id", "label"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "id")
+    best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    best = best.select("query_id", F.lit("node").alias("kind"), "id", F.lit("").alias("dst"), "score", "place")
+    links = edge_scores(nodes, edges, tokens)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "src", "dst", "type")
+    links = links.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    links = links.select("query_id", F.lit("relationship").alias("kind"), F.col("src").alias("id"), "dst", "score", (F.col("place") + top).alias("place"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    both = best.unionByName(links).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+    return both.select("query_id", "rank", "kind", "id", "dst", "score")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
+from loamdex.session import cut, small
 
 K1, B = 1.2, 0.75
 #: Weights of the fields of a chunk.
@@ -15,30 +18,55 @@ MATCH_TERMS, SCORE_TERMS = 4, 12
 #: Slash depth, test folder and sample folder each make a hit costlier.
 DEPTH, TEST, SAMPLE = 0.05, 0.60, 0.30
 FLOOR, PREFER = 0.25, 0.35
+#: Query terms that are broadcast at most.
+MOST_TERMS = 200_000
 
 
-def postings(chunks: DataFrame, key: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
-    """(key, term, tf, len): term counts of each row weighted by field, with the row's weighted length.
+def index(chunks: DataFrame, key: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
+    """(key, len, terms array of (term, tf)): one row for each row with tokens; counts and length are weighted by field.
 
-    Only the named columns are read. A row's tokens are counted before they are shuffled.
+    Terms are counted inside their row: its tokens are put in order, and each run of equal ones is a term. Nothing is
+    shuffled, and only the named columns are read.
     """
     fields = {"text": 1.0} if fields is None else fields
 
     def weighted(column: str, weight: float) -> Column:
-        return F.transform(T.index_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+        return F.transform(T.index_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    def counted(tokens: Column, starts: Column) -> Column:
+        upto = lambda j: F.coalesce(F.get(starts, j + 1), F.size(tokens))
+        if len(fields) == 1:  # every token of a row weighs the same
+            tf = lambda s, j: (upto(j) - s) * F.get(tokens, s)["w"]
+        else:
+            tf = lambda s, j: F.aggregate(F.slice(tokens, s + 1, upto(j) - s), F.lit(0.0), lambda x, t: x + t["w"])
+        return F.transform(starts, lambda s, j: F.struct(F.get(tokens, s)["term"].alias("term"), tf(s, j).alias("tf")))
+
+    def starts_of(tokens: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | (F.get(tokens, i)["term"] != F.get(tokens, F.greatest(i - 1, F.lit(0)))["term"]))
+
+    def indexed(tokens: Column) -> Column:
+        length = F.aggregate(tokens, F.lit(0.0), lambda x, t: x + t["w"])
+        return F.struct(length.alias("len"), once(starts_of(tokens), lambda starts: counted(tokens, starts)).alias("terms"))
+
+    ordered = F.sort_array(F.concat(*[weighted(c, w) for c, w in fields.items()]))
+    made = once(ordered, lambda tokens: F.when(F.size(tokens) > 0, indexed(tokens)))
+    return chunks.select(key, made.alias("made")).filter("made is not null").select(key, "made.len", "made.terms")
+
 
-    per_field = [weighted(c, w) for c, w in fields.items()]
-    length = sum((F.size(T.index_tokens(F.col(c))) * F.lit(w) for c, w in fields.items()), F.lit(0.0))
-    # lengths are made before rows are multiplied
-    rows = chunks.select(key, length.alias("len"), F.concat(*per_field).alias("terms")).select(key, "len", F.explode("terms").alias("t"))
-    return rows.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"), F.first("len").alias("len"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where the value is made a single time for each row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def statistics(posts: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def postings(indexed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf, len) of an index."""
+    return indexed.select(key, "len", F.explode("terms").alias("t")).select(key, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"), "len")
+
+
+def statistics(indexed: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """((term, df), one row with the number of rows and their mean length)."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = posts.select(key, "len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
-    return df, sizes
+    df = indexed.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df, indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -66,16 +94,19 @@ def structural_prior(path: Column, preferred: Column | None = None) -> Column:
     return F.greatest(F.lit(FLOOR), cost)
 
 
-def bm25(queries: DataFrame, posts: DataFrame, key: str = "doc_id", top: int = 20, prior: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, indexed: DataFrame, key: str = "doc_id", top: int = 20, prior: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, key, score) of the best rows for each of (query_id, query).
 
     Tokens are alternatives. A hit holds one of the query's rarest terms, and is scored on some more.
-    ``prior`` gives (key, prior) by which scores are divided. Equal scores go by key. The query's terms are
-    few, so they are joined to postings by broadcast where their size allows it.
+    ``prior`` gives (key, prior) by which scores are divided. Equal scores go by key. Postings of terms that no
+    query asks for are dropped where the index is read; the terms asked for are broadcast if they are few.
     """
-    df, sizes = statistics(posts, key)
+    asked = queries.select(F.explode(T.query_tokens(F.col("query"))).alias("term")).distinct()
+    held = postings(indexed, key).join(small(asked, MOST_TERMS), "term")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = query_terms(queries, df)
-    hits = posts.join(terms, "term").crossJoin(F.broadcast(sizes))  # one row of sizes
+    sizes = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
+    hits = postings(indexed, key).join(small(cut(terms, "query-terms"), MOST_TERMS), "term").crossJoin(F.broadcast(sizes))  # one row of sizes
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     scored = hits.groupBy("query_id", key).agg(
         F.sum(idf(F.col("n"), F.col("df")) * saturated).alias("score"), F.min("rarity").alias("rarest")
@@ -88,10 +119,10 @@ def bm25(queries: DataFrame, posts: DataFrame, key: str = "doc_id", top: int = 2
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", key, "score")
 
 
-def vocabulary(posts: DataFrame, top: int = 64) -> DataFrame:
+def vocabulary(df: DataFrame, top: int = 64) -> DataFrame:
     """(term, df) of the most widespread telling terms: longer than three characters, without digits or noise words."""
     good = (F.length("term") > 3) & ~F.col("term").rlike("[0-9]") & ~F.col("term").isin(*T.VOCABULARY_NOISE)
-    return posts.filter(good).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(top)
+    return df.filter(good).orderBy(F.desc("df"), "term").limit(top)
 
 
 def expand_aliases(tokens: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,3 +134,12 @@ def expand_aliases(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     extra = exploded.join(keyed, "token").filter(fires).groupBy("query_id").agg(F.flatten(F.collect_list("values")).alias("extra"))
     joined = tokens.join(extra, "query_id", "left")
     return joined.select("query_id", F.array_sort(F.array_union("tokens", F.coalesce("extra", F.expr("array()")))).alias("tokens"))
+
+
+def preferred(tokens: DataFrame, rules: DataFrame) -> DataFrame:
+    """(query_id, prefix): path prefixes that preference rules (terms, values) prefer for a query: one of their terms is there, whole or in all its parts."""
+    keyed = rules.select("values", F.explode("terms").alias("term"))
+    keyed = keyed.select("values", "term", F.explode(F.array_distinct(F.array("term", F.split("term", "_")[0]))).alias("token"))
+    fires = F.array_contains("tokens", F.col("term")) | (F.size(F.array_except(F.split("term", "_"), F.col("tokens"))) == 0)
+    asked = tokens.select("query_id", "tokens", F.explode("tokens").alias("token"))
+    return asked.join(keyed, "token").filter(fires).select("query_id", F.explode("values").alias("prefix")).distinct()

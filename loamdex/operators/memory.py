@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
+from loamdex.operators import components as C
 from loamdex.session import cut
 
 HALF_LIFE_DAYS = 90.0
 SCOPE_WEIGHT = {"org": 1.25, "user": 1.0, "session": 0.6}
 SIMILAR = 0.6
+#: Sets meet on a single word that no more sets than this list, and on two words where both are more common.
+RARE = 32
+#: Longs of a set's signature.
+SIGNATURE = 8
 
 
 def project(records: DataFrame) -> DataFrame:
@@ -50,53 +55,101 @@ def over_cap(records: DataFrame, caps: dict[str, int], order: str = "salience")
     return records.withColumn("place", place).filter(F.col("place") > cap).drop("place")
 
 
+def _distinct_sets(records: DataFrame, bucket: tuple[str, ...]) -> DataFrame:
+    """(record_id, place, words, n): each record's bucket, null like any other value, as a number, and its set of words."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(T.normalized_sentence(F.col("text")), "[^a-z0-9]+"), lambda w: F.length(w) > 1)))
+    place = F.xxhash64(*[x for c in bucket for x in (F.col(c), F.col(c).isNull())]) if bucket else F.lit(0).cast("long")
+    return records.select("record_id", place.alias("place"), words.alias("words")).filter("size(words) > 0")
+
+
+def signature(words: Column) -> Column:
+    """Which of 64 * SIGNATURE bits the words' hashes set, as an array of longs."""
+    bits = F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * SIGNATURE)).cast("int")))
+    own = lambda k: F.filter(bits, lambda b: F.floor(b / 64) == k)
+    part = lambda k: F.aggregate(own(k), F.lit(0).cast("long"), lambda s, b: s + F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64))))
+    return F.transform(F.sequence(F.lit(0), F.lit(SIGNATURE - 1)), part)
+
+
 def similar_pairs(records: DataFrame, bucket: tuple[str, ...], threshold: float = SIMILAR) -> DataFrame:
-    """(a, b, jaccard) of records (record_id, text) within a bucket whose sets of words are alike.
+    """(a, b, jaccard) of records (record_id, text) within a bucket whose sets of words are alike, a chain standing for equal sets.
 
-    Each record is listed under its rarest words only, as many as any record that reaches the threshold must
-    share one of, so pairs meet on rare words and none is lost. Equal sets are folded into their first record
-    before, so copies make no pairs of their own.
+    Sets that reach the threshold share at least two of their rarest words, so many of which are listed for each that none
+    is lost. Two meet on a rare word, or where the words are not rare on two of them. Equal sets are folded into
+    their first record before, so copies make no pairs of their own: each is linked with that first record.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(T.normalized_sentence(F.col("text")), "[^a-z0-9]+"), lambda w: F.length(w) > 1)))
-    sets = records.select("record_id", *bucket, words.alias("w")).filter("size(w) > 0")
-    folded = sets.groupBy(*bucket, "w").agg(F.min("record_id").alias("id"), F.sort_array(F.collect_list("record_id")).alias("copies"))
-    folded = cut(folded, "word-sets")
-    counts = folded.select(*bucket, F.explode("w").alias("word")).groupBy(*bucket, "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = folded.select("id", *bucket, F.size("w").alias("size"), F.explode("w").alias("word")).join(counts, [*bucket, "word"])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
-    listed = ranked.withColumn("place", place).filter(F.col("place") <= prefix).select("id", "size", *bucket, "word")
-    left = listed.select(F.col("id").alias("a"), F.col("size").alias("n"), *bucket, "word")
-    right = listed.select(F.col("id").alias("b"), F.col("size").alias("m"), *bucket, "word")
-    # sizes of sets that are alike are alike too
-    alike = (F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    pairs = left.join(right, [*bucket, "word"]).filter(alike).select("a", "b").distinct()
-    whole = folded.select("id", "w")
-    joined = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+    sets = cut(_distinct_sets(records, bucket), "word-sets")
+    copies = sets.withColumn("key", F.xxhash64("place", "words"))
+    heads = cut(copies.groupBy("place", "words").agg(F.min("record_id").alias("id"), F.first("key").alias("key")), "distinct-sets")
+    if not 0.5 < threshold <= 1:
+        raise ValueError("sets meet on two words, so the threshold must be over one half")
+    near = _near_sets(heads.select("id", "place", "words"), threshold)
+    same = copies.select("record_id", "place", "words", "key").join(heads, ["key", "place", "words"]).filter("record_id != id")
+    return near.unionByName(same.select(F.col("id").alias("a"), F.col("record_id").alias("b"), F.lit(1.0).alias("jaccard")))
+
+
+def _near_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of different sets (id, place, words)."""
+    word = F.explode("words").alias("word")
+    hashed = sets.select("id", "place", F.size("words").alias("n"), word).select("id", "n", F.xxhash64("place", "word").alias("word"))
+    counts = hashed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # a word of one set alone makes no pair, but it takes a place among the set's rarest words
+    ranked = hashed.join(counts, "word").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_rarity"))
+    listed = F.least(F.col("n"), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 2).cast("int"))
+    ranked = ranked.select("id", "n", F.transform(F.slice("by_rarity", F.lit(1), listed), lambda x, i: F.struct(x["df"].alias("df"), x["word"].alias("word"), i.alias("i"))).alias("first"))
+    rare = F.filter("first", lambda x: x["df"].between(2, RARE))
+    common = F.filter("first", lambda x: x["df"] > RARE)
+    ranked = ranked.select("id", "n", rare.alias("rare"), common.alias("common"))
+    alone = F.transform("rare", lambda x: F.struct(x["word"].alias("key"), x["i"].alias("i")))
+    both = F.flatten(F.transform("common", lambda x, k: F.transform(F.slice("common", k + 2, F.size("common")), lambda y: F.struct(F.xxhash64(x["word"], y["word"]).alias("key"), y["i"].alias("i")))))
+    keys = cut(ranked.select("id", "n", F.explode(F.concat(alone, both)).alias("k")).select("id", "n", "k.*"), "set-keys")
+    met = keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
+    left, right = met.toDF("key", "a", "n", "i"), met.toDF("key", "b", "m", "j")
+    # sizes of sets that are alike are alike too, and what comes behind the first shared word must be long enough
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-6
+    alike = (F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)
+    pairs = left.join(right, "key").filter(alike).filter(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1 >= need)
+    pairs = pairs.select("a", "b").distinct()
+    marked = cut(sets.select("id", "words", signature(F.col("words")).alias("bits")), "set-signatures")
+    bits = marked.select("id", F.size("words").alias("n"), "bits")
+    close = pairs.join(bits.toDF("a", "n", "x"), "a").join(bits.toDF("b", "m", "y"), "b")
+    # words that only one set has set bits that the other lacks, unless they fall on bits that others have set
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    close = close.filter((F.col("n") + F.col("m") - apart) / 2 >= need).select("a", "b")
+    whole = marked.select("id", "words")
+    joined = close.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     jaccard = F.round(shared / (F.size("x") + F.size("y") - shared), 6)
-    near = joined.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    # a chain through the copies of each set stands for all of their pairs
-    copies = folded.filter("size(copies) > 1").select(F.explode(F.zip_with(F.slice("copies", F.lit(1), F.size("copies") - 1), F.slice("copies", F.lit(2), F.size("copies")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).filter("p.b is not null")
-    return near.unionByName(copies.select("p.a", "p.b", F.lit(1.0).alias("jaccard")))
-
-
-def settle(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, cluster) of nodes in (a, b): the least id that links reach, by passing least labels on until none changes."""
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = cut(edges, "cluster-edges")
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("cluster"))
-    for _ in range(rounds):
-        labels = cut(labels, "cluster-labels")
-        heard = edges.join(labels.toDF("b", "heard"), "b").groupBy(F.col("a").alias("id")).agg(F.min("heard").alias("heard"))
-        moved = labels.join(heard, "id").select("id", "cluster", F.least("cluster", "heard").alias("near"))
-        # follow the label's own label as well, which halves long chains
-        jumped = moved.join(labels.toDF("near", "far"), "near", "left").select("id", "cluster", F.least("near", F.coalesce("far", "near")).alias("next"))
-        jumped = cut(jumped, "cluster-next")
-        if jumped.filter("next != cluster").isEmpty():
-            return labels
-        labels = jumped.select("id", F.col("next").alias("cluster"))
-    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    return joined.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+
+def clusters(records: DataFrame, bucket: tuple[str, ...], threshold: float = SIMILAR) -> DataFrame:
+    """(id, cluster, links, medoid) of every record: the least id that links reach, how many links it has, and whether it stands for its cluster.
+
+    The medoid has the greatest sum of similarities over its links, ties to the least id. A record without words or
+    links is a cluster of its own and its medoid. Copies of one set are linked with its first record.
+    """
+    pairs = cut(similar_pairs(records, bucket, threshold), "similar-pairs")
+    named = C.components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    ends = pairs.select(F.col("a").alias("id"), "jaccard").unionByName(pairs.select(F.col("b").alias("id"), "jaccard"))
+    sums = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("jaccard").cast("decimal(18,6)")).alias("total"))  # the same in any order
+    found = records.select(F.col("record_id").alias("id")).distinct().join(named.join(sums, "id"), "id", "left")
+    found = cut(found.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("total", F.lit(0)).alias("total")), "record-clusters")
+    heads = found.groupBy("cluster").agg(F.min_by("id", F.struct(-F.col("total"), "id")).alias("head"))
+    return found.join(heads, "cluster").select("id", "cluster", "links", (F.col("id") == F.col("head")).alias("medoid"))
+
+
+def compaction(found: DataFrame) -> DataFrame:
+    """(cluster, canonical, absorbed) of ``clusters`` with more than one record: the medoid and how many others it takes in."""
+    merged = found.groupBy("cluster").agg(F.min(F.when(F.col("medoid"), F.col("id"))).alias("canonical"), (F.count(F.lit(1)) - 1).alias("absorbed"))
+    return merged.filter("absorbed > 0")
+
+
+def demoted(records: DataFrame, found: DataFrame) -> DataFrame:
+    """``records`` with subsumed_by and tier after compaction: absorbed ones are cold and name the record that stands for them; validity stays."""
+    heads = compaction(found).select("cluster", "canonical")
+    members = found.join(heads, "cluster").filter("id != canonical").select(F.col("id").alias("record_id"), "canonical")
+    joined = records.drop("subsumed_by").join(members, "record_id", "left")
+    return joined.withColumns({"tier": F.when(F.col("canonical").isNotNull(), F.lit("cold")).otherwise(F.col("tier")), "subsumed_by": F.col("canonical")}).drop("canonical")
 
 
 def subsumed_by(records: DataFrame, hops: int = 8) -> DataFrame:
@@ -122,3 +175,23 @@ def shared_prefix(paths: DataFrame, by: str) -> DataFrame:
     same = F.filter(F.sequence(F.lit(1), F.least(F.size("lo"), F.size("hi"))), lambda i: F.slice("lo", F.lit(1), i) == F.slice("hi", F.lit(1), i))
     shared = F.greatest(F.coalesce(F.array_max(same), F.lit(0)), F.lit(0))
     return ends.select(by, F.array_join(F.slice("lo", F.lit(1), shared), "/").alias("prefix"))
+
+
+def questions(turns: DataFrame) -> DataFrame:
+    """(question, asked, first_conv, answer) of conversations (conv_id, turn, role, text): questions that say the same are one, and the last answer wins.
+
+    An answer is the assistant's turn right after the user's.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    following = F.when(F.lead("role").over(order) == "assistant", F.lead("text").over(order))
+    asked = turns.withColumn("answer", following).filter("role = 'user'").withColumn("question", T.normalized_sentence(F.col("text")))
+    last = F.max_by("answer", F.when(F.col("answer").isNotNull(), F.struct("conv_id", "turn")))
+    return asked.groupBy("question").agg(F.count(F.lit(1)).alias("asked"), F.min("conv_id").alias("first_conv"), last.alias("answer"))
+
+
+def unanswered(turns: DataFrame, least: int = 2, length: int = 4) -> DataFrame:
+    """(term, conversations): terms of a length that users of so many conversations hold, and no assistant's turn in any."""
+    words = turns.select("conv_id", "role", F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term")).filter(F.length("term") >= length)
+    asked = words.filter("role = 'user'").select("conv_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("conversations"))
+    answered = words.filter("role = 'assistant'").select("term").distinct()
+    return asked.filter(F.col("conversations") >= least).join(answered, "term", "left_anti")

@@ -6,11 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words that the hashing embedder takes for others.
 SYNONYMS = {"automobile": "car", "vehicle": "car", "physician": "doctor", "clinician": "doctor", "k8s": "kubernetes"}
@@ -19,8 +18,8 @@ EMBED_DIMS = 64
 QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
 
 
-def nearest(queries: DataFrame, rows: DataFrame, top: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, cosine, score) of each query's nearest other rows by exact cosine, rounded to six digits.
+def nearest(queries: DataFrame, rows: DataFrame, top: int = 10, others: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, cosine, score) of each query's nearest rows by exact cosine, rounded to six digits; with ``others`` not its own vec_id.
 
     Both tables hold (vec_id, embedding). Blocks of queries meet blocks of rows, each block keeps its best, and
     the best of all blocks are ranked: no table is broadcast or gathered. Vectors without length take no part.
@@ -43,7 +42,7 @@ def nearest(queries: DataFrame, rows: DataFrame, top: int = 10) -> DataFrame:
                 a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
             ids, names = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
             for name, cos in zip(names, np.round(a @ b.T, 6)):
-                fine = np.flatnonzero((ids != name) & np.isfinite(cos))
+                fine = np.flatnonzero(((ids != name) | (not others)) & np.isfinite(cos))
                 pick = fine[np.lexsort((ids[fine], -cos[fine]))[:top]]
                 out[0] += [name] * len(pick)
                 out[1] += ids[pick].tolist()
@@ -68,38 +67,65 @@ def hash_vector(token: str) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hash_embedding(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unit vectors of token lists: sums of vectors made from each token's hash. Without tokens, all zeros."""
-    known: dict[str, np.ndarray] = {}
+def hash_embedding(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, embedding) of rows (key, tokens): unit vectors, sums of vectors made from each token's hash; without tokens, all zeros.
+
+    Each task makes a token's vector once for its whole batch, and a batch's sums are one product of matrices' rows.
+    """
+    kind = dict(tokens.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.fill_null(batch.column("tokens"), [])
+            flat = lists.flatten().dictionary_encode()
+            words = [SYNONYMS.get(w, w) for w in flat.dictionary.to_pylist()]
+            table = np.stack([hash_vector(w) for w in words]) if words else np.zeros((0, EMBED_DIMS))
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            total = np.zeros((len(lists), EMBED_DIMS))
+            np.add.at(total, row, table[flat.indices.to_numpy(zero_copy_only=False)])
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            total = np.divide(total, length, out=total, where=length > 0)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * EMBED_DIMS, pa.int32()), pa.array(total.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), made], [key, "embedding"])
+
+    return tokens.select(key, "tokens").mapInArrow(run, f"{key} {kind}, embedding array<double>")
+
+
+def term_vectors(terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, embedding) of rows (key, term, tf): each term adds its count to one of 64 places, with a sign, by its MD5.
+
+    Only a row's sums by place are shuffled. A row without terms has no vector.
+    """
+    digest = F.md5(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), F.col("term")), F.col("term")).cast("binary"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
+    placed = terms.select(key, (number(1, 2) % EMBED_DIMS).alias("dim"), (F.when(number(3, 1) < 8, 1.0).otherwise(-1.0) * F.col("tf")).alias("x"))
+    sums = placed.groupBy(key, "dim").agg(F.sum("x").alias("x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
+    return sums.select(key, F.transform(F.sequence(F.lit(0), F.lit(EMBED_DIMS - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("embedding"))
 
-    def embed(words) -> list[float]:
-        total = np.zeros(EMBED_DIMS)
-        for w in words if words is not None else ():
-            w = SYNONYMS.get(w, w)
-            if w not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[w] = hash_vector(w)
-            total += known[w]
-        length = np.linalg.norm(total)
-        return (total / length if length else total).tolist()
 
-    for batch in tokens:
-        yield batch.map(embed)
+#: A prime, below which hashes are permuted: (a * h + b) modulo it, where a and b follow from the permutation's number.
+PRIME = 2_147_483_647
 
 
 def minhash(terms: DataFrame, by: str, perms: int = 128) -> DataFrame:
-    """(by, perm, least): for each of ``perms`` seeded hashes the least value over a group's distinct terms; partial minima are shuffled."""
-    spread = terms.select(by, "term", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))).alias("perm"))
-    return spread.groupBy(by, "perm").agg(F.min(F.xxhash64("perm", "term")).alias("least"))
+    """(by, perm, least): for each of ``perms`` permutations of hashes the least value over a group's terms, which may repeat.
+
+    All minima are taken in one aggregate without making a row for each permutation; partial minima are shuffled.
+    """
+    hashed = terms.select(by, F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 7), 16, 10).cast("long").alias("h"))
+    least = [F.min((F.col("h") * (i * 48_271 % (PRIME - 1) + 11) + i * 69_621 + 7) % PRIME) for i in range(perms)]
+    return hashed.groupBy(by).agg(F.array(*least).alias("m")).select(by, F.posexplode("m").alias("perm", "least"))
 
 
 def estimated_jaccard(signatures: DataFrame, by: str) -> DataFrame:
-    """(a, b, jaccard) of each pair of groups by the share of equal minima; groups are few, as sources are."""
-    left = signatures.select(F.col(by).alias("a"), "perm", F.col("least").alias("x"))
-    right = signatures.select(F.col(by).alias("b"), "perm", F.col("least").alias("y"))
-    return left.join(right, "perm").filter("a < b").groupBy("a", "b").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("jaccard"))
+    """(a, b, jaccard) of pairs of groups that share at least one minimum, by the share of equal minima; a pair without any is 0.
+
+    Groups meet on equal minima, so pairs that have nothing in common are never made.
+    """
+    perms = signatures.agg(F.countDistinct("perm").alias("perms"))
+    left, right = signatures.select("perm", "least", F.col(by).alias("a")), signatures.select("perm", "least", F.col(by).alias("b"))
+    equal = left.join(right, ["perm", "least"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return equal.crossJoin(F.broadcast(perms)).select("a", "b", (F.col("n") / F.col("perms")).alias("jaccard"))  # one row
 
 
 def missing(chunks: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamdex.functions import text as T
 from loamdex.operators import evaluation as E
 from loamdex.operators import fusion, lexical, tuning
 from loamdex.plans import search
 from loamdex.plans.registry import query
-from loamdex.session import table
+from loamdex.session import cut, small, table
 
 _WEIGHTS = ", ".join(f"('{k}', '{v[0]}', {v[2] * E.STRENGTH[v[1]]})" for k, v in E.EVENTS.items())
 #: What each kind of event of the ledger says of the user's query.
@@ -49,11 +50,32 @@ def evidence_sufficiency(spark, folder):
     return E.sufficiency(_proofs(spark, folder), eligible=40)
 
 
+#: Words of a passage that a document must share with an item to be wanted of it.
+PASSAGE = 8
+_HOLDERS = """runs as (select doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as run from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents)),
+passages as (select item_id as query_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as run from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark)),
+holders as (select distinct query_id, doc_id from passages join runs using (run))"""
+
+
+def _runs(rows, key):
+    """(key, run): the distinct runs of words of each text."""
+    tokens = rows.select(F.col(key), T.index_tokens(F.col("text")).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - PASSAGE + 1), lambda i: F.array_join(F.slice("w", i, F.lit(PASSAGE)), " "))
+    return tokens.filter(F.size("w") >= PASSAGE).select(key, F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def _holders(spark, folder):
+    """(query_id, doc_id): documents that hold a passage of an item."""
+    asked = _runs(table(spark, folder, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    return _runs(table(spark, folder, "documents"), "doc_id").join(small(asked, 500_000), "run").select("query_id", "doc_id").distinct()
+
+
 _RUN = f"""
 with {search._TOKENS}, {search._POSTS}, bm as ({search.BM25.split("with", 1)[1].join(["with", ""])}),
 res as (select query_id, rank, doc_id as target from bm),
 labelled as (select doc_id, case when toxic = 1 then -1 when quality = 1 then 1 end as judgement from labels),
-judg as (select query_id, doc_id as target, judgement from (select distinct item_id as query_id from benchmark) cross join labelled where judgement is not null and doc_id % 40 = query_id % 40
+{_HOLDERS},
+judg as (select query_id, doc_id as target, coalesce(judgement, 1) as judgement from holders left join labelled using (doc_id)
   union select query_id, target, judgement from res join labelled on doc_id = target where judgement is not null),
 seen as (select j.*, coalesce(r.rank, 10000) as rank from judg j left join res r using (query_id, target)),
 ord as (select *, coalesce(sum(case when judgement < 0 then 1 else 0 end) over (partition by query_id order by rank range between unbounded preceding and 1 preceding), 0) as above from seen),
@@ -66,13 +88,13 @@ per as (select query_id, positives, negatives, found, exposed, coalesce(first_ra
 
 
 def _run(spark, folder):
-    """(results, judgements): labels judge what is found, and a fixed fortieth of all labels belongs to each item."""
-    hits = lexical.bm25(search._queries(spark, folder), search._posts(spark, folder)).select("query_id", F.col("rank").cast("long"), F.col("doc_id").alias("target"))
-    known = table(spark, folder, "labels").select(F.col("doc_id").alias("target"), F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 1).alias("judgement")).filter("judgement is not null")
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
-    owned = items.withColumn("part", F.col("query_id") % 40).join(known.withColumn("part", F.col("target") % 40), "part").select("query_id", "target", "judgement")
-    judged = owned.unionByName(hits.join(known, "target").select("query_id", "target", "judgement")).distinct()
-    return hits, judged
+    """(results, judgements): documents that hold a passage of an item are good for it, toxic ones bad; labels judge what else is found."""
+    hits = lexical.bm25(search._queries(spark, folder), search._index(spark, folder))
+    hits = cut(hits.select("query_id", F.col("rank").cast("long"), F.col("doc_id").alias("target")), "run")
+    known = table(spark, folder, "labels").select(F.col("doc_id").alias("target"), F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 1).alias("judgement"))
+    owned = _holders(spark, folder).withColumnRenamed("doc_id", "target").join(known, "target", "left").select("query_id", "target", F.coalesce("judgement", F.lit(1)).alias("judgement"))
+    judged = owned.unionByName(hits.join(known.filter("judgement is not null"), "target").select("query_id", "target", "judgement")).distinct()
+    return hits, cut(judged, "judgements")
 
 
 @query("retrieval_per_query", _RUN + "select * from per")
@@ -123,18 +145,16 @@ def refused_points(spark, folder):
 @query(
     "stage_attribution",
     search._FUSED
-    + """, want as (select item_id as query_id, 'd' || doc_id as target from benchmark join documents on doc_id % 200 = item_id % 200),
+    + f""", {_HOLDERS}, want as (select query_id, 'd' || doc_id as target from holders),
     cand as (select query_id, node as target, true as survived from arms), stage as (select w.*, case when f.rank <= 10 then 'served' when c.target is null then 'lexical_candidates' when f.rank is null then 'fusion' else 'truncation' end as stage
       from want w left join (select distinct query_id, target from cand) c using (query_id, target) left join (select query_id, node as target, min(rank) as rank from f group by 1, 2) f using (query_id, target))
     select stage, count(*) as n, case when stage <> 'served' then round(count(*) / sum(case when stage <> 'served' then count(*) end) over (), 6) end as share from stage group by 1""",
 )
 def stage_attribution(spark, folder):
-    """Where documents that are wanted of each item get lost, as shares."""
-    candidates = search._candidates(spark, folder)
+    """Where documents that hold a passage of an item get lost, as shares."""
+    candidates = cut(search._candidates(spark, folder), "candidates")
     fused = fusion.fuse(candidates, top=10_000).select("query_id", "rank", F.col("node").alias("target"))
-    docs = table(spark, folder, "documents").select("doc_id", (F.col("doc_id") % 200).alias("part"))
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 200).alias("part"))
-    wanted = items.join(docs, "part").select("query_id", F.concat(F.lit("d"), "doc_id").alias("target"))
-    indexed = docs.select(F.concat(F.lit("d"), "doc_id").alias("target"))
+    wanted = _holders(spark, folder).select("query_id", F.concat(F.lit("d"), "doc_id").alias("target"))
+    indexed = table(spark, folder, "documents").select(F.concat(F.lit("d"), "doc_id").alias("target"))
     seen = candidates.select("query_id", "arm", F.col("node").alias("target"), F.lit(True).alias("survived"))
     return tuning.histogram(tuning.attribute(wanted, seen, fused, indexed))

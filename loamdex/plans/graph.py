@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import text as T
 from loamdex.operators import graph as G
 from loamdex.plans.registry import query
-from loamdex.session import table
+from loamdex.session import cut, table
 
 _GRAPH = r"""
 p as (select page_id, url, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages),
@@ -29,7 +29,7 @@ nodes as (
 def _graph(spark, folder):
     pages = table(spark, folder, "pages")
     links = pages.select("page_id", F.explode(T.html_links(F.col("html"))).alias("target"))
-    return G.page_graph(pages, links)
+    return tuple(cut(x, "page-graph") for x in G.page_graph(pages, links))
 
 
 @query("graph_nodes", f"with {_GRAPH} select * from nodes")
@@ -92,21 +92,17 @@ def graph_neighbours(spark, folder):
 
 @query(
     "graph_shortest_paths",
-    f"""with recursive {_GRAPH}, ends as (select 'page:' || path as id, row_number() over (order by path) as n from (select distinct path from p)),
-    pairs as (select a.id as src, b.id as dst from ends a join ends b on b.n = a.n + 1 where a.n % 5 = 0),
+    f"""with recursive {_GRAPH}, roots as ({_ROOTS}), pairs as (select a.id as src, b.id as dst from roots a join roots b on a.id < b.id),
     both_ways as (select src, dst from edges union select dst, src from edges),
-    walk as (select src as start, src as id, 0 as depth from pairs union select start, b.dst, depth + 1 from walk join both_ways b on b.src = id where depth < 4)
+    walk as (select id as start, id, 0 as depth from roots union select start, b.dst, depth + 1 from walk join both_ways b on b.src = id where depth < 8)
     select pairs.src, pairs.dst, min(depth)::int as hops from pairs join walk on walk.start = pairs.src and walk.id = pairs.dst group by 1, 2""",
 )
 def graph_shortest_paths(spark, folder):
-    """Hops between pages that follow one another by path, for every fifth, up to four."""
-    from pyspark.sql import Window
-
+    """Hops between every two hosts, up to eight."""
     nodes, edges = _graph(spark, folder)
-    pages = nodes.filter("type = 'page'").select("id")
-    listed = pages.withColumn("n", F.row_number().over(Window.orderBy("id")))
-    pairs = listed.select(F.col("id").alias("src"), (F.col("n") + 1).alias("m"), "n").join(listed.select(F.col("id").alias("dst"), F.col("n").alias("m")), "m").filter("n % 5 = 0")
-    return G.shortest_paths(edges, pairs.select("src", "dst"), 4).select("src", "dst", F.col("hops").cast("int"))
+    roots = nodes.filter("type = 'directory' and instr(id, '/') = 0").select("id")
+    pairs = roots.select(F.col("id").alias("src")).join(roots.select(F.col("id").alias("dst")), F.col("src") < F.col("dst"))  # the stated pairs: of hosts
+    return G.shortest_paths(edges, pairs).select("src", "dst", F.col("hops").cast("int"))
 
 
 @query(

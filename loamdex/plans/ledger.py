@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamdex.functions import text as T
 from loamdex.operators import chunking, retrieval
 from loamdex.plans.registry import query
 from loamdex.session import table
@@ -12,16 +13,22 @@ from loamdex.streaming import ledger
 
 @query("stream_once", "select event_id, user_id, event_type, round(value, 6) as value from events qualify row_number() over (partition by event_id order by ts) = 1")
 def stream_once(spark, folder):
-    """Every event once, from a stream."""
-    return ledger.drain(ledger.once(ledger.read(spark, folder)).select("event_id", "user_id", "event_type", F.round("value", 6).alias("value")))
+    """Every event once, from a stream of several files that repeat some."""
+    home = ledger.deliver(table(spark, folder, "events"), late="false")
+    once = ledger.once(ledger.read(spark, home, glob="*.parquet"))
+    return ledger.drain(once.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value")))
 
 
 @query(
     "stream_tumbling",
-    "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as value from events group by 1, 2",
+    """with e as (select *, min(ts) over () as a, max(ts) over () as b from events), k as (select * from e where not (event_type = 'error' and ts < a + to_microseconds(((epoch_us(b) - epoch_us(a)) / 4)::bigint)))
+    select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as value from k where date_trunc('day', ts) + interval 1 day <= b - interval 1 hour group by 1, 2""",
 )
 def stream_tumbling(spark, folder):
-    windows = ledger.drain(ledger.tumbling(ledger.read(spark, folder)), "complete")
+    """Windows of a day that are closed, from a stream that repeats events and brings some too late to count."""
+    home = ledger.deliver(table(spark, folder, "events"), late="event_type = 'error'", parts=4)  # what is late is told by the watermark of the batch before the last
+    once = ledger.once(ledger.read(spark, home, glob="*.parquet"))
+    windows = ledger.drain(ledger.tumbling(once, lateness=None))
     return windows.select(F.date_format("begin", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
@@ -64,37 +71,50 @@ def ledger_histogram(spark, folder):
     return table(spark, folder, "events").groupBy("event_type").agg(*bounds, F.count(F.lit(1)).alias("le_inf"))
 
 
-@query("document_chunks")
+_BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query(
+    "document_chunks",
+    rf"""with recursive c as (
+      select doc_id, text, length(text) as n, -1 as begin, 0 as until from documents where length(text) > 0
+      union all select doc_id, text, n, nb, case when nb + 4000 >= n then n when cut > 2000 then nb + cut else nb + 4000 end
+      from (select *, 4000 - strpos(reverse(substr(text, nb + 1, 4000)), chr(10)) as cut0, case when strpos(reverse(substr(text, nb + 1, 4000)), chr(10)) = 0 then -1 else 4000 - strpos(reverse(substr(text, nb + 1, 4000)), chr(10)) end as cut
+        from (select *, case when begin < 0 then 0 else greatest(until - 400, begin + 1) end as nb from c where until < n))),
+    p as (select *, regexp_replace(substr(text, begin + 1, until - begin), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') as piece from c where begin >= 0)
+    select doc_id, (row_number() over (partition by doc_id order by begin) - 1)::int as chunk_index, (length(substr(text, 1, begin)) - length(replace(substr(text, 1, begin), chr(10), '')) + 1)::int as start_line,
+      (length(substr(text, 1, until)) - length(replace(substr(text, 1, until), chr(10), '')) + 1)::int as end_line, length(piece)::int as chars, sha256(piece) as text_hash, greatest(1, length(piece) // 4)::bigint as token_estimate
+    from p where piece <> ''""",
+)
 def document_chunks(spark, folder):
-    """Chunks of every document; tests hold them against a plain loop."""
+    """Chunks of every document."""
     rows = chunking.chunks(table(spark, folder, "documents"))
     return rows.select("doc_id", "chunk_index", "start_line", "end_line", F.length("text").alias("chars"), "text_hash", "token_estimate")
 
 
 @query("page_headings")
 def page_headings(spark, folder):
-    """Headings of every page with their paths."""
-    from loamdex.functions import text as T
-
+    """Headings of every page with their paths and the numbers in them; tests hold them against a plain stack."""
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), T.html_outline(F.col("html")).alias("text"))
-    return chunking.heading_paths(chunking.headings(pages)).select("doc_id", "line", "level", "kind", "parent_line", "path")
+    heads = chunking.headings(pages)
+    paths = chunking.heading_paths(heads).select("doc_id", "line", "level", "kind", "parent_line", "path")
+    return paths.join(heads.select("doc_id", "line", F.array_join(chunking.ordinal(F.col("number")), ".").alias("ordinal")), ["doc_id", "line"])
 
 
 @query("document_vectors")
 def document_vectors(spark, folder):
-    """Hashed vectors of every document's distinct tokens: length and first component; tests check the vectors."""
-    from loamdex.functions import text as T
+    """Hashed vectors of every document's distinct tokens; tests check the vectors."""
+    rows = table(spark, folder, "documents").select("doc_id", F.array_distinct(T.index_tokens(F.col("text"))).alias("tokens"))
+    return retrieval.hash_embedding(rows).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
-    tokens = F.array_distinct(T.index_tokens(F.col("text")))
-    rows = table(spark, folder, "documents").select("doc_id", tokens.alias("tokens"))
-    made = rows.select("doc_id", F.size("tokens").alias("tokens"), retrieval.hash_embedding("tokens").alias("v"))
-    return made.select("doc_id", "tokens", F.size("v").alias("dims"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
-
-@query("source_signatures")
+@query(
+    "source_signatures",
+    f"""with t as (select source, ('0x' || substr(md5(term), 1, 7))::bigint as h from (select distinct source, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents)),
+    m as (select source, i, min((h * (i * 48271 % {retrieval.PRIME - 1} + 11) + i * 69621 + 7) % {retrieval.PRIME}) as least from t cross join range(64) r(i) group by 1, 2)
+    select a.source as a, b.source as b, count(*) / 64 as jaccard from m a join m b on a.i = b.i and a.least = b.least and a.source < b.source group by 1, 2""",
+)
 def source_signatures(spark, folder):
     """How alike the sources' vocabularies are, by minima of hashes."""
-    from loamdex.functions import text as T
-
-    terms = table(spark, folder, "documents").select("source", F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term")).distinct()
+    terms = table(spark, folder, "documents").select("source", F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term"))
     return retrieval.estimated_jaccard(retrieval.minhash(terms, "source", 64), "source")

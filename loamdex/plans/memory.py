@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamdex.functions import text as T
 from loamdex.operators import filters, memory
 from loamdex.operators.filters import MemoryPolicy
 from loamdex.plans.registry import query
-from loamdex.session import table
+from loamdex.session import cut, table
 
 _RECORDS = """
 rec as (select 'm' || conv_id || '-' || turn as record_id, case role when 'system' then 'org' when 'user' then 'user' else 'session' end as scope, conv_id::varchar as subject, 'fact' as kind,
@@ -64,40 +65,53 @@ def memory_over_cap(spark, folder):
     return memory.over_cap(rows, {"org": 5, "user": 50, "session": 40}).select("record_id", "scope")
 
 
-_NORM = r"""rec as (select doc_id::varchar as record_id, lang as scope, text from documents),
-norm as (select *, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[.,;:!? ]+$', ''), '^(note that|please note|remember that|just so you know|for the record|for reference|heads up|fyi|reminder)[ ,:;-]+', ''), '^(the|an|a) ', '') as t from rec),
-sets as (select record_id, scope, list_distinct(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: length(w) > 1)) as w from norm)"""
+# DuckDB has no case folding beyond lower case: sharp s is all that these texts need more.
+_FOLDED = r"regexp_replace(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g')), '[.,;:!? ]+$', '')"
+_SENTENCE = f"trim(regexp_replace(regexp_replace({_FOLDED}, '^({'|'.join(T.FRAMES)})[ \\t:,–—-]*', ''), '^(the|an|a) ', ''))"
+_NORM = f"""rec as (select doc_id::varchar as record_id, lang as scope, text from documents),
+sets as (select record_id, scope, list_distinct(list_filter(string_split_regex({_SENTENCE}, '[^a-z0-9]+'), lambda w: length(w) > 1)) as w from rec),
+u as (select record_id, scope, len(w) as n, unnest(w) as word from sets where len(w) > 0),
+shared as (select a.record_id as a, b.record_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from u a join u b on a.scope is not distinct from b.scope and a.word = b.word and a.record_id < b.record_id group by 1, 2),
+pairs as (select a, b, round(c / (n + m - c), 6) as jaccard from shared where round(c / (n + m - c), 6) >= 0.6),
+sorted as (select record_id, scope, list_sort(w) as w from sets where len(w) > 0),
+heads as (select scope, w, min(record_id) as head from sorted group by 1, 2),
+named as (select record_id, head from sorted s join heads h on s.scope is not distinct from h.scope and s.w = h.w),
+-- equal sets are linked with the first of them, and only that one with other sets
+links as (select a, b, jaccard from pairs where a in (select head from heads) and b in (select head from heads) union all select head, record_id, 1.0 from named where head <> record_id),
+both_ways as (select a, b, jaccard from links union all select b, a, jaccard from links)"""
 
 
 def _documents(spark, folder):
     return table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("lang").alias("scope"), "text")
 
 
-@query(
-    "memory_near_copies",
-    f"""with {_NORM}, u as (select record_id, scope, len(w) as n, unnest(w) as word from sets where len(w) > 0),
-    shared as (select a.scope, a.record_id as a, b.record_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from u a join u b on a.scope = b.scope and a.word = b.word and a.record_id < b.record_id group by 1, 2, 3),
-    links as (select a, b from shared where round(c / (n + m - c), 6) >= 0.6),
-    both_ways as (select a, b from links union select b, a from links)
-    select a as id, count(*) > 0 as linked from both_ways group by 1""",
-)
+@query("memory_near_copies", f"with {_NORM} select rec.record_id as id, count(b) as links, round(coalesce(max(jaccard), 0), 6) as nearest from rec left join both_ways on a = rec.record_id group by 1")
 def memory_near_copies(spark, folder):
-    """Documents, as records of their language's scope, that have a near copy there."""
-    pairs = memory.similar_pairs(_documents(spark, folder), ("scope",))
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return ends.select("id", F.lit(True).alias("linked"))
+    """Each document, as a record of its language's scope, with the number of its links and its nearest copy's similarity."""
+    docs = _documents(spark, folder)
+    pairs = cut(memory.similar_pairs(docs, ("scope",)), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("id"), "jaccard").unionByName(pairs.select(F.col("b").alias("id"), "jaccard"))
+    counted = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.max("jaccard").alias("nearest"))
+    found = docs.select(F.col("record_id").alias("id")).join(counted, "id", "left")
+    return found.select("id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
 
 
-@query(
-    "memory_clusters",
-    f"""with recursive {_NORM}, u as (select record_id, scope, len(w) as n, unnest(w) as word from sets where len(w) > 0),
-    shared as (select a.record_id as a, b.record_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from u a join u b on a.scope = b.scope and a.word = b.word and a.record_id < b.record_id group by 1, 2),
-    links as (select a, b from shared where round(c / (n + m - c), 6) >= 0.6), both_ways as (select a, b from links union select b, a from links),
-    reach as (select a as id, a as other from both_ways union select reach.id, b from reach join both_ways on a = other)
-    select id, min(other) as cluster from reach group by 1""",
-)
+_CLUSTERS = f"""with recursive {_NORM}, reach as (select a as id, a as other from both_ways union select reach.id, b from reach join both_ways on a = other),
+known as (select id, min(other) as cluster from reach group by 1), sums as (select a as id, count(*) as links, sum(jaccard::decimal(18, 6)) as total from both_ways group by 1),
+found as (select record_id as id, coalesce(cluster, record_id) as cluster, coalesce(links, 0) as links, coalesce(total, 0) as total from rec left join known on known.id = record_id left join sums on sums.id = record_id),
+clusters as (select id, cluster, links, row_number() over (partition by cluster order by total desc, id) = 1 as medoid from found)"""
+
+
+@query("memory_clusters", f"{_CLUSTERS} select * from clusters")
 def memory_clusters(spark, folder):
-    return memory.settle(memory.similar_pairs(_documents(spark, folder), ("scope",)))
+    """Each document's cluster of near copies, its links, and whether it stands for the cluster."""
+    return memory.clusters(_documents(spark, folder), ("scope",))
+
+
+@query("memory_compaction", f"{_CLUSTERS} select cluster, min(id) filter (medoid) as canonical, count(*) - 1 as absorbed from clusters group by 1 having count(*) > 1")
+def memory_compaction(spark, folder):
+    """What compaction keeps: the record that stands for each cluster, and how many it takes in."""
+    return memory.compaction(memory.clusters(_documents(spark, folder), ("scope",)))
 
 
 @query(

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.operators import filters, fusion, lexical, retrieval
+from loamdex.operators import filters, fusion, graph, lexical, retrieval
 from loamdex.plans.registry import query
-from loamdex.session import table
+from loamdex.session import cut, table
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -39,14 +39,15 @@ def _queries(spark, folder):
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _posts(spark, folder):
-    return lexical.postings(table(spark, folder, "documents"))
+def _index(spark, folder):
+    """The documents' index, written once for all that reads it."""
+    return cut(lexical.index(table(spark, folder, "documents")), "index")
 
 
 @query("search_bm25", BM25)
 def search_bm25(spark, folder):
     """The best 20 documents for every benchmark item."""
-    hits = lexical.bm25(_queries(spark, folder), _posts(spark, folder))
+    hits = lexical.bm25(_queries(spark, folder), _index(spark, folder))
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -55,12 +56,12 @@ def search_bm25(spark, folder):
     f"with {_POSTS} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from df cross join st where df >= 5",
 )
 def inverse_document_frequency(spark, folder):
-    df, sizes = lexical.statistics(_posts(spark, folder))
+    df, sizes = lexical.statistics(_index(spark, folder))
     return df.crossJoin(F.broadcast(sizes)).filter("df >= 5").select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 KNN = """
-with q as (select vec_id as query_id, list_transform(embedding, lambda x: x::double) as v from embeddings where vec_id % 50 = 0),
+with q as (select vec_id as query_id, list_transform(embedding, lambda x: x::double) as v from embeddings where vec_id % 20 = 0),
 c as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
 s as (select query_id, vec_id, round(list_cosine_similarity(q.v, c.v), 6) as cosine from q, c where vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s)
@@ -70,9 +71,9 @@ select query_id, rank, vec_id, cosine, round((1 + cosine) / 2, 7) as score from
 
 @query("search_vectors", KNN)
 def search_vectors(spark, folder):
-    """Exact cosine neighbours of every fiftieth vector: the stated queries in blocks against all rows."""
+    """Exact cosine neighbours of every twentieth vector: the stated queries in blocks against all rows."""
     rows = table(spark, folder, "embeddings")
-    return retrieval.nearest(rows.filter("vec_id % 50 = 0"), rows, top=10)
+    return retrieval.nearest(rows.filter("vec_id % 20 = 0"), rows, top=10)
 
 
 @query(
@@ -85,16 +86,30 @@ def vector_centroids(spark, folder):
     return retrieval.centroids(table(spark, folder, "embeddings"), "label")
 
 
-_CANDIDATES = """
+def _rung(field: str, whole: float, every: float, some: float) -> str:
+    """SQL for how well a field fits the query ``q`` and its tokens ``ts``."""
+    held = f"len(list_filter(ts, lambda t: contains(lower({field}), t)))"
+    return f"case when lower({field}) = q then {whole} when contains(lower({field}), q) then {(whole + every) / 2} when {held} = len(ts) then {every} when {held} > 0 then {some} else 0 end"
+
+
+_SYNONYMS = "case term " + " ".join(f"when '{a}' then '{b}'" for a, b in retrieval.SYNONYMS.items()) + " else term end"
+_PLACE = f"('0x' || substr(md5({_SYNONYMS}), 1, 2))::int % 64 as dim, case when ('0x' || substr(md5({_SYNONYMS}), 3, 1))::int < 8 then 1 else -1 end"
+
+_CANDIDATES = f"""
+dv as (select doc_id, dim, sum(x) as x from (select doc_id, {_PLACE} * tf as x from tf where term not in ({STOP})) group by 1, 2),
+qv as (select query_id, dim, sum(x) as x from (select query_id, {_PLACE} as x from tokens) group by 1, 2),
+dn as (select doc_id, sqrt(sum(x * x)) as n from dv group by 1), qn as (select query_id, sqrt(sum(x * x)) as n from qv group by 1),
+cosines as (select query_id, doc_id, round(sum(dv.x * qv.x) / (any_value(qn.n) * any_value(dn.n)), 6) as cosine from qv join dv using (dim) join qn using (query_id) join dn using (doc_id) group by 1, 2),
+asked as (select query_id, lower(text) as q, list(term) as ts from tokens join benchmark on item_id = query_id group by 1, 2),
+titles as (select doc_id, regexp_extract(text, '^[^.\n]{{0,80}}', 0) as label, coalesce(source, '') as name from documents),
+listed as (select distinct query_id, doc_id from (select doc_id, unnest(regexp_extract_all(lower(label) || ' ' || lower(name) || ' document', '[a-z0-9_]{{2,}}')) as term from titles) join tokens using (term)),
+rungs as (select query_id, doc_id, label, greatest({_rung("label", 1.0, 0.9, 0.6)}, {_rung("name", 0.95, 0.85, 0.55)}, {_rung("'document'", 0.5, 0.5, 0.5)}) as s from listed join asked using (query_id) join titles using (doc_id)),
 arms as (
   select query_id, 'text' as arm, rank - 1 as pos, 'c' || doc_id as key, 'd' || doc_id as node, 'chunk' as kind, 1.0::double as weight from bm
   union all
-  select query_id, 'graph', row_number() over (partition by query_id order by mentions desc, doc_id) - 1, 'd' || doc_id, 'd' || doc_id, 'node', 1.0
-  from (select query_id, doc_id, count(*) as mentions from tokens join tf using (term) group by 1, 2 qualify row_number() over (partition by query_id order by count(*) desc, doc_id) <= 20)
+  select query_id, 'graph', row_number() over (partition by query_id order by round(s, 3) desc, label, doc_id) - 1 as pos, 'd' || doc_id, 'd' || doc_id, 'node', 1.0 from rungs where round(s, 3) > 0 qualify pos < 20
   union all
-  select query_id, 'vector', row_number() over (partition by query_id order by gap, doc_id) - 1, 'c' || doc_id, 'd' || doc_id, 'chunk', 1.0
-  from (select b.item_id as query_id, d.doc_id, abs(length(b.text) - d.n_chars) as gap from benchmark b join documents d on d.n_chars // 64 between length(b.text) // 64 - 1 and length(b.text) // 64 + 1
-    qualify row_number() over (partition by b.item_id order by abs(length(b.text) - d.n_chars), d.doc_id) <= 20)
+  select query_id, 'vector', row_number() over (partition by query_id order by cosine desc, doc_id) - 1 as pos, 'c' || doc_id, 'd' || doc_id, 'chunk', 1.0 from cosines where cosine > 0 qualify pos < 20
 )"""
 
 _FUSED = f"""
@@ -108,27 +123,33 @@ f as (select *, row_number() over (partition by query_id order by score desc, be
 """
 
 
+ARM = 20
+
+
 def _candidates(spark, folder):
-    """Three arms for every benchmark item: text, documents that mention its terms, documents of about its length."""
-    posts, queries = _posts(spark, folder), _queries(spark, folder)
-    one = F.lit(1.0).alias("weight")
-    text = lexical.bm25(queries, posts).select("query_id", F.lit("text").alias("arm"), (F.col("rank") - 1).cast("long").alias("pos"), F.concat(F.lit("c"), "doc_id").alias("key"), F.concat(F.lit("d"), "doc_id").alias("node"), F.lit("chunk").alias("kind"), one)
-    tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("term"))
-    mentions = posts.join(tokens, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("mentions"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("mentions"), "doc_id"))
-    graph = mentions.withColumn("pos", place - 1).filter("pos < 20").select("query_id", F.lit("graph").alias("arm"), F.col("pos").cast("long"), F.concat(F.lit("d"), "doc_id").alias("key"), F.concat(F.lit("d"), "doc_id").alias("node"), F.lit("node").alias("kind"), one)
-    size = F.length("query")
-    asked = queries.select("query_id", size.alias("size"), F.explode(F.sequence(F.floor(size / 64) - 1, F.floor(size / 64) + 1)).alias("bucket"))
-    docs = table(spark, folder, "documents").select("doc_id", "n_chars", F.floor(F.col("n_chars") / 64).alias("bucket"))
-    near = asked.join(docs, "bucket").withColumn("gap", F.abs(F.col("size") - F.col("n_chars")))
-    close = F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "doc_id"))
-    vector = near.withColumn("pos", close - 1).filter("pos < 20").select("query_id", F.lit("vector").alias("arm"), F.col("pos").cast("long"), F.concat(F.lit("c"), "doc_id").alias("key"), F.concat(F.lit("d"), "doc_id").alias("node"), F.lit("chunk").alias("kind"), one)
-    return text.unionByName(graph).unionByName(vector)
+    """Three arms for every benchmark item over all documents: BM25, cosine of term vectors, and the graph's nodes by their fields."""
+    indexed, queries = _index(spark, folder), _queries(spark, folder)
+    row = lambda arm, pos, key, kind: [F.lit(arm).alias("arm"), pos.cast("long").alias("pos"), F.concat(F.lit(key), "doc_id").alias("key"), F.concat(F.lit("d"), "doc_id").alias("node"), F.lit(kind).alias("kind"), F.lit(1.0).alias("weight")]
+    text = lexical.bm25(queries, indexed, top=ARM).select("query_id", *row("text", F.col("rank") - 1, "c", "chunk"))
+
+    tokens = queries.select("query_id", "query", T.query_tokens(F.col("query")).alias("tokens"))
+    terms = tokens.select("query_id", F.explode("tokens").alias("term"), F.lit(1.0).alias("tf"))
+    asked = retrieval.term_vectors(terms, "query_id").select(F.col("query_id").alias("vec_id"), "embedding")
+    held = retrieval.term_vectors(lexical.postings(indexed).filter(~F.col("term").isin(*T.STOP_WORDS))).select(F.col("doc_id").alias("vec_id"), "embedding")
+    near = retrieval.nearest(asked, cut(held, "document-vectors"), ARM, others=False).filter("cosine > 0").withColumnRenamed("vec_id", "doc_id")
+    vector = near.select("query_id", *row("vector", F.col("rank") - 1, "c", "chunk"))
+
+    title = F.regexp_extract("text", "^[^.\\n]{0,80}", 0)
+    nodes = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), title.alias("label"), F.coalesce("source", F.lit("")).alias("name"), F.lit("document").alias("type"))
+    scored = graph.node_scores(nodes, tokens).join(nodes.select("id", "label"), "id").withColumnRenamed("id", "doc_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "doc_id"))
+    best = scored.withColumn("place", place).filter(F.col("place") <= ARM)
+    return text.unionByName(vector).unionByName(best.select("query_id", *row("graph", F.col("place") - 1, "d", "node")))
 
 
 @query("search_fused", _FUSED + "select query_id, rank, key, node, kind, score, best, arms from f where rank <= 10")
 def search_fused(spark, folder):
-    """Reciprocal rank fusion of the three arms, with representatives and one row a node."""
+    """The hybrid query: reciprocal rank fusion of the text, vector and graph arms, with representatives and one row a node."""
     return fusion.fuse(_candidates(spark, folder)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -138,7 +159,7 @@ def search_fused(spark, folder):
 )
 def search_explained(spark, folder):
     """How many of each arm's candidates the fused result serves."""
-    candidates = _candidates(spark, folder)
+    candidates = cut(_candidates(spark, folder), "candidates")
     return fusion.survivors(candidates, fusion.fuse(candidates))
 
 
@@ -148,7 +169,7 @@ def search_explained(spark, folder):
 )
 def search_criteria(spark, folder):
     """Ranked hits after the criteria on sources, types and score."""
-    hits = lexical.bm25(_queries(spark, folder), _posts(spark, folder), top=filters.overfetch(10, True) * 2 // 3)
+    hits = lexical.bm25(_queries(spark, folder), _index(spark, folder), top=filters.overfetch(10, True) * 2 // 3)
     known = hits.join(table(spark, folder, "documents").select("doc_id", "source", F.col("lang").alias("type")), "doc_id")
     fit = filters.criteria(known, exclude_sources=("src1", "src2"), node_types=("en", "de"), min_score=5.0)
     return fit.select("query_id", F.col("rank").cast("long"), "doc_id", "source", "score")

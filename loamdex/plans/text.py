@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import text as T
 from loamdex.operators import lexical
 from loamdex.plans.registry import query
-from loamdex.session import table
+from loamdex.session import cut, table
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -59,22 +59,28 @@ def document_identity(spark, folder):
 
 @query(
     "duplicate_documents",
-    """select sha256(text) as text_hash, count(*) as copies, min(doc_id) as first_id, string_agg(doc_id::varchar, ',' order by doc_id) as ids
+    """select sha256(text) as text_hash, count(*) as copies, min(doc_id) as first_id, max(doc_id) as last_id
     from documents group by 1 having count(*) > 1""",
 )
 def duplicate_documents(spark, folder):
-    """Groups of equal texts, with the ids of each."""
+    """Groups of equal texts: how many copies there are, and the first and last of their ids."""
     hashed = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
-    grouped = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("ids"))
+    grouped = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     return grouped.filter("copies > 1")
 
 
+# RE2 knows ASCII's word edges alone, so other marks become dots and words with other letters become a digit before names are looked for.
+_ASCII = r"""regexp_replace(regexp_replace(coalesce(text, ''), '[^\pL\pN_\x00-\x7F]', '.', 'g'), '[\pL\pN_]*[^\x00-\x7F][\pL\pN_]*', '0', 'g')"""
+
+
 @query(
     "document_entities",
-    r"""select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b') || regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b'))), ';') as entities from documents where lang = 'en'""",
+    rf"""select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b') || regexp_extract_all(t, '\b[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){{1,3}}\b'))), ';') as entities
+    from (select doc_id, {_ASCII} as t from documents)""",
 )
 def document_entities(spark, folder):
-    return table(spark, folder, "documents").filter("lang = 'en'").select("doc_id", F.array_join(T.entities(F.col("text")), ";").alias("entities"))
+    """Names in every document, whatever its language."""
+    return table(spark, folder, "documents").select("doc_id", F.array_join(T.entities(F.col("text")), ";").alias("entities"))
 
 
 @query(
@@ -84,7 +90,7 @@ def document_entities(spark, folder):
 )
 def vocabulary(spark, folder):
     """The corpus's most widespread telling terms."""
-    return lexical.vocabulary(lexical.postings(table(spark, folder, "documents")))
+    return lexical.vocabulary(lexical.statistics(cut(lexical.index(table(spark, folder, "documents")), "index"))[0])
 
 
 @query(

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Defaults for local runs. A cluster's own settings win, as they are only set where absent.
 DEFAULTS = {
@@ -55,6 +56,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it holds no more than ``rows`` rows, which are counted; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

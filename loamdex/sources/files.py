@@ -16,7 +16,11 @@ def listing(spark: SparkSession, root: str, include=("*",), exclude=(), max_dept
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.col("path"), "^.*?" + base.replace(".", "\\.") + "/", "")
-    rows = files.select(path.alias("path"), "size", "modified")
+    return taken(files.select(path.alias("path"), "size", "modified"), include, exclude, max_depth, max_bytes)
+
+
+def taken(rows: DataFrame, include=("*",), exclude=(), max_depth: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Of files (path, size, modified) those that a source takes by its globs and depth, with their depth and whether they are over the size."""
     rows = rows.filter(T.matches_any(F.col("path"), include) & ~T.matches_any(F.col("path"), exclude))
     rows = rows.withColumn("depth", F.size(F.split("path", "/")) - 1)
     rows = rows.filter(F.col("depth") <= max_depth) if max_depth is not None else rows
@@ -79,3 +83,12 @@ def insert_once(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The table with rows added whose key it doesn't hold; of new rows with one key the least stays."""
     least = new.groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("r")).select(key, "r.*")
     return old.unionByName(least.join(old.select(key), key, "left_anti"))
+
+
+def describe(spark: SparkSession, path: str, names=None) -> DataFrame:
+    """(table, rows, columns, types) of a folder's tables; row counts come from Parquet's footers."""
+    out = []
+    for name in names or TABLES:
+        df = spark.read.parquet(f"{path}/{name}.parquet")
+        out.append((name, df.count(), len(df.columns), ", ".join(f"{c} {t}" for c, t in df.dtypes)))
+    return spark.createDataFrame(out, "table string, rows long, columns int, types string")

@@ -19,19 +19,41 @@ EVENTS = T.StructType(
 
 
 def read(spark: SparkSession, folder: str, files_per_trigger: int = 1, glob: str = "events.parquet") -> DataFrame:
-    """Events of a folder as a stream, with ts as an instant."""
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob)
+    """Events of a folder as a stream, with ts as an instant; files come in the order in which they were written."""
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     return stream.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def deliver(events: DataFrame, late: str, parts: int = 3, repeated: str = "30 minutes") -> str:
+    """Write events as a ledger delivers them, in files of equal spans of time, and give the folder.
+
+    Each file after the first repeats the last events of the one before it. Events of the first span for which ``late``
+    holds come in the last file alone.
+    """
+    spark = events.sparkSession
+    home = f"{shared_dir(spark)}/delivered-{uuid.uuid4().hex}"
+    begin, end = events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [begin + (end - begin) * k / parts for k in range(parts)]
+    tardy = F.expr(late) & (F.col("ts") < F.lit(edges[1]))
+    for k, edge in enumerate(edges):
+        upto = F.col("ts") < F.lit(edges[k + 1]) if k + 1 < parts else F.lit(True)
+        again = (F.col("ts") < F.lit(edge)) & (F.col("ts") >= F.lit(edge) - F.expr(f"interval {repeated}")) if k else F.lit(False)
+        rows = events.filter((((F.col("ts") >= F.lit(edge)) & upto) | again) & ~tardy)
+        if k + 1 == parts:
+            rows = rows.unionByName(events.filter(tardy))
+        rows.coalesce(1).write.parquet(f"{home}/{k}")
+    return home
+
+
 def once(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Every event once: an id that comes again within the lateness is dropped."""
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def tumbling(events: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """(begin, event_type, n, value) for each window."""
-    windowed = events.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "event_type")
+def tumbling(events: DataFrame, width: str = "1 day", lateness: str | None = "1 hour") -> DataFrame:
+    """(begin, event_type, n, value) for each window; without a lateness that of ``events`` holds."""
+    held = events if lateness is None else events.withWatermark("ts", lateness)
+    windowed = held.groupBy(F.window("ts", width).alias("w"), "event_type")
     return windowed.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("begin"), "event_type", "n", "value")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.operators import chunking, evaluation, filters, fusion, graph, lexical, memory, retrieval, tuning
+from loamdex.operators import chunking, components, evaluation, filters, fusion, graph, intervals, lexical, memory, retrieval, tuning
 from loamdex.sources import files
 from loamdex.streaming import ledger
 
@@ -19,11 +19,11 @@ def values(spark, expression, *rows, schema="s string"):
 
 def test_text_functions(spark):
     assert values(spark, T.query_tokens(F.col("s")), "Where is theParser_config of HTTPServer", "what is the", None) == [["config", "httpserver", "parser", "theparser_config"], ["is", "the", "what"], []]
-    assert values(spark, T.singular(F.col("s")), "queries", "classes", "boxes", "status", "files", "gas", "glass") == ["query", "class", "box", "status", "file", "gas", "glass"]
-    assert values(spark, T.normalized_sentence(F.col("s")), "Note that  the Build is GREEN!", "build is green.") == ["build is green", "build is green"]
+    assert values(spark, T.singular(F.col("s")), "queries", "classes", "boxes", "status", "files", "gas", "glass", "buses", "quizzes", "has") == ["query", "class", "box", "status", "file", "gas", "glass", "bus", "quizz", "has"]
+    assert values(spark, T.normalized_sentence(F.col("s")), "Note that  the Build is GREEN!", "build is green.", "Reminder – Straße", "fyi—ﬁnal\u00a0cut", None) == ["build is green", "build is green", "strasse", "final cut", None]
     assert values(spark, T.safe_filename(F.col("s")), "../../etc/pass wd", "..", None, "a\\b.txt") == ["pass_wd", "upload", "upload", "b.txt"]
-    assert values(spark, T.markdown_links(F.col("s")), "[a](x.md) [[Wiki|t]] https://e.org/p") == [["Wiki", "https://e.org/p", "x.md"]]
-    assert values(spark, T.citations(F.col("s")), "[Smith 2020] [smith 2020] [1.2] [x] [a](b)") == [["Smith 2020"]]
+    assert values(spark, T.markdown_links(F.col("s")), "[a](x.md) [[Wiki page]] https://e.org/p [](no)") == [["Wiki page", "https://e.org/p", "x.md"]]
+    assert values(spark, T.citations(F.col("s")), "[@Smith2020] [smith2020] [1.2] [x] [ab] [v2.x] [doe:3]") == [["Smith2020", "doe:3"]]
     assert values(spark, T.strip_frontmatter(F.col("s")), "---\na: 1\n---\nbody", "body ---\n") == ["body", "body ---\n"]
     assert values(spark, T.traceparent(F.col("s"))["span_id"], "00-" + "a" * 32 + "-" + "b" * 16 + "-01", "00-" + "0" * 32 + "-" + "b" * 16 + "-01", "x") == ["b" * 16, None, None]
     once = T.tidy(F.col("s"))
@@ -39,8 +39,12 @@ def test_rules(spark):
 
 def test_field_weights_and_prior(spark):
     docs = spark.createDataFrame([("a", "cache", "nothing"), ("b", "other", "cache cache cache"), ("c", "x", "y")], "doc_id string, title string, text string")
-    posts = lexical.postings(docs, fields={"title": 8.0, "text": 1.0})
-    assert {(r.doc_id, r.term): r.tf for r in posts.collect()}["a", "cache"] == 8.0
+    posts = lexical.index(docs, fields={"title": 8.0, "text": 1.0})
+    assert {(r.doc_id, r.term): (r.tf, r.len) for r in lexical.postings(posts).collect()} == {
+        ("a", "cache"): (8.0, 9.0), ("a", "nothing"): (1.0, 9.0), ("b", "other"): (8.0, 11.0), ("b", "cache"): (3.0, 11.0), ("c", "x"): (8.0, 9.0), ("c", "y"): (1.0, 9.0)
+    }
+    plain = {(r.term, r.tf) for r in lexical.postings(lexical.index(spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "doc_id int, text string"))).collect()}
+    assert plain == {("a", 1.0), ("b", 2.0)}
     hits = lexical.bm25(spark.createDataFrame([(1, "cache")], "query_id int, query string"), posts).collect()
     assert [h.doc_id for h in sorted(hits, key=lambda h: h["rank"])] == ["a", "b"]
     prior = docs.select("doc_id", F.when(F.col("doc_id") == "a", 9.0).otherwise(1.0).alias("prior"))
@@ -48,32 +52,29 @@ def test_field_weights_and_prior(spark):
     assert [h.doc_id for h in sorted(hits, key=lambda h: h["rank"])] == ["b", "a"]
 
 
-def brute_fuse(rows, k, top):
-    """Reciprocal rank fusion as a walk over the arms."""
-    held = {}
-    for arm in fusion.ARMS:
-        for r in sorted((r for r in rows if r["arm"] == arm), key=lambda r: r["pos"]):
-            if not r["key"]:
-                continue
-            h = held.setdefault(r["key"], {"score": 0.0, "best": 10**9, "arms": set(), "row": None})
-            h["score"] += r["weight"] / (k + r["pos"] + 1)
-            h["best"] = min(h["best"], r["pos"] + 1)
-            h["arms"].add(arm)
-            if h["row"] is None or (arm != "graph" and h["row"]["kind"] == "node"):
-                h["row"] = r
-    ranked = sorted(held.items(), key=lambda kv: (-round(kv[1]["score"], 9), kv[1]["best"], kv[0]))
-    out, seen = [], set()
-    for key, h in ranked:
-        node = h["row"]["node"] or ""
-        if node and node in seen and h["row"]["kind"] != "relationship":
-            continue
-        if node:
-            seen.add(node)
-        out.append((key, node, round(h["score"], 9), h["best"], "+".join(sorted(h["arms"]))))
-    return out[:top]
+def plain_fuse(rows, k, top):
+    """Reciprocal rank fusion from its definition, key by key."""
+    place = lambda r: (fusion.ARMS.index(r["arm"]), r["pos"])
+    listings = {key: sorted((r for r in rows if r["key"] == key), key=place) for key in {r["key"] for r in rows} - {""}}
+
+    def represents(own):
+        telling = [r for r in own if r["arm"] != "graph" and r["kind"] != "node"]
+        outside = [r for r in own if r["arm"] != "graph"]
+        return telling[0] if telling else outside[-1] if outside else own[0]
+
+    table = []
+    for key, own in listings.items():
+        row = represents(own)
+        table.append((round(sum(r["weight"] / (k + r["pos"] + 1) for r in own), 9), min(r["pos"] for r in own) + 1, key, row["node"] or "", row["kind"], "+".join(sorted({r["arm"] for r in own}))))
+    table.sort(key=lambda x: (-x[0], x[1], x[2]))
+    first = {}
+    for x in table:
+        first.setdefault(x[3], x[2])
+    alone = [x for x in table if not x[3] or x[4] == "relationship" or first[x[3]] == x[2]]
+    return [(key, node, score, best, arms) for score, best, key, node, _, arms in alone[:top]]
 
 
-def test_fusion_matches_a_walk(spark):
+def test_fusion_matches_its_definition(spark):
     rng, rows = random.Random(4), []
     for q in range(40):
         for arm in fusion.ARMS:
@@ -83,7 +84,7 @@ def test_fusion_matches_a_walk(spark):
     got = {}
     for r in fusion.fuse(df, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.key, r.node, r.score, r.best, r.arms))
-    want = {q: brute_fuse([r for r in rows if r["query_id"] == q], 60, 5) for q in range(40)}
+    want = {q: plain_fuse([r for r in rows if r["query_id"] == q], 60, 5) for q in range(40)}
     assert got == {q: w for q, w in want.items() if w}
 
 
@@ -124,7 +125,22 @@ def test_chunks_cover_the_text(spark, data):
             assert c.text.split("\n")[0].strip() in "\n".join(lines[c.start_line - 1 : c.end_line + 1])
         assert "".join(r.text.split())[:40] == "".join(got[r.doc_id][0].text.split())[:40]
         assert "".join(r.text.split())[-20:] == "".join(got[r.doc_id][-1].text.split())[-20:]
-    assert chunking.cut_text("") == [] and chunking.cut_text(" \n ") == []
+    odd = spark.createDataFrame([(1, ""), (2, " \n "), (3, None), (4, "é\n" * 10)], "doc_id int, text string")
+    assert [(r.chunk_index, r.start_line, r.end_line, len(r.text)) for r in chunking.chunks(odd, size=12, overlap=2).orderBy("doc_id", "chunk_index").collect()] == [(0, 1, 6, 11), (1, 5, 11, 9)]
+
+
+def test_cut_points_match_a_slow_search():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("ab\n") if rng.random() < 0.5 else "c" for _ in range(rng.randint(0, 90)))
+        size, overlap = rng.randint(2, 20), rng.randint(0, 8)
+        breaks = np.array([i for i, c in enumerate(text) if c == "\n"], int)
+        points = chunking.cut_points(breaks, len(text), size, overlap)
+        for n, (a, b) in enumerate(points):
+            assert a == (0 if n == 0 else max(points[n - 1][1] - overlap, points[n - 1][0] + 1))
+            ends = [i for i in range(a + size // 2 + 1, min(a + size, len(text))) if text[i] == "\n"]
+            assert b == (len(text) if a + size >= len(text) else ends[-1] if ends else a + size)
+        assert not text or points[-1][1] == len(text)
 
 
 def test_outline(spark):
@@ -138,7 +154,22 @@ def test_outline(spark):
     lines = spark.createDataFrame([(1, 2), (1, 4), (2, 1)], "doc_id int, line int")
     assert sorted((r.doc_id, r.line, r.path) for r in chunking.label_lines(lines, paths).collect()) == [(1, 2, "Guide"), (1, 4, by_line[4]), (2, 1, None)]
     assert [(r.line, r.issue) for r in chunking.numbering_issues(heads).collect()] == [(7, "gap")]
-    assert [chunking.ordinal(x) for x in ("1.2", "iv", "b", "MCMXC", "", None, "?")] == [[1, 2], [4], [2], [1990], [], [], []]
+    assert values(spark, chunking.ordinal(F.col("s")), "1.2", "iv", "b", "MCMXC", "", None, "?") == [[1, 2], [4], [2], [1990], [], [], []]
+
+
+def test_heading_paths_match_a_stack(spark):
+    rng = random.Random(2)
+    heads = [(d, line, rng.randint(1, 5), f"t{line}" * rng.choice([1, 60]), "markdown") for d in range(6) for line in sorted(rng.sample(range(90), 25))]
+    df = spark.createDataFrame(heads, "doc_id int, line int, level int, title string, kind string")
+    got = {(r.doc_id, r.line): (r.parent_line, r.path) for r in chunking.heading_paths(df).collect()}
+    for d, line, level, title, _ in heads:
+        chain, least = [], level
+        for _, above, other, name, _ in reversed([h for h in heads if h[0] == d and h[1] < line]):
+            if other < least:
+                chain.append((above, name))
+                least = other
+        path = chunking.PATH.join([*(n for _, n in reversed(chain)), title])
+        assert got[d, line] == (chain[0][0] if chain else None, path[:500])
 
 
 def walk(edges, start, depth, budget=None):
@@ -186,8 +217,46 @@ def test_memory_steps(spark):
     assert {r.record_id: r.uses for r in memory.carry_over(fresh, old, {"uses": 0}).collect()} == {"a": 5, "b": 0}
     says = spark.createDataFrame([("r1", "user", "s", "fact", "2024-01-02", "The build is green."), ("r2", "user", "s", "fact", "2024-01-01", "note that build is GREEN")], "record_id string, scope string, subject string, kind string, asserted_at string, text string")
     assert [(r.record_id, r.observations) for r in memory.canonical(says).collect()] == [("r2", 2)]
-    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)], "a string, b string")
-    assert {r.cluster for r in memory.settle(chain).collect()} == {"000"}
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)], "u string, v string")
+    assert {r.component for r in components.components(chain).collect()} == {"000"}
+
+
+def test_near_copies_match_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        own = rng.choices(words, weights=[1 / (n + 1) for n in range(60)], k=rng.randint(0, 14)) if i % 3 or not rows else [w for w in rows[-1][1].split() if rng.random() < 0.9]
+        rows.append((f"r{i:03}", " ".join(own), rng.choice(["x", "y", None])))
+    df = spark.createDataFrame(rows, "record_id string, text string, scope string")
+    sets = {}
+    for name, text, scope in rows:
+        # an opening article is no part of a statement, but these have none
+        if text.split():
+            sets[name] = (scope, frozenset(text.split()))
+    heads = {}
+    for name in sorted(sets):
+        heads.setdefault(sets[name], name)
+    jaccard = lambda a, b: round(len(a & b) / len(a | b), 6)
+    want = {(heads[x], name, 1.0) for name, x in sets.items() if heads[x] != name}
+    want |= {(a, b, jaccard(x[1], y[1])) for x, a in heads.items() for y, b in heads.items() if a < b and x[0] == y[0] and jaccard(x[1], y[1]) >= 0.6}
+    for rare in (2, 32):
+        monkeypatch.setattr(memory, "RARE", rare)
+        got = memory.similar_pairs(df, ("scope",)).collect()
+        assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
+    found = {r.id: r for r in memory.clusters(df, ("scope",)).collect()}
+    assert len(found) == len(rows) and sum(r.links for r in found.values()) == 2 * len(want)
+    groups = {}
+    for r in found.values():
+        groups.setdefault(r.cluster, []).append(r)
+    total = {n: sum(j for a, b, j in want if n in (a, b)) for n in found}
+    for name, members in groups.items():
+        assert name == min(m.id for m in members)
+        assert [m.id for m in members if m.medoid] == [min(members, key=lambda m: (-round(total[m.id], 6), m.id)).id]
+    after = memory.demoted(df.withColumn("tier", F.lit("hot")), memory.clusters(df, ("scope",)))
+    assert after.filter("tier = 'cold'").count() == len(rows) - len(groups) == after.filter("subsumed_by is not null").count()
+    with pytest.raises(ValueError):
+        memory.similar_pairs(df, ("scope",), 0.4)
 
 
 def test_metrics(spark):
@@ -210,11 +279,28 @@ def test_metrics(spark):
 
 
 def test_vectors(spark):
-    df = spark.createDataFrame([(["car", "red"],), (["vehicle", "red"],), ([],), (None,)], "t array<string>")
-    a, b, none, null = (np.array(r.v) for r in df.select(retrieval.hash_embedding("t").alias("v")).collect())
+    df = spark.createDataFrame([(0, ["car", "red"]), (1, ["vehicle", "red"]), (2, []), (3, None)], "doc_id int, tokens array<string>")
+    a, b, none, null = (np.array(r.embedding) for r in retrieval.hash_embedding(df).orderBy("doc_id").collect())
+    want = retrieval.hash_vector("car") + retrieval.hash_vector("red")
+    assert np.allclose(a, want / np.linalg.norm(want))
     assert np.allclose(a, b) and np.isclose(np.linalg.norm(a), 1) and not none.any() and not null.any()
 
 
+def test_exclusions(spark):
+    rows = spark.createDataFrame([(1, "Über VENDOR/x"), (2, "clean"), (3, None), (4, "a-b"), (5, "vend")], "doc_id int, path string")
+    gone = filters.excluded(rows, "path", spark.createDataFrame([("vendor/",), ("-",), ("",)], "fragment string"))
+    assert sorted(r.doc_id for r in gone.collect()) == [1, 4]
+
+
+def test_intervals(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02}"
+    rows = [(1, at(0), at(10)), (1, at(5), at(8)), (1, at(10), at(12)), (1, at(20), at(21)), (1, at(30), at(30)), (2, at(1), None)]
+    df = spark.createDataFrame(rows, "k int, begin string, end string").select("k", F.col("begin").cast("timestamp"), F.col("end").cast("timestamp"))
+    assert [tuple(r) for r in intervals.covered(df, "k").collect()] == [(1, 13.0, 2)]
+    samples = spark.createDataFrame([(1, at(0), 1.0), (1, at(4), 3.0), (2, at(0), 1.0)], "k int, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(map(tuple, intervals.rate(samples, "k").collect())) == [(1, 2, 0.5), (2, 1, None)]
+
+
 def test_streams(spark, data, tmp_path):
     events = ledger.read(spark, data)
     assert ledger.drain(ledger.once(events)).count() == spark.read.parquet(f"{data}/events.parquet").count()
