@@ -1,4 +1,4 @@
-"""SimHash near-duplicates found through pivot distance tables.
+"""SimHash near-duplicates found through pivot distance tables: by bands first, then by pivots.
 
 Every distinct fingerprint gets its Hamming distances to reference fingerprints (pivots), band by band. Two
 fingerprints that differ in at most three bits leave at least three of six bands untouched, and so agree there on
@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm import components as C
 from loamdex.llm import text as T
+from loamdex.operators import components as C
 from loamdex.session import cut
 
 BITS, WORDS, DIFFER, SEED = 64, 3, 3, 42

@@ -2,7 +2,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from loamdex.llm import components, simhash
+from loamdex.llm import simhash
+from loamdex.operators import components
 
 
 def brute_print(text):
