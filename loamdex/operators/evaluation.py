@@ -130,6 +130,12 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n"))
 
 
+def history(rows: DataFrame, by: str, at: str) -> DataFrame:
+    """``rows`` (by, at, value) with the change of the value since the row before in each group; null for the first."""
+    before = F.lag("value").over(Window.partitionBy(by).orderBy(at))
+    return rows.select(by, at, "value", F.round(F.col("value") - before, 6).alias("change"))
+
+
 def composite(metrics: DataFrame, weights: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., composite): the weighted geometric mean of metrics above zero, weights renewed over those that count."""
     weight = _look_up(F.col("metric"), weights)

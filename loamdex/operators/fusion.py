@@ -50,6 +50,11 @@ def agreement(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame
     return hits.groupBy(*by).agg(F.count(F.lit(1)).alias("results"), F.count_if(F.contains("arms", F.lit("+"))).alias("agreed"))
 
 
+def first_ranks(hits: DataFrame, of: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(by..., of, rank, hits): each value of a column at the rank at which it first comes, with how many hits it has."""
+    return hits.groupBy(*by, of).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("hits"))
+
+
 def survivors(candidates: DataFrame, hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(by..., arm, candidates, served): how many of each arm's candidates are among the hits."""
     served = hits.select(*by, "key").distinct().withColumn("hit", F.lit(1))

@@ -146,6 +146,37 @@ def suffix_references(references: DataFrame, paths: DataFrame) -> DataFrame:
     return references.select("ref", F.regexp_replace(F.regexp_replace("ref", "[#?].*$", ""), "^[./]+", "").alias("ending")).join(listed, "ending").select("ref", "path").distinct()
 
 
+def resolve_links(references: DataFrame, paths: DataFrame) -> DataFrame:
+    """(ref, path, step): the file that a link means: its own path, with .md or .txt where it has no dot, or else a path that ends with it.
+
+    The first step that finds a path wins, then the least path. Fragments, queries and leading dots and slashes don't count.
+    """
+    refs = references.select("ref").distinct().withColumn("c", F.regexp_replace(F.regexp_replace("ref", "[#?].*$", ""), "^[./]+", ""))
+    bare = ~F.contains("c", F.lit("."))
+    tries = F.array(F.struct(F.lit(1).alias("step"), F.col("c").alias("path")), *[F.struct(F.lit(n).alias("step"), F.when(bare, F.concat("c", F.lit(end))).alias("path")) for n, end in ((2, ".md"), (3, ".txt"))])
+    exact = refs.select("ref", F.explode(tries).alias("t")).select("ref", "t.step", "t.path").join(paths.select("path").distinct(), "path")
+    ending = suffix_references(refs.select("ref"), paths).select("path", "ref", F.lit(4).alias("step"))
+    found = exact.select("path", "ref", "step").unionByName(ending)
+    return found.groupBy("ref").agg(F.min(F.struct("step", "path")).alias("m")).select("ref", "m.path", "m.step")
+
+
+def ladder(asked: DataFrame, rungs: list[tuple[str, DataFrame, float]], most: int = 3) -> DataFrame:
+    """(label, id, rung, confidence): what a label names, from the first of (name, (label, id), confidence) that knows it, ``most`` ids at most by id."""
+    known = None
+    for n, (name, rows, confidence) in enumerate(rungs):
+        part = rows.select("label", "id", F.lit(n).alias("n"), F.lit(name).alias("rung"), F.lit(confidence).alias("confidence")).distinct()
+        known = part if known is None else known.unionByName(part)
+    met = asked.select("label").distinct().join(known, "label")
+    first = met.groupBy("label").agg(F.min("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+    return met.join(first, ["label", "n"]).withColumn("place", place).filter(F.col("place") <= most).select("label", "id", "rung", "confidence")
+
+
+def parallel(edges: DataFrame) -> DataFrame:
+    """(src, dst, links, types): edges of the same ends as one row, with their types in order."""
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+
+
 def node_link(nodes: DataFrame, edges: DataFrame, node_limit: int | None = None, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Nodes after filtering, then the limit, by id; edges both of whose ends are among them."""
     kept = nodes.filter(~F.col("type").isin(*exclude)) if exclude else nodes

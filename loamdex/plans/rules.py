@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.operators import filters, lexical
+from loamdex.operators import filters, graph, lexical
 from loamdex.operators.filters import MemoryPolicy
 from loamdex.plans.registry import query
 from loamdex.plans.search import _TOKENS
@@ -186,3 +186,19 @@ def excluded_documents(spark, folder):
 def sampled_traces(spark, folder):
     """A tenth of all events, always the same ones."""
     return table(spark, folder, "events").filter(filters.sampled(F.col("event_id"), 0.1)).select("event_id")
+
+
+_LINKS = """refs as (select case doc_id % 3 when 0 then './' || regexp_replace(path, '[.][a-z]+$', '') when 1 then array_to_string(string_split(path, '/')[2:], '/') else path || '#part' end as ref from paths),
+cleaned as (select distinct ref, regexp_replace(regexp_replace(ref, '[#?].*$', ''), '^[./]+', '') as c from refs),
+endings as (select path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) as e from paths),
+met as (select ref, path, 1 as step from cleaned join paths on path = c union all select ref, path, 2 from cleaned join paths on path = c || '.md' where not contains(c, '.')
+  union all select ref, path, 3 from cleaned join paths on path = c || '.txt' where not contains(c, '.') union all select ref, path, 4 from cleaned join endings on e = c)"""
+
+
+@query("resolved_links", f"with {_PATHS}, {_LINKS} select ref, path, step from met qualify row_number() over (partition by ref order by step, path) = 1")
+def resolved_links(spark, folder):
+    """The files that links in three spellings mean."""
+    paths = _paths(spark, folder).select("doc_id", "path")
+    tail = F.array_join(F.slice(F.split("path", "/"), F.lit(2), F.size(F.split("path", "/"))), "/")
+    ref = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("./"), F.regexp_replace("path", "[.][a-z]+$", ""))).when(F.col("doc_id") % 3 == 1, tail).otherwise(F.concat("path", F.lit("#part")))
+    return graph.resolve_links(paths.select(ref.alias("ref")), paths)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
 from loamdex.operators import evaluation as E
-from loamdex.operators import fusion, graph, retrieval
+from loamdex.operators import fusion, graph, lexical, retrieval
 from loamdex.plans import search
 from loamdex.plans.evaluation import _HOLDERS, _holders
 from loamdex.plans.graph import _GRAPH, _graph
@@ -149,3 +149,53 @@ def expanded_hits(spark, folder):
     nodes, edges = _graph(spark, folder)
     hits = graph.search(nodes, edges, _graph_tokens(spark, folder)).filter("kind = 'node'").select("query_id", F.col("id").alias("key"), "score")
     return retrieval.expand_hits(hits, edges.select("src", "dst").distinct())
+
+
+@query("parallel_edges", f"with recursive {_GRAPH} select src, dst, count(*) as links, string_agg(distinct type, ',' order by type) as types from edges group by 1, 2")
+def parallel_edges(spark, folder):
+    """Edges of the same ends as one row."""
+    return graph.parallel(_graph(spark, folder)[1])
+
+
+@query(
+    "named_nodes",
+    f"""with recursive {_GRAPH}, {_ASKED}, words as (select distinct word as label from toks),
+    rungs as (select label, id, 0 as n, 'page' as rung, 1.0::double as confidence from nodes where type = 'page' union all select label, id, 1, 'directory', 0.8 from nodes where type = 'directory'
+      union all select lower(string_split(label, '/')[-1]), id, 2, 'external', 0.5 from nodes where type = 'external_reference'),
+    met as (select distinct label, id, n, rung, confidence from words join rungs using (label)), best as (select * from met qualify n = min(n) over (partition by label))
+    select label, id, rung, confidence from best qualify row_number() over (partition by label order by id) <= 3""",
+)
+def named_nodes(spark, folder):
+    """What each token of an item names in the graph: pages before folders before outside targets."""
+    nodes = _graph(spark, folder)[0]
+    of = lambda kind: nodes.filter(F.col("type") == kind)
+    outside = of("external_reference").select(F.lower(F.element_at(F.split("label", "/"), -1)).alias("label"), "id")
+    asked = _graph_tokens(spark, folder).select(F.explode("tokens").alias("label"))
+    return graph.ladder(asked, [("page", of("page"), 1.0), ("directory", of("directory"), 0.8), ("external", outside, 0.5)])
+
+
+@query(
+    "ranked_sources",
+    search.BM25.replace("select query_id, rank, doc_id, score from ranked where rank <= 20", "select query_id, source, min(rank) as rank, count(*) as hits from ranked join documents using (doc_id) where rank <= 20 group by 1, 2"),
+)
+def ranked_sources(spark, folder):
+    """The sources of each item's hits in the order in which they first come."""
+    hits = lexical.bm25(search._queries(spark, folder), search._index(spark, folder)).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return fusion.first_ranks(hits.join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id"), "source")
+
+
+@query(
+    "metric_history",
+    """with d as (select event_type, strftime(ts, '%Y-%m-%d') as day, round(avg(value), 6) as value from events group by 1, 2)
+    select event_type, day, value, round(value - lag(value) over (partition by event_type order by day), 6) as change from d""",
+)
+def metric_history(spark, folder):
+    """Each event type's daily mean, oldest first, with its change since the day before."""
+    rows = table(spark, folder, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    return E.history(rows.groupBy("event_type", "day").agg(F.round(F.avg("value"), 6).alias("value")), "event_type", "day")
+
+
+@query("unlabelled_documents", "select doc_id from documents where doc_id not in (select doc_id from labels)")
+def unlabelled_documents(spark, folder):
+    """Documents that nobody has judged."""
+    return retrieval.missing(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels"))

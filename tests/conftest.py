@@ -1,11 +1,13 @@
 import pytest
 
-from loamdex.session import local_session
+from loamdex.session import local_session, sweep
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cores=8, memory="4g", partitions=4)
+    session = local_session(cores=8, memory="4g", partitions=4)
+    yield session
+    sweep(session)
 
 
 @pytest.fixture(scope="session")
