@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = 96
+LINES = 56
 #: Share of the lines on which a vector must collide, and share of a shard's distinct vectors that may then be verified.
 COLLIDE, VERIFY = 0.75, 0.3
 #: Half a window's first width in units of a shard's median length, and its growth from step to step.
-WIDTH, GROW = 0.6, 1.2
+WIDTH, GROW = 1.0, 1.2
 SHARD, QUERIES = 4096, 4096
 #: Cells of (shard, block of queries) for which small tables are split too.
 CELLS = 64
