@@ -81,9 +81,11 @@ def _size() -> Column:
     return F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, spread: int = SPREAD, flatten: float = FLATTEN) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, spread: int = SPREAD, flatten: float = FLATTEN, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row of ``docs`` with mix_slot and mix_start, in whose order the sources have their target weights.
 
+    Of the columns only those that ``keep`` names are carried along, or all where it isn't given.
+
     A source's stream holds its documents by a hash of doc_id and text, then doc_id, so that texts needn't be
     shuffled where they aren't asked for. mix_start is a document's first character in that stream, block =
     mix_start div ``block``, and mix_slot the slot of that block, so a long document takes the slot of its first
@@ -93,9 +95,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     a null doc_id is a value like any other. Rows that are equal in doc_id and text are in any order. An empty
     table stays empty. Only columns of ``docs`` that are named mix_slot or mix_start are replaced.
     """
-    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("mix_slot", "mix_start")]
+    names = [c for c in (keep or docs.columns) if c.lower() not in ("mix_slot", "mix_start")]
     sizes = source_sizes(docs)
-    return _placed(docs, sizes, _slots(sizes, weights, period, flatten), block, spread).select(*kept, "mix_slot", "mix_start")
+    placed = _placed(docs, names, sizes, _slots(sizes, weights, period, flatten), block, spread)
+    return placed.select(*[F.col(f"row.`{c}`") for c in names], "mix_slot", "mix_start")
 
 
 def _slots(sizes: dict[str, int], weights: dict[str | None, float] | None, period: int, flatten: float) -> dict[str, int]:
@@ -109,25 +112,25 @@ def _slots(sizes: dict[str, int], weights: dict[str | None, float] | None, perio
     return slots_of(share, period)
 
 
-def _placed(docs: DataFrame, sizes: dict[str, int], slots: dict[str, int], block: int, spread: int) -> DataFrame:
-    """(row, mix_slot, mix_start): each row of ``docs`` is packed, so that no name clashes."""
+def _placed(docs: DataFrame, keep: list[str], sizes: dict[str, int], slots: dict[str, int], block: int, spread: int) -> DataFrame:
+    """(row, id, mix_slot, mix_start): what is kept of each row of ``docs`` is packed, so that no name clashes."""
     spark, length = docs.sparkSession, sum(slots.values())
     plan = spark.createDataFrame([(n, b, s) for n, b, s in schedule(slots)], "source string, number long, place long")
     streams = spark.createDataFrame([(n, slots[n], max(spread, -(-sizes[n] // BUCKET_CHARS))) for n in slots], "source string, slots long, buckets long")
 
-    rows = docs.select(_source(F.col("source")).alias("source"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("hash"), F.struct("*").alias("row"))
+    rows = docs.select(_source(F.col("source")).alias("source"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("hash"), F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     # a bucket holds neighbours by hash, so each source's stream is dealt out over many tasks and keeps its order
     rows = rows.join(F.broadcast(streams), "source").withColumn("bucket", F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("buckets")))  # a row a source
     counted = rows.groupBy("source", "bucket").agg(F.sum("size").alias("own"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.select("source", "bucket", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("hash", "row.doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).join(counted, ["source", "bucket"])
     placed = placed.withColumn("mix_start", F.col("before") + F.col("upto") - F.col("size"))
     number = F.floor(F.col("mix_start") / block)
     placed = placed.withColumns({"turn": F.floor(number / F.col("slots")), "number": number % F.col("slots") + 1})
     done = placed.join(F.broadcast(plan), ["source", "number"])  # a row a slot of one period
-    return done.select("row", (F.col("turn") * length + F.col("place")).alias("mix_slot"), "mix_start")
+    return done.select("row", "id", (F.col("turn") * length + F.col("place")).alias("mix_slot"), "mix_start")
 
 
 def _range_of(slot: Column, sizes: dict[str, int], slots: dict[str, int], block: int, parts: int) -> Column:
@@ -160,7 +163,7 @@ def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
         return docs
     slots = _slots(sizes, weights, period, flatten)
     parts = parts or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // PART_CHARS))
-    placed = _placed(docs, sizes, slots, block, spread)
+    placed = _placed(docs, docs.columns, sizes, slots, block, spread)
     # the partition is known from the slot, so no sample of the rows is read before they are dealt
     dealt = placed.repartitionById(parts, _range_of(F.col("mix_slot"), sizes, slots, block, parts))
-    return dealt.sortWithinPartitions("mix_slot", "mix_start", "row.doc_id").select("row.*")
+    return dealt.sortWithinPartitions("mix_slot", "mix_start", "id").select("row.*")

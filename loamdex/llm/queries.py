@@ -72,8 +72,7 @@ from escaped group by conv_id
 @_query("op3_mixing")
 def op3(spark, folder):
     """The place of every document in the mix."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "mix_slot", "mix_start")
+    return mixing.mix(table(spark, folder, "documents"), keep=("doc_id", "source"))
 
 
 @_query("op5_tokens")
