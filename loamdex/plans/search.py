@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import text as T
 from loamdex.operators import filters, fusion, graph, lexical, retrieval
 from loamdex.plans.registry import query
-from loamdex.session import cut, table
+from loamdex.session import cut, table, widen
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -41,7 +41,7 @@ def _queries(spark, folder):
 
 def _index(spark, folder):
     """The documents' index, written once for all that reads it."""
-    return cut(lexical.index(table(spark, folder, "documents")), "index")
+    return cut(lexical.index(widen(table(spark, folder, "documents").select("doc_id", "text"))), "index")
 
 
 @query("search_bm25", BM25)

@@ -71,6 +71,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over as many tasks as the cluster runs at a time, if it has fewer partitions than that; a large table stays as it is."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
