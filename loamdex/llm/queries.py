@@ -6,8 +6,8 @@ import uuid
 
 import public_tokenizers
 
-from loamdex.llm import chat, dac, decontaminate, language, mixing, neighbours, quality, simhash, suffixes, toxicity
-from loamdex.session import shared_dir, table
+from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, quality, simhash, suffixes, toxicity
+from loamdex.session import cut, shared_dir, small, table
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -109,3 +109,41 @@ def op8(spark, folder):
     """What is left of every document without strings that repeat anywhere."""
     found = suffixes.dedup(table(spark, folder, "documents"), first_stays=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query("op12_codes")
+def op12(spark, folder):
+    """Product codes of every vector, with each label's whole error and the digest of the codebooks."""
+    made, books = codes.encode(table(spark, folder, "embeddings"), ["label"])
+    made = cut(made, "vector-codes")
+    sums = made.groupBy(F.col("label").alias("of")).agg(F.try_sum("error").alias("label_error"))  # null where it is beyond a long
+    joined = made.join(small(sums, 100_000), F.col("label").eqNullSafe(F.col("of")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else "").alias("codebooks_sha256"))
+
+
+def _assigned(n: int) -> str:
+    """SQL of one assignment and the codebook of its means."""
+    return f"""
+a{n} as materialized (select v.i, v.p, arg_min(b.k, (v.xx + b.cc - 2 * list_inner_product(v.x, b.c))::bigint * 256 + b.k) as k,
+  min((v.xx + b.cc - 2 * list_inner_product(v.x, b.c))::bigint) as d from v join b{n} b using (p) group by 1, 2),
+c{n} as (select p, k, j, floor(sum(x[j]) / count(*)) as y from a{n} join v using (i, p), generate_series(1, (select w from wide)) g(j) group by 1, 2, 3),
+b{n + 1} as materialized (select p, k, c, list_inner_product(c, c) as cc from (
+  select b.p, b.k, coalesce(any_value(u.c), any_value(b.c)) as c from b{n} b left join (select p, k, list(y order by j) as c from c{n} group by 1, 2) u using (p, k) group by 1, 2))"""
+
+
+ORACLES["op12_codes"] = f"""
+with kept as (select row_number() over (order by vec_id nulls last, embedding) - 1 as i, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+wide as (select ((max(len(e)) + 3) // 4)::bigint as w from kept),
+v as materialized (select i, p, x, list_inner_product(x, x) as xx from (select i, p, list_transform(generate_series(1, w), lambda j: coalesce(e[p * w + j], 0::double)) as x from kept, wide, generate_series(0, 3) g(p))),
+b0 as materialized (select p, i as k, x as c, xx as cc from v where i < 256),
+{",".join(_assigned(n) for n in range(4))},
+f as (select v.i, v.p, arg_min(b.k, (v.xx + b.cc - 2 * list_inner_product(v.x, b.c))::bigint * 256 + b.k) as k,
+  min((v.xx + b.cc - 2 * list_inner_product(v.x, b.c))::bigint) as d from v join b4 b using (p) group by 1, 2),
+coded as (select i, string_agg(printf('%02x', k::int), '' order by p) as code, sum(d)::bigint as error from f group by 1),
+labelled as (select vec_id, label, code, error from coded join kept using (i)),
+sums as (select label, sum(error)::bigint as label_error from labelled group by 1)
+select vec_id, code, error, label_error,
+  (select sha256(string_agg(x, ',' order by p, k, j)) from (select p, k, unnest(list_transform(c, lambda y: y::bigint::varchar)) as x, generate_subscripts(c, 1) as j from b4)) as codebooks_sha256
+from labelled l join sums s on l.label is not distinct from s.label
+"""
