@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, quality, simhash, suffixes, toxicity
+from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, quality, repair, simhash, suffixes, toxicity
 from loamdex.session import cut, shared_dir, small, table
 from pyspark.sql import functions as F
 
@@ -147,3 +147,48 @@ select vec_id, code, error, label_error,
   (select sha256(string_agg(x, ',' order by p, k, j)) from (select p, k, unnest(list_transform(c, lambda y: y::bigint::varchar)) as x, generate_subscripts(c, 1) as j from b4)) as codebooks_sha256
 from labelled l join sums s on l.label is not distinct from s.label
 """
+
+
+@_query("op11_repair")
+def op11(spark, folder):
+    """Every conversation with planted faults: what is wrong with it, and the cheapest edits that repair it."""
+    return repair.report(repair.repair(repair.damage(table(spark, folder, "conversations"))))
+
+
+ORACLES["op11_repair"] = r"""
+with recursive crc(b, v, n) as (
+  select b, b, 0 from generate_series(0, 255) t(b)
+  union all select b, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, n + 1 from crc where n < 8
+), lookup as materialized (select list(v order by b) as t from crc where n = 8),
+raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+hashed as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(name, ''), lambda c: ascii(c)::bigint)), lambda x, b: xor(x // 256, t[xor(x, b) % 256 + 1])), 4294967295) % 20 as kind from raw, lookup),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+  case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, lateral (select unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)))),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+faults as materialized (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+  when right(rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 1) in ('.', '!', '?') then 'none' else 'truncated' end as fault,
+  i > 1 and left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) not in ('su', 'ua', 'au') as illegal from placed),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal from faults group by 1),
+inserted(p, r, letters) as (values (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+edit(r, q, letter, price, initial) as (values (0, 0, 'D', 3, null), (1, 1, 'D', 3, null), (2, 2, 'D', 3, null), (3, 3, 'D', 3, null),
+  (0, 2, 'R', 2, null), (1, 2, 'R', 2, null), (3, 2, 'R', 2, null), (2, 3, 'R', 2, null), (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a')),
+steps as materialized (select conv_id, i, p, q, 2 * length(letters) + price + case when letter <> 'D' and fault = 'truncated' then 1 else 0 end as price, letters || letter as letters
+  from faults, inserted join edit using (r) where (initial is null or initial = left(role, 1)) and (letter = 'D' or fault not in ('blank', 'duplicate'))),
+walk(conv_id, i, q, best) as (
+  select distinct conv_id, 0::bigint, 0, {'cost': 0::bigint, 'audit': ''} from conversations
+  union all
+  select w.conv_id, w.i + 1, s.q, min({'cost': w.best.cost + s.price, 'audit': w.best.audit || s.letters}) from walk w join steps s on s.conv_id is not distinct from w.conv_id and s.i = w.i + 1 and s.p = w.q group by 1, 2, 3
+), ended as (select conv_id, i, min({'cost': best.cost + case q when 1 then 4 when 2 then 2 else 0 end, 'audit': best.audit || case q when 1 then 'II' when 2 then 'I' else '' end}) as best
+  from walk group by 1, 2 qualify i = max(i) over (partition by conv_id)),
+letters as (select conv_id, unnest(string_split(best.audit, '')) as letter, unnest(range(length(best.audit))) as n from ended where best.audit <> ''),
+rowed as (select *, sum(case when letter <> 'I' then 1 else 0 end) over (partition by conv_id order by n) as i, sum(case when letter <> 'D' then 1 else 0 end) over (partition by conv_id order by n) as place from letters),
+met as (select r.conv_id, n, place, letter, f.role, case when letter = 'I' then '' else f.text end as text from rowed r join faults f on f.conv_id is not distinct from r.conv_id and f.i = greatest(r.i, 1) where letter <> 'D'),
+system as (select conv_id, max(case when place = 1 and letter = 'K' and left(role, 1) = 's' then 1 else 0 end) as s from met group by 1),
+repaired as (select m.conv_id, sha256(string_agg(case when letter = 'K' then role when (place - s) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by n)) as sha
+  from met m join system y on m.conv_id is not distinct from y.conv_id group by 1)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  best.cost as cost, best.audit as audit, coalesce(sha, sha256('')) as repaired_sha256
+from ended e left join counts c on c.conv_id is not distinct from e.conv_id left join repaired r on r.conv_id is not distinct from e.conv_id
+"""
