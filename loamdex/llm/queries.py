@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, quality, repair, simhash, suffixes, toxicity
+from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, personal, quality, repair, simhash, suffixes, toxicity
 from loamdex.session import cut, shared_dir, small, table
 from pyspark.sql import functions as F
 
@@ -192,3 +192,13 @@ select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
   best.cost as cost, best.audit as audit, coalesce(sha, sha256('')) as repaired_sha256
 from ended e left join counts c on c.conv_id is not distinct from e.conv_id left join repaired r on r.conv_id is not distinct from e.conv_id
 """
+
+
+@_query("op13_personal")
+def op13(spark, folder):
+    """Personal data in every document: counts and digest of what the patterns match, and all spans."""
+    found = personal.find(table(spark, folder, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    matched = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(listed(matched).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
