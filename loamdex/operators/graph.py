@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.session import cut
+from loamdex.session import cut, small
 
 HIERARCHY = "contains"
 MOST_DEPTH = 10
@@ -205,39 +205,63 @@ def _asked(tokens: DataFrame) -> DataFrame:
     return tokens.select("query_id", F.lower("query").alias("q"), "tokens", F.explode("tokens").alias("word"))
 
 
+#: Queries whose tokens are broadcast at most.
+MOST_QUERIES = 20_000
 #: What the query itself, all of its tokens, and any token are worth in a node's fields, and in an edge's.
 NODE_FIELDS = {"label": (1.0, 0.9, 0.6), "name": (0.95, 0.85, 0.55), "type": (0.5, 0.5, 0.5)}
 EDGE_TYPE, EDGE_END = (0.65, 0.55, 0.45), (0.5, 0.4, 0.3)
 
 
+#: Nodes and edges of a type that are found by its name alone: the first ones by label and id, or by their ends.
+FIRST_OF_TYPE = 20
+
+
+def _named_types(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, type) of types of whose words a query holds one."""
+    spaced = F.replace("type", F.lit("_"), F.lit(" "))
+    return rows.select("type").distinct().select("type", F.explode(F.array_distinct(_words(spaced))).alias("word")).join(asked, "word").select("query_id", "type").distinct()
+
+
+def _first_of_type(rows: DataFrame, *order: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("type").orderBy(*order))
+    return rows.withColumn("__place", place).filter(F.col("__place") <= FIRST_OF_TYPE).drop("__place")
+
+
 def node_scores(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, id, score, field): the best rung over a node's label, name and type, the earlier field where two are equal.
 
-    ``tokens`` are (query_id, query, tokens). Candidates share a word with the query, so the join is on words.
+    ``tokens`` are (query_id, query, tokens). Candidates share a word of their label or name with the query, so the join
+    is on words; a type that the query names adds only its first nodes, as it may be that of every node. Fields and
+    tokens meet the pairs when those are distinct.
     """
     fields = {f: steps for f, steps in NODE_FIELDS.items() if f in nodes.columns}
-    words = F.array_distinct(F.concat(*[_words(F.replace(F.col(f), F.lit("_"), F.lit(" ")) if f == "type" else F.col(f)) for f in fields]))
-    listed = nodes.select("id", *fields, F.explode(words).alias("word"))
-    pairs = listed.join(_asked(tokens), "word").select("query_id", "id", *fields, "q", "tokens").distinct()
+    asked = _asked(tokens).select("query_id", "word").distinct()
+    words = F.array_distinct(F.concat(*[_words(F.col(f)) for f in fields if f != "type"]))
+    pairs = nodes.select("id", F.explode(words).alias("word")).join(asked, "word").select("query_id", "id")
+    if "type" in fields:
+        pairs = pairs.unionByName(_first_of_type(nodes.select("id", "type", "label"), "label", "id").join(_named_types(nodes, asked), "type").select("query_id", "id"))
+    wide = pairs.distinct().join(nodes.select("id", *fields), "id").join(small(tokens.select("query_id", F.lower("query").alias("q"), "tokens"), MOST_QUERIES), "query_id")
     scored = F.array(*[F.struct(rung(F.col(f), *steps).alias("s"), F.lit(-n).alias("o"), F.lit(f).alias("f")) for n, (f, steps) in enumerate(fields.items())])
-    return pairs.withColumn("best", F.array_max(scored)).select("query_id", "id", F.round("best.s", 3).alias("score"), F.col("best.f").alias("field")).filter("score > 0")
+    return wide.withColumn("best", F.array_max(scored)).select("query_id", "id", F.round("best.s", 3).alias("score"), F.col("best.f").alias("field")).filter("score > 0")
 
 
 def edge_scores(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, src, dst, type, score): the best rung over an edge's type and the labels of its ends.
 
-    Words are listed for nodes and for types, not for edges: only edges at a node or of a type that shares a word
-    with a query are looked at.
+    Words are listed for nodes and for types, not for edges: only edges at a node that shares a word with a query are
+    looked at, and the first ones of a type that a query names.
     """
-    asked = _asked(tokens)
-    ends = nodes.select("id", "label", F.explode(F.array_distinct(_words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "q", "tokens", "id", "label").distinct()
-    fit = ends.select("query_id", "id", rung(F.col("label"), *EDGE_END).alias("s")).filter("s > 0")
+    asked = _asked(tokens).select("query_id", "word").distinct()
+    known = small(tokens.select("query_id", F.lower("query").alias("q"), "tokens"), MOST_QUERIES)
+    ends = nodes.select("id", F.explode(F.array_distinct(_words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "id").distinct()
+    fit = ends.join(nodes.select("id", "label"), "id").join(known, "query_id").select("query_id", "id", rung(F.col("label"), *EDGE_END).alias("s")).filter("s > 0")
     at = lambda end: edges.join(fit.withColumnRenamed("id", end), end).select("query_id", "src", "dst", "type", "s")
-    types = edges.select("type").distinct()
-    kinds = types.select("type", F.explode(_words(F.replace("type", F.lit("_"), F.lit(" ")))).alias("word")).join(asked, "word").select("query_id", "q", "tokens", "type").distinct()
-    kinds = kinds.select("query_id", "type", rung(F.replace("type", F.lit("_"), F.lit(" ")), *EDGE_TYPE).alias("s")).filter("s > 0")
-    by_type = edges.join(kinds, "type").select("query_id", "src", "dst", "type", "s")
-    return at("src").unionByName(at("dst")).unionByName(by_type).groupBy("query_id", "src", "dst", "type").agg(F.round(F.max("s"), 3).alias("score"))
+    kinds = _named_types(edges, asked).join(known, "query_id").select("query_id", "type", rung(F.replace("type", F.lit("_"), F.lit(" ")), *EDGE_TYPE).alias("s")).filter("s > 0")
+    # an edge found by an end has its type's score too
+    found = at("src").unionByName(at("dst")).groupBy("query_id", "src", "dst", "type").agg(F.max("s").alias("s"))
+    found = found.join(small(kinds.withColumnRenamed("s", "t"), MOST_QUERIES), ["query_id", "type"], "left").select("query_id", "src", "dst", "type", F.greatest("s", F.coalesce("t", F.lit(0.0))).alias("s"))
+    by_type = _first_of_type(edges.select("src", "dst", "type"), "src", "dst").join(kinds, "type").select("query_id", "src", "dst", "type", "s")
+    return found.unionByName(by_type).groupBy("query_id", "src", "dst", "type").agg(F.round(F.max("s"), 3).alias("score"))
 
 
 def search(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, top: int = 10) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,37 +28,35 @@ MOST_TERMS = 200_000
 def index(chunks: DataFrame, key: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
     """(key, len, terms array of (term, tf)): one row for each row with tokens; counts and length are weighted by field.
 
-    Terms are counted inside their row: its tokens are put in order, and each run of equal ones is a term. Nothing is
-    shuffled, and only the named columns are read.
+    Terms are counted inside their row, batch by batch. Nothing is shuffled, and only the named columns are read.
     """
     fields = {"text": 1.0} if fields is None else fields
-
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(T.index_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-    def counted(tokens: Column, starts: Column) -> Column:
-        upto = lambda j: F.coalesce(F.get(starts, j + 1), F.size(tokens))
-        if len(fields) == 1:  # every token of a row weighs the same
-            tf = lambda s, j: (upto(j) - s) * F.get(tokens, s)["w"]
-        else:
-            tf = lambda s, j: F.aggregate(F.slice(tokens, s + 1, upto(j) - s), F.lit(0.0), lambda x, t: x + t["w"])
-        return F.transform(starts, lambda s, j: F.struct(F.get(tokens, s)["term"].alias("term"), tf(s, j).alias("tf")))
-
-    def starts_of(tokens: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | (F.get(tokens, i)["term"] != F.get(tokens, F.greatest(i - 1, F.lit(0)))["term"]))
-
-    def indexed(tokens: Column) -> Column:
-        length = F.aggregate(tokens, F.lit(0.0), lambda x, t: x + t["w"])
-        return F.struct(length.alias("len"), once(starts_of(tokens), lambda starts: counted(tokens, starts)).alias("terms"))
-
-    ordered = F.sort_array(F.concat(*[weighted(c, w) for c, w in fields.items()]))
-    made = once(ordered, lambda tokens: F.when(F.size(tokens) > 0, indexed(tokens)))
-    return chunks.select(key, made.alias("made")).filter("made is not null").select(key, "made.len", "made.terms")
-
-
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, where the value is made a single time for each row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    kind = dict(chunks.dtypes)[key]
+    lowered = chunks.select(key, *[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"__{n}") for n, c in enumerate(fields)])
+    weights = list(fields.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile("[a-z0-9]+").findall
+        for batch in batches:
+            terms, counts, ends, lengths, rows = [], [], [0], [], []
+            for row, texts in enumerate(zip(*(batch.column(n + 1).to_pylist() for n in range(len(weights))))):
+                tf: Counter = Counter(words(texts[0]))
+                if len(weights) > 1 or weights[0] != 1.0:
+                    tf = Counter({t: weights[0] * n for t, n in tf.items()})
+                    for w, text in zip(weights[1:], texts[1:]):
+                        for t, n in Counter(words(text)).items():
+                            tf[t] += w * n
+                if tf:
+                    rows.append(row)
+                    terms += tf.keys()
+                    counts += tf.values()
+                    ends.append(len(terms))
+                    lengths.append(float(sum(tf.values())))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.float64())], ["term", "tf"])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.float64()), listed], [key, "len", "terms"])
+
+    return lowered.mapInArrow(run, f"{key} {kind}, len double, terms array<struct<term: string, tf: double>>")
 
 
 def postings(indexed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -98,25 +99,31 @@ def bm25(queries: DataFrame, indexed: DataFrame, key: str = "doc_id", top: int =
     """(query_id, rank, key, score) of the best rows for each of (query_id, query).
 
     Tokens are alternatives. A hit holds one of the query's rarest terms, and is scored on some more.
-    ``prior`` gives (key, prior) by which scores are divided. Equal scores go by key. Postings of terms that no
-    query asks for are dropped where the index is read; the terms asked for are broadcast if they are few.
+    ``prior`` gives (key, prior), or (query_id, key, prior), by which scores are divided; without one they stay. Equal
+    scores go by key. The index is read once: postings of terms that no query asks for are dropped there, and the others
+    are written for all that follows. The terms asked for are broadcast if they are few.
     """
     asked = queries.select(F.explode(T.query_tokens(F.col("query"))).alias("term")).distinct()
-    held = postings(indexed, key).join(small(asked, MOST_TERMS), "term")
+    held = cut(postings(indexed, key).join(small(asked, MOST_TERMS), "term"), "postings-asked-for")
+    return scored(queries, held, indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len")), key, top, prior)
+
+
+def scored(queries: DataFrame, held: DataFrame, sizes: DataFrame, key: str = "doc_id", top: int = 20, prior: DataFrame | None = None) -> DataFrame:
+    """``bm25`` from the postings (key, term, tf, len) of all terms asked for and one row (n, mean_len)."""
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = query_terms(queries, df)
-    sizes = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
-    hits = postings(indexed, key).join(small(cut(terms, "query-terms"), MOST_TERMS), "term").crossJoin(F.broadcast(sizes))  # one row of sizes
+    terms = cut(query_terms(queries, df), "query-terms")
+    hits = held.join(small(terms, MOST_TERMS), "term").crossJoin(F.broadcast(sizes))  # one row of sizes
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = hits.groupBy("query_id", key).agg(
+    found = hits.groupBy("query_id", key).agg(
         F.sum(idf(F.col("n"), F.col("df")) * saturated).alias("score"), F.min("rarity").alias("rarest")
     )
-    scored = scored.filter(F.col("rarest") <= MATCH_TERMS)
+    found = found.filter(F.col("rarest") <= MATCH_TERMS)
     if prior is not None:
-        scored = scored.join(prior, key).withColumn("score", F.col("score") / F.col("prior"))
-    scored = scored.withColumn("score", F.round("score", 6))
+        on = [c for c in ("query_id", key) if c in prior.columns]
+        found = found.join(prior, on, "left").withColumn("score", F.col("score") / F.coalesce("prior", F.lit(1.0)))
+    found = found.withColumn("score", F.round("score", 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", key, "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", key, "score")
 
 
 def vocabulary(df: DataFrame, top: int = 64) -> DataFrame:

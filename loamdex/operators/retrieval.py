@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.functions.vectors import usable
+
 #: Words that the hashing embedder takes for others.
 SYNONYMS = {"automobile": "car", "vehicle": "car", "physician": "doctor", "clinician": "doctor", "k8s": "kubernetes"}
 EMBED_DIMS = 64
@@ -18,28 +20,33 @@ EMBED_DIMS = 64
 QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
 
 
+def _matrix(vectors: pa.ChunkedArray, size: int) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, top: int = 10, others: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, cosine, score) of each query's nearest rows by exact cosine, rounded to six digits; with ``others`` not its own vec_id.
 
-    Both tables hold (vec_id, embedding). Blocks of queries meet blocks of rows, each block keeps its best, and
-    the best of all blocks are ranked: no table is broadcast or gathered. Vectors without length take no part.
+    Both tables hold (vec_id, embedding). Blocks of queries meet blocks of rows of their size, each block keeps its
+    best, and the best of all blocks are ranked: no table is broadcast or gathered. Vectors that are null, empty, zero or
+    hold null or non-finite components take no part.
     """
-    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null")
-    held = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null")
+    fine = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(usable(F.col("embedding"))).withColumn("size", F.size("embedding"))
+    asked, held = fine(queries), fine(rows)
     n, m = asked.count(), held.count()
     q, r = max(1, -(-n // QUERY_BLOCK)), max(1, -(-m // ROW_BLOCK))
     block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asked = asked.select("vec_id", "embedding", block(q).alias("q"), every(r).alias("r"))
-    held = held.select("vec_id", "embedding", every(q).alias("q"), block(r).alias("r"))
+    asked = asked.select("size", "vec_id", "embedding", block(q).alias("q"), every(r).alias("r"))
+    held = held.select("size", "vec_id", "embedding", every(q).alias("q"), block(r).alias("r"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            matrix = lambda t: np.stack(t.column("embedding").to_pylist())
-            a, b = matrix(left), matrix(right)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+            size = left.column("size")[0].as_py()
+            a, b = _matrix(left.column("embedding"), size), _matrix(right.column("embedding"), size)
+            a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
             ids, names = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
             for name, cos in zip(names, np.round(a @ b.T, 6)):
                 fine = np.flatnonzero(((ids != name) | (not others)) & np.isfinite(cos))
@@ -49,7 +56,8 @@ def nearest(queries: DataFrame, rows: DataFrame, top: int = 10, others: bool = T
                 out[2] += cos[pick].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "cosine": pa.array(out[2], pa.float64())})
 
-    found = asked.groupBy("q", "r").cogroup(held.groupBy("q", "r")).applyInArrow(best, "query_id long, vec_id long, cosine double")
+    keys = ["size", "q", "r"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     ranked = found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "cosine", F.round((1 + F.col("cosine")) / 2, 7).alias("score"))
@@ -91,16 +99,35 @@ def hash_embedding(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, "tokens").mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
-def term_vectors(terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, embedding) of rows (key, term, tf): each term adds its count to one of 64 places, with a sign, by its MD5.
+def term_vectors(rows: DataFrame, key: str = "doc_id", without: tuple[str, ...] = ()) -> DataFrame:
+    """(key, embedding) of rows (key, terms array of (term, tf)): each term adds its count to one of 64 places, with a sign, by its MD5.
 
-    Only a row's sums by place are shuffled. A row without terms has no vector.
+    Nothing is shuffled; a batch looks at each of its different terms once. A row without terms other than those it is to
+    be ``without`` has no vector.
     """
-    digest = F.md5(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), F.col("term")), F.col("term")).cast("binary"))
-    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
-    placed = terms.select(key, (number(1, 2) % EMBED_DIMS).alias("dim"), (F.when(number(3, 1) < 8, 1.0).otherwise(-1.0) * F.col("tf")).alias("x"))
-    sums = placed.groupBy(key, "dim").agg(F.sum("x").alias("x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
-    return sums.select(key, F.transform(F.sequence(F.lit(0), F.lit(EMBED_DIMS - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("embedding"))
+    kind = dict(rows.dtypes)[key]
+    skip = frozenset(without)
+
+    def place(term: str) -> tuple[int, float]:
+        digest = hashlib.md5(SYNONYMS.get(term, term).encode()).hexdigest()
+        return int(digest[:2], 16) % EMBED_DIMS, 0.0 if term in skip else 1.0 if int(digest[2], 16) < 8 else -1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.fill_null(batch.column("terms"), [])
+            flat = lists.flatten()
+            coded = flat.field("term").dictionary_encode()
+            made = np.array([place(t) for t in coded.dictionary.to_pylist()], float).reshape(-1, 2)
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            cell = row * EMBED_DIMS + made[at, 0].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+            weight = made[at, 1] * flat.field("tf").to_numpy(zero_copy_only=False) if len(at) else np.zeros(0)
+            total = np.bincount(cell, weight, minlength=len(lists) * EMBED_DIMS).reshape(-1, EMBED_DIMS)
+            keep = np.bincount(row, weight != 0, minlength=len(lists)) > 0
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1) * EMBED_DIMS, pa.int32()), pa.array(total[keep].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(keep)), vectors], [key, "embedding"])
+
+    return rows.select(key, "terms").mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
 #: A prime, below which hashes are permuted: (a * h + b) modulo it, where a and b follow from the permutation's number.

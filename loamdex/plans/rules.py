@@ -172,13 +172,13 @@ def preferred_paths(spark, folder):
 
 @query(
     "excluded_documents",
-    f"""with {_PARSED}, never as (select distinct unnest(vals) as fragment from parsed where kind = 'exclusion'), {_PATHS}, t as (select doc_id, lower(regexp_extract(text, '^[^.\\n]{{0,80}}', 0)) as title from documents)
+    f"""with {_PARSED}, never as (select distinct unnest(vals) as fragment from parsed where kind = 'exclusion'), {_PATHS}, t as (select doc_id, lower(regexp_extract(text, '^[^.\\n]*', 0)) as title from documents)
     select doc_id from t where exists (select 1 from never where contains(title, fragment))""",
 )
 def excluded_documents(spark, folder):
     """Documents whose title holds what an exclusion rule names."""
     fragments = _parsed(spark, folder).filter("kind = 'exclusion'").select(F.explode("vals").alias("fragment")).distinct()
-    titles = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", "^[^.\\n]{0,80}", 0).alias("title"))
+    titles = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", "^[^.\\n]*", 0).alias("title"))
     return filters.excluded(titles, "title", fragments).select("doc_id")
 
 

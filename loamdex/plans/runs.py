@@ -106,28 +106,15 @@ def gate_results(spark, folder):
     return E.gates(table(spark, folder, "events").groupBy("event_type").agg((F.avg("value") < 60).alias("passed")))
 
 
-_ASKED = """asked as (select item_id as query_id, lower(text) as q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) as ts from benchmark), toks as (select query_id, unnest(ts) as word from asked)"""
-_KIND = "replace(type, '_', ' ')"
-_NODE_SCORES = f"""{_GRAPH}, {_ASKED},
-nw as (select distinct id, unnest(regexp_extract_all(lower(label), '[a-z0-9_]{{2,}}') || regexp_extract_all({_KIND}, '[a-z0-9_]{{2,}}')) as word from nodes),
-cand as (select distinct query_id, id from nw join toks using (word)),
-scored as (select query_id, id, label, round(greatest({search._rung("label", 1.0, 0.9, 0.6)}, {search._rung("type", 0.5, 0.5, 0.5)})::double, 3) as score from cand join asked using (query_id) join nodes using (id)),
-best as (select query_id, id, score, row_number() over (partition by query_id order by score desc, label, id) as place from scored where score > 0 qualify place <= 10)"""
-_GRAPH_SEARCH = f"""{_NODE_SCORES},
-ends as (select distinct query_id, id, ({search._rung("label", 0.5, 0.4, 0.3)})::double as s from (select distinct id, label, unnest(regexp_extract_all(lower(label), '[a-z0-9_]{{2,}}')) as word from nodes) join toks using (word) join asked using (query_id)),
-kinds as (select distinct query_id, type, ({search._rung(_KIND, 0.65, 0.55, 0.45)})::double as s from (select distinct type, unnest(regexp_extract_all({_KIND}, '[a-z0-9_]{{2,}}')) as word from edges) join toks using (word) join asked using (query_id)),
-links as (select query_id, src, dst, type, round(max(s), 3) as score from (select query_id, src, dst, type, s from edges join ends on id = src union all select query_id, src, dst, type, s from edges join ends on id = dst
-  union all select query_id, src, dst, type, s from edges join kinds using (type)) where s > 0 group by 1, 2, 3, 4),
-lb as (select query_id, src, dst, score, row_number() over (partition by query_id order by score desc, src, dst, type) as place from links qualify place <= 10),
-both_kinds as (select query_id, 'node' as kind, id, '' as dst, score, place from best union all select query_id, 'relationship', src, dst, score, place + 10 from lb),
-found as (select query_id, row_number() over (partition by query_id order by place) as rank, kind, id, dst, score from both_kinds qualify rank <= 10)"""
+_ASKED = "gasked as (select item_id as query_id, lower(text) as q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) as ts from benchmark)"
+_GRAPH_SEARCH = f"{_GRAPH}, {_ASKED}, {search.graph_sql(10)}"
 
 
 def _graph_tokens(spark, folder):
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), T.graph_tokens(F.col("text")).alias("tokens"))
 
 
-@query("node_scores", f"with recursive {_NODE_SCORES} select query_id, id, score from scored where score > 0")
+@query("node_scores", f"with recursive {_GRAPH_SEARCH} select query_id, id, score from gscored where score > 0")
 def node_scores(spark, folder):
     """How well each page, folder and outside target fits each item."""
     return graph.node_scores(_graph(spark, folder)[0], _graph_tokens(spark, folder)).select("query_id", "id", "score")
@@ -159,7 +146,7 @@ def parallel_edges(spark, folder):
 
 @query(
     "named_nodes",
-    f"""with recursive {_GRAPH}, {_ASKED}, words as (select distinct word as label from toks),
+    f"""with recursive {_GRAPH}, {_ASKED}, words as (select distinct unnest(ts) as label from gasked),
     rungs as (select label, id, 0 as n, 'page' as rung, 1.0::double as confidence from nodes where type = 'page' union all select label, id, 1, 'directory', 0.8 from nodes where type = 'directory'
       union all select lower(string_split(label, '/')[-1]), id, 2, 'external', 0.5 from nodes where type = 'external_reference'),
     met as (select distinct label, id, n, rung, confidence from words join rungs using (label)), best as (select * from met qualify n = min(n) over (partition by label))

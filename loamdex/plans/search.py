@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import text as T
 from loamdex.operators import filters, fusion, graph, lexical, retrieval
 from loamdex.plans.registry import query
-from loamdex.session import cut, table, widen
+from loamdex.session import cut, kept, table, widen
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -40,8 +40,8 @@ def _queries(spark, folder):
 
 
 def _index(spark, folder):
-    """The documents' index, written once for all that reads it."""
-    return cut(lexical.index(widen(table(spark, folder, "documents").select("doc_id", "text"))), "index")
+    """The documents' index, written once for all queries that read it."""
+    return kept(lexical.index(widen(table(spark, folder, "documents").select("doc_id", "text"))), "index", f"{folder}/documents.parquet")
 
 
 @query("search_bm25", BM25)
@@ -92,6 +92,30 @@ def _rung(field: str, whole: float, every: float, some: float) -> str:
     return f"case when lower({field}) = q then {whole} when contains(lower({field}), q) then {(whole + every) / 2} when {held} = len(ts) then {every} when {held} > 0 then {some} else 0 end"
 
 
+def graph_sql(top: int, name: bool = False) -> str:
+    """SQL for the graph's best nodes and edges, ``found``, from nodes (id, type, label, perhaps name), edges and gasked (query_id, q, ts)."""
+    words = lambda field: f"regexp_extract_all(lower({field}), '[a-z0-9_]{{2,}}')"
+    kind, first = "replace(type, '_', ' ')", graph.FIRST_OF_TYPE
+    rungs = [_rung("label", 1.0, 0.9, 0.6), *([_rung("name", 0.95, 0.85, 0.55)] if name else []), _rung("type", 0.5, 0.5, 0.5)]
+    return f"""
+gtoks as (select distinct query_id, unnest(ts) as word from gasked),
+nw as (select distinct id, unnest({words("label")}{" || " + words("name") if name else ""}) as word from nodes),
+tw as (select distinct type, unnest({words(kind)}) as word from (select distinct type from nodes)),
+firsts as (select id, type from nodes qualify row_number() over (partition by type order by label, id) <= {first}),
+gcand as (select query_id, id from nw join gtoks using (word) union select query_id, id from tw join gtoks using (word) join firsts using (type)),
+gscored as (select query_id, id, label, round(greatest({", ".join(rungs)})::double, 3) as score from gcand join gasked using (query_id) join nodes using (id)),
+gbest as (select query_id, id, score, row_number() over (partition by query_id order by score desc, label, id) as place from gscored where score > 0 qualify place <= {top}),
+ends as (select distinct query_id, id, ({_rung("label", 0.5, 0.4, 0.3)})::double as s from (select distinct id, label, unnest({words("label")}) as word from nodes) join gtoks using (word) join gasked using (query_id)),
+ekinds as (select distinct query_id, type, ({_rung(kind, 0.65, 0.55, 0.45)})::double as s from (select distinct type, unnest({words(kind)}) as word from edges) join gtoks using (word) join gasked using (query_id)),
+efirsts as (select * from edges qualify row_number() over (partition by type order by src, dst) <= {first}),
+atend as (select query_id, src, dst, type, s from edges join ends on id = src union all select query_id, src, dst, type, s from edges join ends on id = dst),
+links as (select query_id, src, dst, type, round(max(s), 3) as score from (select * from atend union all select query_id, src, dst, type, k.s from atend join ekinds k using (query_id, type)
+  union all select query_id, src, dst, type, s from efirsts join ekinds using (type)) where s > 0 group by 1, 2, 3, 4),
+lb as (select query_id, src, dst, score, row_number() over (partition by query_id order by score desc, src, dst, type) as place from links qualify place <= {top}),
+both_kinds as (select query_id, 'node' as kind, id, '' as dst, score, place from gbest union all select query_id, 'relationship', src, dst, score, place + {top} from lb),
+found as (select query_id, row_number() over (partition by query_id order by place) as rank, kind, id, dst, score from both_kinds qualify rank <= {top})"""
+
+
 _SYNONYMS = "case term " + " ".join(f"when '{a}' then '{b}'" for a, b in retrieval.SYNONYMS.items()) + " else term end"
 _PLACE = f"('0x' || substr(md5({_SYNONYMS}), 1, 2))::int % 64 as dim, case when ('0x' || substr(md5({_SYNONYMS}), 3, 1))::int < 8 then 1 else -1 end"
 
@@ -100,14 +124,15 @@ dv as (select doc_id, dim, sum(x) as x from (select doc_id, {_PLACE} * tf as x f
 qv as (select query_id, dim, sum(x) as x from (select query_id, {_PLACE} as x from tokens) group by 1, 2),
 dn as (select doc_id, sqrt(sum(x * x)) as n from dv group by 1), qn as (select query_id, sqrt(sum(x * x)) as n from qv group by 1),
 cosines as (select query_id, doc_id, round(sum(dv.x * qv.x) / (any_value(qn.n) * any_value(dn.n)), 6) as cosine from qv join dv using (dim) join qn using (query_id) join dn using (doc_id) group by 1, 2),
-asked as (select query_id, lower(text) as q, list(term) as ts from tokens join benchmark on item_id = query_id group by 1, 2),
-titles as (select doc_id, regexp_extract(text, '^[^.\n]{{0,80}}', 0) as label, coalesce(source, '') as name from documents),
-listed as (select distinct query_id, doc_id from (select doc_id, unnest(regexp_extract_all(lower(label) || ' ' || lower(name) || ' document', '[a-z0-9_]{{2,}}')) as term from titles) join tokens using (term)),
-rungs as (select query_id, doc_id, label, greatest({_rung("label", 1.0, 0.9, 0.6)}, {_rung("name", 0.95, 0.85, 0.55)}, {_rung("'document'", 0.5, 0.5, 0.5)}) as s from listed join asked using (query_id) join titles using (doc_id)),
+gasked as (select query_id, lower(text) as q, list(term) as ts from tokens join benchmark on item_id = query_id group by 1, 2),
+nodes as (select 'd' || doc_id as id, 'document' as type, regexp_extract(text, '^[^.\n]*', 0) as label, coalesce(source, '') as name from documents
+  union all select distinct 's' || source, 'source', source, '' from documents where source is not null),
+edges as (select 's' || source as src, 'd' || doc_id as dst, 'indexes' as type from documents where source is not null),
+{graph_sql(20, True)},
 arms as (
   select query_id, 'text' as arm, rank - 1 as pos, 'c' || doc_id as key, 'd' || doc_id as node, 'chunk' as kind, 1.0::double as weight from bm
   union all
-  select query_id, 'graph', row_number() over (partition by query_id order by round(s, 3) desc, label, doc_id) - 1 as pos, 'd' || doc_id, 'd' || doc_id, 'node', 1.0 from rungs where round(s, 3) > 0 qualify pos < 20
+  select query_id, 'graph', rank - 1, case kind when 'node' then id else id || '>' || dst end, id, kind, 1.0 from found
   union all
   select query_id, 'vector', row_number() over (partition by query_id order by cosine desc, doc_id) - 1 as pos, 'c' || doc_id, 'd' || doc_id, 'chunk', 1.0 from cosines where cosine > 0 qualify pos < 20
 )"""
@@ -133,18 +158,26 @@ def _candidates(spark, folder):
     text = lexical.bm25(queries, indexed, top=ARM).select("query_id", *row("text", F.col("rank") - 1, "c", "chunk"))
 
     tokens = queries.select("query_id", "query", T.query_tokens(F.col("query")).alias("tokens"))
-    terms = tokens.select("query_id", F.explode("tokens").alias("term"), F.lit(1.0).alias("tf"))
+    terms = tokens.select("query_id", F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("tf"))).alias("terms"))
     asked = retrieval.term_vectors(terms, "query_id").select(F.col("query_id").alias("vec_id"), "embedding")
-    held = retrieval.term_vectors(lexical.postings(indexed).filter(~F.col("term").isin(*T.STOP_WORDS))).select(F.col("doc_id").alias("vec_id"), "embedding")
-    near = retrieval.nearest(asked, cut(held, "document-vectors"), ARM, others=False).filter("cosine > 0").withColumnRenamed("vec_id", "doc_id")
+    held = retrieval.term_vectors(indexed, without=tuple(T.STOP_WORDS)).select(F.col("doc_id").alias("vec_id"), "embedding")
+    near = retrieval.nearest(asked, kept(held, "document-vectors", f"{folder}/documents.parquet"), ARM, others=False).filter("cosine > 0").withColumnRenamed("vec_id", "doc_id")
     vector = near.select("query_id", *row("vector", F.col("rank") - 1, "c", "chunk"))
 
-    title = F.regexp_extract("text", "^[^.\\n]{0,80}", 0)
-    nodes = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), title.alias("label"), F.coalesce("source", F.lit("")).alias("name"), F.lit("document").alias("type"))
-    scored = graph.node_scores(nodes, tokens).join(nodes.select("id", "label"), "id").withColumnRenamed("id", "doc_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "doc_id"))
-    best = scored.withColumn("place", place).filter(F.col("place") <= ARM)
-    return text.unionByName(vector).unionByName(best.select("query_id", *row("graph", F.col("place") - 1, "d", "node")))
+    hits = graph.search(*_document_graph(spark, folder), tokens, ARM)
+    key = F.when(F.col("kind") == "node", F.col("id")).otherwise(F.concat("id", F.lit(">"), "dst"))
+    found = hits.select("query_id", F.lit("graph").alias("arm"), (F.col("rank") - 1).alias("pos"), key.alias("key"), F.col("id").alias("node"), "kind", F.lit(1.0).alias("weight"))
+    return text.unionByName(vector).unionByName(found)
+
+
+def _document_graph(spark, folder):
+    """(nodes, edges): documents under their opening words, sources, and which source indexes which document."""
+    docs = table(spark, folder, "documents")
+    title = F.regexp_extract("text", "^[^.\\n]*", 0)
+    nodes = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("document").alias("type"), title.alias("label"), F.coalesce("source", F.lit("")).alias("name"))
+    sources = docs.filter("source is not null").select(F.concat(F.lit("s"), "source").alias("id"), F.lit("source").alias("type"), F.col("source").alias("label"), F.lit("").alias("name")).distinct()
+    edges = docs.filter("source is not null").select(F.concat(F.lit("s"), "source").alias("src"), F.concat(F.lit("d"), "doc_id").alias("dst"), F.lit("indexes").alias("type"))
+    return kept(nodes.unionByName(sources), "document-nodes", f"{folder}/documents.parquet"), edges
 
 
 @query("search_fused", _FUSED + "select query_id, rank, key, node, kind, score, best, arms from f where rank <= 10")

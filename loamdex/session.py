@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -66,6 +67,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str, *sources: str) -> DataFrame:
+    """``df`` written once for each application and state of the files it is made from, and read by every query that asks for it.
+
+    ``sources`` are the folders or files; their length, number and time of change make the state.
+    """
+    spark = df.sparkSession
+    home = f"{_home(spark)}/kept-{name}-{_state(spark, sources)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        df.write.mode("overwrite").parquet(home)
+    return spark.read.schema(df.schema).parquet(home)
+
+
+def _state(spark: SparkSession, sources: tuple[str, ...]) -> str:
+    found = []
+    for source in sources:
+        path = spark._jvm.org.apache.hadoop.fs.Path(source)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        sums = store.getContentSummary(path)
+        found.append(f"{source} {sums.getLength()} {sums.getFileCount()} {store.getFileStatus(path).getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:24]
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it holds no more than ``rows`` rows, which are counted; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
