@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,11 +197,43 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]{2,}"), F.lit(0))
 
 
-def rung(text: Column, whole: float, every: float, some: float) -> Column:
-    """How well a field fits (q, tokens): it is the query, holds it (the mean of whole and every), holds all tokens, any, or none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    held = F.size(F.filter("tokens", lambda t: F.contains(low, t)))
-    return F.when(low == F.col("q"), whole).when(F.contains(low, F.col("q")), (whole + every) / 2).when(held == F.size("tokens"), every).when(held > 0, some).otherwise(0.0)
+def rung(low: str, q: str, tokens: list[str], steps: tuple[float, float, float]) -> float:
+    """How well a lower-cased field fits a query: it is the query, holds it (the mean of whole and every), holds all tokens, any, or none."""
+    whole, every, some = steps
+    if low == q:
+        return whole
+    if q in low:
+        return (whole + every) / 2
+    held = sum(t in low for t in tokens)
+    return every if held == len(tokens) else some if held else 0.0
+
+
+def _best_rungs(pairs: DataFrame, tokens: DataFrame, fields: dict[str, tuple[float, float, float]], by: list[str]) -> DataFrame:
+    """(query_id, by..., s, field) of ``pairs`` (query_id, by..., fields...): the best rung over the fields, the earlier field where two are equal.
+
+    Each pair is looked at once, in batches, where a query's tokens are split once.
+    """
+    known = tokens.select("query_id", F.lower("query").alias("__q"), F.array_join("tokens", " ").alias("__t"))
+    lowered = [F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"__{n}") for n, f in enumerate(fields)]
+    wide = pairs.select("query_id", *by, *lowered).join(small(known, MOST_QUERIES), "query_id")
+    kinds, names, steps = dict(wide.dtypes), list(fields), list(fields.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked: dict = {}
+            scores, best = [], []
+            columns = [batch.column(f"__{n}").to_pylist() for n in range(len(names))]
+            qs, ts = batch.column("__q"), batch.column("__t")
+            for row, query in enumerate(batch.column("query_id").to_pylist()):
+                if query not in asked:
+                    asked[query] = qs[row].as_py() or "", (ts[row].as_py() or "").split()
+                found = [rung(texts[row], *asked[query], step) for texts, step in zip(columns, steps)]
+                top = max(found)
+                scores.append(top)
+                best.append(names[found.index(top)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_id", *by)), pa.array(scores, pa.float64()), pa.array(best, pa.string())], ["query_id", *by, "s", "field"])
+
+    return wide.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in ("query_id", *by)]) + ", s double, field string").filter("s > 0")
 
 
 def _asked(tokens: DataFrame) -> DataFrame:
@@ -240,9 +275,8 @@ def node_scores(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     pairs = nodes.select("id", F.explode(words).alias("word")).join(asked, "word").select("query_id", "id")
     if "type" in fields:
         pairs = pairs.unionByName(_first_of_type(nodes.select("id", "type", "label"), "label", "id").join(_named_types(nodes, asked), "type").select("query_id", "id"))
-    wide = pairs.distinct().join(nodes.select("id", *fields), "id").join(small(tokens.select("query_id", F.lower("query").alias("q"), "tokens"), MOST_QUERIES), "query_id")
-    scored = F.array(*[F.struct(rung(F.col(f), *steps).alias("s"), F.lit(-n).alias("o"), F.lit(f).alias("f")) for n, (f, steps) in enumerate(fields.items())])
-    return wide.withColumn("best", F.array_max(scored)).select("query_id", "id", F.round("best.s", 3).alias("score"), F.col("best.f").alias("field")).filter("score > 0")
+    wide = pairs.distinct().join(nodes.select("id", *fields), "id")
+    return _best_rungs(wide, tokens, fields, ["id"]).select("query_id", "id", F.round("s", 3).alias("score"), "field")
 
 
 def edge_scores(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -252,11 +286,11 @@ def edge_scores(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFr
     looked at, and the first ones of a type that a query names.
     """
     asked = _asked(tokens).select("query_id", "word").distinct()
-    known = small(tokens.select("query_id", F.lower("query").alias("q"), "tokens"), MOST_QUERIES)
     ends = nodes.select("id", F.explode(F.array_distinct(_words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "id").distinct()
-    fit = ends.join(nodes.select("id", "label"), "id").join(known, "query_id").select("query_id", "id", rung(F.col("label"), *EDGE_END).alias("s")).filter("s > 0")
+    fit = _best_rungs(ends.join(nodes.select("id", "label"), "id"), tokens, {"label": EDGE_END}, ["id"]).drop("field")
     at = lambda end: edges.join(fit.withColumnRenamed("id", end), end).select("query_id", "src", "dst", "type", "s")
-    kinds = _named_types(edges, asked).join(known, "query_id").select("query_id", "type", rung(F.replace("type", F.lit("_"), F.lit(" ")), *EDGE_TYPE).alias("s")).filter("s > 0")
+    spaced = _named_types(edges, asked).withColumn("words", F.replace("type", F.lit("_"), F.lit(" ")))
+    kinds = _best_rungs(spaced, tokens, {"words": EDGE_TYPE}, ["type"]).drop("field")
     # an edge found by an end has its type's score too
     found = at("src").unionByName(at("dst")).groupBy("query_id", "src", "dst", "type").agg(F.max("s").alias("s"))
     found = found.join(small(kinds.withColumnRenamed("s", "t"), MOST_QUERIES), ["query_id", "type"], "left").select("query_id", "src", "dst", "type", F.greatest("s", F.coalesce("t", F.lit(0.0))).alias("s"))
