@@ -18,23 +18,37 @@ low as (select query_id, list_distinct(list_transform(r || list_filter(flatten(l
 kept as (select query_id, t, list_filter(t, lambda x: not list_contains([{STOP}], x)) as k from low),
 tokens as (select query_id, unnest(case when len(k) > 0 then k else t end) as term from kept)"""
 
-_POSTS = """
-words as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
-tf as (select doc_id, term, count(*)::double as tf from words group by 1, 2),
-dl as (select doc_id, sum(tf) as dl from tf group by 1),
+
+
+def posts_sql(rows: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """SQL for the postings of rows with a text: tf, dl, st and df."""
+    return f"""
+words as (select {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) as term from {rows}),
+tf as (select {key}, term, count(*)::double as tf from words group by 1, 2),
+dl as (select {key}, sum(tf) as dl from tf group by 1),
 st as (select count(*) as n, avg(dl) as mean from dl),
 df as (select term, count(*) as df from tf group by 1)"""
 
-BM25 = f"""
-with {_TOKENS}, {_POSTS},
-q as (select *, row_number() over (partition by query_id order by df, term) as rarity from tokens join df using (term)),
-scored as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as s, min(rarity) as r
-  from tf join q using (term) join dl using (doc_id) cross join st where rarity <= 12 group by 1, 2),
-ranked as (select query_id, doc_id, round(s, 6) as score, row_number() over (partition by query_id order by round(s, 6) desc, doc_id) as rank from scored where r <= 4)
-select query_id, rank, doc_id, score from ranked where rank <= 20
+
+def bm25_sql(key: str = "doc_id", top: int = 20, by: str = "query_id", tokens: str = "tokens", prior: str = "") -> str:
+    """SQL for the best rows of postings by tokens (by, term); ``prior`` is a relation (by, key, prior) by which scores are divided."""
+    divided = "s / coalesce(prior, 1)" if prior else "s"
+    joined = f" left join {prior} using ({by}, {key})" if prior else ""
+    return f"""
+with q as (select *, row_number() over (partition by {by} order by df, term) as rarity from {tokens} join df using (term)),
+scored as (select {by}, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as s, min(rarity) as r
+  from tf join q using (term) join dl using ({key}) cross join st where rarity <= 12 group by 1, 2),
+ranked as (select {by}, {key}, round({divided}, 6) as score, row_number() over (partition by {by} order by round({divided}, 6) desc, {key}) as rank from scored{joined} where r <= 4)
+select {by}, rank, {key}, score from ranked where rank <= {top}
 """
 
 
+_POSTS = posts_sql()
+
+BM25 = f"""
+with {_TOKENS}, {_POSTS},{bm25_sql().split("with", 1)[1]}"""
+
+
 def _queries(spark, folder):
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
