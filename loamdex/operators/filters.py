@@ -96,22 +96,26 @@ def memory_filter(rows: DataFrame, records: DataFrame, policy: MemoryPolicy, now
     return joined.filter(test).select(rows["*"])
 
 
-def excluded(rows: DataFrame, column: str, fragments: DataFrame) -> DataFrame:
-    """Rows whose column holds one of the fragments (fragment), whatever the case; a null holds none.
+def holding(rows: DataFrame, key: str, column: str, fragments: DataFrame) -> DataFrame:
+    """(key, fragment) of rows whose column holds a fragment (fragment), whatever the case; a null holds none, and empty fragments are in none.
 
     A fragment is looked for where its first word of three letters or digits begins, so rows and fragments meet on such
-    beginnings; fragments without one are tried on every row, and are broadcast if they are few.
+    beginnings; a fragment without one meets the rows that have its first character.
     """
     low = F.lower(F.col(column))
-    head = lambda c: F.regexp_extract(F.lower(c), "[a-z0-9]{3}", 0)
-    asked = fragments.select(F.lower("fragment").alias("fragment"), head(F.col("fragment")).alias("head")).filter("fragment != ''").distinct()
-    threes = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))), lambda x: F.length(x) == 3))
+    named = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, "[a-z0-9]{3}", 0), F.lit("")), F.substring(c, 1, 1))
+    asked = fragments.select("fragment", F.lower("fragment").alias("piece")).filter("piece != ''").distinct()
+    asked = asked.withColumn("head", named(F.col("piece")))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+    heads = F.array_distinct(F.concat(F.filter(parts(3), lambda x: F.length(x) == 3), parts(1)))
+    listed = rows.filter(F.col(column).isNotNull()).select(key, low.alias("low"), F.explode(heads).alias("head"))
+    return listed.join(asked, "head").filter(F.contains("low", F.col("piece"))).select(key, "fragment").distinct()
+
+
+def excluded(rows: DataFrame, column: str, fragments: DataFrame) -> DataFrame:
+    """Rows whose column holds one of the fragments (fragment), whatever the case; a null holds none."""
     keyed = cut(rows.withColumn("key", F.monotonically_increasing_id()), "rows-to-exclude")  # written, so that a row keeps its number
-    listed = keyed.filter(F.col(column).isNotNull()).select("key", low.alias("low"), F.explode(threes).alias("head"))
-    by_head = listed.join(asked.filter("head != ''"), "head").filter(F.contains("low", F.col("fragment"))).select("key")
-    rest = small(asked.filter("head = ''").select("fragment"), 10_000)
-    by_all = keyed.select("key", low.alias("low")).join(rest, F.contains("low", F.col("fragment"))).select("key")
-    return keyed.join(by_head.unionByName(by_all).distinct(), "key", "left_semi").drop("key")
+    return keyed.join(holding(keyed, "key", column, fragments).select("key").distinct(), "key", "left_semi").drop("key")
 
 
 def sampled(trace: Column, rate: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,7 @@ DEPTH, TEST, SAMPLE = 0.05, 0.60, 0.30
 FLOOR, PREFER = 0.25, 0.35
 #: Query terms that are broadcast at most.
 MOST_TERMS = 200_000
+Prior = DataFrame | Callable[[DataFrame], DataFrame] | None
 
 
 def index(chunks: DataFrame, key: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
@@ -77,9 +78,13 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _tokens(queries: DataFrame) -> Column:
+    return F.array_distinct("tokens") if "tokens" in queries.columns else T.query_tokens(F.col("query"))
+
+
 def query_terms(queries: DataFrame, df: DataFrame, keep: int = SCORE_TERMS) -> DataFrame:
     """(query_id, term, df, rarity): each query's rarest tokens that the corpus holds."""
-    tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("term"))
+    tokens = queries.select("query_id", F.explode(_tokens(queries)).alias("term"))
     rare = Window.partitionBy("query_id").orderBy("df", "term")
     return tokens.join(df, "term").withColumn("rarity", F.row_number().over(rare)).filter(F.col("rarity") <= keep)
 
@@ -95,20 +100,20 @@ def structural_prior(path: Column, preferred: Column | None = None) -> Column:
     return F.greatest(F.lit(FLOOR), cost)
 
 
-def bm25(queries: DataFrame, indexed: DataFrame, key: str = "doc_id", top: int = 20, prior: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, key, score) of the best rows for each of (query_id, query).
+def bm25(queries: DataFrame, indexed: DataFrame, key: str = "doc_id", top: int = 20, prior: Prior = None) -> DataFrame:
+    """(query_id, rank, key, score) of the best rows for each of (query_id, query), or of (query_id, tokens).
 
     Tokens are alternatives. A hit holds one of the query's rarest terms, and is scored on some more.
-    ``prior`` gives (key, prior), or (query_id, key, prior), by which scores are divided; without one they stay. Equal
-    scores go by key. The index is read once: postings of terms that no query asks for are dropped there, and the others
+    ``prior`` gives (key, prior), or (query_id, key, prior), by which scores are divided, or adds that column to hits
+    (query_id, key, score); without one they stay. Equal scores go by key. The index is read once: postings of terms that no query asks for are dropped there, and the others
     are written for all that follows. The terms asked for are broadcast if they are few.
     """
-    asked = queries.select(F.explode(T.query_tokens(F.col("query"))).alias("term")).distinct()
+    asked = queries.select(F.explode(_tokens(queries)).alias("term")).distinct()
     held = cut(postings(indexed, key).join(small(asked, MOST_TERMS), "term"), "postings-asked-for")
     return scored(queries, held, indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len")), key, top, prior)
 
 
-def scored(queries: DataFrame, held: DataFrame, sizes: DataFrame, key: str = "doc_id", top: int = 20, prior: DataFrame | None = None) -> DataFrame:
+def scored(queries: DataFrame, held: DataFrame, sizes: DataFrame, key: str = "doc_id", top: int = 20, prior: Prior = None) -> DataFrame:
     """``bm25`` from the postings (key, term, tf, len) of all terms asked for and one row (n, mean_len)."""
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = cut(query_terms(queries, df), "query-terms")
@@ -118,7 +123,9 @@ def scored(queries: DataFrame, held: DataFrame, sizes: DataFrame, key: str = "do
         F.sum(idf(F.col("n"), F.col("df")) * saturated).alias("score"), F.min("rarity").alias("rarest")
     )
     found = found.filter(F.col("rarest") <= MATCH_TERMS)
-    if prior is not None:
+    if callable(prior):
+        found = prior(found).withColumn("score", F.col("score") / F.coalesce("prior", F.lit(1.0)))
+    elif prior is not None:
         on = [c for c in ("query_id", key) if c in prior.columns]
         found = found.join(prior, on, "left").withColumn("score", F.col("score") / F.coalesce("prior", F.lit(1.0)))
     found = found.withColumn("score", F.round("score", 6))

@@ -1,6 +1,6 @@
 """Imports every module that registers queries, and gives the whole registry."""
 
-from loamdex.plans import context, evaluation, graph, ledger, memory, rules, runs, search, star, stores, text  # noqa: F401
+from loamdex.plans import context, evaluation, graph, ledger, memory, replay, rules, runs, search, star, stores, text  # noqa: F401
 from loamdex.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

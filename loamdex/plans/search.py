@@ -58,6 +58,12 @@ def _index(spark, folder):
     return kept(lexical.index(widen(table(spark, folder, "documents").select("doc_id", "text"))), "index", f"{folder}/documents.parquet")
 
 
+def _vectors(spark, folder):
+    """(vec_id, embedding): the documents' term vectors, written once."""
+    held = retrieval.term_vectors(_index(spark, folder), without=tuple(T.STOP_WORDS)).select(F.col("doc_id").alias("vec_id"), "embedding")
+    return kept(held, "document-vectors", f"{folder}/documents.parquet")
+
+
 @query("search_bm25", BM25)
 def search_bm25(spark, folder):
     """The best 20 documents for every benchmark item."""
@@ -133,11 +139,18 @@ found as (select query_id, row_number() over (partition by query_id order by pla
 _SYNONYMS = "case term " + " ".join(f"when '{a}' then '{b}'" for a, b in retrieval.SYNONYMS.items()) + " else term end"
 _PLACE = f"('0x' || substr(md5({_SYNONYMS}), 1, 2))::int % 64 as dim, case when ('0x' || substr(md5({_SYNONYMS}), 3, 1))::int < 8 then 1 else -1 end"
 
-_CANDIDATES = f"""
+
+
+def vectors_sql(tokens: str = "tokens", by: str = "query_id") -> str:
+    """SQL for the cosine of tokens (by, term) with every document of tf: cosines (by, doc_id, cosine)."""
+    return f"""
 dv as (select doc_id, dim, sum(x) as x from (select doc_id, {_PLACE} * tf as x from tf where term not in ({STOP})) group by 1, 2),
-qv as (select query_id, dim, sum(x) as x from (select query_id, {_PLACE} as x from tokens) group by 1, 2),
-dn as (select doc_id, sqrt(sum(x * x)) as n from dv group by 1), qn as (select query_id, sqrt(sum(x * x)) as n from qv group by 1),
-cosines as (select query_id, doc_id, round(sum(dv.x * qv.x) / (any_value(qn.n) * any_value(dn.n)), 6) as cosine from qv join dv using (dim) join qn using (query_id) join dn using (doc_id) group by 1, 2),
+qv as (select {by}, dim, sum(x) as x from (select {by}, {_PLACE} as x from {tokens}) group by 1, 2),
+dn as (select doc_id, sqrt(sum(x * x)) as n from dv group by 1), qn as (select {by}, sqrt(sum(x * x)) as n from qv group by 1),
+cosines as (select {by}, doc_id, round(sum(dv.x * qv.x) / (any_value(qn.n) * any_value(dn.n)), 6) as cosine from qv join dv using (dim) join qn using ({by}) join dn using (doc_id) group by 1, 2)"""
+
+
+_CANDIDATES = f"""{vectors_sql()},
 gasked as (select query_id, lower(text) as q, list(term) as ts from tokens join benchmark on item_id = query_id group by 1, 2),
 nodes as (select 'd' || doc_id as id, 'document' as type, regexp_extract(text, '^[^.\n]*', 0) as label, coalesce(source, '') as name from documents
   union all select distinct 's' || source, 'source', source, '' from documents where source is not null),
@@ -174,8 +187,7 @@ def _candidates(spark, folder):
     tokens = queries.select("query_id", "query", T.query_tokens(F.col("query")).alias("tokens"))
     terms = tokens.select("query_id", F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("tf"))).alias("terms"))
     asked = retrieval.term_vectors(terms, "query_id").select(F.col("query_id").alias("vec_id"), "embedding")
-    held = retrieval.term_vectors(indexed, without=tuple(T.STOP_WORDS)).select(F.col("doc_id").alias("vec_id"), "embedding")
-    near = retrieval.nearest(asked, kept(held, "document-vectors", f"{folder}/documents.parquet"), ARM, others=False).filter("cosine > 0").withColumnRenamed("vec_id", "doc_id")
+    near = retrieval.nearest(asked, _vectors(spark, folder), ARM, others=False).filter("cosine > 0").withColumnRenamed("vec_id", "doc_id")
     vector = near.select("query_id", *row("vector", F.col("rank") - 1, "c", "chunk"))
 
     hits = graph.search(*_document_graph(spark, folder), tokens, ARM)
