@@ -13,9 +13,9 @@ from loamdex.plans.rules import _ITEMS, _PATHS, _paths
 from loamdex.session import cut, kept, table
 
 ARM = 60
-#: Rules of the items: aliases from one word to the next two, preferred and shunned folders; every seventh is only proposed.
+#: Rules of the items: aliases from an item's word to two of the next item's, preferred and shunned folders; every seventh is only proposed.
 _WRITTEN = """select 'r' || item_id as record_id, case item_id % 3 when 0 then 'alias' when 1 then 'preference' else 'exclusion' end as kind, case when item_id % 7 = 0 then 'pending' else 'admitted' end as status,
-  case item_id % 3 when 0 then {0} || ' -> ' || {1} || ', ' || {2} when 1 then 'when: ' || {0} || ', ' || {1} || ' -> prefer: src' || (item_id % 8) || '/' else 'never: src' || (item_id % 8) || '/de/' end as text"""
+  case item_id % 3 when 0 then {0} || ' -> ' || {2} || ', ' || {3} when 1 then 'when: ' || {0} || ', ' || {1} || ' -> prefer: src' || (item_id % 8) || '/' else 'never: src' || (item_id % 8) || '/de/' end as text"""
 VARIANTS = [
     *replay.matrix(), replay.with_cold(replay.matrix()[5]),
     *(replay.without(replay.matrix()[5], f"loo-{r}", r) for r in ("r3", "r4", "r8")), replay.without(replay.matrix()[5], "cluster", "r3", "r6", "r9"),
@@ -24,8 +24,9 @@ VARIANTS = [
 
 def _rules(spark, folder):
     """(record_id, kind, terms, values, status): the items' rules, written down and read by their grammar."""
-    words = table(spark, folder, "benchmark").select("item_id", T.extract_all(F.col("text"), "[A-Za-z]{2,}").alias("w"))
-    form = _WRITTEN.format("lower(get(w, 0))", "lower(get(w, 1))", "lower(get(w, 2))").removeprefix("select ")
+    words = table(spark, folder, "benchmark").select("item_id", T.extract_all(F.col("text"), "[A-Za-z]{7,}").alias("w"))
+    words = words.join(words.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("o")), "item_id")
+    form = _WRITTEN.format("lower(get(w, 0))", "lower(get(w, 1))", "lower(get(o, 0))", "lower(get(o, 1))").removeprefix("select ")
     written = words.selectExpr(*[x.strip().replace("\n", " ") for x in _columns(form)])
     return written.withColumn("rule", T.rule(F.col("kind"), F.col("text"))).filter("rule is not null").select("record_id", "kind", F.col("rule.terms").alias("terms"), F.col("rule.values").alias("values"), "status")
 
@@ -71,7 +72,7 @@ def _results(spark, folder):
 
 _VARIANTS = ", ".join(f"('{v.name}', {v.memory}, {list(v.kinds)}::varchar[], '{v.baseline}', {list(v.without)}::varchar[], {list(v.tiers)}::varchar[], {v.candidates})" for v in VARIANTS)
 _INPUTS = f"""{search._TOKENS}, variants(variant, memory, kinds, baseline, without, tiers, candidates) as (values {_VARIANTS}),
-written as ({_WRITTEN.format("lower(w[1])", "lower(w[2])", "lower(w[3])")} from (select item_id, regexp_extract_all(text, '[A-Za-z]{{2,}}') as w from benchmark)),
+written as ({_WRITTEN.format("lower(w[1])", "lower(w[2])", "lower(o[1])", "lower(o[2])")} from (select item_id, w, lead(w) over (order by item_id) as o from (select item_id, regexp_extract_all(text, '[A-Za-z]{{7,}}') as w from benchmark)) where o is not null),
 parsed as (select *, case kind when 'alias' then {_ITEMS.format("split_part(text, '->', 1)")} when 'preference' then {_ITEMS.format("split_part(substr(text, 6), '->', 1)")} else ['never'] end as terms,
   case kind when 'alias' then {_ITEMS.format("split_part(text, '->', 2)")} when 'preference' then [trim(split_part(text, 'prefer:', 2))] else [substr(text, 8)] end as vals from written),
 active as (select variant, record_id, kind, terms, vals from parsed, variants where list_contains(kinds, kind) and not list_contains(without, record_id) and (status = 'admitted' or candidates)),
