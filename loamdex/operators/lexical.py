@@ -78,13 +78,14 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _tokens(queries: DataFrame) -> Column:
+def tokens_of(queries: DataFrame) -> Column:
+    """A query's tokens: those it brings, or those of its text."""
     return F.array_distinct("tokens") if "tokens" in queries.columns else T.query_tokens(F.col("query"))
 
 
 def query_terms(queries: DataFrame, df: DataFrame, keep: int = SCORE_TERMS) -> DataFrame:
     """(query_id, term, df, rarity): each query's rarest tokens that the corpus holds."""
-    tokens = queries.select("query_id", F.explode(_tokens(queries)).alias("term"))
+    tokens = queries.select("query_id", F.explode(tokens_of(queries)).alias("term"))
     rare = Window.partitionBy("query_id").orderBy("df", "term")
     return tokens.join(df, "term").withColumn("rarity", F.row_number().over(rare)).filter(F.col("rarity") <= keep)
 
@@ -108,7 +109,7 @@ def bm25(queries: DataFrame, indexed: DataFrame, key: str = "doc_id", top: int =
     (query_id, key, score); without one they stay. Equal scores go by key. The index is read once: postings of terms that no query asks for are dropped there, and the others
     are written for all that follows. The terms asked for are broadcast if they are few.
     """
-    asked = queries.select(F.explode(_tokens(queries)).alias("term")).distinct()
+    asked = queries.select(F.explode(tokens_of(queries)).alias("term")).distinct()
     held = cut(postings(indexed, key).join(small(asked, MOST_TERMS), "term"), "postings-asked-for")
     return scored(queries, held, indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len")), key, top, prior)
 

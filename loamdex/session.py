@@ -59,10 +59,15 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below this application's folder, which ``sweep`` removes with all else."""
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once and outlives any executor."""
     spark = df.sparkSession
-    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamdex.session import shared_dir
+from loamdex.session import scratch
 
 EVENTS = T.StructType(
     [
@@ -31,7 +30,7 @@ def deliver(events: DataFrame, late: str, parts: int = 3, repeated: str = "30 mi
     holds come in the last file alone.
     """
     spark = events.sparkSession
-    home = f"{shared_dir(spark)}/delivered-{uuid.uuid4().hex}"
+    home = scratch(spark, "delivered")
     begin, end = events.agg(F.min("ts"), F.max("ts")).first()
     edges = [begin + (end - begin) * k / parts for k in range(parts)]
     tardy = F.expr(late) & (F.col("ts") < F.lit(edges[1]))
@@ -74,7 +73,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     Rows and progress are kept in the shared folder, so a query that dies goes on where it was.
     """
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    home = scratch(spark, "ledger")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
