@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 import public_tokenizers
 
 from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, personal, quality, repair, simhash, suffixes, toxicity
-from loamdex.session import cut, shared_dir, small, table
+from loamdex.session import cut, scratch, small, table
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -78,7 +77,7 @@ def op3(spark, folder):
 @_query("op5_tokens")
 def op5(spark, folder):
     """Token ids of every document, written and read back."""
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     dac.write(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return dac.documents(spark, path)
 

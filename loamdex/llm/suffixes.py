@@ -3,16 +3,19 @@
 Only factors of at least LENGTH bytes count, so suffixes are told apart by their first LENGTH bytes, a window.
 Windows meet by anchor: of a window's inner strings of ANCHOR bytes the one of least hash, which is the same
 wherever the window occurs. Neighbouring windows with one anchor make a stretch, the unit that is shuffled.
-Equal stretches are counted without looking inside; they are equal by two hashes of 64 bits. Where one anchor has different stretches, their suffixes
-are put in order, equal windows by their bytes; in it, the previous and next smaller positions among suffixes of equal windows give each
-suffix its longest previous factor, and the larger ones its longest next factor. A window with either is a
-repeat; keeping the first copy takes the previous factor alone.
+Equal stretches are counted without looking inside; they are equal by two hashes of 64 bits. Where one anchor has
+different stretches, their suffixes are put in order by their bytes: ranks of strings of doubling length make a suffix
+array. In it, the previous and next smaller positions of each suffix share the most with it of all earlier ones, which
+is its longest previous factor; the previous and next larger positions give its longest next factor. A window with
+either of LENGTH bytes is a repeat; keeping the first copy takes the previous factor alone.
+
+A row is known by its doc_id and 128 bits of its text's SHA-256, so that rows which share an id, or have none, are told
+apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ ANCHOR = 64
 #: Different stretches of one anchor, about 1 MB of text, that one task puts in order; of larger groups single
 #: windows are dealt out.
 GROUP = 4096
+#: Bytes of the digests by which rows, and windows of large groups, are told apart.
+OWN = 16
 #: Bytes of stretches that a task puts in order at a time.
 ORDER_BYTES = 1 << 21
 
@@ -80,48 +85,46 @@ def stretches(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     return {"doc": doc, "start": start - (ends - sizes)[doc], "windows": count, "anchor": h[least[first]].view(np.int64), "content": content.view(np.int64)}
 
 
-_STRETCHES = "doc_id long, crc long, start long, windows int, anchor long, content long"
+_STRETCHES = "doc_id long, own binary, start long, windows int, anchor long, content long"
 
 
 def _find(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """All stretches of all texts; crc tells rows apart that share a doc_id."""
+    """All stretches of all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
-            crc = np.array([zlib.crc32(x) for x in texts], np.int64)
+            own = pa.array([hashlib.sha256(x).digest()[:OWN] for x in texts], pa.binary())
             found = stretches(texts, length, anchor)
             columns = [
-                part.column("doc_id").take(pa.array(found["doc"])), pa.array(crc[found["doc"]]), pa.array(found["start"]),
+                part.column("doc_id").take(pa.array(found["doc"])), own.take(pa.array(found["doc"])), pa.array(found["start"]),
                 pa.array(found["windows"].astype(np.int32)), pa.array(found["anchor"]), pa.array(found["content"]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "crc", "start", "windows", "anchor", "content"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "start", "windows", "anchor", "content"])
 
     return docs.mapInArrow(run, _STRETCHES)
 
 
-_PIECES = "anchor long, content long, n long, doc_id long, crc long, start long, windows int, at int, window long, bytes binary"
+_PIECES = "anchor long, content long, n long, doc_id long, own binary, start long, windows int, at int, window binary, bytes binary"
 
 
 def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of each wanted stretch, or where its group is large a row for each of its windows instead."""
-    lists = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "windows", "large")).alias("list"))
+    lists = wanted.groupBy("doc_id", "own").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "windows", "large")).alias("list"))
     joined = _with_text(docs, lists, "inner")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
             rows = []
-            for doc_id, crc, text, listed in zip(part.column("doc_id").to_pylist(), part.column("crc").to_pylist(), texts, part.column("list").to_pylist()):
+            for doc_id, own, text, listed in zip(part.column("doc_id").to_pylist(), part.column("own").to_pylist(), texts, part.column("list").to_pylist()):
                 for x in listed:
-                    own = text[x["start"] : x["start"] + x["windows"] + length - 1]
-                    head = (x["anchor"], x["content"], x["n"], doc_id, crc, x["start"], x["windows"])
+                    piece = text[x["start"] : x["start"] + x["windows"] + length - 1]
+                    head = (x["anchor"], x["content"], x["n"], doc_id, own, x["start"], x["windows"])
                     if x["large"]:
-                        buf = np.frombuffer(own, np.uint8)
-                        at = np.arange(x["windows"])
-                        rows += [(*head, i, w, None) for i, w in enumerate(T.span_hashes(buf, at, at + length, salt=17).view(np.int64).tolist())]
+                        rows += [(*head, i, hashlib.blake2b(piece[i : i + length], digest_size=OWN).digest(), None) for i in range(x["windows"])]
                     else:
-                        rows.append((*head, None, None, own))
+                        rows.append((*head, None, None, piece))
             columns = zip(*rows) if rows else [[]] * 10
-            kinds = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [*[pa.int64()] * 4, pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             names = [x.split()[0] for x in _PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -130,57 +133,89 @@ def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Documents with what belongs to their doc_id and text."""
-    right = lists.withColumnsRenamed({"doc_id": "own_id", "crc": "own_crc"})
-    keyed = docs.withColumn("crc", F.crc32(F.coalesce("text", F.lit(""))))
-    return keyed.join(right, keyed["doc_id"].eqNullSafe(right["own_id"]) & (keyed["crc"] == right["own_crc"]), how).select("doc_id", "crc", "text", "list")
+    right = lists.withColumnsRenamed({"doc_id": "own_id", "own": "own_own"})
+    keyed = docs.withColumn("own", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 2 * OWN)))
+    return keyed.join(right, keyed["doc_id"].eqNullSafe(right["own_id"]) & (keyed["own"] == right["own_own"]), how).select("doc_id", "own", "text", "list")
 
 
-def exact(window: np.ndarray, buf: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """``window`` hashes of the strings of ``length`` bytes at ``place`` in ``buf``, told apart where their bytes differ.
+class Suffixes:
+    """The suffixes of ``buf`` at some places, in order of their first ``length`` bytes, then of place.
 
-    Neighbours by hash and place are compared. Where a pair follows a pair one byte before it, the last byte is all
-    that is left to compare; only the first pair of such a run is compared whole.
+    Strings of 8 bytes are ranked, then strings twice as long by pairs of ranks, up to ``length``. Places must have
+    ``length`` bytes before the buffer, or the text they are in, ends.
     """
-    order = np.lexsort((place, window))
-    pair = np.flatnonzero(window[order][1:] == window[order][:-1])
-    if not len(pair):
-        return window
-    a, b = place[order][pair], place[order][pair + 1]
-    by_place = np.lexsort((b, a))
-    a, b = a[by_place], b[by_place]
-    after = np.concatenate([[False], (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1)])
-    same = buf[a + length - 1] == buf[b + length - 1]
-
-    def compare_whole(pairs: np.ndarray) -> None:
-        for at in range(0, len(pairs), 4096):
-            p, inside = pairs[at : at + 4096], np.arange(length)
-            same[p] = (buf[a[p][:, None] + inside] == buf[b[p][:, None] + inside]).all(axis=1)
-
-    compare_whole(np.flatnonzero(~after))
-    if same.all():
-        return window
-    compare_whole(np.flatnonzero(after))
-    # two strings of one hash: all windows of such hashes are numbered by their bytes instead
-    mixed = np.flatnonzero(np.isin(window, np.unique(window[np.isin(place, a[~same])])))
-    names: dict[tuple[int, bytes], int] = {}
-    out = window.copy()
-    for i in mixed.tolist():
-        out[i] = names.setdefault((int(window[i]), buf[place[i] : place[i] + length].tobytes()), len(names))
-    return out
-
-
-def factors(anchor: np.ndarray, window: np.ndarray, position: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix, whether a longest previous factor and a longest next factor reach a whole window.
 
-    Suffixes are put in order by anchor, window and position, so among suffixes of one window the previous
-    smaller position is the neighbour before, and the next larger one the neighbour behind.
-    """
-    order = np.lexsort((*position[::-1], window, anchor))
-    same = (anchor[order][1:] == anchor[order][:-1]) & (window[order][1:] == window[order][:-1])
-    previous, following = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    previous[order[1:]] = same
-    following[order[:-1]] = same
-    return previous, following
+    def __init__(self, buf: np.ndarray, places: np.ndarray, length: int):
+        base = min(8, 1 << (length.bit_length() - 1))
+        self.length, self.places, n = length, places, len(buf)
+        self.buf = np.concatenate([buf, np.zeros(length + 8, np.uint8)])
+        packed = np.zeros(n, np.uint64)
+        for i in range(base):
+            packed = (packed << np.uint64(8)) | self.buf[i : i + n]
+        ranks = {base: self._ranked(packed)}
+        while 2 * base <= length:
+            ranks[2 * base] = self._ranked(self._pair(ranks[base], np.arange(n), np.minimum(np.arange(n) + base, n - 1)))
+            base *= 2
+        self.ranks = ranks
+        whole = self._ranked(self._pair(ranks[base], places, places + length - base)) if base < length else ranks[base][places]
+        self.order = np.argsort(whole, kind="stable")  # places ascend
+
+    @staticmethod
+    def _ranked(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].reshape(-1).astype(np.uint32)
+
+    @staticmethod
+    def _pair(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (rank[a].astype(np.uint64) << np.uint64(32)) | rank[b]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at two places share, ``length`` at most."""
+        out = np.zeros(len(a), np.int64)
+        for k in sorted(self.ranks, reverse=True):
+            fits = out + k <= self.length
+            rank, at = self.ranks[k], np.where(fits, out, 0)
+            out += k * (fits & (rank[np.minimum(a + at, len(rank) - 1)] == rank[np.minimum(b + at, len(rank) - 1)]))
+        going = out < self.length
+        for _ in range(min(self.ranks) - 1):
+            going &= self.buf[a + np.minimum(out, self.length)] == self.buf[b + np.minimum(out, self.length)]
+            out += going
+            going &= out < self.length
+        return out
+
+    def factors(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of the longest previous factor, of the longest next factor) of each place's suffix, ``length`` at most.
+
+        ``position`` says which suffix is earlier. Of all earlier suffixes, those at the nearest smaller positions before and
+        behind it in suffix order share the most with a suffix; of all later ones, those at the nearest larger positions.
+        """
+        own = position[self.order]
+        previous, following = (np.maximum(self._shared(nearest_smaller(x)), self._shared(self._mirrored(x))) for x in (own, -own))
+        out = np.empty((2, len(own)), np.int64)
+        out[:, self.order] = previous, following
+        return out[0], out[1]
+
+    @staticmethod
+    def _mirrored(values: np.ndarray) -> np.ndarray:
+        behind = nearest_smaller(values[::-1])[::-1]
+        return np.where(behind < 0, -1, len(values) - 1 - behind)
+
+    def _shared(self, other: np.ndarray) -> np.ndarray:
+        there = np.flatnonzero(other >= 0)
+        out = np.zeros(len(other), np.int64)
+        places = self.places[self.order]
+        out[there] = self.common(places[there], places[other[there]])
+        return out
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """Of each value the index of the nearest smaller one before it, or -1. Each step jumps over what others have already jumped over."""
+    out = np.arange(len(values)) - 1
+    going = np.flatnonzero(out >= 0)
+    while len(going):
+        going = going[values[out[going]] >= values[going]]
+        out[going] = out[out[going]]
+        going = going[out[going] >= 0]
+    return out
 
 
 def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,6 +235,7 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
     def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_rows = pa.Table.from_batches(rows).combine_chunks()
         col = lambda c: all_rows.column(c).combine_chunks().fill_null(-(2**63)).to_numpy() if c == "doc_id" else all_rows.column(c).to_numpy()
+        row = np.unique(np.array(all_rows.column("own").to_pylist(), f"S{OWN}"), return_inverse=True)[1].reshape(-1)
         texts = all_rows.column("bytes").to_pylist()
         n = col("windows").astype(np.int64)
         begin = np.cumsum([0, *map(len, texts)])[:-1]
@@ -207,10 +243,11 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
         at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         place = begin[owner] + at
         buf = np.frombuffer(b"".join(texts), np.uint8)
-        window = exact(T.span_hashes(buf, place, place + length, salt=17), buf, place, length)
         anchor, content = col("anchor"), col("content")
-        previous, following = factors(anchor[owner], window, (col("doc_id")[owner], col("crc")[owner], col("start")[owner] + at))
-        flags = previous if first_stays else previous | following
+        position = np.empty(len(owner), np.int64)
+        position[np.lexsort((col("start")[owner] + at, row[owner], col("doc_id")[owner]))] = np.arange(len(owner))
+        previous, following = Suffixes(buf, place, length).factors(position)
+        flags = previous >= length if first_stays else (previous >= length) | (following >= length)
         who, a, b = _runs(flags, owner)
         base = (np.cumsum(n) - n)[who]
         yield pa.RecordBatch.from_arrays([pa.array(anchor[who]), pa.array(content[who]), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["anchor", "content", "a", "b"])
@@ -240,8 +277,8 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
 
 
 def _dealt_windows(pieces: DataFrame, first_stays: bool) -> DataFrame:
-    """The same for large groups: windows are counted by content, summed before they are shuffled."""
-    rows = pieces.filter("bytes is null").withColumn("position", F.struct("doc_id", "crc", (F.col("start") + F.col("at")).alias("place")))
+    """The same for large groups: windows are counted by 128 bits of their BLAKE2b, summed before they are shuffled."""
+    rows = pieces.filter("bytes is null").withColumn("position", F.struct("doc_id", "own", (F.col("start") + F.col("at")).alias("place")))
     known = rows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min("position").alias("first"))
     # a stretch that occurs twice is known to repeat, so only single ones need their windows marked
     asked = rows if first_stays else rows.filter("n = 1")
@@ -252,14 +289,14 @@ def _dealt_windows(pieces: DataFrame, first_stays: bool) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = False, anchor: int | None = None) -> DataFrame:
-    """(doc_id, crc, list): the byte ranges of each text that lie in repeated strings of ``length`` bytes, unmerged."""
+    """(doc_id, own, list): the byte ranges of each text that lie in repeated strings of ``length`` bytes, unmerged."""
     anchor = anchor or max(1, length * ANCHOR // LENGTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(_find(docs, length, anchor), "stretches")
     shared = found.groupBy("anchor").count().filter("count > 1").select("anchor")
     # an anchor inside a frequent line has many stretches, so its rows are dealt out in every join on it
     found = cut(spread_join(found, shared, ["anchor"], ["content", "doc_id", "start"], "left_semi"), "shared-stretches")
-    place = F.struct("doc_id", "crc", "start")
+    place = F.struct("doc_id", "own", "start")
     kinds = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("windows").alias("windows"))
     kinds = cut(kinds, "kinds-of-stretches")
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1" if first_stays else "kinds > 1 and least = 1")
@@ -270,23 +307,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = False, an
     known = kinds.join(inside, ["anchor", "content"], "left").select("anchor", "content", "n", "first", "runs")
     if first_stays:  # a later copy of a whole stretch goes; the first one keeps what no earlier stretch holds
         known = known.filter("n > 1 or runs is not null")
-        runs = F.when(F.struct("doc_id", "crc", "start").eqNullSafe(F.col("first")), F.col("runs")).otherwise(whole)
+        runs = F.when(F.struct("doc_id", "own", "start").eqNullSafe(F.col("first")), F.col("runs")).otherwise(whole)
     else:
         known = known.filter("n > 1 or runs is not null")
         runs = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))
-    hits = spread_join(found, known, ["anchor", "content"], ["doc_id", "start"]).select("doc_id", "crc", "start", F.explode(runs).alias("r"))
+    hits = spread_join(found, known, ["anchor", "content"], ["doc_id", "start"]).select("doc_id", "own", "start", F.explode(runs).alias("r"))
     span = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + (length - 1)).alias("b"))
-    return hits.select("doc_id", "crc", span.alias("s")).groupBy("doc_id", "crc").agg(F.collect_list("s").alias("list"))
+    return hits.select("doc_id", "own", span.alias("s")).groupBy("doc_id", "own").agg(F.collect_list("s").alias("list"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, first_stays: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for each row of ``docs``, whatever other columns it has.
 
     Removes each byte covered by a string of ``length`` bytes of UTF-8 that also starts elsewhere in any text,
-    its own included; with ``first_stays`` only where it starts earlier too, by doc_id, the text's crc32 and
+    its own included; with ``first_stays`` only where it starts earlier too, by doc_id, the text's SHA-256 and
     place, so that first copies stay. Repeats are judged on the input, overlaps count, and none crosses texts.
     A null text is empty. Repeated rows are copies of one another: without ``first_stays`` each gives the same
-    row, and with it they count as one. A null doc_id is a value like any other. ``kept`` are the remaining bytes.
+    row, and with it they count as one. A null doc_id is a value like any other, and different texts may share an id.
+    A text of more than 1 MB is a step of its own in its task. An empty table gives no row. ``kept`` are the remaining bytes.
     """
     lists = repeats(docs, length, first_stays)
     joined = _with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lists, "left")

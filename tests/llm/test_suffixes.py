@@ -43,19 +43,41 @@ def test_least_places(values, width):
     assert S.least_places(h, width).tolist() == want
 
 
-@given(st.text("ab", min_size=1, max_size=120), st.integers(1, 9), st.integers(1, 4))
-@settings(max_examples=100, deadline=None)
-def test_windows_of_one_hash_are_told_apart_by_bytes(text, length, kinds):
+@given(st.text("ab", min_size=1, max_size=120), st.integers(1, 40), st.randoms())
+@settings(max_examples=150, deadline=None)
+def test_factors_are_the_longest_before_and_behind(text, length, rng):
     buf = np.frombuffer(text.encode(), np.uint8)
     place = np.arange(max(len(buf) - length + 1, 0))
-    names = [text[i : i + length] for i in place]
-    # a poor hash makes different strings meet; equal strings still share theirs
-    window = np.array([sum(map(ord, x)) % kinds for x in names], np.uint64)
-    got = S.exact(window, buf, place, length).tolist()
-    pairs = lambda xs: [[x == y for y in xs] for x in xs]
-    mixed = {w for w, x in zip(window.tolist(), names) for v, y in zip(window.tolist(), names) if w == v and x != y}
-    keep = [i for i, w in enumerate(window.tolist()) if w in mixed]
-    assert pairs([got[i] for i in keep]) == pairs([names[i] for i in keep])
+    if not len(place):
+        return
+    position = np.array(rng.sample(range(len(place)), len(place)))
+    made = S.Suffixes(buf, place, length)
+    assert made.order.tolist() == sorted(place.tolist(), key=lambda i: (text[i : i + length], i))
+
+    def shared(i, j):
+        return next((k for k in range(length) if text[i + k] != text[j + k]), length)
+
+    want = [[max([shared(i, j) for j in place if way * position[j] < way * position[i]], default=0) for i in place] for way in (1, -1)]
+    assert [x.tolist() for x in made.factors(position)] == want
+
+
+@given(st.lists(st.integers(0, 9), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_nearest_smaller(values):
+    want = [next((j for j in range(i - 1, -1, -1) if values[j] < v), -1) for i, v in enumerate(values)]
+    assert S.nearest_smaller(np.array(values, np.int64)).tolist() == want
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_texts_of_one_id_are_told_apart(spark, make_docs, monkeypatch, group):
+    """Two strings of one crc32, which once stood for a row's text, under one id and under none."""
+    monkeypatch.setattr(S, "GROUP", group)
+    rng = np.random.default_rng(1)
+    tail = "".join(rng.choice(list("abcdefghij "), 400))
+    for doc_id in (7, None):
+        rows = [(doc_id, "plumless" + tail), (doc_id, "buckeroo" + tail), (9, "plumless" + tail[:300])]
+        got = sorted((r.n_bytes, r.n_removed) for r in S.dedup(make_docs(*rows), first_stays=False).collect())
+        assert got == [(308, 308), (408, 400), (408, 408)]
 
 
 def test_anchors_of_many_stretches_are_dealt_out(spark, make_docs, monkeypatch):
@@ -90,7 +112,7 @@ def test_very_long_text(spark, make_docs):
 
 def test_short_lengths_and_odd_rows(spark, make_docs):
     rows = [(1, "abcabcabcabc"), (2, "xxabcabx"), (3, None), (4, ""), (5, "aaaaaaaaaaaaaaa"), (6, "ñandú ñandú"), (7, "q"), (8, "zabcabcz" * 3)]
-    docs = make_docs(*rows).withColumn("list", F.lit(1)).withColumn("crc", F.lit(2))
+    docs = make_docs(*rows).withColumn("list", F.lit(1)).withColumn("own", F.lit(2))
     for n in (3, 5, 7):
         assert table(S.dedup(docs, n, False)) == brute(rows, n)
         assert table(S.dedup(docs, n, True)) == brute(rows, n, True)
