@@ -101,6 +101,18 @@ def structural_prior(path: Column, preferred: Column | None = None) -> Column:
     return F.greatest(F.lit(FLOOR), cost)
 
 
+def path_prior(paths: DataFrame, preferred: DataFrame, key: str = "doc_id") -> Callable[[DataFrame], DataFrame]:
+    """For ``bm25``: hits with the prior of their path, from (key, path) and the prefixes (query_id, prefix) that queries prefer."""
+    listed = small(preferred.groupBy("query_id").agg(F.collect_set("prefix").alias("prefixes")), MOST_TERMS)
+
+    def add(found: DataFrame) -> DataFrame:
+        wanted = F.coalesce(F.exists("prefixes", lambda p: F.startswith("path", p)), F.lit(False))
+        joined = found.join(paths.select(key, "path"), key).join(listed, "query_id", "left")
+        return joined.withColumn("prior", structural_prior(F.col("path"), wanted)).drop("path", "prefixes")
+
+    return add
+
+
 def bm25(queries: DataFrame, indexed: DataFrame, key: str = "doc_id", top: int = 20, prior: Prior = None) -> DataFrame:
     """(query_id, rank, key, score) of the best rows for each of (query_id, query), or of (query_id, tokens).
 

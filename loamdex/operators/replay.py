@@ -98,14 +98,8 @@ def distinct_arms(asked: DataFrame) -> DataFrame:
 
 
 def prior(paths: DataFrame, arms: DataFrame, key: str = "doc_id") -> Callable[[DataFrame], DataFrame]:
-    """For BM25: hits (query_id = arm, key) with the prior of their path, cheaper under one of the arm's preferred folders."""
-
-    def add(found: DataFrame) -> DataFrame:
-        wanted = F.exists("prefixes", lambda p: F.startswith("path", p))
-        joined = found.join(paths.select(key, "path"), key).join(small(arms.select(F.col("arm").alias("query_id"), "prefixes"), MOST_ROWS), "query_id")
-        return joined.withColumn("prior", lexical.structural_prior(F.col("path"), wanted)).drop("path", "prefixes")
-
-    return add
+    """For BM25 over arms: hits with the prior of their path, cheaper under one of the arm's preferred folders."""
+    return lexical.path_prior(paths, arms.select(F.col("arm").alias("query_id"), F.explode("prefixes").alias("prefix")), key)
 
 
 def candidates(asked: DataFrame, found: DataFrame, records: DataFrame, barred: DataFrame, variants: list[Variant], top: int = 20) -> DataFrame:

@@ -92,16 +92,16 @@ def graph_neighbours(spark, folder):
 
 @query(
     "graph_shortest_paths",
-    f"""with recursive {_GRAPH}, roots as ({_ROOTS}), pairs as (select a.id as src, b.id as dst from roots a join roots b on a.id < b.id),
-    both_ways as (select src, dst from edges union select dst, src from edges),
+    f"""with recursive {_GRAPH}, pairs as (select distinct 'dir:' || split_part(src, '/', 1) as src, 'page:' || dst as dst from tg),
+    both_ways as (select src, dst from edges union select dst, src from edges), roots as (select distinct src as id from pairs),
     walk as (select id as start, id, 0 as depth from roots union select start, b.dst, depth + 1 from walk join both_ways b on b.src = id where depth < 8)
     select pairs.src, pairs.dst, min(depth)::int as hops from pairs join walk on walk.start = pairs.src and walk.id = pairs.dst group by 1, 2""",
 )
 def graph_shortest_paths(spark, folder):
-    """Hops between every two hosts, up to eight."""
-    nodes, edges = _graph(spark, folder)
-    roots = nodes.filter("type = 'directory' and instr(id, '/') = 0").select("id")
-    pairs = roots.select(F.col("id").alias("src")).join(roots.select(F.col("id").alias("dst")), F.col("src") < F.col("dst"))  # the stated pairs: of hosts
+    """Hops from each page's host to each target that the page links to, along edges in either direction, up to eight."""
+    edges = _graph(spark, folder)[1]
+    host = F.regexp_extract("src", "^page:([^/]*)", 1)
+    pairs = edges.filter("type = 'links_to'").select(F.concat(F.lit("dir:"), host).alias("src"), "dst").distinct()
     return G.shortest_paths(edges, pairs).select("src", "dst", F.col("hops").cast("int"))
 
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from loamdex.functions import text as T
 from loamdex.operators import chunking, retrieval
 from loamdex.plans.registry import query
-from loamdex.session import table
+from loamdex.session import scratch, table
 from loamdex.streaming import ledger
 
 
 @query("stream_once", "select event_id, user_id, event_type, round(value, 6) as value from events qualify row_number() over (partition by event_id order by ts) = 1")
 def stream_once(spark, folder):
     """Every event once, from a stream of several files that repeat some."""
-    home = ledger.deliver(table(spark, folder, "events"), late="false")
-    once = ledger.once(ledger.read(spark, home, glob="*.parquet"))
-    return ledger.drain(once.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value")))
+    home = scratch(spark, "delivered")
+    once = ledger.once(ledger.read(spark, home))
+    rows = once.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+    return ledger.drain(rows, ledger.deliver(table(spark, folder, "events"), home))
 
 
 @query(
@@ -26,9 +27,9 @@ def stream_once(spark, folder):
 )
 def stream_tumbling(spark, folder):
     """Windows of a day that are closed, from a stream that repeats events and brings some too late to count."""
-    home = ledger.deliver(table(spark, folder, "events"), late="event_type = 'error'", parts=4)  # what is late is told by the watermark of the batch before the last
-    once = ledger.once(ledger.read(spark, home, glob="*.parquet"))
-    windows = ledger.drain(ledger.tumbling(once, lateness=None))
+    home = scratch(spark, "delivered")
+    windows = ledger.tumbling(ledger.once(ledger.read(spark, home)), lateness=None)
+    windows = ledger.drain(windows, ledger.deliver(table(spark, folder, "events"), home, late="event_type = 'error'", parts=4))
     return windows.select(F.date_format("begin", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
@@ -37,7 +38,9 @@ def stream_tumbling(spark, folder):
     """select strftime(b, '%Y-%m-%d %H:%M') as begin, count(*) as n from (select unnest([to_timestamp(floor(epoch(ts) / 21600) * 21600 - i * 21600)::timestamp for i in range(0, 4)]) as b from events) group by 1""",
 )
 def stream_sliding(spark, folder):
-    windows = ledger.drain(ledger.sliding(ledger.read(spark, folder)), "complete")
+    """Overlapping windows of a day, appended when the watermark has closed them."""
+    home = scratch(spark, "delivered")
+    windows = ledger.drain(ledger.sliding(ledger.read(spark, home)), ledger.deliver(table(spark, folder, "events"), home, parts=2, repeated="0 seconds", closing="3 days"))
     return windows.select(F.date_format("begin", "yyyy-MM-dd HH:mm").alias("begin"), "n")
 
 
@@ -49,10 +52,25 @@ def stream_sliding(spark, folder):
 )
 def stream_sessions(spark, folder):
     """Each user's sessions by event time; a pause of half an hour ends one."""
-    windows = ledger.drain(ledger.sessions(ledger.read(spark, folder)), "complete")
+    home = scratch(spark, "delivered")
+    windows = ledger.drain(ledger.sessions(ledger.read(spark, home)), ledger.deliver(table(spark, folder, "events"), home, parts=2, repeated="0 seconds", closing="3 days"))
     return windows.select("user_id", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"), "n")
 
 
+@query(
+    "retained_days",
+    """select strftime(ts, '%Y-%m-%d') as day, count(*) as n, case when ts::date < date '2024-01-20' then 'cold' else 'hot' end as kept from events where ts::date >= date '2024-01-06' group by 1, 3""",
+)
+def retained_days(spark, folder):
+    """Events of each day that is still there, when days before the 20th have been rolled into folders and those before the 6th dropped."""
+    events, path = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "rolled")
+    hot = ledger.roll(events, path, "2024-01-20")
+    ledger.drop_days(spark, path, "2024-01-06")
+    cold = spark.read.parquet(path).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("cold").alias("kept"))
+    both = cold.unionByName(hot.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("hot").alias("kept")))
+    return both.groupBy("day", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "ledger_gaps",
     """select event_type, json_extract_string(props, '$.k')::bigint as k, count(*) as n, count(distinct user_id) as users from events group by 1, 2 having count(*) >= 3 and count(distinct user_id) >= 2""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import text as T
 from loamdex.operators import filters, fusion, graph, lexical, retrieval
 from loamdex.plans.registry import query
+from loamdex.plans.text import PAGE_TEXT
 from loamdex.session import cut, kept, table, widen
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -224,14 +225,51 @@ def search_explained(spark, folder):
 
 @query(
     "search_criteria",
-    BM25.replace("select query_id, rank, doc_id, score from ranked where rank <= 20", "select query_id, rank, doc_id, source, score from ranked join documents using (doc_id) where rank <= 20 and source not in ('src1', 'src2') and lang in ('en', 'de') and score >= 5"),
+    f"""with {_TOKENS}, {_POSTS}, bm as ({bm25_sql(top=30)})
+    select query_id, row_number() over (partition by query_id order by rank) as rank, doc_id, source, score from bm join documents using (doc_id) where source not in ('src1', 'src2') and lang in ('en', 'de') and score >= 5 qualify row_number() over (partition by query_id order by rank) <= 10""",
 )
 def search_criteria(spark, folder):
-    """Ranked hits after the criteria on sources, types and score."""
-    hits = lexical.bm25(_queries(spark, folder), _index(spark, folder), top=filters.overfetch(10, True) * 2 // 3)
+    """The ten best hits that fit criteria on sources, types and score, of three times as many."""
+    hits = lexical.bm25(_queries(spark, folder), _index(spark, folder), top=filters.overfetch(10, True))
     known = hits.join(table(spark, folder, "documents").select("doc_id", "source", F.col("lang").alias("type")), "doc_id")
     fit = filters.criteria(known, exclude_sources=("src1", "src2"), node_types=("en", "de"), min_score=5.0)
-    return fit.select("query_id", F.col("rank").cast("long"), "doc_id", "source", "score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return fit.withColumn("rank", place.cast("long")).filter(F.col("rank") <= 10).select("query_id", "rank", "doc_id", "source", "score")
+
+
+_PRIOR = r"""greatest(0.25, 1::double + 0.05 * (length(path) - length(replace(path, '/', ''))) + case when regexp_matches(path, '(^|/)tests/|(^|/)test.|_test\.|.test\.') then 0.6 else 0 end
+  + case when regexp_matches(path, '(^|/)(samples|examples)/') then 0.3 else 0 end - case when {} then 0.35 else 0 end)"""
+#: Folders that the items' first long words prefer, in turn.
+FOLDERS = ("en/", "de/", "fr/", "es/")
+
+
+@query(
+    "search_pages",
+    f"""with {_TOKENS}, {PAGE_TEXT},
+    fields as (select page_id, unnest([trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), regexp_replace(url, '^[a-z]+://[^/]+/', ''), array_to_string(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]\\s*>', 1), ' '), t]) as f, unnest([8, 3, 2, 1]) as w
+      from d join (select page_id, url from pages) using (page_id)),
+    words as (select page_id, w, unnest(regexp_extract_all(lower(f), '[a-z0-9]+')) as term from fields),
+    tf as (select page_id, term, sum(w)::double as tf from words group by 1, 2), dl as (select page_id, sum(tf) as dl from tf group by 1), st as (select count(*) as n, avg(dl) as mean from dl), df as (select term, count(*) as df from tf group by 1),
+    rules as (select lower(regexp_extract(text, '[A-Za-z]{{7,}}', 0)) as term, {list(FOLDERS)}[item_id % 4 + 1] as prefix from benchmark),
+    wanted as (select query_id, list(distinct prefix) as prefixes from tokens join rules using (term) group by 1),
+    paths as (select page_id, regexp_replace(url, '^[a-z]+://[^/]+/', '') as path from pages),
+    priors as (select query_id, page_id, {_PRIOR.format("len(list_filter(prefixes, lambda p: starts_with(path, p))) > 0")} as prior from wanted cross join paths union all
+      select item_id, page_id, {_PRIOR.format("false")} from benchmark cross join paths where item_id not in (select query_id from wanted))
+    {bm25_sql("page_id", prior="priors").replace("with q as", ", q as", 1).lstrip()}""",
+)
+def search_pages(spark, folder):
+    """The best 20 pages for every item: title, path, headings and text weigh 8, 3, 2 and 1, and deep, test and sample folders cost, but for preferred ones."""
+    pages = table(spark, folder, "pages")
+    heads = F.array_join(F.regexp_extract_all("html", F.lit("(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]\\s*>"), F.lit(1)), " ")
+    rows = pages.select("page_id", T.html_title(F.col("html")).alias("title"), F.regexp_replace("url", "^[a-z]+://[^/]+/", "").alias("path"), heads.alias("heading"), T.html_text(F.col("html")).alias("text"))
+    indexed = kept(lexical.index(widen(rows), "page_id", lexical.FIELDS), "page-index", f"{folder}/pages.parquet")
+    items = table(spark, folder, "benchmark")
+    folders = F.element_at(F.array(*[F.lit(f) for f in FOLDERS]), (F.col("item_id") % 4 + 1).cast("int"))
+    rules = items.select(F.array(F.lower(F.regexp_extract("text", "[A-Za-z]{7,}", 0))).alias("terms"), F.array(folders).alias("values"))
+    queries = _queries(spark, folder)
+    preferred = lexical.preferred(queries.select("query_id", T.query_tokens(F.col("query")).alias("tokens")), rules)
+    hits = lexical.bm25(queries, indexed, "page_id", prior=lexical.path_prior(rows.select("page_id", "path"), preferred, "page_id"))
+    return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(

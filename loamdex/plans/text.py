@@ -23,12 +23,16 @@ def query_tokens(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(
-    "page_text",
-    r"""with a as (select page_id, html, regexp_replace(html, '(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>)', ' ', 'g') as t from pages),
+#: SQL for the texts of pages, ``d`` (page_id, html, t).
+PAGE_TEXT = r"""a as (select page_id, html, regexp_replace(html, '(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>)', ' ', 'g') as t from pages),
     b as (select page_id, html, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g') as t from a),
     c as (select page_id, html, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') as t from b),
-    d as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from c)
+    d as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from c)"""
+
+
+@query(
+    "page_text",
+    f"""with {PAGE_TEXT}
     select page_id, length(t) as chars, sha256(t) as text_hash, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from d""",
 )
 def page_text(spark, folder):

@@ -302,12 +302,15 @@ def test_intervals(spark):
 
 
 def test_streams(spark, data, tmp_path):
-    events = ledger.read(spark, data)
+    events = ledger.read(spark, data, glob="events.parquet")
     assert ledger.drain(ledger.once(events)).count() == spark.read.parquet(f"{data}/events.parquet").count()
     rows = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     left = ledger.roll(rows, str(tmp_path / "cold"), "2024-01-15")
     assert left.count() + spark.read.parquet(str(tmp_path / "cold")).count() == rows.count()
     assert {r.dt.isoformat()[:7] for r in spark.read.parquet(str(tmp_path / "cold")).select("dt").distinct().collect()} == {"2024-01"}
+    assert ledger.drop_days(spark, str(tmp_path / "cold"), "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert spark.read.parquet(str(tmp_path / "cold")).agg(F.min("dt")).first()[0].isoformat() == "2024-01-03"
+    assert ledger.drop_days(spark, str(tmp_path / "none"), "2024-01-03") == []
 
 
 def test_files(spark, tmp_path):
