@@ -14,6 +14,10 @@ SCOPE_WEIGHT = {"org": 1.25, "user": 1.0, "session": 0.6}
 SIMILAR = 0.6
 #: Sets meet on a single word that no more sets than this list, and on two words where both are more common.
 RARE = 32
+#: Common words of a set from which on it meets others on single words: two of each together would be too many keys.
+MANY = 48
+#: How many words before a shared one are compared, to tell whether two sets have met already.
+BEFORE = 12
 #: Longs of a set's signature.
 SIGNATURE = 8
 
@@ -74,8 +78,10 @@ def similar_pairs(records: DataFrame, bucket: tuple[str, ...], threshold: float
     """(a, b, jaccard) of records (record_id, text) within a bucket whose sets of words are alike, a chain standing for equal sets.
 
     Sets that reach the threshold share at least two of their rarest words, so many of which are listed for each that none
-    is lost. Two meet on a rare word, or where the words are not rare on two of them. Equal sets are folded into
-    their first record before, so copies make no pairs of their own: each is linked with that first record.
+    is lost. Two meet on a rare word, or where the words are not rare on two of them. A set that lists many common words
+    meets all others on single ones, so keys grow with a set's words and not with their square; of the words that
+    two such sets share only the first makes them a pair. Equal sets are folded into their first record before, so
+    copies make no pairs of their own: each is linked with that first record.
     """
     sets = cut(_distinct_sets(records, bucket), "word-sets")
     copies = sets.withColumn("key", F.xxhash64("place", "words"))
@@ -99,15 +105,28 @@ def _near_sets(sets: DataFrame, threshold: float) -> DataFrame:
     rare = F.filter("first", lambda x: x["df"].between(2, RARE))
     common = F.filter("first", lambda x: x["df"] > RARE)
     ranked = ranked.select("id", "n", rare.alias("rare"), common.alias("common"))
+    ranked = cut(ranked, "ranked-words")
+    few = F.when(F.size("common") <= MANY, F.col("common")).otherwise(F.slice("common", 1, 0))  # at most MANY ** 2 / 2 keys
     alone = F.transform("rare", lambda x: F.struct(x["word"].alias("key"), x["i"].alias("i")))
-    both = F.flatten(F.transform("common", lambda x, k: F.transform(F.slice("common", k + 2, F.size("common")), lambda y: F.struct(F.xxhash64(x["word"], y["word"]).alias("key"), y["i"].alias("i")))))
+    both = F.flatten(F.transform(few, lambda x, k: F.transform(F.slice(few, k + 2, F.size(few)), lambda y: F.struct(F.xxhash64(x["word"], y["word"]).alias("key"), y["i"].alias("i")))))
     keys = cut(ranked.select("id", "n", F.explode(F.concat(alone, both)).alias("k")).select("id", "n", "k.*"), "set-keys")
     met = keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
     left, right = met.toDF("key", "a", "n", "i"), met.toDF("key", "b", "m", "j")
     # sizes of sets that are alike are alike too, and what comes behind the first shared word must be long enough
     need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-6
-    alike = (F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)
-    pairs = left.join(right, "key").filter(alike).filter(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1 >= need)
+    alike = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    behind = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1 >= need
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & alike & behind).select("a", "b")
+    # sets of many common words, and whatever is alike to them
+    single = ranked.select("id", "n", (F.size("common") > MANY).alias("many"), "common", F.posexplode("common").alias("k", "x"))
+    single = single.select("id", "n", "many", F.col("x.word").alias("key"), F.col("x.i").alias("i"), F.transform(F.slice("common", F.greatest(F.col("k") - BEFORE + 1, F.lit(1)), F.least(F.col("k"), F.lit(BEFORE))), lambda x: x["word"]).alias("before"))
+    crowds = single.filter("many").select("key").distinct()
+    single = cut(single.join(crowds, "key", "left_semi"), "single-words")
+    left = single.filter("many").drop("many").toDF("key", "a", "n", "i", "x")
+    right = single.toDF("key", "b", "m", "other", "j", "y")
+    once = (F.col("a") < F.col("b")) | (~F.col("other") & (F.col("a") != F.col("b")))
+    wide = left.join(right, "key").filter(once & alike & behind & ~F.arrays_overlap("x", "y"))
+    pairs = pairs.unionByName(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = pairs.select("a", "b").distinct()
     marked = cut(sets.select("id", "words", signature(F.col("words")).alias("bits")), "set-signatures")
     bits = marked.select("id", F.size("words").alias("n"), "bits")

@@ -1,6 +1,7 @@
 """Operators against plain restatements, on small tables."""
 
 import random
+import time
 from collections import deque
 
 import numpy as np
@@ -292,6 +293,28 @@ def test_exclusions(spark):
     assert sorted(r.doc_id for r in gone.collect()) == [1, 4]
 
 
+def test_near_copies_of_many_words_make_no_squares(spark, monkeypatch):
+    """Texts of many common words meet on single ones, and what they meet is what a plain comparison finds."""
+    rng, words = random.Random(12), [f"w{i:05d}" for i in range(6000)]
+    rows = [(f"r{i:03d}", " ".join([*words[:i], f"x{i}", *words[i:]])) for i in range(40)]
+    began = time.time()
+    found = memory.similar_pairs(spark.createDataFrame(rows, "record_id string, text string"), ())
+    assert found.count() == 40 * 39 // 2 and time.time() - began < 60
+    monkeypatch.setattr(memory, "MANY", 3)
+    monkeypatch.setattr(memory, "RARE", 2)
+    monkeypatch.setattr(memory, "BEFORE", 2)
+    pool = [f"v{i}" for i in range(30)]
+    base = [rng.sample(pool, rng.randint(2, 24)) for _ in range(25)]
+    sets = {f"s{n:03d}": {w for w in rng.choice(base) if rng.random() < 0.9} | set(rng.sample(pool, rng.randint(0, 2))) for n in range(150)}
+    got = {(r.a, r.b): r.jaccard for r in memory.similar_pairs(spark.createDataFrame([(k, " ".join(v)) for k, v in sets.items()], "record_id string, text string"), ()).collect()}
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(frozenset(sets[k]), k)
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for x, a in first.items() for y, b in first.items() if a < b and x and len(x & y) / len(x | y) >= 0.6}
+    want |= {(first[frozenset(v)], k): 1.0 for k, v in sets.items() if v and first[frozenset(v)] != k}
+    assert got == want and len(want) > 100
+
+
 def test_intervals(spark):
     at = lambda s: f"2024-01-01 00:00:{s:02}"
     rows = [(1, at(0), at(10)), (1, at(5), at(8)), (1, at(10), at(12)), (1, at(20), at(21)), (1, at(30), at(30)), (2, at(1), None)]
