@@ -9,7 +9,7 @@ array. In it, the previous and next smaller positions of each suffix share the m
 is its longest previous factor; the previous and next larger positions give its longest next factor. A window with
 either of LENGTH bytes is a repeat; keeping the first copy takes the previous factor alone.
 
-A row is known by its doc_id and 128 bits of its text's SHA-256, so that rows which share an id, or have none, are told
+A row is known by its doc_id and 120 bits of its text's SHA-256, as two numbers, so that rows which share an id, or have none, are told
 apart.
 """
 
@@ -33,7 +33,7 @@ ANCHOR = 64
 #: Different stretches of one anchor, about 1 MB of text, that one task puts in order; of larger groups single
 #: windows are dealt out.
 GROUP = 4096
-#: Bytes of the digests by which rows, and windows of large groups, are told apart.
+#: Bytes of the digests by which windows of large groups are told apart.
 OWN = 16
 #: Bytes of stretches that a task puts in order at a time.
 ORDER_BYTES = 1 << 21
@@ -85,7 +85,7 @@ def stretches(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     return {"doc": doc, "start": start - (ends - sizes)[doc], "windows": count, "anchor": h[least[first]].view(np.int64), "content": content.view(np.int64)}
 
 
-_STRETCHES = "doc_id long, own binary, start long, windows int, anchor long, content long"
+_STRETCHES = "doc_id long, own long, two long, start long, windows int, anchor long, content long"
 
 
 def _find(docs: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -93,38 +93,39 @@ def _find(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
-            own = pa.array([hashlib.sha256(x).digest()[:OWN] for x in texts], pa.binary())
+            digests = [hashlib.sha256(x).hexdigest() for x in texts]
+            own, two = (np.array([int(d[a : a + 15], 16) for d in digests], np.int64) for a in (0, 15))
             found = stretches(texts, length, anchor)
             columns = [
-                part.column("doc_id").take(pa.array(found["doc"])), own.take(pa.array(found["doc"])), pa.array(found["start"]),
+                part.column("doc_id").take(pa.array(found["doc"])), pa.array(own[found["doc"]]), pa.array(two[found["doc"]]), pa.array(found["start"]),
                 pa.array(found["windows"].astype(np.int32)), pa.array(found["anchor"]), pa.array(found["content"]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "start", "windows", "anchor", "content"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "two", "start", "windows", "anchor", "content"])
 
     return docs.mapInArrow(run, _STRETCHES)
 
 
-_PIECES = "anchor long, content long, n long, doc_id long, own binary, start long, windows int, at int, window binary, bytes binary"
+_PIECES = "anchor long, content long, n long, doc_id long, own long, two long, start long, windows int, at int, window binary, bytes binary"
 
 
 def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of each wanted stretch, or where its group is large a row for each of its windows instead."""
-    lists = wanted.groupBy("doc_id", "own").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "windows", "large")).alias("list"))
+    lists = wanted.groupBy("doc_id", "own", "two").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "windows", "large")).alias("list"))
     joined = _with_text(docs, lists, "inner")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in T.steps(batches):
             rows = []
-            for doc_id, own, text, listed in zip(part.column("doc_id").to_pylist(), part.column("own").to_pylist(), texts, part.column("list").to_pylist()):
+            for doc_id, own, two, text, listed in zip(*(part.column(c).to_pylist() for c in ("doc_id", "own", "two")), texts, part.column("list").to_pylist()):
                 for x in listed:
                     piece = text[x["start"] : x["start"] + x["windows"] + length - 1]
-                    head = (x["anchor"], x["content"], x["n"], doc_id, own, x["start"], x["windows"])
+                    head = (x["anchor"], x["content"], x["n"], doc_id, own, two, x["start"], x["windows"])
                     if x["large"]:
                         rows += [(*head, i, hashlib.blake2b(piece[i : i + length], digest_size=OWN).digest(), None) for i in range(x["windows"])]
                     else:
                         rows.append((*head, None, None, piece))
-            columns = zip(*rows) if rows else [[]] * 10
-            kinds = [*[pa.int64()] * 4, pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            columns = zip(*rows) if rows else [[]] * 11
+            kinds = [*[pa.int64()] * 7, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             names = [x.split()[0] for x in _PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -133,9 +134,12 @@ def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Documents with what belongs to their doc_id and text."""
-    right = lists.withColumnsRenamed({"doc_id": "own_id", "own": "own_own"})
-    keyed = docs.withColumn("own", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 2 * OWN)))
-    return keyed.join(right, keyed["doc_id"].eqNullSafe(right["own_id"]) & (keyed["own"] == right["own_own"]), how).select("doc_id", "own", "text", "list")
+    right = lists.withColumnsRenamed({"doc_id": "own_id", "own": "own_own", "two": "own_two"})
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    number = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
+    keyed = docs.withColumns({"own": number(1), "two": number(16)})
+    same = keyed["doc_id"].eqNullSafe(right["own_id"]) & (keyed["own"] == right["own_own"]) & (keyed["two"] == right["own_two"])
+    return keyed.join(right, same, how).select("doc_id", "own", "two", "text", "list")
 
 
 class Suffixes:
@@ -235,7 +239,6 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
     def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_rows = pa.Table.from_batches(rows).combine_chunks()
         col = lambda c: all_rows.column(c).combine_chunks().fill_null(-(2**63)).to_numpy() if c == "doc_id" else all_rows.column(c).to_numpy()
-        row = np.unique(np.array(all_rows.column("own").to_pylist(), f"S{OWN}"), return_inverse=True)[1].reshape(-1)
         texts = all_rows.column("bytes").to_pylist()
         n = col("windows").astype(np.int64)
         begin = np.cumsum([0, *map(len, texts)])[:-1]
@@ -245,7 +248,7 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
         buf = np.frombuffer(b"".join(texts), np.uint8)
         anchor, content = col("anchor"), col("content")
         position = np.empty(len(owner), np.int64)
-        position[np.lexsort((col("start")[owner] + at, row[owner], col("doc_id")[owner]))] = np.arange(len(owner))
+        position[np.lexsort((col("start")[owner] + at, col("two")[owner], col("own")[owner], col("doc_id")[owner]))] = np.arange(len(owner))
         previous, following = Suffixes(buf, place, length).factors(position)
         flags = previous >= length if first_stays else (previous >= length) | (following >= length)
         who, a, b = _runs(flags, owner)
@@ -278,7 +281,7 @@ def _ordered_groups(pieces: DataFrame, length: int, first_stays: bool) -> DataFr
 
 def _dealt_windows(pieces: DataFrame, first_stays: bool) -> DataFrame:
     """The same for large groups: windows are counted by 128 bits of their BLAKE2b, summed before they are shuffled."""
-    rows = pieces.filter("bytes is null").withColumn("position", F.struct("doc_id", "own", (F.col("start") + F.col("at")).alias("place")))
+    rows = pieces.filter("bytes is null").withColumn("position", F.struct("doc_id", "own", "two", (F.col("start") + F.col("at")).alias("place")))
     known = rows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min("position").alias("first"))
     # a stretch that occurs twice is known to repeat, so only single ones need their windows marked
     asked = rows if first_stays else rows.filter("n = 1")
@@ -289,14 +292,14 @@ def _dealt_windows(pieces: DataFrame, first_stays: bool) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = False, anchor: int | None = None) -> DataFrame:
-    """(doc_id, own, list): the byte ranges of each text that lie in repeated strings of ``length`` bytes, unmerged."""
+    """(doc_id, own, two, list): the byte ranges of each text that lie in repeated strings of ``length`` bytes, unmerged."""
     anchor = anchor or max(1, length * ANCHOR // LENGTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(_find(docs, length, anchor), "stretches")
     shared = found.groupBy("anchor").count().filter("count > 1").select("anchor")
     # an anchor inside a frequent line has many stretches, so its rows are dealt out in every join on it
     found = cut(spread_join(found, shared, ["anchor"], ["content", "doc_id", "start"], "left_semi"), "shared-stretches")
-    place = F.struct("doc_id", "own", "start")
+    place = F.struct("doc_id", "own", "two", "start")
     kinds = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("windows").alias("windows"))
     kinds = cut(kinds, "kinds-of-stretches")
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1" if first_stays else "kinds > 1 and least = 1")
@@ -307,13 +310,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = False, an
     known = kinds.join(inside, ["anchor", "content"], "left").select("anchor", "content", "n", "first", "runs")
     if first_stays:  # a later copy of a whole stretch goes; the first one keeps what no earlier stretch holds
         known = known.filter("n > 1 or runs is not null")
-        runs = F.when(F.struct("doc_id", "own", "start").eqNullSafe(F.col("first")), F.col("runs")).otherwise(whole)
+        runs = F.when(F.struct("doc_id", "own", "two", "start").eqNullSafe(F.col("first")), F.col("runs")).otherwise(whole)
     else:
         known = known.filter("n > 1 or runs is not null")
         runs = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))
-    hits = spread_join(found, known, ["anchor", "content"], ["doc_id", "start"]).select("doc_id", "own", "start", F.explode(runs).alias("r"))
+    hits = spread_join(found, known, ["anchor", "content"], ["doc_id", "start"]).select("doc_id", "own", "two", "start", F.explode(runs).alias("r"))
     span = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + (length - 1)).alias("b"))
-    return hits.select("doc_id", "own", span.alias("s")).groupBy("doc_id", "own").agg(F.collect_list("s").alias("list"))
+    return hits.select("doc_id", "own", "two", span.alias("s")).groupBy("doc_id", "own", "two").agg(F.collect_list("s").alias("list"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, first_stays: bool = True) -> DataFrame:
