@@ -311,3 +311,43 @@ def search(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, top: int = 10)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     both = best.unionByName(links).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
     return both.select("query_id", "rank", "kind", "id", "dst", "score")
+
+
+#: Facts told of all cited nodes, of one, and weak ones; and the rank from which on a fact is weak.
+FACTS, OF_SUBJECT, WEAK, WEAK_RANK = 12, 3, 3, 9
+
+
+def facts(cited: DataFrame, edges: DataFrame, ranks: dict[str, int], limit: int = FACTS, of_subject: int = OF_SUBJECT, weak: int = WEAK) -> DataFrame:
+    """(query_id, n, src, type, dst): edges from cited nodes (query_id, place, id), told round by round: each node's strongest first, then each one's next.
+
+    ``ranks`` give an edge type's rank, 5 by default, less being stronger; edges of one rank go by type and target.
+    Each target is told once, each node at most so often, and of weak facts only a few. What can be told is among the
+    first strong and the first weak edges of a node, as many as others may use up before and its own share: so
+    many meet in a query's fold, with their places among all, and a hub's edges are never gathered.
+    """
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("type")), F.lit(5))
+    told = cited.select("query_id", "place", F.col("id").alias("src")).join(edges.select("src", "dst", "type").distinct(), "src").withColumn("rank", rank)
+    own = Window.partitionBy("query_id", "place", "src")
+    order = ["rank", "type", "dst"]
+    told = told.withColumn("depth", F.row_number().over(own.orderBy(*order))).withColumn("weak", F.col("rank") >= WEAK_RANK)
+    among = F.row_number().over(Window.partitionBy("query_id", "place", "src", "weak").orderBy("depth"))
+    told = told.withColumn("among", among).filter(F.col("among") <= limit + max(of_subject, weak))
+
+    def fold(rows: pa.Table) -> pa.Table:
+        used: set = set()
+        count: dict = {}
+        left, out = weak, []
+        for r in rows.sort_by([("depth", "ascending"), ("place", "ascending"), ("src", "ascending")]).to_pylist():
+            if len(out) == limit:
+                break
+            if r["dst"] in used or count.get(r["src"], 0) >= of_subject or (r["weak"] and not left):
+                continue
+            left -= r["weak"]
+            used.add(r["dst"])
+            count[r["src"]] = count.get(r["src"], 0) + 1
+            out.append((r["query_id"], len(out) + 1, r["src"], r["type"], r["dst"]))
+        names = ["query_id", "n", "src", "type", "dst"]
+        kinds = [rows.schema.field("query_id").type, pa.int32(), pa.string(), pa.string(), pa.string()]
+        return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(names, kinds))})
+
+    return told.groupBy("query_id").applyInArrow(fold, f"query_id {dict(cited.dtypes)['query_id']}, n int, src string, type string, dst string")
