@@ -92,16 +92,16 @@ def ledger_histogram(spark, folder):
 _BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-def chunks_sql(size: int, overlap: int) -> str:
-    """SQL for chunks of the documents, ``chunked`` (doc_id, chunk_index, start_line, end_line, piece)."""
+def chunks_sql(size: int, overlap: int, rows: str = "documents", key: str = "doc_id") -> str:
+    """SQL for chunks of rows with a text, ``chunked`` (key, chunk_index, start_line, end_line, piece)."""
     return rf"""
     cuts as (
-      select doc_id, text, length(text) as n, -1 as begin, 0 as until from documents where length(text) > 0
-      union all select doc_id, text, n, nb, case when nb + {size} >= n then n when cut > {size // 2} then nb + cut else nb + {size} end
+      select {key}, text, length(text) as n, -1 as begin, 0 as until from {rows} where length(text) > 0
+      union all select {key}, text, n, nb, case when nb + {size} >= n then n when cut > {size // 2} then nb + cut else nb + {size} end
       from (select *, case when strpos(reverse(substr(text, nb + 1, {size})), chr(10)) = 0 then -1 else {size} - strpos(reverse(substr(text, nb + 1, {size})), chr(10)) end as cut
         from (select *, case when begin < 0 then 0 else greatest(until - {overlap}, begin + 1) end as nb from cuts where until < n))),
     pieces as (select *, regexp_replace(substr(text, begin + 1, until - begin), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') as piece from cuts where begin >= 0),
-    chunked as (select doc_id, (row_number() over (partition by doc_id order by begin) - 1)::int as chunk_index, (length(substr(text, 1, begin)) - length(replace(substr(text, 1, begin), chr(10), '')) + 1)::int as start_line,
+    chunked as (select {key}, (row_number() over (partition by {key} order by begin) - 1)::int as chunk_index, (length(substr(text, 1, begin)) - length(replace(substr(text, 1, begin), chr(10), '')) + 1)::int as start_line,
       (length(substr(text, 1, until)) - length(replace(substr(text, 1, until), chr(10), '')) + 1)::int as end_line, piece from pieces where piece <> '')"""
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamdex.functions import registered
+from loamdex.functions import text as T
 from loamdex.operators import chunking, graph, sketches, states, tuning
 from loamdex.plans import search
 from loamdex.plans.evaluation import _HOLDERS, _holders
 from loamdex.plans.graph import _GRAPH, _graph
+from loamdex.plans.ledger import chunks_sql
 from loamdex.plans.registry import ORACLES, query
+from loamdex.plans.text import PAGE_TEXT
 from loamdex.session import cut, table
 from loamdex.sources import files
 
@@ -95,7 +98,7 @@ def told_facts(spark, folder):
 def _before(spark, folder):
     """Documents as they once were: some were longer, some are new since, some have gone."""
     docs = table(spark, folder, "documents")
-    text = F.when((F.col("doc_id") % 10 == 5) & (F.col("source") == "src1"), F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    text = F.when((F.col("doc_id") % 3 == 1) & (F.col("source") == "src1"), F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
     return docs.filter("not (source = 'src3' and doc_id % 3 = 0)").withColumn("text", text)
 
 
@@ -108,7 +111,7 @@ def _sections(rows: str, name: str) -> str:
 
 @query(
     "changed_sections",
-    f"""with {_sections("select doc_id, source, case when doc_id % 10 = 5 and source = 'src1' then text || ' more' else text end as text from documents where not (source = 'src3' and doc_id % 3 = 0)", "a")}, {_sections("select doc_id, source, text from documents", "b")}
+    f"""with {_sections("select doc_id, source, case when doc_id % 3 = 1 and source = 'src1' then text || ' more' else text end as text from documents where not (source = 'src3' and doc_id % 3 = 0)", "a")}, {_sections("select doc_id, source, text from documents", "b")}
     select section, case when a.digest is null then 'added' when b.digest is null then 'removed' else 'changed' end as change from a full join b using (section) where a.digest is distinct from b.digest""",
 )
 def changed_sections(spark, folder):
@@ -160,3 +163,59 @@ def registered_functions(spark, folder):
         """select event_type as name, round(geometric_mean(value), 6) as value from events group by event_type
         union all select word, round(geometric_mean(cast(place as double)), 6) from benchmark, lateral words(text) where length(word) > 8 group by word""",
     )
+
+
+_MARKED = "html"
+for _n in range(1, 7):
+    _MARKED = f"regexp_replace({_MARKED}, '(?is)<h{_n}\\b[^>]*>(.*?)</h{_n}\\s*>', chr(10) || '{'#' * _n} \\1' || chr(10), 'g')"
+_OUTLINES = f"""marked as (select page_id, {_MARKED} as html from pages), {PAGE_TEXT.replace("from pages)", "from marked)")},
+lines as (select page_id, raw, row_number() over (partition by page_id order by n) as line from (select page_id, unnest(string_split(t, chr(10))) as raw, generate_subscripts(string_split(t, chr(10)), 1) as n from d)),
+heads as (select page_id, line, level, title from (select page_id, line, length(regexp_extract(trim(raw), '^(#{{1,6}})\\s+(\\S.*)$', 1)) as level, trim(regexp_extract(trim(raw), '^(#{{1,6}})\\s+(\\S.*)$', 2)) as title from lines where length(trim(raw)) between 2 and 120)
+  where level > 0 and len(string_split_regex(title, '\\s+')) <= 10 and not regexp_matches(title, '(?i)([,;:]|\\b(and|or))$') and not regexp_matches(title, '[.!?]\\s+\\S')),
+parents as (select h.page_id, h.line, h.level, h.title, max(p.line) as parent from heads h left join heads p on p.page_id = h.page_id and p.line < h.line and p.level < h.level group by 1, 2, 3, 4)"""
+SECTION, SECTION_OVERLAP = 300, 30
+
+
+def _outlined(spark, folder):
+    """(pages as (doc_id, text) with headings marked, their marked headings)."""
+    pages = cut(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), T.html_outline(F.col("html")).alias("text")), "page-outlines")
+    return pages, cut(chunking.headings(pages).filter("kind = 'markdown'"), "page-headings")
+
+
+@query(
+    "section_chunks",
+    f"""with recursive {_OUTLINES},
+    sections as (select l.page_id * 100000 + coalesce(max(h.line), 0) as sid, l.page_id, l.line, l.raw from lines l left join heads h on h.page_id = l.page_id and h.line <= l.line group by l.page_id, l.line, l.raw),
+    bodies as (select sid, min(line) as first, string_agg(raw, chr(10) order by line) || case when max(line) < (select max(line) from lines where page_id = any_value(s.page_id)) then chr(10) else '' end as text from sections s group by sid),
+    {chunks_sql(SECTION, SECTION_OVERLAP, "bodies", "sid")}
+    select sid // 100000 as doc_id, (row_number() over (partition by sid // 100000 order by sid, chunk_index) - 1)::int as chunk_index, (sid % 100000)::int as section, (start_line + first - 1)::int as start_line, (end_line + first - 1)::int as end_line, sha256(piece) as text_hash
+    from chunked join bodies using (sid)""",
+)
+def section_chunks(spark, folder):
+    """Chunks of every page that keep to its sections, with the lines of the whole page."""
+    pages, heads = _outlined(spark, folder)
+    rows = chunking.section_chunks(pages, heads, size=SECTION, overlap=SECTION_OVERLAP)
+    return rows.select("doc_id", "chunk_index", "section", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(
+    "labelled_lines",
+    f"""with recursive {_OUTLINES}, paths as (
+      select page_id, line, title as path from parents where parent is null union all select p.page_id, p.line, paths.path || ' > ' || p.title from parents p join paths on paths.page_id = p.page_id and paths.line = p.parent)
+    select l.page_id as doc_id, l.line::int as line, left(arg_max(p.path, p.line), 500) as path from lines l left join paths p on p.page_id = l.page_id and p.line <= l.line group by 1, 2""",
+)
+def labelled_lines(spark, folder):
+    """Each line of every page with the path of headings that it is under."""
+    pages, heads = _outlined(spark, folder)
+    lines = pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).select("doc_id", (F.col("at") + 1).alias("line"))
+    return chunking.label_lines(lines, chunking.heading_paths(heads)).select("doc_id", F.col("line").cast("int").alias("line"), "path")
+
+
+@query(
+    "outline_graph",
+    f"""with {_OUTLINES} select 'h:' || page_id || coalesce(':' || parent, '') as src, 'h:' || page_id || ':' || line as dst, title as label, level::int as level from parents""",
+)
+def outline_graph(spark, folder):
+    """The headings of every page as nodes, under their parents or their page."""
+    nodes, edges = chunking.outline(_outlined(spark, folder)[1])
+    return edges.join(nodes, edges["dst"] == nodes["id"]).select("src", "dst", "label", F.col("level").cast("int").alias("level"))
