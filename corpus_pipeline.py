@@ -7,14 +7,13 @@ names, go with their rows, and only the last stage leaves them out. Texts are wo
 
 from __future__ import annotations
 
-import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.llm import dac, decontaminate, mixing, quality, simhash
-from loamdex.session import cut, shared_dir, table
+from loamdex.session import cut, scratch, table
 
 #: The tokenizer's file.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,7 +62,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Files follow one another by their numbers, and rows by their place in a file. A null or empty text has the end
     id alone, and every row is written, repeated ones too.
     """
-    path = f"{shared_dir(spark)}/corpus-tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "corpus-tokens")
     name = F.col("_metadata.file_name")
     number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")  # noqa: E731  part-00012-...-c000.snappy.parquet
     places = {"part": number("^part-([0-9]+)"), "split": number("-c([0-9]+)[.]"), "file": name, "row": F.col("_metadata.row_index")}
