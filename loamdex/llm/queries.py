@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import public_tokenizers
 
 from loamdex.llm import chat, codes, dac, decontaminate, language, mixing, neighbours, personal, quality, repair, simhash, suffixes, toxicity
