@@ -127,3 +127,9 @@ def sampled(trace: Column, rate: float) -> Column:
 def to_read(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Items of a listing that a sync must read: (path, sha256) isn't known."""
     return listing.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def disagreeing(counts: DataFrame, key: str, *names: str) -> DataFrame:
+    """(key, names..., repair): whether a source's counts, one by each store, disagree, so that it must be repaired; a count that is missing is 0."""
+    filled = counts.select(key, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+    return filled.withColumn("repair", F.greatest(*names) != F.least(*names))

@@ -214,3 +214,65 @@ def unanswered(turns: DataFrame, least: int = 2, length: int = 4) -> DataFrame:
     asked = words.filter("role = 'user'").select("conv_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("conversations"))
     answered = words.filter("role = 'assistant'").select("term").distinct()
     return asked.filter(F.col("conversations") >= least).join(answered, "term", "left_anti")
+
+
+def edges(records: DataFrame) -> DataFrame:
+    """(src, dst, type) of memory in the graph: what a record supersedes, what it stands for, and what it is about; null and empty ends have none."""
+    own = F.concat(F.lit("memory:"), "record_id")
+    other = lambda c: F.concat(F.lit("memory:"), c)
+    said = [
+        records.select(own.alias("src"), F.when(F.col("supersedes") != "", other("supersedes")).alias("dst"), F.lit("supersedes").alias("type")),
+        records.select(F.when(F.col("subsumed_by") != "", other("subsumed_by")).alias("src"), own.alias("dst"), F.lit("subsumes").alias("type")),
+        records.select(own.alias("src"), F.when(F.trim("subject") != "", F.concat(F.lit("subject:"), T.slug(F.col("subject")))).alias("dst"), F.lit("about").alias("type")),
+    ]
+    return said[0].unionByName(said[1]).unionByName(said[2]).filter("src is not null and dst is not null").distinct()
+
+
+def session_digests(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(record_id, user_id, began, ended, steps, text): each user's sessions as records that say what was done, kinds in the order in which they first came.
+
+    A pause longer than ``gap`` ends a session. A session's kinds are summed before they come together, so a row holds as
+    many as there are kinds.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pause = F.lag("ts").over(order)
+    marked = events.withColumn("opens", F.when(pause.isNull() | (F.col("ts") - pause > F.expr(f"interval {gap}")), 1).otherwise(0))
+    numbered = marked.withColumn("session", F.sum("opens").over(order))
+    kinds = numbered.groupBy("user_id", "session", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "event_id")).alias("first"), F.max("ts").alias("last"))
+    listed = kinds.groupBy("user_id", "session").agg(
+        F.min("first.ts").alias("began"), F.max("last").alias("ended"), F.sum("n").alias("steps"),
+        F.array_sort(F.collect_list(F.struct("first", F.concat_ws(" x", "event_type", F.col("n").cast("string")).alias("said")))).alias("kinds"),
+    )
+    stamp = F.date_format("began", "yyyyMMddHHmmss")
+    return listed.select(F.concat_ws("-", F.lit("session"), F.col("user_id").cast("string"), stamp).alias("record_id"), "user_id", "began", "ended", "steps", F.array_join(F.col("kinds.said"), ", ").alias("text"))
+
+
+def proposed(known: DataFrame, fresh: DataFrame, now: str, days: int = 90) -> DataFrame:
+    """(candidate_id, text, status, first_seen, last_seen): candidates after a pass found ``fresh`` ones (text, seen).
+
+    A candidate is known by its text's digest. Seen again it keeps its first time and its status; one that was rejected
+    stays so and is never proposed anew. Pending ones not seen for so many days expire.
+    """
+    found = fresh.groupBy(F.substring(T.digest(T.normalized_sentence(F.col("text"))), 1, 16).alias("candidate_id")).agg(F.min("text").alias("said"), F.min("seen").alias("low"), F.max("seen").alias("high"))
+    both = known.join(found, "candidate_id", "full")
+    last = F.greatest("last_seen", "high")
+    status = F.coalesce("status", F.lit("pending"))
+    stale = (status == "pending") & (F.datediff(F.lit(now).cast("date"), last.cast("date")) > days)
+    return both.select("candidate_id", F.coalesce("text", "said").alias("text"), F.when(stale, "expired").otherwise(status).alias("status"), F.least("first_seen", "low").alias("first_seen"), last.alias("last_seen"))
+
+
+def maintained(records: DataFrame, bucket: tuple[str, ...], caps: dict[str, int], threshold: float = SIMILAR) -> DataFrame:
+    """(record_id, fate, head) after one pass of maintenance: records of a cluster of near copies are demoted under its medoid, then scopes over their cap lose their least important ones; others are kept.
+
+    ``records`` are (record_id, scope, text, salience, kind). Rules are exempt from both: they are neither near copies of
+    anything nor counted.
+    """
+    rule = F.coalesce("kind", F.lit("fact")).isin("alias", "preference", "exclusion")
+    facts, rules = records.filter(~rule), records.filter(rule)
+    found = cut(clusters(facts.select("record_id", "scope", "text"), bucket, threshold), "maintained-clusters")
+    heads = found.filter("medoid").select("cluster", F.col("id").alias("head"))
+    named = found.join(heads, "cluster").select(F.col("id").alias("record_id"), "head")
+    left = facts.join(named.filter("record_id = head").select("record_id"), "record_id", "left_semi")
+    pruned = over_cap(left, caps).select("record_id", F.lit("pruned").alias("cut"))
+    out = named.join(pruned, "record_id", "left").select("record_id", F.when(F.col("record_id") != F.col("head"), "demoted").otherwise(F.coalesce("cut", F.lit("kept"))).alias("fate"), "head")
+    return out.unionByName(rules.select("record_id", F.lit("kept").alias("fate"), F.col("record_id").alias("head")))

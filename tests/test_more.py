@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loamdex.operators import chunking, graph, sketches, states, tuning
+from loamdex.operators import chunking, filters, graph, memory, serving, sketches, states, tuning
 
 
 def lettered(spark, *outlines):
@@ -125,3 +125,39 @@ def test_sketches(spark):
     exact = rows.groupBy("k").agg(F.countDistinct("v").alias("n"))
     assert [r.near for r in exact.join(found, "k").select(sketches.within(F.col("estimate"), F.col("n")).alias("near")).collect()] == [True] * 3
     assert not spark.range(1).select(sketches.within(F.lit(130.0), F.lit(100.0)).alias("x")).first().x
+
+
+def test_citations_and_records(spark):
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "c"), (2, 1, "z")], "query_id int, rank int, node string")
+    answers = spark.createDataFrame([(1, "So [2], and [12] or [x]."), (3, "[1]")], "query_id int, answer string")
+    got = sorted(map(tuple, serving.citations(hits, answers, 2).collect()))
+    assert got == [(1, 1, "a", 1, False), (1, 2, "b", 3, True), (2, 1, "z", 1, False)]
+    lines = ["one two three", "one\n two   three four", "onetwothreefourfive", None, "one two  three "]
+    cut = spark.createDataFrame([(n, t) for n, t in enumerate(lines)], "n int, t string").select("n", serving.cut_at_word(F.col("t"), 13).alias("s"))
+    assert [r.s for r in cut.orderBy("n").collect()] == ["one two three", "one two three…", "onetwothreefo…", "", "one two three"]
+    merged = serving.merged(spark.createDataFrame([(1, "text", "k", 0.5), (1, "graph", "k", 0.9), (1, "text", "j", 0.9)], "query_id int, mode string, key string, score double"))
+    assert sorted(map(tuple, merged.collect())) == [(1, 1, "j", 0.9, "text"), (1, 2, "k", 0.9, "graph+text")]
+
+
+def test_maintenance_spares_rules(spark):
+    rows = [("a", "en", "the build is green today", 5, "fact"), ("b", "en", "the build is green today again", 9, "fact"), ("c", "en", "something else entirely here", 1, "fact"), ("d", "en", "a third thing that nobody knows", 2, "fact"), ("r", "en", "the build is green today", 0, "alias")]
+    got = {r.record_id: (r.fate, r["head"]) for r in memory.maintained(spark.createDataFrame(rows, "record_id string, scope string, text string, salience int, kind string"), ("scope",), {"en": 2}).collect()}
+    assert got["r"] == ("kept", "r") and sorted(f for f, _ in got.values()) == ["demoted", "kept", "kept", "kept", "pruned"]
+    assert got["c"] == ("pruned", "c") and got["b"][1] == got["a"][1]
+
+
+def test_memory_edges_and_candidates(spark):
+    rows = spark.createDataFrame([("1", "", None, " "), ("2", "1", "3", "The Build"), ("2", "1", "3", "The Build")], "record_id string, supersedes string, subsumed_by string, subject string")
+    assert sorted(map(tuple, memory.edges(rows).collect())) == [("memory:2", "memory:1", "supersedes"), ("memory:2", "subject:the-build", "about"), ("memory:3", "memory:2", "subsumes")]
+    none = spark.createDataFrame([], "candidate_id string, text string, status string, first_seen string, last_seen string")
+    fresh = spark.createDataFrame([("Say it.", "2024-01-01"), ("say it", "2024-01-05")], "text string, seen string")
+    one = memory.proposed(none, fresh, "2024-01-06")
+    assert [(r.status, r.first_seen, r.last_seen) for r in one.collect()] == [("pending", "2024-01-01", "2024-01-05")]
+    again = memory.proposed(one.withColumn("status", F.lit("rejected")), fresh.withColumn("seen", F.lit("2024-09-01")), "2024-09-02").collect()
+    assert [(r.status, r.first_seen, r.last_seen) for r in again] == [("rejected", "2024-01-01", "2024-09-01")]
+    assert [r.status for r in memory.proposed(one, fresh.limit(0), "2024-09-01").collect()] == ["expired"]
+
+
+def test_disagreeing(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 2, None), ("c", None, 0)], "s string, x int, y int")
+    assert sorted(map(tuple, filters.disagreeing(rows, "s", "x", "y").collect())) == [("a", 1, 1, False), ("b", 2, 0, True), ("c", 0, 0, False)]
