@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loamdex.llm import joins, language, linear, quality, toxicity
+from loamdex.llm import text as T
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -79,8 +80,10 @@ def plain_ftrl(data, of):
     for _ in range(of.epochs):
         for i in order.permutation(len(data.rows)):
             own = [*data.rows[i].tolist(), "bias"]
-            p = p_of(own)
-            update({b: (p - 1) * of.ones if data.labels[i] else p for b in own})
+            drawn = order.choice(len(own), order.integers(of.part + 1)) if of.part else ()
+            for at in (own, {*(own[k] for k in drawn), "bias"}) if of.part else (own,):
+                p = p_of(at)
+                update({b: (p - 1) * of.ones if data.labels[i] else p for b in at})
             for j, lost, gained in data.swaps:
                 if j != i:
                     continue
@@ -111,10 +114,11 @@ def test_fit_takes_the_updates_of_plain_ftrl():
         make = module.features(18)
         data = examples(make, texts, y, swapped)
         assert bool(data.swaps) == (module is toxicity)
-        of = linear.Settings(bits=18, l1=0.2, part=0, pair_weight=5.0, ones=2.0, epochs=2)
-        model, want = linear.fit(data, of), plain_ftrl(data, of)
-        got = dict(zip(model.buckets.tolist(), model.weights.tolist())) | {"bias": model.bias}
-        assert got.keys() >= {b for b, x in want.items() if x} - {"bias"} and all(abs(got[b] - want[b]) < 1e-9 for b in got)
+        for part in (24, 0):
+            of = linear.Settings(bits=18, l1=0.2, part=part, pair_weight=5.0, ones=2.0, epochs=2)
+            model, want = linear.fit(data, of), plain_ftrl(data, of)
+            got = dict(zip(model.buckets.tolist(), model.weights.tolist())) | {"bias": model.bias}
+            assert got.keys() >= {b for b, x in want.items() if x} - {"bias"} and all(abs(got[b] - want[b]) < 1e-9 for b in got)
         # scores are sparse dot products
         doc, bucket = make([*texts, b""])
         found = model.scores(doc, bucket, len(texts) + 1)
@@ -123,6 +127,32 @@ def test_fit_takes_the_updates_of_plain_ftrl():
             assert abs(found[i] - 1 / (1 + np.exp(-logit))) < 1e-9
 
 
+def alone(piece, salt=0):
+    """The hash of one string, made from nothing else."""
+    return T.span_hashes(np.frombuffer(piece + b"\n", np.uint8), np.array([0]), np.array([len(piece)]), salt=salt)[0]
+
+
+TEXTS = ["So it is, SO it is -- is is is!", "", "Été à la mer; 42nd #1", "one", "a\tb\n\nc ...", "stupidly stupid STUPID " * 3, "日本 日本 x"]
+
+
+def test_features_are_of_the_words():
+    """Words are runs of letters, digits and whatever is beyond ASCII, marks are runs of other visible characters."""
+    mask = np.uint64((1 << 18) - 1)
+    texts = [t.encode() for t in TEXTS]
+    doc, bucket = quality.features(18)(texts)
+    inner, inner_bucket = toxicity.features(18)(texts)
+    for i, text in enumerate(TEXTS):
+        pieces = [m.encode() for m in re.findall(r"[a-z0-9\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", text.lower())]
+        h = [alone(x) for x in pieces]
+        with np.errstate(over="ignore"):
+            want = {int(x & mask) for x in h} | {int(T.mixed(np.array([a * np.uint64(3) + b + np.uint64(1)]))[0] & mask) for a, b in zip(h, h[1:])}
+        if same := sum(a == b for a, b in zip(pieces, pieces[1:])):
+            want.add(int(T.mixed(np.array([-(-8 * same // len(pieces)) + (1 << 40)], np.uint64))[0] & mask))
+        assert set(bucket[doc == i].tolist()) == want
+        grams = {int(alone(x) & mask) for x in pieces} | {int(alone(x[k : k + 4], 1) & mask) for x in pieces for k in range(len(x) - 3)} | {int(alone(x[:4], 2) & mask) for x in pieces if len(x) >= 4}
+        assert set(inner_bucket[inner == i].tolist()) == grams
+
+
 def test_swapped_copies_are_of_the_sentence():
     got = list(toxicity.swapped((("jews", "hindus"), ("girl", "boy"), ("lone",)))(["Jews, jews-and a girl; jewsx lone".encode(), b"", b"nothing"]))
     assert got == [(0, b"jews, jews-and a boy; jewsx lone"), (0, b"hindus, hindus-and a girl; jewsx lone")]
