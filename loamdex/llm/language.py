@@ -25,8 +25,9 @@ PARTS, PART = 4, 2
 #: Lengths of the n-grams in characters, the longest first; an unseen word asks for a group of lengths at a time.
 GRAMS = (5, 4, 3, 2, 1)
 ASKED = ((5, 4), (3, 2, 1))
-#: Words that are broadcast, the most frequent ones; this bounds memory and changes no result.
-WORDS = 300_000
+#: Words that are broadcast, the most frequent ones, and cells of their table, a column for each language: fewer words where
+#: there are many languages. This bounds memory and changes no result.
+WORDS, CELLS = 300_000, 2_400_000
 #: Log frequencies are summed as whole multiples of this, so that no order of summing shows.
 UNIT = 2.0**-30
 #: What is added to each count.
@@ -141,9 +142,11 @@ def fit(docs: DataFrame, words: int = WORDS) -> Model:
     size = np.array([max(totals[x], 1) for x in langs], float)
     by_word = cut(counted.groupBy("word").agg(_counts(langs).alias("by_lang"), F.sum("n").alias("n")), "language-vocabulary")
     full = by_word.select("word", "n", _logs([totals[x] for x in langs], by_word.count()).alias("logs"))
+    words = min(words, max(1, CELLS // len(langs)))
     top = _most_frequent(full, words).orderBy("word").toArrow()  # no more than ``words`` rows
     hashes = T.Spans([w.encode() for w in top.column("word").to_pylist()], T.WORDS).hashes() if len(top) else np.zeros(0, np.uint64)
     logs = top.column("logs").combine_chunks().flatten().to_numpy().reshape(len(hashes), len(langs))
+    logs = np.rint(logs / UNIT) * UNIT  # summed exactly, like those that aren't broadcast
     order = np.argsort(hashes)
     counts = cut(_gram_counts(counted).groupBy("size", "gram").agg(_counts(langs).alias("by_lang")), "language-grams")
     sums = [F.sum(F.col("by_lang")[k]).alias(f"n{k}") for k in range(len(langs))]
@@ -232,7 +235,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     A null text, or one without any letter, is ``und`` with score 0, as is every text where nothing was learnt.
     A word none of whose n-grams was learnt tells nothing, and a text of such words gets the languages' own shares.
-    Repeated rows and repeated or null ids give one row each. Equal scores go to the first language by name.
+    Repeated rows and repeated or null ids give one row each. Equal scores go to the first language by name. A text of
+    more than 1 MB is a step of its own in its task. An empty table gives no row.
     """
     model = fit(docs) if model is None else model
     held = linear.held_out(F.col("doc_id"), PARTS, PART).alias("held_out")

@@ -276,6 +276,15 @@ def test_language_matches_the_plain_backoff_on_the_table(spark, data):
     assert all(abs(found[i].score - x[1]) < 1e-6 for i, x in want.items())
 
 
+def test_what_is_broadcast_changes_no_score(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
+    monkeypatch.setattr(language, "CELLS", 40)
+    model = language.fit(docs)
+    assert len(model.hashes) <= 40 // len(model.langs) + 1
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()} == whole
+
+
 def test_crowded_keys_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(joins, "LEAST", 50)
     large = spark.range(2000).select(F.when(F.col("id") < 900, F.lit(-1)).otherwise(F.col("id") % 300).alias("k"), "id")
