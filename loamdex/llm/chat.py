@@ -11,20 +11,20 @@ OPEN, ROLE_END, NEXT, CLOSE = "<|turn|>", "<|text|>", "<|and|>", "<|end|>"
 CONTROLS = (OPEN, ROLE_END, NEXT, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|startoftext|>", "<|endoftext|>", "<|eot_id|>")
 #: What stands for a control string in a text: this mark and a letter of the string's own; for the mark itself, 0.
 MARK = "␛"
-_CODES = tuple(zip(CONTROLS, "abcdefghijklmno"))
+CODES = tuple(zip(CONTROLS, "abcdefghijklmno"))
 
 
 def escape(text: Column) -> Column:
     """Put codes in place of control strings; every mark in the result is followed by 0 or a code's letter."""
     text = F.replace(text, F.lit(MARK), F.lit(MARK + "0"))
-    for control, code in _CODES:
+    for control, code in CODES:
         text = F.replace(text, F.lit(control), F.lit(MARK + code))
     return text
 
 
 def unescape(text: Column) -> Column:
     """Undo ``escape``; the mark's own code comes last."""
-    for control, code in _CODES:
+    for control, code in CODES:
         text = F.replace(text, F.lit(MARK + code), F.lit(control))
     return F.replace(text, F.lit(MARK + "0"), F.lit(MARK))
 

@@ -47,23 +47,23 @@ def op2(spark, folder):
     return chat.digests(chat.conversations(rows.unionByName(extra)))
 
 
-ORACLES["op2_chat"] = """
+_ESCAPED = f"replace(text, '{chat.MARK}', '{chat.MARK}0')"
+for _control, _code in chat.CODES:
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{chat.MARK}{_code}')"
+ORACLES["op2_chat"] = f"""
 with rows as (
   select conv_id, turn, role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), marked as (
-  select *, lag(role) over (partition by conv_id order by turn) is distinct from role as opens from rows
-), escaped as (
-  select *, length(replace(text, '␛', '␛0')) as size from marked
+  select *, lag(role) over (partition by conv_id order by turn) is distinct from role as opens, length({_ESCAPED}) as size from rows
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
-  (case when conv_id = -7 then 2 * (8 + 8 + 7) + length('user') + length('assistant') + 2 * length('xx ok xx') + 2 * 2
-   else sum(size + case when opens then 8 + length(role) + 8 + 7 else 7 end) end)::bigint as formatted_chars
-from escaped group by conv_id
+  sum(size + case when opens then {len(chat.OPEN) + len(chat.ROLE_END) + len(chat.CLOSE)} + length(role) else {len(chat.NEXT)} end)::bigint as formatted_chars
+from marked group by conv_id
 """
 
 
