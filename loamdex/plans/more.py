@@ -24,7 +24,7 @@ _CARRIED = [c for _, c in tuning.schedule(1000, len(_PROPOSED))]
 
 
 def _round(n: int) -> str:
-    alive = "" if n == 1 else f"and point in (select point from round{n - 1} where place <= {_CARRIED[n - 1]})"
+    alive = "" if n == 1 else f"and q3 >= 6 and point in (select point from round{n - 1} where place <= {_CARRIED[n - 1]})"
     return f"""round{n} as materialized (select {n} as round, point, queries, score, row_number() over (order by score desc, point) as place from (
       select point, any_value(q{n}) as queries, round(sum(rr::decimal(18, 6))::double / count(*), 6) as score from rr, plan where nth <= q{n} {alive} group by 1))"""
 
@@ -40,7 +40,7 @@ def _round(n: int) -> str:
     o as (select *, row_number() over (partition by point, query_id, node order by score desc, best, key) as nn from g join r using (point, query_id, key)),
     f as (select *, row_number() over (partition by point, query_id order by score desc, best, key) as rank from o where nn = 1 or kind = 'relationship' or node = ''),
     {_HOLDERS}, judged as (select query_id, row_number() over (order by md5(query_id::varchar), query_id) as nth from (select distinct query_id from holders)),
-    plan as (select greatest(1, floor(count(*) * {tuning.FIRST_SHARE})::bigint) as q1, least(count(*), 2 * greatest(1, floor(count(*) * {tuning.FIRST_SHARE})::bigint)) as q2, count(*) as q3 from judged),
+    plan as (select case when count(*) < 6 then count(*) else greatest(1, floor(count(*) * {tuning.FIRST_SHARE})::bigint) end as q1, least(count(*), 2 * greatest(1, floor(count(*) * {tuning.FIRST_SHARE})::bigint)) as q2, count(*) as q3 from judged),
     first as (select point, h.query_id, min(rank) as rank from holders h join f on f.query_id = h.query_id and f.node = 'd' || h.doc_id where rank <= 10 group by 1, 2),
     rr as (select point, query_id, nth, round(coalesce(1 / rank, 0), 6) as rr from judged cross join (select point from pts) left join first using (point, query_id)),
     {_round(1)}, {_round(2)}, {_round(3)}
