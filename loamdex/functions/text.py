@@ -136,6 +136,7 @@ def html_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"'#?]+)"), F.lit(1)))
 
 
+# The patterns of the next function decide what is found, and so are given.
 def markdown_links(text: Column) -> Column:
     """Targets of inline links, wiki links and bare URLs, trimmed, sorted, each once."""
     text = F.coalesce(text, F.lit(""))
@@ -145,6 +146,7 @@ def markdown_links(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
 
 
+# The patterns of the next function decide what is found, and so are given.
 def entities(text: Column) -> Column:
     """Camel-case names and runs of two to four capitalised words, sorted, each once; word edges are Unicode's."""
     camel = extract_all(text, "(?U)\\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\\b")
@@ -157,6 +159,7 @@ NO_CITATION = ("x", "ok", "tbd", "todo", "na", "n/a", "unreleased", "yes", "no",
 VERSION = "^[vV]?[0-9xXyYzZ]+([._-][0-9xXyYzZ]+)*$"
 
 
+# The patterns of the next function decide what is found, and so are given.
 def citations(text: Column) -> Column:
     """Bracketed labels, in order, each once whatever its case, without short ones, marks and version numbers."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("\\[@?([A-Za-z0-9_.:-]+)\\]"), F.lit(1))
@@ -165,6 +168,7 @@ def citations(text: Column) -> Column:
     return F.filter(good, lambda c, i: F.array_position(low, F.lower(c)) == i + 1)
 
 
+# The patterns of the next function decide what is found, and so are given.
 def strip_frontmatter(text: Column) -> Column:
     """The text without a block of YAML between lines of three hyphens at its very beginning."""
     return F.regexp_replace(text, "(?s)\\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(\r?\n|\\z)", "")
@@ -241,6 +245,7 @@ def artifact_type(path: Column) -> Column:
     return out.otherwise("other")
 
 
+# The patterns of the next function decide what is found, and so are given.
 def rule(kind: Column, text: Column) -> Column:
     """A steering rule (terms, values) read from its text; null if it doesn't follow its kind's grammar.
 
