@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.operators import chunking, components, evaluation, filters, fusion, graph, intervals, lexical, memory, retrieval, tuning
+from loamdex.operators import chunking, components, evaluation, filters, fusion, graph, intervals, lexical, memory, near, retrieval, tuning
 from loamdex.sources import files
 from loamdex.streaming import ledger
 
@@ -315,6 +315,23 @@ def test_near_copies_of_many_words_make_no_squares(spark, monkeypatch):
     assert got == want and len(want) > 100
 
 
+def test_sets_of_common_words_make_few_pairs(spark, monkeypatch):
+    """Sets of words that all hold many meet in blocks, and of two that are not alike hardly any gets as far as a pair."""
+    rng, words = random.Random(5), [f"w{i:03d}" for i in range(700)]
+    sets = {f"s{i:03d}": sorted(rng.sample(words, rng.choice([3, 40, 90, 130, 250]))) for i in range(250)}
+    for i in range(60):
+        own = rng.choice(list(sets.values()))
+        sets[f"t{i:03d}"] = sorted({*rng.sample(own, max(2, int(len(own) * rng.uniform(0.55, 1)))), *rng.sample(words, rng.randint(0, len(own) // 5))})
+    df = spark.createDataFrame([(n, i % 2, v) for i, (n, v) in enumerate(sets.items())], "id string, place long, words array<string>")
+    place = {n: i % 2 for i, n in enumerate(sets)}
+    held = {n: frozenset(v) for n, v in sets.items()}
+    want = {(a, b) for a in held for b in held if a < b and place[a] == place[b] and len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.6}
+    for bits in (1 << 12, 1 << 24):  # blocks of a few sets, and one
+        monkeypatch.setattr(near, "BLOCK_BITS", bits)
+        got = [tuple(r) for r in near.candidates(df, 0.6).select("a", "b").collect()]
+        assert want and len(got) == len(set(got)) and want <= set(got) and len(got) < 2 * len(want) + 20
+
+
 def test_intervals(spark):
     at = lambda s: f"2024-01-01 00:00:{s:02}"
     rows = [(1, at(0), at(10)), (1, at(5), at(8)), (1, at(10), at(12)), (1, at(20), at(21)), (1, at(30), at(30)), (2, at(1), None)]
