@@ -8,6 +8,8 @@ import random
 import numpy as np
 
 from loamdex.operators import buckets, clusters, lexical
+from loamdex.plans import stored
+from loamdex.plans.catalogue import ORACLES
 
 
 def made(spark, texts):
@@ -88,3 +90,20 @@ def test_strided_is_every_so_manyth(spark, monkeypatch):
     got = sorted(r.embedding[0] for r in clusters.strided(rows, 20).collect())
     assert got == [float(n) for n in range(0, 100, 5)]
     assert clusters.strided(rows, 200).count() == 103
+
+
+def test_clusters_of_many_vectors_are_those_of_their_sql(spark, tmp_path, monkeypatch):
+    """The SQL takes every so many-th vector too, and leaves out what the query leaves out."""
+    import duckdb
+
+    rng = random.Random(3)
+    rows = [(i * 3, [rng.gauss(5 * (i % 4), 1) for _ in range(6)]) for i in range(clusters.SAMPLE + 300)]
+    rows = [*rows, *((i * 3 + 1, [rng.gauss(5 * (i % 4), 1) for _ in range(6)]) for i in range(clusters.SAMPLE))]
+    rows += [(None, [1.0] * 6), (2, None), (5, []), (8, [0.0] * 6), (11, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (14, [float("nan")] * 6), (17, [1.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, stored.vector_clusters(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLES["vector_clusters"]).fetchall())
+    assert len(got) == len(want) == 16 * 6
+    assert all(g[:2] == w[:2] and g[3] == w[3] and abs(g[2] - w[2]) < 1e-9 and abs(g[4] - w[4]) < 1.5e-6 for g, w in zip(got, want))
