@@ -45,3 +45,13 @@ def test_operators_over_several_portions(spark, texts):
         total = sum((retrieval.hash_vector(retrieval.SYNONYMS.get(w, w)) for w in r.tokens or ()), np.zeros(retrieval.EMBED_DIMS))
         norm = np.linalg.norm(total)
         assert np.allclose(made[r.doc_id], total / norm if norm else total)
+
+
+def test_pairs_of_words_are_counted_in_their_row(spark, texts):
+    """One row for each of a text's pairs, with how often it has it; a pair doesn't cross texts."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = Counter()
+    for t in texts:
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        want.update(Counter(f"{a} {b}" for a, b in zip(w, w[1:])).items())
+    assert Counter((r.bigram, r.n) for r in lexical.bigrams(rows).collect()) == want
