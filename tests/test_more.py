@@ -161,3 +161,35 @@ def test_memory_edges_and_candidates(spark):
 def test_disagreeing(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 2, None), ("c", None, 0)], "s string, x int, y int")
     assert sorted(map(tuple, filters.disagreeing(rows, "s", "x", "y").collect())) == [("a", 1, 1, False), ("b", 2, 0, True), ("c", 0, 0, False)]
+
+
+def test_paths_are_those_of_a_walk_and_a_hub_is_walked_once(spark, monkeypatch):
+    rng = random.Random(13)
+    links = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(34)] + [("hub", f"page{i}") for i in range(150)] + [(f"page{i}", f"target{i}") for i in range(150)]
+    asked = [(f"n{rng.randrange(44)}", f"n{rng.randrange(44)}") for _ in range(60)] + [("hub", f"target{i}") for i in range(150)] + [(None, "n1"), ("n1", None)]
+    written = []
+
+    def counted(df, name):
+        out = cut(df, name)
+        written.append(out.count())
+        return out
+
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", counted)
+    edges = spark.createDataFrame([(a, b, "links_to") for a, b in links], "src string, dst string, type string")
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for depth, ends in ((2, asked), (5, [(b, a) for a, b in asked])):
+        want = set()
+        for a, b in {p for p in ends if None not in p}:
+            level, seen, hops = {a}, {a}, 0
+            while b not in level and level and hops < depth:
+                level = {y for x in level for y in near.get(x, ())} - seen
+                seen, hops = seen | level, hops + 1
+            want |= {(a, b, hops)} if b in level else set()
+        written.clear()
+        got = [tuple(r) for r in graph.shortest_paths(edges, spark.createDataFrame(ends, "src string, dst string"), depth).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sum(written) < 5_000  # every page beside every other would be 150 * 150
