@@ -193,3 +193,35 @@ def test_paths_are_those_of_a_walk_and_a_hub_is_walked_once(spark, monkeypatch):
         got = [tuple(r) for r in graph.shortest_paths(edges, spark.createDataFrame(ends, "src string, dst string"), depth).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert sum(written) < 5_000  # every page beside every other would be 150 * 150
+
+
+def test_only_the_best_nodes_of_a_block_leave_it(spark, monkeypatch):
+    rng, words = random.Random(14), ["cache", "index", "graph", "query", "vector", "merge", "a1", "src"]
+    monkeypatch.setattr(graph, "NODE_BLOCK", 100)
+    monkeypatch.setattr(graph, "QUERY_BLOCK", 2)
+    text = lambda n: " ".join(rng.choice(words).title() for _ in range(n))
+    nodes = [(f"n{i:03}", rng.choice(["page", "graph_query", None]), rng.choice([text(1), text(2), text(3), f"{text(1)}s", None]), rng.choice([text(1), "src1", None])) for i in range(500)]
+    asked = [(1, "cache"), (2, "index graph"), (3, "Query cache merge"), (4, "vector merge index graph"), (5, "page"), (6, "nothing"), (7, None)]
+    asked = [(i, q, (q or "").lower().split()) for i, q in asked]
+    steps, want = graph.NODE_FIELDS, {}
+    firsts = {t: sorted((n for n in nodes if n[1] == t), key=lambda n: (n[2] is not None, n[2] or "", n[0]))[:20] for t in ("page", "graph_query")}
+    for i, q, tokens in asked:
+        for n in nodes:
+            own = set(" ".join(x or "" for x in (n[2], n[3])).lower().split())
+            if own & set(tokens) or n[1] and n in firsts[n[1]] and set(n[1].split("_")) & set(tokens):
+                score = max(graph.rung((x or "").lower(), q.lower(), tokens, steps[f]) for x, f in ((n[2], "label"), (n[3], "name"), (n[1], "type")))
+                want.setdefault(i, []).append((-round(score, 3), n[2] is not None, n[2] or "", n[0]))
+    table = spark.createDataFrame(nodes, "id string, type string, label string, name string")
+    tokens = spark.createDataFrame(asked, "query_id int, query string, tokens array<string>")
+    every = {}
+    for r in graph.node_scores(table, tokens).collect():
+        every.setdefault(r.query_id, []).append((-r.score, r.label is not None, r.label or "", r.id))
+    assert {i: sorted(x) for i, x in every.items()} == {i: sorted(x) for i, x in want.items()}
+    some = graph.node_scores(table, tokens, 5)
+    # at most five of each of five blocks, and the first ones of two types
+    assert all(r["count"] <= 5 * 5 + 40 for r in some.groupBy("query_id").count().collect()) and some.count() < sum(map(len, want.values())) / 2
+    edges = spark.createDataFrame([("n001", "n002", "links")], "src string, dst string, type string")
+    got = {}
+    for r in graph.search(table, edges, tokens, 5).filter("kind = 'node'").orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {i: [n[3] for n in sorted(x)[:5]] for i, x in want.items()}
