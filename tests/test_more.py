@@ -1,11 +1,12 @@
 """Halving, lettered outlines, facts, states, sections and sketches against plain restatements."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from loamdex.operators import chunking, filters, graph, memory, serving, sketches, states, tuning
+from loamdex.operators import chunking, filters, graph, lexical, memory, serving, sketches, states, tuning
 
 
 def lettered(spark, *outlines):
@@ -225,3 +226,21 @@ def test_only_the_best_nodes_of_a_block_leave_it(spark, monkeypatch):
     for r in graph.search(table, edges, tokens, 5).filter("kind = 'node'").orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {i: [n[3] for n in sorted(x)[:5]] for i, x in want.items()}
+
+
+def test_only_runs_that_may_be_sought_leave_a_task(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "c1", "dé", "x-y"]) for _ in range(rng.choice([0, 1, 2, 3, 30]))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    plain = []
+    for i, t in enumerate(texts):
+        w = re.findall("[a-z0-9]+", t)
+        plain += [(i, " ".join(w[j : j + 3])) for j in range(len(w) - 2)]
+    found = lexical.word_runs(rows, "doc_id", 3).collect()
+    assert sorted((r.doc_id, r.run) for r in found) == sorted(plain)
+    hashes = {r.run: r.hash for r in found}
+    assert len(set(hashes.values())) == len(hashes)
+    sought = [r for r in hashes if r.startswith("ab c1")]
+    left = lexical.word_runs(rows, "doc_id", 3, [hashes[r] % (1 << 20) for r in sought], 1 << 20).collect()
+    assert sorted((r.doc_id, r.run) for r in left) == sorted(p for p in plain if p[1] in sought)
+    assert lexical.word_runs(rows, "doc_id", 3, [], 1 << 20).count() == 0
