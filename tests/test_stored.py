@@ -52,6 +52,30 @@ def test_untouched_buckets_keep_their_files(spark, tmp_path):
     assert buckets.fold(spark, path)[0] == buckets.fold(spark, path)[2] == 0
 
 
+def test_what_stays_is_not_written_apart_and_files_stay_few(spark, tmp_path, monkeypatch):
+    rng, words, written, cut = random.Random(9), [f"w{i}" for i in range(60)], [], buckets.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written.append(out.count())
+        return out
+
+    texts, path, fresh = {i: " ".join(rng.choices(words, k=20)) for i in range(120)}, str(tmp_path / "kept"), str(tmp_path / "fresh")
+    buckets.build(made(spark, texts), path, buckets=4)
+    monkeypatch.setattr(buckets, "cut", counted)
+    monkeypatch.setattr(buckets, "MOST_FILES", 3)
+    most = []
+    for n in range(4):
+        texts[n] = " ".join(rng.choices(words, k=20))
+        buckets.apply(path, made(spark, {n: texts[n]}), spark.createDataFrame([], "doc_id long"), buckets=4)
+        most.append(max(len(glob.glob(f"{path}/postings/bucket={b}/*.parquet")) for b in range(4)))
+    assert sum(written) < 4 * 20  # the other 119 rows' postings are some 2,000
+    assert max(most) <= 6 and most[-1] <= most[1] + 1
+    monkeypatch.undo()
+    buckets.build(made(spark, texts), fresh, buckets=4)
+    assert buckets.fold(spark, path) == buckets.fold(spark, fresh)
+
+
 def plain_kmeans(vectors, k, rounds, seed):
     order = sorted(vectors, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
     centres, seen = [], set()
