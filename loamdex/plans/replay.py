@@ -59,7 +59,7 @@ def _results(spark, folder):
     named = arms.select(F.col("arm").alias("query_id"), "tokens")
     text = lexical.bm25(named, indexed, top=ARM, prior=replay.prior(paths, arms))
     terms = named.select("query_id", F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("tf"))).alias("terms"))
-    vectors = retrieval.term_vectors(terms, "query_id").select(F.col("query_id").alias("vec_id"), "embedding")
+    vectors = retrieval.term_vectors(terms, "query_id").withColumnRenamed("query_id", "vec_id")
     near = retrieval.nearest(vectors, search._vectors(spark, folder), ARM, others=False).filter("cosine > 0").withColumnRenamed("vec_id", "doc_id")
     row = lambda rows, arm: rows.select(F.col("query_id").alias("of"), F.lit(arm).alias("arm"), (F.col("rank") - 1).cast("long").alias("pos"), F.concat(F.lit("c"), "doc_id").alias("key"), F.concat(F.lit("d"), "doc_id").alias("node"), F.lit("chunk").alias("kind"))
     found = cut(row(text, "text").unionByName(row(near, "vector")), "replay-found")

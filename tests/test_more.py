@@ -1,12 +1,18 @@
 """Halving, lettered outlines, facts, states, sections and sketches against plain restatements."""
 
+import decimal
+import hashlib
+import itertools
+import pathlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamdex.operators import chunking, filters, graph, lexical, memory, serving, sketches, states, tuning
+from loamdex.operators import chunking, filters, graph, lexical, memory, retrieval, serving, sketches, states, tuning
+from loamdex.plans.catalogue import ORACLES, QUERIES
 
 
 def lettered(spark, *outlines):
@@ -244,3 +250,50 @@ def test_only_runs_that_may_be_sought_leave_a_task(spark):
     left = lexical.word_runs(rows, "doc_id", 3, [hashes[r] % (1 << 20) for r in sought], 1 << 20).collect()
     assert sorted((r.doc_id, r.run) for r in left) == sorted(p for p in plain if p[1] in sought)
     assert lexical.word_runs(rows, "doc_id", 3, [], 1 << 20).count() == 0
+
+
+def _duck(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for path in sorted(folder.glob("*.parquet")):
+        con.execute(f"create view {path.stem} as select * from '{path}{'/*.parquet' if path.is_dir() else ''}'")
+    return con
+
+
+@pytest.fixture
+def cancelled(spark, data, tmp_path):
+    """The smallest tables with documents whose terms cancel out in each place, and an item that does."""
+    folder, pairs = tmp_path / "tables", {}
+    folder.mkdir()
+    for path in pathlib.Path(data).glob("*.parquet"):
+        if path.stem not in ("documents", "benchmark"):
+            (folder / path.name).symlink_to(path)
+    for n in range(20_000):
+        digest = hashlib.md5(f"word{n}".encode()).hexdigest()
+        pairs.setdefault(int(digest[:2], 16) % 64, {}).setdefault(int(digest[2], 16) < 8, f"word{n}")
+    texts = [" ".join(pairs[place].values()) for place in range(0, 64, 3)]
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    more = spark.createDataFrame([(1_000_000 + n, text, "en", "src1", len(text)) for n, text in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(more.select(*[F.col(c).cast(kind) for c, kind in docs.dtypes])).coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    item = spark.createDataFrame([(1_000_000, " ".join(pairs[7].values()))], "item_id long, text string")
+    items.unionByName(item.select(*[F.col(c).cast(kind) for c, kind in items.dtypes])).coalesce(1).write.parquet(str(folder / "benchmark.parquet"))
+    return folder
+
+
+@pytest.mark.parametrize("name", ["preferred_hits", "replay_results"])
+def test_vectors_that_cancel_out_come_where_sql_has_them(spark, cancelled, name):
+    found = QUERIES[name](spark, str(cancelled))
+    wanted = _duck(cancelled).sql(ORACLES[name])
+    got = sorted(tuple(r[c] for c in wanted.columns) for r in found.collect())
+    assert got == sorted(wanted.fetchall())
+    if name == "preferred_hits":
+        assert sum(key >= "c1000000" and arm == "vector" for _, arm, key, _ in got) > 40
+
+
+def test_cosines_of_counts_round_halves_as_sql_does():
+    a, b = np.array([[7.0, 3, 2, 1, 1]]), np.array(sorted(set(itertools.permutations([15.0, 5, 2, 1, 1]))))
+    dots = b @ a[0]
+    assert any(d % 4 == 1 for d in dots)  # odd numbers of 128ths are halves in six digits; these would go down to even ones
+    got = retrieval._counted(a, b, np.array([31]), np.full(len(b), 31))(0)[0]
+    assert got.tolist() == [float((decimal.Decimal(int(d)) / 128).quantize(decimal.Decimal("1e-6"), decimal.ROUND_HALF_UP)) for d in dots]
