@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamdex.operators import chunking, filters, graph, lexical, memory, retrieval, serving, sketches, states, tuning
+from loamdex.operators import chunking, filters, graph, lexical, memory, near, retrieval, serving, sketches, states, tuning
 from loamdex.plans.catalogue import ORACLES, QUERIES
 
 
@@ -297,3 +297,36 @@ def test_cosines_of_counts_round_halves_as_sql_does():
     assert any(d % 4 == 1 for d in dots)  # odd numbers of 128ths are halves in six digits; these would go down to even ones
     got = retrieval._counted(a, b, np.array([31]), np.full(len(b), 31))(0)[0]
     assert got.tolist() == [float((decimal.Decimal(int(d)) / 128).quantize(decimal.Decimal("1e-6"), decimal.ROUND_HALF_UP)) for d in dots]
+
+
+def _shuffled(spark):
+    """Bytes shuffled by all stages so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_words_do_not_follow_pairs_of_near_copies(spark):
+    rng, text = random.Random(4), [f"w{i:04d}x{i * 7919 % 10007}" for i in range(400)]
+    rows = [(f"r{i:03d}", " ".join([*rng.sample(text, 390), f"own{i}"])) for i in range(120)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        found = memory.similar_pairs(spark.createDataFrame(rows, "record_id string, text string"), ()).collect()
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 120 * 119 // 2
+    assert moved < 120 * 391 * 40  # some 40 bytes for each word of each set; there are 60 pairs a set
+
+
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_shared_words_are_counted_in_groups_of_any_size(spark, monkeypatch, most):
+    rng = random.Random(6)
+    sets = {i: sorted({f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 20))}) for i in range(1, 60)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (a % 4 == b % 4 or rng.random() < 0.02)]
+    monkeypatch.setattr(near, "GROUP_WORDS", most)
+    monkeypatch.setattr(near, "WORDS", most)
+    held = spark.createDataFrame([(i, f"n{i}", len(w), w) for i, w in sets.items()], "id long, name string, n int, words array<string>")
+    got = sorted(map(tuple, near.shared(held, spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == sorted((f"n{a}", f"n{b}", len(sets[a]), len(sets[b]), len({*sets[a]} & {*sets[b]})) for a, b in pairs)
