@@ -91,11 +91,11 @@ def sizes(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def search(queries: DataFrame, path: str, key: str = "doc_id", top: int = 20, buckets: int = BUCKETS) -> DataFrame:
-    """``lexical.bm25`` over the stored index."""
+    """BM25 over the stored index as in ``lexical.bm25``, but that each of a query's terms finds and scores rows, not its rarest alone."""
     spark = queries.sparkSession
     asked = queries.select(F.explode(lexical.tokens_of(queries)).alias("term")).distinct()
     held = cut(postings(spark, path, asked, key, buckets), "postings-asked-for")
-    return lexical.scored(queries, held, sizes(spark, path, key), key, top)
+    return lexical.scored_whole(queries, held, sizes(spark, path, key), key, top)
 
 
 def fold(spark: SparkSession, path: str, key: str = "doc_id") -> tuple[int, int, int, int]:

@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 
@@ -131,3 +132,27 @@ def test_clusters_of_many_vectors_are_those_of_their_sql(spark, tmp_path, monkey
     want = sorted(con.sql(ORACLES["vector_clusters"]).fetchall())
     assert len(got) == len(want) == 16 * 6
     assert all(g[:2] == w[:2] and g[3] == w[3] and abs(g[2] - w[2]) < 1e-9 and abs(g[4] - w[4]) < 1.5e-6 for g, w in zip(got, want))
+
+
+def test_every_term_finds_and_scores(spark, tmp_path, monkeypatch):
+    """Of twenty terms the most widespread one finds rows too, and all of them score, in blocks of any size."""
+    rng, words, path = random.Random(2), [f"w{i:02d}" for i in range(40)], str(tmp_path / "kept")
+    texts = {i: " ".join(w for n, w in enumerate(words) if rng.random() < (n + 1) / 50) for i in range(90)}
+    texts[90] = "w39"
+    texts = {i: t for i, t in texts.items() if t}
+    buckets.build(made(spark, texts), path, buckets=8)
+    asked = {1: words[20:], 2: words[::2], 3: words}
+    queries = spark.createDataFrame([(q, " ".join(ws)) for q, ws in asked.items()], "query_id int, query string")
+    rows = {i: t.split() for i, t in texts.items()}
+    mean, df = sum(map(len, rows.values())) / len(rows), {w: sum(w in r for r in rows.values()) for w in words}
+    want = []
+    for q, ws in asked.items():
+        score = {i: sum(math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(r) / mean)) for w in ws if w in r) for i, r in rows.items()}
+        listed = sorted((i for i in rows if score[i] > 0), key=lambda i: (-round(score[i], 6), i))
+        want += [(q, n + 1, i, round(score[i], 6)) for n, i in enumerate(listed[:100])]
+    assert (1, 90) in {(q, i) for q, _, i, _ in want}
+    for most in (2, 1024):
+        monkeypatch.setattr(lexical, "QUERY_BLOCK", most)
+        monkeypatch.setattr(lexical, "ROW_BLOCK", most * 8)
+        got = sorted(map(tuple, buckets.search(queries, path, top=100, buckets=8).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-6)
